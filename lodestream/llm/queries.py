@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_events, decontaminate, exact_dedup, minhash, packing, repeated_windows, toxicity, url_rules, warc_zstd
+from . import chat_events, decontaminate, exact_dedup, minhash, packing, pitman_yor, repeated_windows, toxicity, url_rules, warc_zstd
 from .common import scratch_path, table
 
 #: The rules of the url query.
@@ -18,6 +18,11 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learning = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"), learning)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     learning = toxicity.in_learning_fold(F.col("doc_id"), 3, 1)
@@ -83,4 +88,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_minhash, op5_decontamination, op6_chat, op7_warc, op8_exact_dedup, op9_url_rules, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_packing, op4_minhash, op5_decontamination, op6_chat, op7_warc, op8_exact_dedup, op9_url_rules, op10_repeats)}
