@@ -119,7 +119,7 @@ def location_name(x: Column) -> Column:
     text = squeeze(F.replace(as_text(x), F.lit(" - "), F.lit(", ")))
     short = lambda w: F.lower(w).isin(*ACRONYMS) | w.rlike("^[A-Za-z]{2}$") | F.lower(w).isin("us", "usa")
     case = lambda w: F.when(short(w), F.upper(w)).otherwise(capitalised(w))
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     plain = F.array_join(F.transform(parts, lambda p: F.array_join(F.transform(F.split(p, " "), case), " ")), ", ")
     return F.coalesce(*[F.when(text.rlike(p), label) for p, label in CITY_LABELS], F.nullif(plain, F.lit("")))
 

@@ -22,7 +22,7 @@ def normal_url(url: Column) -> Column:
     keep = lambda kv: (kv != "") & ~F.lower(kv).startswith("utm_") & ~F.lower(F.split_part(kv, F.lit("="), F.lit(1))).isin("fbclid", "gclid")
     query = F.array_join(F.array_sort(F.filter(F.split(F.coalesce(part(u, "QUERY"), F.lit("")), "&"), keep)), "&")
     path = F.coalesce(F.nullif(F.regexp_replace(F.coalesce(part(u, "PATH"), F.lit("")), "/+$", ""), F.lit("")), F.lit("/"))
-    return F.concat(F.lower(F.coalesce(part(u, "PROTOCOL"), F.lit("https"))), F.lit("://"), F.lower(F.coalesce(part(u, "AUTHORITY"), F.lit(""))), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(u.isNotNull(), F.concat(F.lower(F.coalesce(part(u, "PROTOCOL"), F.lit("https"))), F.lit("://"), F.lower(F.coalesce(part(u, "AUTHORITY"), F.lit(""))), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
 def url_kind(url: Column) -> Column:
