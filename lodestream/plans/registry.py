@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import deal_queries, listing_queries, ops_queries, page_queries, stream_queries
+from . import deal_queries, listing_queries, ops_queries, page_queries, report_queries, stream_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (ops_queries, listing_queries, deal_queries, page_queries, stream_queries):
+for _m in (ops_queries, listing_queries, deal_queries, page_queries, report_queries, stream_queries):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
