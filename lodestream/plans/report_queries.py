@@ -40,11 +40,11 @@ def alias_drops(spark, sf_dir):
     return reports.alias_drops(alias_jobs(spark, sf_dir))
 
 
-@query("alias_deals", "SELECT order_key * 10 + line AS row_id, coalesce(nullif(trim(title), ''), 'Untitled deal') AS title, price, floor(old_price) AS old_price, CASE WHEN line % 2 = 0 THEN 12.5 ELSE round((floor(old_price) - price) / floor(old_price) * 100.0, 0) + 0.0 END AS effective_discount, CASE line % 3 WHEN 0 THEN true WHEN 1 THEN false END AS in_stock FROM deals")
+@query("alias_deals", "SELECT order_key * 10 + line AS row_id, coalesce(nullif(trim(title), ''), 'Untitled deal') AS title, price, floor(old_price) AS old_price, CASE WHEN line % 2 = 0 THEN 12.5 ELSE floor(round((floor(old_price) - price) / floor(old_price) * 100.0, 2)) + 0.0 END AS effective_discount, CASE line % 3 WHEN 0 THEN true WHEN 1 THEN false END AS in_stock FROM deals")
 def alias_deals(spark, sf_dir):
     d = inputs.deals(spark, sf_dir)
     raw = d.select((F.col("order_key") * 10 + F.col("line")).alias("row_id"), F.col("title").alias("name"), F.concat(F.lit("$"), F.format_number("price", 2)).alias("sale_price"), F.format_number(F.floor("old_price"), 0).alias("msrp"), F.when(F.col("line") % 2 == 0, "12.5%").alias("discount"), F.when(F.col("line") % 3 == 0, "In Stock").when(F.col("line") % 3 == 1, "sold out").alias("available"))
-    return reports.alias_deals(raw).withColumn("effective_discount", F.when(F.col("row_id") % 2 == 0, F.col("effective_discount")).otherwise(F.round("effective_discount", 0)))
+    return reports.alias_deals(raw).withColumn("effective_discount", F.when(F.col("row_id") % 2 == 0, F.col("effective_discount")).otherwise(F.floor("effective_discount").cast("double")))
 
 
 @query("sku_extract", "SELECT order_key, line, CASE WHEN sku IS NOT NULL AND line % 2 = 0 THEN sku WHEN url IS NOT NULL THEN regexp_extract(url, '/p/([0-9]+)', 1) END AS sku FROM deals")
