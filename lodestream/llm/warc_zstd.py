@@ -11,6 +11,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 import zstandard
@@ -144,7 +145,8 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
 
     Of rows with equal payloads of min_bytes or more, the one with the largest page_id is the response that the others
     revisit. Null html is an empty payload. Rows without a page_id are responses and nobody's referent. Pages that share id and
-    payload are all responses. Only ids and digests are dealt out for the grouping.
+    payload are all responses. Only ids and digests are dealt out for the grouping; the payloads
+    are dealt out once, for the join with its outcome.
     """
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha1(raw).alias("payload_digest"))
@@ -155,20 +157,22 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 1000, bytes_per_file: int = BYTES_PER_FILE) -> None:
-    """One .warc.zst per partition under path; the number of partitions follows the payload bytes, so that a file stays small enough to read whole."""
+    """Archives under path, of so many records each that a file has about bytes_per_file of payloads, and so is small enough to read whole, however the rows are dealt out."""
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
-    total = pages.select(F.sum(F.octet_length("html") + F.lit(1024))).first()[0] or 0
-    files = max(1, -(-total // bytes_per_file), min(8, -(-total // (1 << 20))))
-    spread = with_revisits(pages, min_bytes=min_bytes).repartition(files, F.xxhash64("page_id", "payload_digest"))
+    mean = pages.select(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 512)).first()[0] or 512
+    records = max(1, int(bytes_per_file // mean))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames_of(row for b in batches for row in b.to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["value"])
+        rows = (row for b in batches for row in b.to_pylist())
+        for first in rows:
+            # a file's rows: the dictionary, then `records` records; the sink begins a new file after as many rows
+            for frame in frames_of(chain([first], islice(rows, records - 1))):
+                yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["value"])
 
-    frames = spread.mapInArrow(pack, "value binary")
+    frames = with_revisits(pages, min_bytes=min_bytes).mapInArrow(pack, "value binary")
     # a cast of binary to string keeps the bytes as they are, and the text sink writes them so
-    frames.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
+    frames.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", records + 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
