@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,18 @@ SEEDS = {
 }
 CLASSES = {"insult": "I", "threat": "V", "target": "T", "negation": "N", "report": "R"}
 OTHER, SCOPE = "O", 3
-#: Patterns, strongest first, with a prior for the share of toxic texts among those that hold one.
-PATTERNS = {"targeted insult": 0.95, "targeted threat": 0.95, "insult": 0.85, "threat": 0.3, "reported insult": 0.4, "reported threat": 0.2, "negated insult": 0.3, "negated threat": 0.05, "none": 0.02}
-PRIOR_TEXTS = 4.0
+#: Patterns with the weight that a unit of their words' evidence has before labels are seen.
+PATTERNS = {"targeted insult": 0.9, "targeted threat": 0.9, "insult": 0.8, "threat": 0.3, "reported insult": 0.3, "reported threat": 0.1, "negated insult": 0.1, "negated threat": 0.0}
+#: Evidence of a word whose share among toxic texts isn't known, by class, and the most that a word can have.
+SEED_EVIDENCE, MOST_EVIDENCE = {"I": 5.0, "V": 0.5}, 10.0
+#: The log odds of a text without a match before labels are seen, and how firmly all these priors hold.
+PRIOR_BASE, RIDGE = -3.0, 1.0
 #: Labelled rows that are read for learning, at most; which ones is a matter of their ids' hash.
 MAX_LABELLED = 20_000
-#: A stem is taken if chance would give so many toxic texts and hardly a clean one with a probability below exp(-EVIDENCE).
-EVIDENCE, MIN_PRECISION, MAX_STEMS, STEM_LENGTHS = 11.5, 0.9, 4000, (4, 5, 6)
+#: A stem is taken from this log ratio of its shares in toxic and clean texts on, if the texts that have it fit chance worse than their own shares by this log likelihood. Of all, the MAX_STEMS that fit worst.
+MIN_RATIO, MIN_GAIN, MAX_STEMS, STEM_LENGTHS = 3.5, 14.0, 4000, (4, 5, 6, 7, 8)
+#: A text is judged by so many of its strongest clauses, so that long texts don't add up chance matches.
+TOP_CLAUSES = 3
 CLAUSE_END, WORD = re.compile(r"[.!?;:\n]"), re.compile(r"[^\W\d_]+")
 
 Machine = dict[tuple[object, str], tuple[str, object]]  # (state, input) -> (output, state); every machine starts in state 0
@@ -96,7 +102,7 @@ MACHINE = compose(compose(negation_machine(), report_machine()), pattern_machine
 
 @dataclass(frozen=True)
 class Model:
-    """stems: insult prefixes with the share of toxic texts behind each; weights: of the patterns; base: the score of a text without a pattern."""
+    """stems: insult prefixes with the evidence behind each; weights: of the patterns; base: the log odds of a text without a match."""
 
     stems: dict[str, float]
     weights: dict[str, float]
@@ -109,17 +115,18 @@ class Grammar:
     def __init__(self, model: Model):
         self.model = model
         self.words = {w: CLASSES[k] for k, ws in SEEDS.items() for w in ws}
-        self.by_length = {n: {s for s in model.stems if len(s) == n} for n in {len(s) for s in model.stems}}
+        self.lengths = sorted({len(s) for s in model.stems}, reverse=True)
         self.starts = ahocorasick.Automaton()
         for w in {*model.stems, *SEEDS["insult"], *SEEDS["threat"]}:
             self.starts.add_word(w, len(w))
         self.starts.make_automaton()
 
-    def word_class(self, word: str) -> str:
-        found = self.words.get(word)
-        if found in ("I", "V"):
-            return found
-        return "I" if any(word[:n] in s for n, s in self.by_length.items()) else found or OTHER
+    def word_class(self, word: str) -> tuple[str, float]:
+        """Class and evidence; of several stems that fit, the strongest counts."""
+        found = self.words.get(word, OTHER)
+        stems = self.model.stems
+        learned = max((stems[word[:n]] for n in self.lengths if n <= len(word) and word[:n] in stems), default=0.0)
+        return ("I", learned) if learned else (found, SEED_EVIDENCE.get(found, 0.0))
 
     def clauses(self, text: str) -> Iterator[tuple[int, int]]:
         """Spans of the clauses in which a word begins like an insult or a threat."""
@@ -133,23 +140,48 @@ class Grammar:
             last_, last = last, after.start() if after else len(text)
             yield max(before, last_), last
 
-    def matches(self, text: str | None) -> list[tuple[int, int, str]]:
-        """(start, end, pattern) of every clause with a pattern."""
-        low = (text or "").lower()
-        out = []
+    def matches(self, text: str | None) -> list[tuple[int, int, str, float]]:
+        """(start, end, pattern, evidence) of every clause with a pattern; a word's evidence counts once in a text."""
+        low, seen, out = (text or "").lower(), set(), []
         for a, b in self.clauses(low):
-            state: object = 0
+            state, evidence = 0, 0.0
             for w in WORD.findall(low, a, b):
-                state = MACHINE[state, self.word_class(w)][1]
+                c, e = self.word_class(w)
+                state = MACHINE[state, c][1]
+                evidence += e if w not in seen else 0.0
+                seen.add(w)
             if (name := pattern_of(state)) != "none":
-                out.append((a, b, name))
+                out.append((a, b, name, evidence))
         return out
 
-    def score(self, found: list[tuple[int, int, str]]) -> float:
-        """1 less the chance that every matched clause is harmless, the strongest one apart counting half."""
-        w = sorted((self.model.weights[p] for _, _, p in found), reverse=True)
-        clean = math.prod(1 - x / 2 for x in w[1:9]) if w else 1.0
-        return 1 - (1 - w[0]) * clean if w else self.model.base
+    @staticmethod
+    def strongest(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+        return sorted(found, key=lambda m: -m[3])[:TOP_CLAUSES]
+
+    def score(self, found: list[tuple[int, int, str, float]]) -> float:
+        z = self.model.base + sum(self.model.weights[p] * e for _, _, p, e in self.strongest(found))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Logistic regression by damped Newton steps, held to the prior by RIDGE."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + RIDGE / 2 * ((w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * (w - prior))
+        size = 1.0
+        while loss(w + size * step) > now and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9:
+            break
+    return w
 
 
 def in_learning_fold(doc_id: Column, folds: int, held_out: int) -> Column:
@@ -159,17 +191,18 @@ def in_learning_fold(doc_id: Column, folds: int, held_out: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learns from docs that have a label: stems first, then the patterns' weights with them. Without labelled rows the priors remain.
 
-    At most max_labelled labels are used, so the list of their ids may be broadcast; each distinct text counts once.
+    At most max_labelled labels are used, so the list of their ids may be broadcast; copies and near copies count once.
     """
     small_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(2))).limit(max_labelled)
     sample = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
-    sample = sample.groupBy("_text").agg(F.max("_y").alias("_y"))
+    # one text of each family of copies and near copies, which mostly agree in the three least word hashes
+    least = F.slice(F.sort_array(F.transform(F.array_distinct(F.split(F.lower("_text"), r"\s+")), lambda w: F.xxhash64(w))), 1, 3)
+    sample = sample.groupBy(least.alias("_family")).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.max("_y").alias("_y")).drop("_family")
     sample, _ = written(sample.repartition(8, F.xxhash64("_text")), "labelled")
     totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    base = (n1 + 0.1) / (n1 + n0 + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -183,29 +216,47 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([hit[1][w] for w in part], pa.int64()), pa.array([hit[0][w] for w in part], pa.int64())], ["stem", "toxic", "clean"])
 
-    counts = sample.mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    strong = counts.filter((F.col("toxic") * -math.log(max(base, 1e-9)) > EVIDENCE) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
-    found = strong.orderBy(F.desc("toxic"), F.length("stem"), "stem").limit(MAX_STEMS).collect() if n1 else []
-    stems: dict[str, float] = {}
-    for r in sorted(found, key=lambda r: (len(r["stem"]), r["stem"])):
-        if not any(r["stem"].startswith(s) for s in stems):
-            stems[r["stem"]] = (r["toxic"] + base) / (r["toxic"] + r["clean"] + 1)
-    prior = Model(stems, PATTERNS, base)
-
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar, order = Grammar(prior), list(PATTERNS)
-        for b in batches:
-            best = [min((p for _, _, p in grammar.matches(t)), key=order.index, default="none") for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), b.column("_y")], ["pattern", "_y"])
+    def counts(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("toxic > 0")
+
+    # the more toxic texts have a stem, the more it says that no clean one does
+    unseen = F.least(F.lit(0.5), 4.0 / F.col("toxic"))
+    ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + unseen) / (n0 + 1.0))
+    share, base = F.col("toxic") / (F.col("toxic") + F.col("clean")), max(n1, 1) / max(n1 + n0, 2)
+    gain = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+
+    def stems_of(frame: DataFrame) -> dict[str, float]:
+        strong = frame.withColumns({"ratio": ratio, "gain": gain}).filter((F.col("ratio") >= MIN_RATIO) & (F.col("gain") >= MIN_GAIN))
+        # squared: one word that only toxic texts have says more than several that clean ones have too
+        return {r["stem"]: min(float(r["ratio"]), MOST_EVIDENCE) ** 2 / MOST_EVIDENCE for r in strong.orderBy(F.desc("gain"), F.length("stem"), "stem").limit(MAX_STEMS).collect()}
 
-    seen = sample.mapInArrow(strongest, "pattern string, _y int").groupBy("pattern").agg(F.sum("_y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
-    seen = {r["pattern"]: (r["y"], r["n"]) for r in seen}
-    weights = {p: ((seen.get(p, (0, 0))[0] + PRIOR_TEXTS * w) / (seen.get(p, (0, 0))[1] + PRIOR_TEXTS)) for p, w in PATTERNS.items()}
-    return Model(stems, weights, min(weights["none"], 0.5))
+    half = F.pmod(F.xxhash64("_text", F.lit(5)), F.lit(2)) == 0
+    learned = [Model(stems_of(counts(rows)), PATTERNS, PRIOR_BASE) for rows in (sample.filter(half), sample.filter(~half))] if n1 else [Model({}, PATTERNS, PRIOR_BASE)] * 2
+    prior = Model(stems_of(counts(sample)) if n1 else {}, PATTERNS, PRIOR_BASE)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammars, names = [Grammar(m) for m in learned], list(PATTERNS)
+        for b in batches:
+            rows = []
+            for t, first in zip(b.column("_text").to_pylist(), b.column("first").to_pylist(), strict=True):
+                x = dict.fromkeys(names, 0.0)
+                # a text's features come from stems that were learned without it
+                grammar = grammars[1 if first else 0]
+                for _, _, p, e in grammar.strongest(grammar.matches(t)):
+                    x[p] += e
+                rows.append(list(x.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("_y")], ["x", "_y"])
+
+    seen = sample.withColumn("first", half).mapInArrow(features, "x array<double>, _y int").collect()  # at most max_labelled rows
+    if not seen:
+        return prior
+    x = np.array([[1.0, *r["x"]] for r in seen])
+    w = fit(x, np.array([float(r["_y"] == 1) for r in seen]), np.array([PRIOR_BASE, *PATTERNS.values()]))
+    return Model(prior.stems, dict(zip(PATTERNS, w[1:].tolist(), strict=True)), float(min(w[0], 0.0)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row per document row: id, score in 0 to 1, predicted (1 from threshold on), clauses: start, end (characters) and pattern of each match.
+    """One row per document row: id, score in 0 to 1, predicted (1 from threshold on), clauses: start, end (characters), pattern and evidence of each match.
 
     Null and empty texts get the score of a text without a pattern. Repeated rows are scored alike. Extra columns are not read.
     """
@@ -216,10 +267,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
         grammar = Grammar(model)
         for b in batches:
             found = [grammar.matches(t) for t in b.column("_text").to_pylist()]
-            clauses = pa.array([[{"start": s, "end": e, "pattern": p} for s, e, p in f] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())])))
+            clauses = pa.array([[{"start": s, "end": e, "pattern": p, "evidence": x} for s, e, p, x in f] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("evidence", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([grammar.score(f) for f in found], pa.float64()), clauses], ["_id", "score", "clauses"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, score double, clauses array<struct<start:long,end:long,pattern:string>>")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, score double, clauses array<struct<start:long,end:long,pattern:string,evidence:double>>")
     return rows.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "clauses")
 
 

@@ -290,7 +290,7 @@ def test_composed_machine_marks_scope_and_targets():
     assert [run(x) for x in ("I", "TOI", "NI", "NOOOOI", "RTI", "V", "VT", "OO", "NTI", "RNI")] == ["insult", "targeted insult", "negated insult", "insult", "reported insult", "threat", "targeted threat", "none", "negated insult", "negated insult"]
 
 
-def labelled(spark, n=120):
+def labelled(spark, n=400):
     rng = random.Random(19)
     rows, labels = [], []
     for i in range(n):
