@@ -44,12 +44,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestream/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """Writes df as a compressed table in the shared folder and reads it again, which cuts its lineage there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 
