@@ -1,16 +1,15 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling, and the scores it gives to texts.
 
-The restaurant of a word is named by the last two frequent words before it; its parent by the last one alone; all share the root, whose base measure is uniform over the
-known words and one unknown. Frequent words are those with a share of 1 / MAX_FREQUENT or more, so there are at most MAX_FREQUENT of them,
-at most (MAX_FREQUENT + 1) ** 2 restaurants, and their totals may be sent to every task. The dishes, the words, are without
-bound: they are dealt out by hash, with all their customers in all restaurants. Given the restaurants' totals, the seatings of different words are
-independent, so a task samples its own words' tables, and only totals are summed up between rounds. Frequent words' occurrences stay where they were read.
+The restaurant of a word is named by the last two words before it; its parent by the last one alone; all share the root, whose base measure is uniform over the
+known words and one unknown. Neither the words nor the restaurants have a bound. Customers are rows by restaurant and dish, and the totals of restaurants are
+tables too, joined by the restaurant's key; the driver holds no more than sums and a histogram. Given all totals of the last sweep, a row is seated
+without the others (the usual approximation of distributed Gibbs samplers). A customer that is alone with its dish has one table in every
+sample, so sweeps go over the other rows only. Words and pairs of words are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import io
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -18,13 +17,12 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import drop_path, small_batches, written
 
-MAX_FREQUENT, BLOCK_TOKENS, PART_TOKENS, LEAST_PARTS, COMPACT = 200, 1 << 19, 3 << 20, 48, 1 << 20
+BLOCK_TOKENS = 1 << 17
 #: Up to so many customers of a dish are seated one by one in explicit tables; beyond, only the number of tables is drawn, in growing steps.
 EXPLICIT = 12
 FIRST_SWEEPS, BURN_IN, SAMPLES = 2, 1, 2
@@ -37,19 +35,9 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def _packed(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
-
-
-def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))))
-
-
 @dataclass
 class Totals:
-    """Customers and tables of the restaurants (two frequent words, one, root), the number of words, and each level's discount."""
+    """Customers and tables of the restaurants (two words, one, root), the number of words, and each level's discount."""
 
     c2: np.ndarray
     t2: np.ndarray
@@ -89,21 +77,76 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - less
 
 
-def strength_of(c: np.ndarray, t: np.ndarray, d: float) -> float:
-    """A level's strength from its restaurants' customers and tables: the mean of the sampler with one auxiliary Beta and t - 1 auxiliary Bernoulli variables a restaurant, until it settles. Prior: Gamma(1, 1)."""
+def strength_of(c: np.ndarray, t: np.ndarray, d: float, n: np.ndarray | None = None) -> float:
+    """A level's strength from its restaurants' customers and tables (n restaurants have each pair): the mean of the sampler with one auxiliary Beta and t - 1 auxiliary Bernoulli variables a restaurant, until it settles. Prior: Gamma(1, 1)."""
+    n = (np.ones(len(c)) if n is None else n)[c > 1]
     c, t = c[c > 1].astype(float), t[c > 1].astype(float)
     s = STRENGTH
     for _ in range(60):
-        opened = (s / d * (digamma(s / d + t) - digamma(s / d + 1.0))).sum()
-        s = float(np.clip((1 + opened) / (1 - (digamma(s + 1.0) - digamma(s + c)).sum()), 0.01, 1e6))
+        opened = (s / d * (digamma(s / d + t) - digamma(s / d + 1.0)) * n).sum()
+        s = float(np.clip((1 + opened) / (1 - ((digamma(s + 1.0) - digamma(s + c)) * n).sum()), 0.01, 1e6))
     return s
 
 
-def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def golden(k: int) -> np.uint64:
+    return np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finisher of splitmix64 on unsigned numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Drawn:
+    """Random numbers of rows by their keys and the turn, so that neither the order of rows nor their tasks change a sample."""
+
+    def __init__(self, keys: np.ndarray, seed: int):
+        self.keys = mixed(keys + golden(seed))
+
+    def random(self, rows: np.ndarray, turn: int) -> np.ndarray:
+        return (mixed(self.keys[rows] + golden(turn + 1)) >> np.uint64(11)) * 2.0**-53
+
+    def binomial(self, rows: np.ndarray, turn: int, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """By inversion; by the normal distribution where the variance is 25 or more."""
+        u, q = self.random(rows, turn), np.minimum(p, 1 - p)
+        mean, var = size * q, size * q * (1 - q)
+        z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * self.random(rows, turn + (1 << 40)))
+        out = np.clip(np.rint(mean + np.sqrt(var) * z), 0, size)
+        few = np.flatnonzero(var < 25)
+        n, r, left = size[few].astype(float), q[few] / (1 - q[few]), u[few]
+        mass, k = (1 - q[few]) ** n, np.zeros(len(few))
+        while True:
+            on = (left >= mass) & (k < n)
+            if not on.any():
+                break
+            left = np.where(on, left - mass, left)
+            mass = np.where(on, mass * (n - k) / (k + 1) * r, mass)
+            k += on
+        out[few] = k
+        return np.where(p > 0.5, size - out, out)
+
+
+class Plain:
+    """The same from a generator."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng = rng
+
+    def random(self, rows: np.ndarray, turn: int) -> np.ndarray:
+        return self.rng.random(len(rows))
+
+    def binomial(self, rows: np.ndarray, turn: int, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return self.rng.binomial(size, p)
+
+
+def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator | Drawn) -> np.ndarray:
     """Tables of c customers of a dish each, where a new table weighs `fresh` and a table of n customers n - d.
 
     Up to EXPLICIT customers: all take their seats in turn, then each gets up once and sits down again given the others (Gibbs).
     """
+    rng = rng if isinstance(rng, Drawn) else Plain(rng)
     tables = np.minimum(c, 1).astype(np.float64)
     for n in range(2, EXPLICIT + 1):
         who = np.flatnonzero(c == n)
@@ -116,7 +159,7 @@ def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -
                 weight = np.where(sizes > 0, sizes - d, 0)
                 weight[rows, np.argmin(sizes, axis=1)] = fresh[part]
                 cum = np.cumsum(weight, axis=1)
-                at[j] = (cum < rng.random(len(part))[:, None] * cum[:, -1:]).sum(axis=1).clip(0, n - 1)
+                at[j] = (cum < rng.random(part, turn)[:, None] * cum[:, -1:]).sum(axis=1).clip(0, n - 1)
                 sizes[rows, at[j]] += 1
             tables[part] = (sizes > 0).sum(axis=1)
     many = np.flatnonzero(c > EXPLICIT)
@@ -130,14 +173,14 @@ def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator) -
             step = max(1, i // 16)
             size = np.minimum(step, left[:live] - i).astype(np.int64)
             p = np.clip(a[:live] / (a[:live] + np.maximum(i - d * t[:live], 1e-9)), 0, 1)
-            t[:live] += rng.binomial(size, p) if step > 1 else rng.random(live) < p
+            t[:live] += rng.binomial(many[:live], i, size, p) if step > 1 else rng.random(many[:live], i) < p
             i += step
         tables[many] = t
     return tables
 
 
 class Seating:
-    """Some words' customers in all restaurants, sampled given the totals. w: word numbers from 0 to n - 1; w and ctx name each pair of a word and a restaurant once."""
+    """Some words' customers in all restaurants, sampled given the totals, in one process; tests hold the formulas against it. w: word numbers from 0 to n - 1; w and ctx name each pair of a word and a restaurant once."""
 
     def __init__(self, w: np.ndarray, ctx: np.ndarray, c: np.ndarray, n: int, size: int, totals: Totals, seed: int):
         self.w, self.ctx, self.c, self.n, self.size, self.totals, self.rng = w, ctx, c.astype(np.int64), n, size, totals, np.random.default_rng(seed)
@@ -190,176 +233,189 @@ class Seating:
         return g.leaf(pick(self.c, i, ok), pick(self.t, i, ok), ctx, p1)
 
 
-def frequent_words(learning: DataFrame, most: int) -> tuple[list[bytes], int]:
-    """Words with a share of 1 / most or more, hence at most so many, and the number of tokens. learning(text)."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(_r, _learn, pair, last, word): a row for each word, with the restaurant (the last two words), its parent (the last one) and the word. texts(_r, _text, _learn)."""
+    names = ["_r", "_learn", "pair", "last", "word"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = Counter(), 0
-
-        def told() -> pa.RecordBatch:
-            # a word with such a share of all has it in some block
-            some = [(w, k) for w, k in seen.items() if k * most >= n]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some] + [None], pa.binary()), pa.array([k for _, k in some] + [n], pa.int64())], ["word", "n"])
+    def block(rows: list[int], learn: list[bool], words: list[list[bytes]]) -> pa.RecordBatch:
+        vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+        length = np.array([len(x) for x in words])
+        v = np.fromiter((vocabulary[t] for x in words for t in x), np.int64, length.sum())
+        w = np.array([xxhash.xxh64_intdigest(t) for t in vocabulary], np.uint64)[v]
+        at = np.arange(len(v)) - np.repeat(np.cumsum(length) - length, length)
+        # 0 stands before a text's first word
+        u1 = np.where(at > 0, np.roll(w, 1), np.uint64(0))
+        u2 = np.where(at > 1, np.roll(w, 2), np.uint64(0))
+        pair = mixed(mixed(u2 + np.uint64(1)) + u1)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), length)), pa.array(np.repeat(np.array(learn), length)), *(pa.array(x.view(np.int64)) for x in (pair, u1, w))], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, learn, words, n = [], [], [], 0
         for b in batches:
-            for text in b.column(0):
-                words = words_of(text.as_py())
-                seen.update(words)
-                n += len(words)
+            for r, text, yes in zip(b.column("_r").to_pylist(), b.column("_text"), b.column("_learn").to_pylist(), strict=True):
+                x = words_of(text.as_py())
+                rows.append(r), learn.append(yes), words.append(x)
+                n += len(x)
                 if n >= BLOCK_TOKENS:
-                    yield told()
-                    seen, n = Counter(), 0
-        if n:
-            yield told()
+                    yield block(rows, learn, words)
+                    rows, learn, words, n = [], [], [], 0
+        if rows:
+            yield block(rows, learn, words)
 
-    counts = learning.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.filter("word is null").first()
-    total = total["n"] if total else 0
-    found = counts.filter(F.col("word").isNotNull() & (F.col("n") * most >= total)).collect()
-    return sorted(bytes(r["word"]) for r in found), total
+    return texts.select("_r", "_text", "_learn").mapInArrow(run, "_r long, _learn boolean, pair long, last long, word long")
 
 
-def occurrences(docs: DataFrame, kind: str, hot: list[bytes], parts: int) -> DataFrame:
-    """Blocks of documents as packed arrays. kind w: a part's words with (restaurant, document, count); h: the same of frequent words; c: customers of frequent words and of
-    all, by restaurant; d: the documents. docs(_id, _text, _learn)."""
-    size, number = len(hot) + 1, {w: i for i, w in enumerate(hot)}
-
-    def block_rows(ids: list, words: list[list[bytes]], learn: list[bool]) -> Iterator[tuple]:
-        name = xxhash.xxh3_64_intdigest(repr((ids[0], ids[-1], len(ids), words[0][:20])).encode()) >> 1
-        vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-        length = np.array([len(x) for x in words])
-        v = np.fromiter((vocabulary[t] for x in words for t in x), np.int64, length.sum())
-        doc = np.repeat(np.arange(len(words)), length)
-        first = np.repeat(np.cumsum(length) - length, length)
-        listed = list(vocabulary)
-        hot_of = np.array([number.get(w, -1) for w in listed])
-        is_context = (hot_of >= 0) & np.array([w != END for w in listed])
-        spot = np.arange(len(v))
-        # the last place before each token with a frequent word, if it is in the same document
-        last = np.concatenate([[-1], np.maximum.accumulate(np.where(is_context[v], spot, -1))[:-1]])
-        u1 = np.where(last >= first, hot_of[v[last]], size - 1)
-        before = last[np.maximum(last, 0)]
-        u2 = np.where((last >= first) & (before >= first), hot_of[v[np.maximum(before, 0)]], size - 1)
-        ctx = u2 * size + u1
-        flagged = doc | (np.array(learn)[doc].astype(np.int64) << 23)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in listed], np.uint64)
-        part = (hashes % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((hashes, part, hot_of >= 0))  # frequent words last
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        keys, n = np.unique(rank[v] << 40 | ctx << 24 | flagged, return_counts=True)
-        word = keys >> 40
-        cold = int((hot_of < 0).sum())
-        split = np.searchsorted(part[order[:cold]], np.arange(parts + 1))
-        edge = np.searchsorted(word, split)
-        for p in range(parts):
-            a, z = edge[p], edge[p + 1]
-            if a < z:
-                w = word[a:z]
-                yield "w", p, name, _packed(words=hashes[order[split[p] : split[p + 1]]], per=np.bincount(w - split[p], minlength=split[p + 1] - split[p]).astype(np.uint32), ctx=(keys[a:z] >> 24 & 0xFFFF).astype(np.uint16), doc=(keys[a:z] & 0xFFFFFF).astype(np.uint32), n=n[a:z].astype(np.uint32), docs=np.array([len(words)])), None
-        k = keys[edge[parts] :]
-        yield "h", name % parts, name, _packed(hot=hot_of[order[k >> 40]].astype(np.uint16), ctx=(k >> 24 & 0xFFFF).astype(np.uint16), doc=(k & 0xFFFFFF).astype(np.uint32), n=n[edge[parts] :].astype(np.uint32), docs=np.array([len(words)])), None
-        taught = np.array(learn)[doc]
-        both = np.where(hot_of[v] >= 0, hot_of[v], size) * size**2 + ctx
-        pairs, m = np.unique(both[taught], return_counts=True)
-        yield "c", name % parts, name, _packed(pair=pairs, n=m), None
-        yield "d", name % parts, name, _packed(tokens=length, learn=np.array(learn)), ids
+def seated(rows: DataFrame, keys: list[str], c: str, t: str, d: float, seed: int) -> DataFrame:
+    """rows with the tables t of their c customers, where a new table weighs `_fresh`, a column that goes."""
+    kept = [f for f in rows.schema if f.name not in (t, "_fresh")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words, learn, n = [], [], [], 0
-        schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("block", pa.int64()), ("blob", pa.binary()), ("ids", pa.list_(id_type[0]))])
+        for b in batches:
+            name = np.zeros(b.num_rows, np.uint64)
+            for k in keys:
+                name = mixed(name + b.column(k).to_numpy(zero_copy_only=False).view(np.uint64))
+            tables = seat(b.column(c).to_numpy(zero_copy_only=False), b.column("_fresh").to_numpy(zero_copy_only=False), d, Drawn(name, seed))
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(tables.astype(np.int64))], [*(f.name for f in kept), t])
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for k, p, name, blob, own in block_rows(ids, words, learn):
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((k, p, name, blob, own), schema, strict=True)], schema=schema)
+    return rows.select(*[f.name for f in kept], "_fresh").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{t} long"]))
 
-        for b in batches:
-            for i, text, yes in zip(b.column("_id").to_pylist(), b.column("_text"), b.column("_learn").to_pylist(), strict=True):
-                w = words_of(text.as_py())
-                ids.append(i), words.append(w), learn.append(bool(yes))
-                n += len(w)
-                if n >= BLOCK_TOKENS:
-                    yield from rows()
-                    ids, words, learn, n = [], [], [], 0
-        if ids:
-            yield from rows()
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = [to_arrow_type(docs.schema["_id"].dataType)]
-    return docs.mapInArrow(run, f"kind string, part int, block long, blob binary, ids array<{kind}>")
-
-
-class Part:
-    """A part's words: their customers in all restaurants, summed up block by block. The blocks stay packed, and are opened one at a time."""
-
-    def __init__(self, rows: list[tuple[int, bytes]], size: int):
-        self.rows, self.size = rows, size
-        names: list[np.ndarray] = []
-        for _, blob in rows:
-            names.append(_unpacked(blob)["words"])
-            if sum(map(len, names)) > COMPACT:
-                names = [np.unique(np.concatenate(names))]
-        self.names = np.unique(np.concatenate(names))
-        keys, taught, held = [], [], 0
-        for _, blob in rows:
-            x = _unpacked(blob)
-            k, of = np.unique(self.key(x), return_inverse=True)
-            keys.append(k)
-            taught.append(np.bincount(of, x["n"] * (x["doc"] >> 23 > 0), len(k)).astype(np.int64))
-            held += len(k)
-            if held > COMPACT:
-                keys, taught = ([z] for z in self.merged(keys, taught))
-                held = 0
-        self.keys, taught = self.merged(keys, taught)
-        seen = taught > 0
-        w, ctx = self.keys // size**2, self.keys % size**2
-        self.count = np.bincount(w, taught, len(self.names)).astype(np.int64)
-        number = np.where(self.count > 0, np.cumsum(self.count > 0) - 1, -1)
-        self.train = (number[w[seen]], ctx[seen], taught[seen], int((self.count > 0).sum()))
-        self.all = (number[w], ctx)
-
-    def key(self, x: dict[str, np.ndarray]) -> np.ndarray:
-        return np.repeat(np.searchsorted(self.names, x["words"]), x["per"]) * self.size**2 + x["ctx"]
-
-    @staticmethod
-    def merged(keys: list[np.ndarray], taught: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, of = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(of, np.concatenate(taught), len(k)).astype(np.int64)
-
-    def blocks(self, probability: np.ndarray) -> Iterator[tuple]:
-        """(block, number of documents, document, count, probability, customers of the word) of each block's occurrences."""
-        for name, blob in self.rows:
-            x = _unpacked(blob)
-            k = self.key(x)
-            yield name, int(x["docs"][0]), (x["doc"] & 0x7FFFFF).astype(np.int64), x["n"].astype(np.int64), probability[np.searchsorted(self.keys, k)], self.count[k // self.size**2]
-
-
-def by_part(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """Rows sorted by part, a part at a time, its blocks in order of their names."""
-    now, held, done = None, [], set()
-    for b in rows:
-        for p, name, blob in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), b.column("blob"), strict=True):
-            if p != now and held:
-                yield now, held
-                held = []
-                done.add(now)
-            if p in done:
-                raise ValueError(f"part {p} comes in pieces")
-            now = p
-            held.append((name, blob.as_py()))
-    if held:
-        yield now, held
-
-
-def summed(counts: DataFrame) -> dict[str, dict[int, float]]:
-    out: dict[str, dict[int, float]] = defaultdict(dict)
-    for r in counts.groupBy("name", "i").agg(F.sum("x").alias("x")).collect():
-        out[r["name"]][r["i"]] = r["x"]
-    return out
-
-
-def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", max_frequent: int = MAX_FREQUENT, seed: int = 17) -> DataFrame:
+
+def guessed(c: str) -> Column:
+    """Tables to start from."""
+    return F.greatest(F.lit(1), F.floor(F.pow(F.col(c), 0.7))).cast("long")
+
+
+@dataclass
+class State:
+    """A sweep's tables. leaves(pair, last, word, c, t): of two customers or more. middles(last, word, alone, c1, t1): those that may have two or more. words(word, n, c0, t0)."""
+
+    leaves: DataFrame
+    middles: DataFrame
+    words: DataFrame
+    paths: list[str]
+
+
+class Model:
+    """The restaurants of the words that occurrences() gives, its state and sweeps."""
+
+    def __init__(self, taught: DataFrame, seed: int):
+        self.seed, self.discount, self.strength, self.sweeps = seed, (DISCOUNT,) * 3, (STRENGTH,) * 3, 0
+        self.all, _ = written(taught.groupBy("pair", "last", "word").agg(F.count(F.lit(1)).alias("c")), "leaves")
+        n = F.col("c")
+        self.pairs, _ = written(self.all.groupBy("pair").agg(F.sum("c").alias("c2"), F.count_if(n == 1).alias("alone")), "pairs")
+        self.twos, _ = written(self.all.groupBy("last", "word").agg(F.count_if(n == 1).alias("alone"), F.count_if(n > 1).alias("others")), "twos")
+        self.vocabulary, _ = written(self.all.groupBy("word").agg(F.sum("c").alias("n")), "words")
+        lone = self.lone = (F.col("alone") == 1) & (F.col("others") == 0)
+        self.lone_last, _ = written(self.twos.filter(lone).groupBy("last").agg(F.count(F.lit(1)).alias("lone")), "lone-last")
+        self.lone_word, _ = written(self.twos.filter(lone).groupBy("word").agg(F.count(F.lit(1)).alias("lone")), "lone-word")
+        size = self.vocabulary.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        self.n_words, self.n_tokens = size["words"], size["n"]
+        self.state = self.kept(self.all.filter("c > 1").withColumn("t", guessed("c")), lambda m: m.withColumn("t1", guessed("c1")), lambda w: w.withColumn("t0", F.least("c0", F.lit(1)).cast("long")))
+
+    def kept(self, leaves: DataFrame, middle, root) -> State:
+        """Writes a state: leaves, then middles with the customers that leaves' tables send, then words likewise."""
+        leaves, a = written(leaves.select("pair", "last", "word", "c", "t"), "seats")
+        sent = leaves.groupBy("last", "word").agg(F.sum("t").alias("sent"))
+        m = self.twos.filter(~self.lone).join(sent, ["last", "word"], "left").select("last", "word", "alone", (F.col("alone") + F.coalesce("sent", F.lit(0))).alias("c1"))
+        middles, b = written(middle(m), "middles")
+        up = middles.groupBy("word").agg(F.sum("t1").alias("sent"))
+        w = self.vocabulary.join(up, "word", "left").join(self.lone_word, "word", "left").select("word", "n", (F.coalesce("sent", F.lit(0)) + F.coalesce("lone", F.lit(0))).alias("c0"))
+        words, c = written(root(w), "roots")
+        return State(leaves, middles, words, [a, b, c])
+
+    def root_totals(self, state: State) -> tuple[int, int]:
+        r = state.words.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("c"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t")).first()
+        return r["c"], r["t"]
+
+    def of_pairs(self, state: State) -> DataFrame:
+        """(pair, c2, t2): every restaurant's totals."""
+        t = state.leaves.groupBy("pair").agg(F.sum("t").alias("t"))
+        return self.pairs.join(t, "pair", "left").select("pair", "c2", (F.col("alone") + F.coalesce("t", F.lit(0))).alias("t2"))
+
+    def of_last(self, state: State) -> DataFrame:
+        """(last, cu, tu): every parent's totals."""
+        m = state.middles.groupBy("last").agg(F.sum("c1").alias("c"), F.sum("t1").alias("t"))
+        lone = F.coalesce("lone", F.lit(0))
+        return m.join(self.lone_last, "last", "full").select("last", (F.coalesce("c", F.lit(0)) + lone).alias("cu"), (F.coalesce("t", F.lit(0)) + lone).alias("tu"))
+
+    def p0(self, c: Column, t: Column, totals: tuple[int, int]) -> Column:
+        d, s = self.discount[0], self.strength[0]
+        return (c - d * t + (s + d * totals[1]) / (self.n_words + 1)) / (s + totals[0])
+
+    def p1(self, c: Column, t: Column, cu: Column, tu: Column, p0: Column) -> Column:
+        d, s = self.discount[1], self.strength[1]
+        return (c - d * t + (s + d * tu) * p0) / (s + cu)
+
+    def p2(self, c: Column, t: Column, c2: Column, t2: Column, p1: Column) -> Column:
+        d, s = self.discount[2], self.strength[2]
+        return (c - d * t + (s + d * t2) * p1) / (s + c2)
+
+    def sweep(self) -> State:
+        """All rows seated anew, given the totals of the state before."""
+        self.sweeps += 1
+        (d0, d1, d2), (s0, s1, s2), before, c, seed = self.discount, self.strength, self.state, F.col, self.seed * 1009 + self.sweeps * 3
+        totals = self.root_totals(before)
+        words = before.words.select("word", self.p0(c("c0"), c("t0"), totals).alias("p0"))
+        last = self.of_last(before)
+        m = before.middles.join(last, "last").join(words, "word")
+        up = m.select("last", "word", self.p1(c("c1"), c("t1"), c("cu"), c("tu"), c("p0")).alias("p1"))
+        rows = before.leaves.join(self.of_pairs(before), "pair").join(up, ["last", "word"])
+        leaves = seated(rows.select("pair", "last", "word", "c", ((s2 + d2 * c("t2")) * c("p1")).alias("_fresh")), ["pair", "word"], "c", "t", d2, seed)
+
+        def middle(m: DataFrame) -> DataFrame:
+            m = m.join(last, "last").join(words, "word")
+            return seated(m.select("last", "word", "alone", "c1", ((s1 + d1 * c("tu")) * c("p0")).alias("_fresh")), ["last", "word"], "c1", "t1", d1, seed + 1)
+
+        def root(w: DataFrame) -> DataFrame:
+            fresh = (s0 + d0 * totals[1]) / (self.n_words + 1)
+            return seated(w.withColumn("_fresh", F.lit(fresh)), ["word"], "c0", "t0", d0, seed + 2)
+
+        self.state = self.kept(leaves, middle, root)
+        return before
+
+    def estimate(self) -> None:
+        """Discounts from the dishes with one and two customers, then strengths from a histogram of the restaurants' totals, in which numbers over 1,000 count by three digits."""
+        s, lone = self.state, self.twos.filter(self.lone).count()
+        of = lambda df, col: df.agg(F.count_if(F.col(col) == 1).alias("a"), F.count_if(F.col(col) == 2).alias("b")).first()
+        seen = [of(s.words, "c0"), of(s.middles, "c1"), of(self.all, "c")]
+        once = [(r["a"] + more, r["b"]) for r, more in zip(seen, (0, lone, 0), strict=True)]
+        self.discount = tuple(float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else DISCOUNT for a, b in once)
+
+        def coarse(x: str) -> Column:
+            unit = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(x)) - 2, F.lit(0)))
+            return (F.round(F.col(x) / unit) * unit).cast("long").alias(x)
+
+        def level(frame: DataFrame, c: str, t: str, d: float) -> float:
+            rows = frame.filter(F.col(c) > 1).select(coarse(c), coarse(t)).groupBy(c, t).count().collect()
+            return strength_of(*(np.array([r[k] for r in rows], float) for k in (c, t)), d, np.array([r["count"] for r in rows], float))
+
+        c0, t0 = self.root_totals(s)
+        root = strength_of(np.array([c0]), np.array([t0]), self.discount[0])
+        self.strength = (root, level(self.of_last(s), "cu", "tu", self.discount[1]), level(self.of_pairs(s), "c2", "t2", self.discount[2]))
+
+    def scored(self, rows: DataFrame, samples: list[State]) -> DataFrame:
+        """rows(pair, last, word, ..) with `p`, the mean of the samples' probabilities, and `n`, the customers of the word (null: unknown)."""
+        c, z = F.col, lambda name: F.coalesce(F.col(name), F.lit(0))
+        k = range(len(samples))
+        join_all = lambda frames, on: frames[0] if len(frames) == 1 else frames[0].join(join_all(frames[1:], on), on)
+        many = join_all([s.leaves.select("pair", "word", *(["c"] if i == 0 else []), c("t").alias(f"t_{i}")) for i, s in enumerate(samples)], ["pair", "word"])
+        leaves = many.unionByName(self.all.filter("c = 1").select("pair", "word", "c", *[F.lit(1).cast("long").alias(f"t_{i}") for i in k]))
+        pairs = join_all([self.of_pairs(s).select("pair", *(["c2"] if i == 0 else []), c("t2").alias(f"t2_{i}")) for i, s in enumerate(samples)], ["pair"])
+        twos = join_all([s.middles.select("last", "word", c("c1").alias(f"c1_{i}"), c("t1").alias(f"t1_{i}")) for i, s in enumerate(samples)], ["last", "word"])
+        one = F.lit(1).cast("long")
+        twos = twos.unionByName(self.twos.filter(self.lone).select("last", "word", *[one.alias(f"{x}_{i}") for i in k for x in ("c1", "t1")]))
+        last = join_all([self.of_last(s).select("last", c("cu").alias(f"cu_{i}"), c("tu").alias(f"tu_{i}")) for i, s in enumerate(samples)], ["last"])
+        words = join_all([s.words.select("word", *(["n"] if i == 0 else []), c("c0").alias(f"c0_{i}"), c("t0").alias(f"t0_{i}")) for i, s in enumerate(samples)], ["word"])
+        out = rows.join(pairs, "pair", "left").join(leaves, ["pair", "word"], "left").join(twos, ["last", "word"], "left").join(last, "last", "left").join(words, "word", "left")
+        p = F.lit(0.0)
+        for i, s in enumerate(samples):
+            p0 = self.p0(z(f"c0_{i}"), z(f"t0_{i}"), self.root_totals(s))
+            p1 = self.p1(z(f"c1_{i}"), z(f"t1_{i}"), z(f"cu_{i}"), z(f"tu_{i}"), p0)
+            p = p + self.p2(z("c"), z(f"t_{i}"), z("c2"), z(f"t2_{i}"), p1) / len(samples)
+        return out.select(*rows.columns, p.alias("p"), "n")
+
+
+def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """Scores every row by a model of the rows for which learn holds.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both log10 probabilities of the whole text with its end, and
@@ -368,132 +424,27 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
-    hot, train_tokens = frequent_words(rows.filter("_learn").select("_text"), max_frequent)
-    size = len(hot) + 1
-    parts = max(LEAST_PARTS, -(-train_tokens // PART_TOKENS))
-    kind = docs.schema[id_col].dataType.simpleString()
-    # dealt out once: each part is whole in one file, a file is one row group, and so one task reads it, in order
-    dealt = occurrences(rows, kind, hot, parts).repartition(parts, "part").sortWithinPartitions("part", "kind", "block")
-    table, _ = written(dealt, "occurrences", **{"parquet.block.size": str(1 << 30)})
-
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column("blob"):
-                x = _unpacked(blob.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x["pair"], pa.int64()), pa.array(x["n"], pa.int64())], ["pair", "n"])
-
-    # at most MAX_FREQUENT + 1 rows for each of the bounded restaurants
-    pairs = table.filter("kind = 'c'").mapInArrow(flat, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    pair, n = np.array([r["pair"] for r in pairs], np.int64), np.array([r["n"] for r in pairs], np.int64)
-    c2 = np.bincount(pair % size**2, n, size**2) if len(pair) else np.zeros(size**2)
-    is_hot = pair // size**2 < len(hot)
-    order = np.argsort(pair[is_hot])
-    hot_pairs, hot_n = pair[is_hot][order], n[is_hot][order]
-    hot_count = np.bincount(hot_pairs // size**2, hot_n, len(hot)).astype(np.int64) if len(hot) else np.zeros(0, np.int64)
-
-    def hot_seating(totals: Totals) -> Seating:
-        return Seating(hot_pairs // size**2, hot_pairs % size**2, hot_n, len(hot), size, totals, seed)
-
-    ordered = lambda kinds: table.filter(F.col("kind").isin(*kinds)).select("kind", "part", "block", "blob")
-
-    def seated(p: int, held: list, totals: Totals) -> tuple[Part, Seating]:
-        part = Part(held, size)
-        return part, Seating(*part.train, size, totals, seed * 1_000_003 + p)
-
-    def told(counts: dict[str, np.ndarray], sample: int) -> Iterator[pa.RecordBatch]:
-        for name, x in counts.items():
-            i = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}:{sample}"] * len(i), pa.string()), pa.array(i, pa.int64()), pa.array(x[i], pa.float64())], ["name", "i", "x"])
-
-    def warm_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, held in by_part(batches):
-            _, s = seated(p, held, guess)
-            for _ in range(FIRST_SWEEPS):
-                s.sweep()
-            yield from told({**s.counts(), "part": np.bincount([p], minlength=parts).astype(float)}, 0)
-
-    def totals_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, held in by_part(batches):
-            _, s = seated(p, held, totals)
-            for k in s.samples():
-                yield from told(s.counts(), k)
-
-    def gathered(found: dict[str, dict[int, float]], own: dict[str, np.ndarray], sample: int) -> dict[str, np.ndarray]:
-        return {k: np.array([found[f"{k}:{sample}"].get(i, 0.0) for i in range(len(x))]) + x for k, x in own.items()}
-
-    guess = Totals.guess(c2, size)
-    found = summed(ordered("w").mapInArrow(warm_round, "name string, i long, x double"))
-    if any(x != 1 for x in found["part:0"].values()):
-        raise RuntimeError("a part was read by several tasks")
-    s = hot_seating(guess)
+    rows = docs.select(F.monotonically_increasing_id().alias("_r"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
+    texts, _ = written(rows, "texts")  # rows keep their numbers
+    model = Model(occurrences(texts.filter("_learn")), seed)
+
+    def forget(state: State) -> None:
+        for path in state.paths:
+            drop_path(spark, path)
+
     for _ in range(FIRST_SWEEPS):
-        s.sweep()
-    full = gathered(found, s.counts(), 0)
-    discount = tuple(float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if (a := full[k][0]) + (b := full[k][1]) else DISCOUNT for k in ("n0", "n1", "n2"))
-    levels = ((full["root"][:1], full["root"][1:2]), (full["c1"], full["t1"]), (c2, full["t2"]))
-    strength = tuple(strength_of(c, t, d) for (c, t), d in zip(levels, discount, strict=True))
-    totals = Totals(c2, full["t2"], full["c1"], full["t1"], *full["root"], discount, strength)
-    words = int(full["root"][2])
-
-    # the totals of each sample, so that a restaurant's probabilities sum to 1; the last round seats the very same samples again
-    found = summed(ordered("w").mapInArrow(totals_round, "name string, i long, x double"))
-    of_sample, hot_p, every = [], np.zeros((len(hot), size**2)), np.arange(size**2)
-    s = hot_seating(totals)
-    for k in s.samples():
-        full = gathered(found, s.counts(), k)
-        of_sample.append(Totals(c2, full["t2"], full["c1"], full["t1"], *full["root"], discount, strength))
-        for w in range(len(hot)):
-            hot_p[w] += s.probability(np.full(size**2, w), every, of_sample[k]) / SAMPLES
-    sums_type = "block long, score binary, base binary, known binary"
-
-    def final_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def partial(block: int, docs: int, doc: np.ndarray, n: np.ndarray, p: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            out = [np.bincount(doc, x, docs) for x in (n * np.log10(p), n * np.log10(c + 1.0), n * (c > 0))]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(out, ("<f8", "<f8", "<u4"), strict=True))], ["block", "score", "base", "known"])
-
-        def cold() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                is_word = np.array([k == "w" for k in b.column("kind").to_pylist()])
-                for i in np.flatnonzero(~is_word):
-                    x = _unpacked(b.column("blob")[int(i)].as_py())
-                    w, ctx = x["hot"].astype(np.int64), x["ctx"].astype(np.int64)
-                    pending.append(partial(b.column("block")[int(i)].as_py(), int(x["docs"][0]), (x["doc"] & 0x7FFFFF).astype(np.int64), x["n"], hot_p[w, ctx] if len(w) else np.zeros(0), hot_count[w] if len(w) else np.zeros(0)))
-                yield b.filter(pa.array(is_word))
-
-        pending: list[pa.RecordBatch] = []
-        for p, held in by_part(cold()):
-            yield from pending
-            pending.clear()
-            part, s = seated(p, held, totals)
-            average = np.zeros(len(part.keys))
-            for k in s.samples():
-                average += s.probability(*part.all, of_sample[k]) / SAMPLES
-            for row in part.blocks(average):
-                yield partial(*row)
-        yield from pending
-
-    sums = ordered(("w", "h")).mapInArrow(final_round, sums_type)
-
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums up a block's parts, then names its documents; rows sorted by block, the documents' row last."""
-        held: dict[str, np.ndarray] = {}
-        for b in batches:
-            for r, own in zip(b.select(["kind", "blob", "score", "base", "known"]).to_pylist(), b.column("ids"), strict=True):
-                if r["kind"] == "s":
-                    for name, t in (("score", "<f8"), ("base", "<f8"), ("known", "<u4")):
-                        x = np.frombuffer(r[name], t).astype(np.float64)
-                        held[name] = held[name] + x if name in held else x
-                    continue
-                d = _unpacked(r["blob"])
-                tokens = d["tokens"].astype(np.int64)
-                base = held["base"] - tokens * np.log10(train_tokens + words + 1)
-                yield pa.RecordBatch.from_arrays([own.values, pa.array(~d["learn"]), pa.array(tokens), pa.array(held["known"].astype(np.int64)), pa.array(base), pa.array(held["score"])], ["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-                held = {}
-
-    nothing = F.lit(None)
-    left = sums.select("block", F.lit("s").alias("kind"), nothing.cast("binary").alias("blob"), nothing.cast(f"array<{kind}>").alias("ids"), "score", "base", "known", F.lit(0).alias("at"))
-    right = table.filter("kind = 'd'").select("block", "kind", "blob", "ids", *[nothing.cast("binary").alias(c) for c in ("score", "base", "known")], F.lit(1).alias("at"))
-    together = left.unionByName(right).repartition("block").sortWithinPartitions("block", "at", "score")
-    out = together.drop("at", "block").mapInArrow(closed, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+        forget(model.sweep())
+    model.estimate()
+    samples = []
+    for k in range(BURN_IN + SAMPLES):
+        before = model.sweep()
+        if k <= BURN_IN:
+            forget(before)
+        if k >= BURN_IN:
+            samples.append(model.state)
+    found = model.scored(occurrences(texts).drop("_learn"), samples)
+    n = F.coalesce("n", F.lit(0))
+    sums = found.groupBy("_r").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("n").alias("n_known"), F.sum(F.log10(n + 1)).alias("base"), F.sum(F.log10("p")).alias("score"))
+    out = texts.select("_r", "_id", "_learn").join(sums, "_r")
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_words + 1)))
+    return out.select(F.col("_id").alias(id_col), (~F.col("_learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

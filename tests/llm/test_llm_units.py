@@ -467,5 +467,27 @@ def test_models_of_nothing(spark):
     assert len(rows) == 2 and all(r["held_out"] and r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in rows)
 
 
+def test_rare_words_name_restaurants(spark):
+    # no word has a share of 1/200; only the word before tells the next one
+    n = 300
+    texts = [f"key{i} val{i}" for i in range(n)] * 3 + [f"key{i} val{i}" for i in range(20)] + [f"key{i} val{i + 1}" for i in range(20)]
+    r = {x["doc_id"]: x for x in pitman_yor.score_texts(docs(spark, texts), F.col("doc_id") < 3 * n).collect()}
+    assert all(r[3 * n + i]["score"] > r[3 * n + 20 + i]["score"] + 1 for i in range(20))
+
+
+def test_distributed_probabilities_sum_to_one(spark):
+    rng = random.Random(4)
+    texts = docs(spark, [prose(rng, 30) for _ in range(40)]).select(F.col("doc_id").alias("_r"), F.col("text").alias("_text"), F.lit(True).alias("_learn"))
+    seen = pitman_yor.occurrences(texts)
+    model = pitman_yor.Model(seen, 1)
+    model.sweep()
+    model.estimate()
+    model.sweep()
+    words = model.vocabulary.select("word").unionByName(spark.createDataFrame([(12345,)], "word long"))
+    places = seen.select("pair", "last").distinct().limit(7).unionByName(spark.createDataFrame([(1, 2)], "pair long, last long"))
+    sums = model.scored(places.crossJoin(words), [model.state]).groupBy("pair").agg(F.sum("p").alias("p")).collect()
+    assert len(sums) == 8 and all(abs(r["p"] - 1) < 1e-9 for r in sums)
+
+
 def test_tokenizer_file_is_a_parameter():
     assert queries.tokenizer_files()["vocabulary"] == public_tokenizers.path("byte_bpe_50k.json")
