@@ -489,5 +489,15 @@ def test_distributed_probabilities_sum_to_one(spark):
     assert len(sums) == 8 and all(abs(r["p"] - 1) < 1e-9 for r in sums)
 
 
+def test_repeated_partitions_are_scored_each_time(spark):
+    rng = random.Random(6)
+    one = docs(spark, [prose(rng, 20) for _ in range(10)])  # several partitions
+    got = pitman_yor.score_texts(one.union(one), F.col("doc_id") % 3 != 0).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add((r["n_tokens"], r["n_known"], round(r["score"], 9), round(r["base_score"], 9)))
+    assert len(got) == 20 and len(by) == 10 and all(len(x) == 1 for x in by.values()) and all(next(iter(x))[0] == 21 for x in by.values())
+
+
 def test_tokenizer_file_is_a_parameter():
     assert queries.tokenizer_files()["vocabulary"] == public_tokenizers.path("byte_bpe_50k.json")
