@@ -59,7 +59,8 @@ def probe_terms(docs: DataFrame, wins: DataFrame, *, id_col: str, text_col: str,
     if not counted:
         return spots.withColumn("tf", F.lit(0).cast("long")).limit(0)
     spots = spots.join(union_all(counted), "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
-    best = spots.groupBy("item_id", "at").agg(F.min(F.struct("tf", "term", "off")).alias("p"), F.first("words").alias("words"))
+    # an id may be null or name several items, so the words tell windows apart
+    best = spots.groupBy("item_id", "at", "words").agg(F.min(F.struct("tf", "term", "off")).alias("p"))
     return best.select("item_id", "at", "words", F.col("p.term").alias("term"), F.col("p.off").alias("off"), F.col("p.tf").alias("tf"))
 
 

@@ -175,6 +175,16 @@ def test_contamination_against_windows(spark):
     assert kept == {i for i, x in want.items() if not x[1]}
 
 
+@pytest.mark.parametrize("item_id", [5, None])
+def test_items_that_share_an_id_are_matched_apart(spark, item_id):
+    rng = random.Random(31)
+    items = [prose(rng, n) for n in (14, 12, 10, 4)]
+    bench = spark.createDataFrame([(item_id, x) for x in items], "item_id long, text string")
+    texts = ["before " + x + " after" for x in items] + [prose(rng, 30)]
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs(spark, texts), bench).collect()}
+    assert got == {0: (14, True), 1: (12, True), 2: (10, True), 3: (4, True), 4: (0, False)}
+
+
 def test_contamination_with_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate.contamination(docs(spark, ["a b"]), bench).collect()] == [(2, 0, 0)]
