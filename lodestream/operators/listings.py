@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from ..sources.sinks import stage
 
 TITLE_FAMILIES = {"engineer": ("engineer", "software engineer", "developer"), "data": ("data", "data scientist", "data engineer", "machine learning"), "lead": ("lead", "manager")}
 
@@ -91,12 +92,17 @@ def quality_penalty() -> Column:
 
 
 def duplicate_groups(jobs: DataFrame) -> DataFrame:
-    """One row per job_key: the best member's fields, the widest salary, sources and member ids. Sums begin on the map side; only a group's own ids are gathered."""
+    """One row per job_key: the best member's fields, the widest salary, the number of members and sources. Sums begin on the map side; the members' ids are rows of duplicate_members."""
     filled = sum(F.col(c).isNotNull().cast("int") for c in ("company", "location", "mode", "salary_text", "url", "description", "posted_at", "level"))
     rank = F.struct("quality", filled.alias("filled"), F.coalesce("salary_max", "salary_min", F.lit(0.0)).alias("pay"), (-F.col("job_id")).alias("first"))
     best = F.max_by(F.struct("job_id", "title", "company", "location", "mode", "level", "url", "posted_at", "quality"), rank)
-    g = jobs.groupBy("job_key").agg(best.alias("b"), F.min("salary_min").alias("salary_min"), F.max("salary_max").alias("salary_max"), F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_list("job_id")).alias("member_ids"))
-    return g.select("job_key", "b.*", "salary_min", "salary_max", "members", F.array_join("sources", ",").alias("sources"), F.array_join(F.transform("member_ids", lambda i: i.cast("string")), ",").alias("member_ids"))
+    g = jobs.groupBy("job_key").agg(best.alias("b"), F.min("salary_min").alias("salary_min"), F.max("salary_max").alias("salary_max"), F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_set("source")).alias("sources"))
+    return g.select("job_key", "b.*", "salary_min", "salary_max", "members", F.array_join("sources", ",").alias("sources"))
+
+
+def duplicate_members(jobs: DataFrame) -> DataFrame:
+    """(job_key, job_id): a row for each member of each group, so that no group gathers in a row."""
+    return jobs.select("job_key", "job_id")
 
 
 def title_pairs(groups: DataFrame, *, low: float = 0.68, high: float = 0.84) -> DataFrame:
@@ -118,27 +124,35 @@ def title_pairs(groups: DataFrame, *, low: float = 0.68, high: float = 0.84) ->
 
 
 def leader_clusters(groups: DataFrame, *, threshold: float = 0.84) -> DataFrame:
-    """(id, leader): in each bucket, in order of ord, a row joins the first leader whose title is similar enough, or leads itself.
+    """(id, leader): in each bucket, in order of ord (ties: id), a row joins the first leader whose title is similar enough, or leads itself.
 
-    Sequential inside a bucket by nature. The buckets that matter are dealt out by bucket and by no more than their distinct
-    representatives; pairs come from title_pairs, so that a row is compared with similar rows only. groups(id, ord, bucket, title_key).
+    Decided in rounds of joins, each written down: a row leads once all its earlier similar rows follow, and follows once one of them leads.
+    So no bucket gathers in a task, and there are as many rounds as the longest chain of such decisions. groups(id, ord, bucket, title_key).
     """
     pairs = title_pairs(groups.select("id", "bucket", "title_key"), low=threshold, high=threshold)
-    linked = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionByName(pairs.select(F.col("right_id").alias("a"), F.col("left_id").alias("b")))
-    ords = groups.select("id", "ord", "bucket")
-    near = linked.join(ords.select(F.col("id").alias("b"), F.col("ord").alias("b_ord")), "b").join(ords.withColumnRenamed("id", "a"), "a").filter(F.col("b_ord") < F.col("ord"))
-    rows = near.groupBy("a").agg(F.first("ord").alias("ord"), F.first("bucket").alias("bucket"), F.sort_array(F.collect_list(F.struct("b_ord", "b"))).alias("before"))
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        leader: dict = {}
-        for r in pdf.sort_values("ord").itertuples():
-            # rows without similar predecessors aren't here: they lead themselves
-            leader[r.a] = next((x["b"] for x in r.before if leader.get(x["b"], x["b"]) == x["b"]), r.a)
-        return pd.DataFrame({"id": list(leader), "leader": list(leader.values())})
-
-    kind = groups.schema["id"].dataType.simpleString()
-    led = rows.groupBy("bucket").applyInPandas(lead, f"id {kind}, leader {kind}")
-    return groups.select("id").join(led, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    of = lambda side: groups.select(F.col("id").alias(side), F.struct("ord", "id").alias(f"{side}_at"))
+    both = pairs.select(F.col("left_id").alias("x"), F.col("right_id").alias("y")).join(of("x"), "x").join(of("y"), "y")
+    later = F.col("x_at") > F.col("y_at")
+    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    edges = stage(both.select(pick("x", "y").alias("id"), pick("y", "x").alias("before"), pick("y_at", "x_at").alias("at")), "edges")
+    ids = edges.select("id").union(edges.select("before")).distinct()
+    # of the undecided rows' edges, those from undecided rows
+    open_rows, left = ids, edges
+    leaders = None
+    while True:
+        new = stage(open_rows.join(left.select("id").distinct(), "id", "left_anti"), "leaders")
+        if new.isEmpty():
+            break
+        leaders = new if leaders is None else leaders.unionByName(new)
+        follow = left.join(new.withColumnRenamed("id", "before"), "before", "left_semi").select("id").distinct()
+        follow = stage(follow, "followers")
+        open_rows = stage(open_rows.join(new.unionByName(follow), "id", "left_anti"), "undecided")
+        left = left.join(open_rows, "id", "left_semi").join(open_rows.withColumnRenamed("id", "before"), "before", "left_semi")
+        left = stage(left.select("id", "before", "at"), "edges")
+    if leaders is None:
+        return groups.select("id", F.col("id").alias("leader"))
+    first = edges.join(leaders.withColumnRenamed("id", "before"), "before", "left_semi").groupBy("id").agg(F.min_by("before", "at").alias("leader"))
+    return groups.select("id").join(first, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def location_match(request: Request) -> Column:

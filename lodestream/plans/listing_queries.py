@@ -152,6 +152,11 @@ def duplicate_groups(spark, sf_dir):
     return listings.duplicate_groups(normalized(spark, sf_dir))
 
 
+@query("duplicate_members")
+def duplicate_members(spark, sf_dir):
+    return listings.duplicate_members(normalized(spark, sf_dir))
+
+
 @query("normalized_listings")
 def normalized_listings(spark, sf_dir):
     return normalized(spark, sf_dir).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))

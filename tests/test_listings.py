@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,28 @@ def test_leaders_are_first_come(spark):
     assert {r["id"]: r["leader"] for r in got.collect()} == want
 
 
+def test_leaders_of_a_hot_bucket_gather_nowhere(spark):
+    rng = random.Random(8)
+    rows = [(i, o, f"k{i % 2}", " ".join(rng.sample("abcdefgh", rng.randrange(0, 5)))) for i, o in enumerate(rng.sample(range(150), 150))]
+    want, leaders = {}, []
+    for i, o, k, t in sorted(rows, key=lambda r: r[1]):
+        x = set(t.split())
+        want[i] = next((j for j, b, y in leaders if b == k and x and len(x & y) / len(x | y) >= 0.5), i)
+        if want[i] == i:
+            leaders.append((i, k, x))
+    got = listings.leader_clusters(spark.createDataFrame(rows, "id long, ord long, bucket string, title_key string"), threshold=0.5)
+    assert {r["id"]: r["leader"] for r in got.collect()} == want
+    assert "InPandas" not in got._jdf.queryExecution().toString() and "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_members_are_rows(spark):
+    jobs = normal(spark, *[{"title": f"Engineer {i % 2}", "company": "C Ltd", "location": "Remote"} for i in range(9)])
+    groups = {r["job_key"]: r["members"] for r in listings.duplicate_groups(jobs).collect()}
+    rows = [(r["job_key"], r["job_id"]) for r in listings.duplicate_members(jobs).collect()]
+    assert "member_ids" not in listings.duplicate_groups(jobs).columns and len(set(rows)) == 9
+    assert groups == {k: sum(x == k for x, _ in rows) for k in groups}
+
+
 def test_filter_on_salary_and_place(spark):
     jobs = normal(spark, {"title": "Engineer", "location": "austin, tx", "salary_text": "$80k - $90k"}, {"title": "Engineer", "location": "austin, tx", "salary_text": "$200k - $220k"}, {"title": "Engineer", "location": "boston, ma"}, {"title": "Cook", "location": "austin, tx"})
     r = Request(titles=("engineer",), keywords=("x",), locations=("austin tx",), salary_min=100000.0)
