@@ -191,15 +191,15 @@ def in_learning_fold(doc_id: Column, folds: int, held_out: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learns from docs that have a label: stems first, then the patterns' weights with them. Without labelled rows the priors remain.
 
-    At most max_labelled labels are used, so the list of their ids may be broadcast; copies and near copies count once.
+    At most max_labelled distinct labelled texts are used, so the list of their ids may be broadcast; equal texts of one label count once.
     """
     small_batches(docs.sparkSession)
-    chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(2))).limit(max_labelled)
-    sample = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col)
-    # one text of each family of copies and near copies, which mostly agree in the three least word hashes
-    least = F.slice(F.sort_array(F.transform(F.array_distinct(F.split(F.lower("_text"), r"\s+")), lambda w: F.xxhash64(w))), 1, 3)
-    sample = sample.groupBy(least.alias("_family")).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.max("_y").alias("_y")).drop("_family")
+    labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(labelled, id_col)
+    # texts that differ, or whose labels do, are never merged; the limit counts what is left
+    texts, _ = written(texts.groupBy("_text", "_y").agg(F.min(id_col).alias("_id")).select("_id", "_text", "_y"), "distinct-labelled")
+    chosen = texts.select("_id", "_y").orderBy(F.xxhash64("_id", F.lit(2)), "_id", "_y").limit(max_labelled)
+    sample = texts.join(F.broadcast(chosen), ["_id", "_y"], "left_semi").drop("_id")
     sample, _ = written(sample.repartition(8, F.xxhash64("_text")), "labelled")
     totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)

@@ -324,6 +324,24 @@ def test_learned_stems_score_unseen_texts(spark):
     assert kept == {i for i, y in truth.items() if not y}
 
 
+def test_only_equal_texts_are_merged(spark, monkeypatch):
+    seen = {}
+    write = toxicity.written
+
+    def watched(df, name, **options):
+        out = write(df, name, **options)
+        seen[name] = out[0]
+        return out
+
+    monkeypatch.setattr(toxicity, "written", watched)
+    shared = " ".join(f"common{i}" for i in range(400))  # holds the least word hashes
+    texts = [f"{shared} end{i} {i}" for i in range(12)] + ["same text"] * 5
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(i, 0) for i in range(12, 17)], "doc_id long, toxic int")
+    toxicity.learn(docs(spark, texts), labels, max_labelled=13)
+    rows = [(r["_text"], r["_y"]) for r in seen["labelled"].collect()]
+    assert sorted(rows) == sorted([(t, i % 2) for i, t in enumerate(texts[:12])] + [("same text", 0)])
+
+
 def test_clauses_and_odd_texts(spark):
     model = toxicity.learn(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     rows = docs(spark, ["You are an idiot. Nice day!", "He said you are an idiot", "you are not stupid", "trashcan", None, "", "All fine here"])
