@@ -46,15 +46,26 @@ def best_url(*candidates: Column) -> Column:
     return F.coalesce(*[F.when(url_kind(c) == "direct", as_text(c)) for c in candidates], *map(as_text, candidates))
 
 
+def without_dots(target: Column) -> Column:
+    """A path, with or without a query, whose segments . and .. are resolved; it begins with a slash."""
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "[?#].*$", 0)
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", up(acc)).otherwise(F.concat(acc, F.array(s))))
+    slash = F.when(path.rlike("/[.]{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), slash, rest)
+    return F.when(path.rlike("/[.]{1,2}(/|$)"), resolved).otherwise(target)
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """href resolved against base: absolute, scheme-relative, root-relative, query, fragment and relative forms; dot segments stay as they are."""
+    """href resolved against base: absolute, scheme-relative, root-relative, query, fragment and relative forms. Dot segments of a path are resolved, those above the root dropped."""
     scheme, host, path = part(base, "PROTOCOL"), part(base, "AUTHORITY"), F.coalesce(part(base, "PATH"), F.lit(""))
     root, h = F.concat(scheme, F.lit("://"), host), F.trim(href)
     query = F.coalesce(F.concat(F.lit("?"), part(base, "QUERY")), F.lit(""))
     folder = F.regexp_replace(F.coalesce(F.nullif(path, F.lit("")), F.lit("/")), "[^/]*$", "")
     return (
-        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, h))
-        .when(h.startswith("?"), F.concat(root, path, h)).when((h == "") | h.startswith("#"), F.concat(root, path, query, h)).otherwise(F.concat(root, folder, h))
+        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(root, without_dots(h)))
+        .when(h.startswith("?"), F.concat(root, path, h)).when((h == "") | h.startswith("#"), F.concat(root, path, query, h)).otherwise(F.concat(root, without_dots(F.concat(folder, h))))
     )
 
 
