@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 
 def md5_of(text: Column) -> Column:
     return F.md5(text.cast("binary"))
@@ -40,8 +42,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """docs without the rows that exact_groups drops; all columns stay.
 
-    Of rows that share both id and text one stays. Rows with a null id cannot be named as kept, so all of them stay.
+    Of rows that share both id and text one stays; rows that share an id alone are judged each by its own text. Rows with a null
+    id cannot be named as kept, so all of them stay.
     """
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep).filter("kept").select(F.col(id_col)).filter(F.col(id_col).isNotNull())
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    (sha,) = unused(docs, "_sha")
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep).filter("kept").select(F.col(id_col), F.col("text_sha256").alias(sha)).filter(F.col(id_col).isNotNull())
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    # both steps need the rows dealt out by id and digest: one shuffle
+    named = docs.withColumn(sha, digest).join(kept, [id_col, sha], "left_semi").dropDuplicates([id_col, sha]).select(docs.columns)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))

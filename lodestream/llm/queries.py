@@ -57,7 +57,8 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
     rows = conversations.select("conv_id", "turn", "role", "text", nth.alias("nth"))
     log = rows.select("conv_id", "turn", "role", "nth", F.explode(F.when(F.coalesce(F.col("role") == "assistant", F.lit(False)), streamed).otherwise(typed)).alias("e"))
-    seq = F.col("turn").cast("decimal(38,0)") * 1_000_000 + F.col("nth") * 8 + F.col("e.at")
+    # room for 10^17 rows that repeat a turn
+    seq = (F.col("turn").cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("nth") * 8 + F.col("e.at")).cast("decimal(38,0)")
     return log.select("conv_id", seq.alias("seq"), F.concat_ws(":", F.lpad(F.col("turn").cast("string"), 20, "0"), F.lpad(F.col("nth").cast("string"), 10, "0")).alias("message_id"), "role", "e.kind", "e.text")
 
 

@@ -41,8 +41,8 @@ PRIOR_BASE, RIDGE = -3.0, 1.0
 MAX_LABELLED = 20_000
 #: A stem is taken from this log ratio of its shares in toxic and clean texts on, if the texts that have it fit chance worse than their own shares by this log likelihood. Of all, the MAX_STEMS that fit worst.
 MIN_RATIO, MIN_GAIN, MAX_STEMS, STEM_LENGTHS = 3.5, 14.0, 4000, (4, 5, 6, 7, 8)
-#: A text is judged by so many of its strongest clauses, so that long texts don't add up chance matches.
-TOP_CLAUSES = 3
+#: Of a text's clauses, by strength, each counts this share of the one before: every clause counts, yet long texts don't add up chance matches without end.
+NEXT_CLAUSE = 0.6
 CLAUSE_END, WORD = re.compile(r"[.!?;:\n]"), re.compile(r"[^\W\d_]+")
 
 Machine = dict[tuple[object, str], tuple[str, object]]  # (state, input) -> (output, state); every machine starts in state 0
@@ -122,8 +122,10 @@ class Grammar:
         self.starts.make_automaton()
 
     def word_class(self, word: str) -> tuple[str, float]:
-        """Class and evidence; of several stems that fit, the strongest counts."""
+        """Class and evidence; of several stems that fit, the strongest counts. Words of negation, report and target stay what they are."""
         found = self.words.get(word, OTHER)
+        if found in "NRT":
+            return found, 0.0
         stems = self.model.stems
         learned = max((stems[word[:n]] for n in self.lengths if n <= len(word) and word[:n] in stems), default=0.0)
         return ("I", learned) if learned else (found, SEED_EVIDENCE.get(found, 0.0))
@@ -155,11 +157,15 @@ class Grammar:
         return out
 
     @staticmethod
-    def strongest(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
-        return sorted(found, key=lambda m: -m[3])[:TOP_CLAUSES]
+    def evidence(found: list[tuple[int, int, str, float]]) -> dict[str, float]:
+        """By pattern, over all clauses; ties of strength go by the pattern's name."""
+        out = dict.fromkeys(PATTERNS, 0.0)
+        for k, (_, _, p, e) in enumerate(sorted(found, key=lambda m: (-m[3], m[2]))):
+            out[p] += e * NEXT_CLAUSE**k
+        return out
 
     def score(self, found: list[tuple[int, int, str, float]]) -> float:
-        z = self.model.base + sum(self.model.weights[p] * e for _, _, p, e in self.strongest(found))
+        z = self.model.base + sum(self.model.weights[p] * e for p, e in self.evidence(found).items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -235,16 +241,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     prior = Model(stems_of(counts(sample)) if n1 else {}, PATTERNS, PRIOR_BASE)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammars, names = [Grammar(m) for m in learned], list(PATTERNS)
+        grammars = [Grammar(m) for m in learned]
         for b in batches:
             rows = []
             for t, first in zip(b.column("_text").to_pylist(), b.column("first").to_pylist(), strict=True):
-                x = dict.fromkeys(names, 0.0)
                 # a text's features come from stems that were learned without it
                 grammar = grammars[1 if first else 0]
-                for _, _, p, e in grammar.strongest(grammar.matches(t)):
-                    x[p] += e
-                rows.append(list(x.values()))
+                rows.append(list(grammar.evidence(grammar.matches(t)).values()))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("_y")], ["x", "_y"])
 
     seen = sample.withColumn("first", half).mapInArrow(features, "x array<double>, _y int").collect()  # at most max_labelled rows

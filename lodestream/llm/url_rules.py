@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.urls import absolute_url
 from .common import LOWER, UPPER
 from .components import components
 
@@ -25,15 +26,17 @@ def url_path(url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): from a page's url to the address of its canonical link and of its meta refresh, where they are absolute."""
+    """(src, dst): from a page's url to the address of its canonical link and of its meta refresh, resolved against the url where they are relative. Fragments are dropped."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     low = F.lower(html)
     may = F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("http-equiv"))
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tagged = pages.filter(may & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(tags).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return tagged.select("src", F.coalesce(canonical, refresh).alias("dst")).filter("contains(dst, '://') and src <> dst").distinct()
+    found = tagged.select("src", F.coalesce(canonical, refresh).alias("href")).filter("href <> ''")
+    target = F.regexp_replace(F.replace(absolute_url(F.col("src"), F.col("href")), F.lit("&amp;"), F.lit("&")), "#.*$", "")
+    return found.select("src", target.alias("dst")).filter("contains(dst, '://') and src <> dst").distinct()
 
 
 def direct_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

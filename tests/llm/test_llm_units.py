@@ -61,6 +61,20 @@ def test_drop_exact_copies(spark):
     assert sorted((r["doc_id"] or 0, r["source"]) for r in got) == [(0, "s"), (1, "s")]
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_drop_exact_copies_of_shared_ids(spark, keep):
+    rows = [(5, "A", "s", True), (9, "A", "s", True), (5, "B", "s", True)]
+    got = sorted((r["doc_id"], r["text"]) for r in exact_dedup.drop_exact_copies(spark.createDataFrame(rows, DOC), keep=keep).collect())
+    assert got == ([(5, "A"), (5, "B")] if keep == "min" else [(5, "B"), (9, "A")])
+
+
+def test_exact_groups_of_very_long_texts_and_clashing_columns(spark):
+    t = "long text " * 60_000
+    rows = spark.createDataFrame([(1, t, 0, "x"), (2, t, 0, "x"), (3, t + ".", 0, "x")], "doc_id long, text string, keep_id int, _sha string")
+    assert sorted(tuple(r)[:4] for r in exact_dedup.exact_groups(rows).collect()) == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(rows).collect()) == [1, 3]
+
+
 # -- components
 
 
@@ -191,6 +205,31 @@ def test_contamination_with_empty_tables(spark):
     assert decontaminate.contamination(empty(spark), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
 
 
+def test_contamination_of_texts_as_ids_and_empty_benchmark(spark):
+    rows = spark.createDataFrame([("x1", "a b c"), ("x2", None)], "doc_id string, text string")
+    for bench in ("item_id long, text string", "item_id string, text string"):
+        none = spark.createDataFrame([], bench)
+        assert decontaminate.drop_contaminated(rows, none).count() == 2
+        assert decontaminate.index_matches(rows, none).dtypes[:2] == [("doc_id", "string"), ("item_id", none.dtypes[0][1])]
+
+
+def test_contamination_of_null_and_repeated_ids(spark):
+    rng = random.Random(41)
+    item = prose(rng, 12)
+    rows = spark.createDataFrame([(1, "x " + item), (1, "clean words"), (None, item), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in decontaminate.contamination(rows, bench).collect())
+    assert got == [(0, 0, 0), (0, 12, 12), (1, 2, 0), (1, 13, 12)]
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.drop_contaminated(rows, bench).collect()) == [0, 0]
+
+
+def test_contamination_by_a_repeated_word(spark):
+    bench = spark.createDataFrame([(1, "to " * 10), (2, "to be to be to be to be to be")], "item_id long, text string")
+    rows = docs(spark, ["to " * 300, "to be " * 40, "to be or not"])
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(rows, bench).collect()}
+    assert got == {0: (300, ["1"]), 1: (80, ["2"]), 2: (0, [])}
+
+
 def test_proximity_allows_words_between(spark):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     rows = docs(spark, ["red very green blue", "blue green red", "red green blue", "red a b c d e f green blue"])
@@ -447,6 +486,49 @@ def test_links_from_pages(spark):
     assert {tuple(r) for r in url_rules.link_edges(pages).collect()} == {("http://a/", "http://b/"), ("http://a/", "http://c/")}
 
 
+def test_relative_links_from_pages(spark):
+    long = "x" * 5000
+    html = [f'<link data-a="{long}" rel="canonical" href="../c?a=1&amp;b=2#top">', '<link rel=canonical href="//other/x">', '<meta http-equiv="refresh" content="0; url=/root">', "<link rel='canonical' href='page'>"]
+    pages = spark.createDataFrame([(i, "http://h/a/b/p", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    got = {r["dst"] for r in url_rules.link_edges(pages).collect()}
+    assert got == {"http://h/a/c?a=1&b=2", "http://other/x", "http://h/root", "http://h/a/b/page"}
+
+
+def test_decisions_reach_aliases_as_by_union_find(spark):
+    rng = random.Random(47)
+    hosts = ["x.net", "a.example.net", "example.com", "a.org", "plain.io", "m.example.com"]
+    urls = sorted({f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr', 'zz'])}/{rng.randrange(40)}" for _ in range(160)})
+    target = {u: rng.choice(urls) for u in urls if rng.random() < 0.5}
+    html = {u: rng.choice(['<link rel="canonical" href="{}">', '<meta http-equiv=refresh content="1;URL={}">']).format(v) for u, v in target.items()}
+    pages = spark.createDataFrame([(i, u, html.get(u)) for i, u in enumerate(urls)] + [(999, urls[0], None), (1000, None, "<link rel=canonical href=http://x.net/>")], "page_id long, url string, html string")
+    parent = {u: u for u in urls}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in target.items():
+        parent[find(u)] = find(v)
+
+    def own(u):
+        host, path = u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]
+        fit = [(r, a) for a, r in queries.URL_RULES if (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return max(fit, key=lambda x: len(x[0]))[1] if fit else None
+
+    groups = collections.defaultdict(set)
+    for u in urls:
+        groups[find(u)].add(own(u))
+    said = lambda g: "allow" if "allow" in g else "block" if "block" in g else "allow"
+    want = {i: own(u) or said(groups[find(u)]) for i, u in enumerate(urls)} | {999: own(urls[0]) or said(groups[find(urls[0])]), 1000: "allow"}
+    rules = spark.createDataFrame(queries.URL_RULES, url_rules.RULES)
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, rules, url_rules.link_edges(pages)).collect()} == want
+    clash = pages.selectExpr("*", "'x' as host", "1 as rule", "'y' as verdict")
+    assert url_rules.judge_urls(clash, rules, url_rules.link_edges(clash)).count() == pages.count()
+    assert url_rules.judge_urls(pages.limit(0), rules.limit(0), url_rules.link_edges(pages.limit(0))).collect() == []
+    assert {r["verdict"] for r in url_rules.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
 # -- language model
 
 
