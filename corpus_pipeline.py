@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontaminate, exact_dedup, minhash, packing, toxicity
-from lodestream.llm.common import table, written
+from lodestream.llm.common import drop_path, table, written
 from lodestream.llm.queries import tokenizer_files
 
 
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_path(spark, before)  # its successor is written
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
