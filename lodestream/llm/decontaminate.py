@@ -7,7 +7,7 @@ intersected, beginning with each window's rarest term by its count in the corpus
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, drop_path, written
@@ -65,53 +65,50 @@ def build_index(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", te
 
 
 def ranked_windows(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """(win, words, ranks): each distinct list of words with its (tf, term, off) from the rarest term on, by the counts of the index. Windows with a term that no text has are left out."""
+    """(words, ranks): each distinct list of words with its (tf, term, off) from the rarest term on, by the counts of the index. Windows with a term that no text has are left out."""
     tf = index.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     spots = wins.select("words").distinct().select("words", F.posexplode("words").alias("off", "term"))
     ranks = F.sort_array(F.collect_list(F.struct("tf", "term", "off"))).alias("ranks")
     found = spots.join(tf, "term").groupBy("words").agg(ranks)  # a window's own words: at most n
-    return found.filter(F.size("ranks") == F.size("words")).select(F.xxhash64("words").alias("win"), "words", "ranks")
+    return found.filter(F.size("ranks") == F.size("words")).select("words", "ranks")
 
 
 def phrase_hits(index: DataFrame, windows: DataFrame, *, per_block: int = TERMS_PER_BLOCK) -> tuple[DataFrame, list[str]]:
-    """(row, win, words, start) of exact occurrences: postings of each window's rarest term, moved by its offset, intersected with those of the next rarest and then of all other terms.
+    """(row, win, start) of exact occurrences: postings of each window's rarest term, moved by its offset, intersected with those of the next rarest and then of all other terms.
 
-    A join meets postings by (row, term, pos), so a common term of many texts is no group of its own. The lists to be kept are written first: whether they
-    are broadcast is Spark's choice by their size.
+    windows(win, ranks). A join meets postings by (row, term, pos), so a common term of many texts is no group of its own. The lists to be kept are written first, as narrow rows:
+    where their table is within spark.sql.autoBroadcastJoinThreshold, Spark sends it out; else it deals out the postings of the terms that are asked for.
     """
     posting = index.filter("term is not null").select("row", "term", "pos")
-    rank = lambda k: F.col("ranks")[k]
+    by_rank = windows.select("win", F.size("ranks").alias("n"), F.posexplode("ranks").alias("rank", "r")).select("win", "n", "rank", "r.term", "r.off")
     begun = []
-    for b in blocks(windows.groupBy(rank(0)["term"].alias("term")).agg(F.collect_list(F.struct("words", "ranks")).alias("wins")), per_block):
-        near = posting.join(b, "term").select("row", "pos", F.explode("wins").alias("w")).select("row", "pos", "w.words", "w.ranks")
-        begun.append(near.select("row", "words", "ranks", (F.col("pos") - rank(0)["off"]).alias("start")).filter("start >= 0"))
+    for b in blocks(by_rank.filter("rank = 0").groupBy("term").agg(F.collect_list(F.struct("win", "off")).alias("wins")), per_block):
+        near = posting.join(b, "term").select("row", "pos", F.explode("wins").alias("w"))
+        begun.append(near.select("row", "w.win", (F.col("pos") - F.col("w.off")).alias("start")).filter("start >= 0"))
     if not begun:
-        return posting.crossJoin(windows.select("words").limit(0)).select("row", "words", F.col("pos").alias("start")).limit(0), []
-    starts, paths = union_all(begun), []
-    starts, path = written(starts, "begun")
-    paths.append(path)
-
-    def intersect(starts: DataFrame, first: int, last: Column) -> DataFrame:
-        """Those of starts whose terms of ranks first to last stand where they should."""
-        rest = F.slice("ranks", F.lit(first + 1), F.greatest(last - first, F.lit(0)))
-        need = starts.withColumn("need", rest)
-        done = need.filter(F.size("need") == 0).drop("need")
-        asked = need.filter(F.size("need") > 0).select("row", "words", "ranks", "start", F.size("need").alias("n"), F.explode("need").alias("r"))
-        asked = asked.select("row", "words", "ranks", "start", "n", F.col("r.term").alias("term"), (F.col("start") + F.col("r.off")).alias("pos"))
-        asked, path = written(asked, "asked")
+        return posting.select("row", F.lit(0).cast("long").alias("win"), F.col("pos").alias("start")).limit(0), []
+    starts, path = written(union_all(begun), "begun")
+    paths = [path]
+
+    def intersect(starts: DataFrame, ranks: Column) -> DataFrame:
+        """Those of starts whose terms of these ranks stand where they should."""
+        needed = by_rank.filter(ranks).select("win", "term", "off", F.count(F.lit(1)).over(Window.partitionBy("win")).alias("need"))
+        asked, path = written(starts.join(needed, "win").select("row", "win", "start", "need", "term", (F.col("start") + F.col("off")).alias("pos")), "asked")
         paths.append(path)
-        terms = asked.select("term").distinct()
-        met = posting.join(terms, "term", "left_semi").join(asked, ["row", "term", "pos"])
-        whole = met.groupBy("row", "words", "start").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"), F.first("ranks").alias("ranks")).filter("met = n")
-        return done.unionByName(whole.select("row", "words", "ranks", "start"))
-
-    second, path = written(intersect(starts, 1, F.least(F.size("ranks"), F.lit(2))), "second")
+        met = [posting.join(b, "term", "left_semi").join(asked, ["row", "term", "pos"]) for b in blocks(asked.select("term").distinct(), per_block)]
+        short = starts.join(needed.select("win").distinct(), "win", "left_anti")
+        if not met:
+            return short
+        whole = union_all(met).groupBy("row", "win", "start").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need")).filter("met = need")
+        return short.unionByName(whole.select("row", "win", "start"))
+
+    second, path = written(intersect(starts, F.col("rank") == 1).select("row", "win", "start"), "second")
     paths.append(path)
-    return intersect(second, 2, F.size("ranks")).select("row", "words", "start"), paths
+    return intersect(second, F.col("rank") > 1).select("row", "win", "start"), paths
 
 
 def proximity_hits(index: DataFrame, windows: DataFrame, *, slop: int, n: int, per_block: int = TERMS_PER_BLOCK) -> DataFrame:
-    """(row, words, start) of places where all of a window's distinct words stand within a span of its length + slop words around a posting of its rarest term; start is the posting's position less the offset.
+    """(row, win, start) of places where all of a window's distinct words stand within a span of its length + slop words around a posting of its rarest term; start is the posting's position less the offset.
 
     Postings of the other terms meet the place in cells of `reach` positions, so a long text's repeated words don't meet each other in full.
     """
@@ -119,32 +116,32 @@ def proximity_hits(index: DataFrame, windows: DataFrame, *, slop: int, n: int, p
     reach = n - 1 + slop
     cell = lambda p: F.floor(p / (reach + 1)).cast("int")
     out = []
-    for b in blocks(windows.groupBy(F.col("ranks")[0]["term"].alias("term")).agg(F.collect_list(F.struct("words", F.col("ranks")[0]["off"].alias("off"))).alias("wins")), per_block):
-        probe = posting.join(b, "term").select("row", F.col("pos").alias("p"), F.explode("wins").alias("w")).select("row", "p", "w.words", "w.off")
-        asked = probe.select("row", "p", "words", "off", F.explode(F.array_distinct("words")).alias("term"))
+    for b in blocks(windows.groupBy(F.col("ranks")[0]["term"].alias("term")).agg(F.collect_list(F.struct("win", "words", F.col("ranks")[0]["off"].alias("off"))).alias("wins")), per_block):
+        probe = posting.join(b, "term").select("row", F.col("pos").alias("p"), F.explode("wins").alias("w")).select("row", "p", "w.win", "w.words", "w.off")
+        asked = probe.select("row", "p", "win", "words", "off", F.explode(F.array_distinct("words")).alias("term"))
         asked = asked.withColumn("cell", F.explode(F.array(cell(F.col("p")) - 1, cell(F.col("p")), cell(F.col("p")) + 1)))
         met = posting.withColumn("cell", cell(F.col("pos"))).join(asked, ["row", "term", "cell"]).filter(F.abs(F.col("pos") - F.col("p")) <= reach)
         # at most 2 * reach + 1 positions
-        around = met.groupBy("row", "p", "words", "off").agg(F.collect_set(F.struct("pos", "term")).alias("seen"))
+        around = met.groupBy("row", "p", "win", "words", "off").agg(F.collect_set(F.struct("pos", "term")).alias("seen"))
         span, distinct = F.size("words") + slop, F.array_distinct("words")
         inside = lambda lo: F.size(F.array_distinct(F.transform(F.filter("seen", lambda s: (s["pos"] >= lo) & (s["pos"] < lo + span)), lambda s: s["term"])))  # noqa: E731, B023
         close = F.exists("seen", lambda s: inside(s["pos"]) == F.size(distinct))  # noqa: B023
-        out.append(around.filter(close).select("row", "words", (F.col("p") - F.col("off")).alias("start")))
-    return union_all(out) if out else posting.crossJoin(windows.select("words").limit(0)).select("row", "words", F.col("pos").alias("start")).limit(0)
+        out.append(around.filter(close).select("row", "win", (F.col("p") - F.col("off")).alias("start")))
+    return union_all(out) if out else posting.select("row", F.lit(0).cast("long").alias("win"), F.col("pos").alias("start")).limit(0)
 
 
 def matches(docs: DataFrame, items: DataFrame, *, n: int, slop: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str, per_block: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """(hits, documents, paths): hits(row, item_id, at, start, length, kind), documents(row, doc_id, n_words) by the index that lies at paths."""
     wins, wins_path = written(windows_of(items, n=n, id_col=item_id_col, text_col=item_text_col), "windows")
     index, paths = build_index(docs, wins.select(F.explode("words").alias("term")).distinct(), id_col=id_col, text_col=text_col, per_block=per_block)
-    windows, path = written(ranked_windows(index, wins), "ranked")
+    windows, path = written(ranked_windows(index, wins).withColumn("win", F.monotonically_increasing_id()), "ranked")
     found, more = phrase_hits(index, windows, per_block=per_block)
     found = found.withColumn("kind", F.lit("phrase"))
     if slop:
         near = proximity_hits(index, windows, slop=slop, n=n, per_block=per_block).withColumn("kind", F.lit("proximity"))
-        found = found.unionByName(near).groupBy("row", "words", "start").agg(F.min("kind").alias("kind"))
+        found = found.unionByName(near).groupBy("row", "win", "start").agg(F.min("kind").alias("kind"))
     # an id may be null or name several items, so the words tell windows apart
-    hits = found.join(wins, "words").select("row", "item_id", "at", "start", F.size("words").alias("length"), "kind")
+    hits = found.join(windows.select("win", "words"), "win").join(wins, "words").select("row", "item_id", "at", "start", F.size("words").alias("length"), "kind")
     ends = index.filter("term is null").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     return hits, ends, [wins_path, path, *paths, *more]
 
