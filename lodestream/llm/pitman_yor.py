@@ -1,72 +1,83 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling, and the scores it gives to texts.
 
-The restaurant of a word is named by the last two words before it; its parent by the last one alone; all share the root, whose base measure is uniform over the
-known words and one unknown. Neither the words nor the restaurants have a bound. Customers are rows by restaurant and dish, and the totals of restaurants are
-tables too, joined by the restaurant's key; the driver holds no more than sums and a histogram. Given all totals of the last sweep, a row is seated
-without the others (the usual approximation of distributed Gibbs samplers). A customer that is alone with its dish has one table in every
-sample, so sweeps go over the other rows only. Words and pairs of words are named by 64-bit hashes.
+Every word that precedes another names a restaurant; all restaurants share one parent, the root, whose base measure is uniform over the known words and one
+unknown. Neither words nor restaurants have a bound. Texts are read once, into blocks of word numbers. Blocks ask parts for what the corpus says of their words
+and pairs of words (`answered`), in packed lists, which are far smaller than a row for each word; nothing that grows goes through the driver or into a broadcast.
+
+Seats are sampled dish by dish: the number of tables of a dish of c customers is drawn from its full conditional given all others, by generalized Stirling
+numbers, whatever c is. The others' totals are those of the sweep before (the usual approximation of distributed Gibbs samplers). A customer that is alone with its dish
+has one table in every sample, so sweeps go over the other dishes only, as rows that Spark joins with their restaurants' totals.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, small_batches, written
 
-BLOCK_TOKENS = 1 << 17
-#: Up to so many customers of a dish are seated one by one in explicit tables; beyond, only the number of tables is drawn, in growing steps.
-EXPLICIT = 12
-FIRST_SWEEPS, BURN_IN, SAMPLES = 2, 1, 2
+#: Words of a block of texts, which one task scores at a time, and of the share of the corpus that a part of the look-ups stands for. Both numbers of blocks and of parts follow the corpus.
+BLOCK_TOKENS, PART_TOKENS = 1 << 19, 1 << 22
+FIRST_SWEEPS, BURN_IN, SAMPLES = 1, 1, 2
 STRENGTH, DISCOUNT = 1.0, 0.75
+#: Stirling numbers come from their recursion up to so many customers, and from series beyond, where both agree to some thousandths.
+EXACT = 1024
+UNKNOWN, START, FIRST_WORD = 0, 1, 2
 END = b""  # no word is empty
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, then the end."""
-    return [*(text or "").encode().lower().split(), END]
+# -- numbers in little room
 
 
-@dataclass
-class Totals:
-    """Customers and tables of the restaurants (two words, one, root), the number of words, and each level's discount."""
-
-    c2: np.ndarray
-    t2: np.ndarray
-    c1: np.ndarray
-    t1: np.ndarray
-    c0: float
-    t0: float
-    words: float
-    discount: tuple[float, float, float] = (DISCOUNT,) * 3
-    strength: tuple[float, float, float] = (STRENGTH,) * 3
-
-    @classmethod
-    def guess(cls, c2: np.ndarray, size: int) -> Totals:
-        t2 = np.where(c2 > 0, np.maximum(c2, 1) ** 0.8, 0)
-        c1 = np.bincount(np.arange(len(c2)) % size, t2, size)
-        t1 = np.where(c1 > 0, np.maximum(c1, 1) ** 0.8, 0)
-        return cls(c2, t2, c1, t1, t1.sum(), t1.sum() ** 0.8, t1.sum() ** 0.8)
-
-    def root(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        d = self.discount[0]
-        return (c - d * t + (self.strength[0] + d * self.t0) / (self.words + 1)) / (self.strength[0] + self.c0)
-
-    def middle(self, c: np.ndarray, t: np.ndarray, u: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        d = self.discount[1]
-        return (c - d * t + (self.strength[1] + d * self.t1[u]) * parent) / (self.strength[1] + self.c1[u])
-
-    def leaf(self, c: np.ndarray, t: np.ndarray, ctx: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        d = self.discount[2]
-        return (c - d * t + (self.strength[2] + d * self.t2[ctx]) * parent) / (self.strength[2] + self.c2[ctx])
+def shut(*columns: np.ndarray) -> bytes:
+    """Equally long columns of unsigned numbers, by byte planes, compressed."""
+    planes = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def opened(data: bytes, n: int) -> list[np.ndarray]:
+    """The n columns that shut() packed, as int64."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    planes = np.frombuffer(raw, np.uint8).reshape(n, 8, len(raw) // (8 * n))
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
+
+
+def golden(k: int) -> np.uint64:
+    return np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finisher of splitmix64 on unsigned numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray, seed: int) -> np.ndarray:
+    """Random numbers of rows by their keys, so that neither the order of rows nor their tasks change a sample."""
+    return (mixed(mixed(keys.astype(np.uint64) + golden(seed))) >> np.uint64(11)) * 2.0**-53
+
+
+# -- the number of tables of a dish
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    x, less = np.asarray(x, float).copy(), 0.0
+    for _ in range(7):
+        less = less + np.log(x)
+        x = x + 1
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - less
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -77,374 +88,600 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - less
 
 
+@lru_cache(2)
+def stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalized Stirling numbers S(c, t): the weight of all ways to seat c customers at t tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(most):
+            stay = np.where(t <= c, np.log(np.maximum(c - d * t, 0)) + out[c], -np.inf)
+            out[c + 1] = np.logaddexp(np.where(c - d * t > 0, stay, -np.inf), np.concatenate([[-np.inf], out[c, :-1]]))
+    return out
+
+
+def stirling_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for large c and 1 <= t < c, which need not be whole: for few tables by the alternating sum of rising factorials of -j d, whose terms fall quickly, for many by the saddle point of the generating function ((1 - (1 - x)^d) / d)^t / t!."""
+    few = np.where(t <= 0.4 * c, t * c**-d <= 4, (t <= 0.7 * c) & (t * c**-d <= 2.5))
+    out = np.empty(len(c))
+    n, k = c[few], t[few]
+    total, chosen, first = np.zeros(len(n)), np.ones(len(n)), log_gamma(n - d)
+    for j in range(1, 61):
+        chosen = chosen * (k - j + 1) / j * -1
+        x = j * d
+        total += chosen * -x * np.sin(np.pi * x) / np.pi * np.exp(log_gamma(n - x) - first + log_gamma(np.array(x)))
+    out[few] = np.log(np.maximum(total, 1e-300)) + first - k * np.log(d) - log_gamma(k + 1)
+    n, k = c[~few], t[~few]
+    lo, hi = np.full(len(n), 1e-12), np.full(len(n), 700.0)  # of y, where x = 1 - e^-y
+    for _ in range(70):
+        y = (lo + hi) / 2
+        high = np.log(k * d / n) + np.log(-np.expm1(-y)) + y * (1 - d) - np.log(-np.expm1(-d * y)) > 0
+        lo, hi = np.where(high, lo, y), np.where(high, y, hi)
+    y = (lo + hi) / 2
+    slope = 1 / np.expm1(y) + (1 - d) - d / np.expm1(d * y)
+    spread = np.log(n) + np.log(np.maximum(slope, 1e-300)) + np.log(np.expm1(np.minimum(y, 690.0)))
+    out[~few] = log_gamma(n + 1) - log_gamma(k + 1) + k * (np.log(-np.expm1(-d * y)) - np.log(d)) - n * np.log(-np.expm1(-y)) - 0.5 * (np.log(2 * np.pi) + spread)
+    return out
+
+
+def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of c customers of a dish each, drawn by the random numbers u from their full conditional.
+
+    t tables weigh S(c, t) times d p (room + j) for each j below t, where room is the restaurant's strength over d and all tables of other dishes, and p the parent's probability.
+    """
+    tables = np.minimum(c, 1).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    values, first = np.unique(c[order], return_index=True)
+    for n, a, z in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(c)], strict=True):
+        if n < 2 or n > EXACT:
+            continue
+        s, step = stirling(d)[n, 1 : n + 1], max(1, (1 << 20) // n)
+        for i in range(a, z, step):
+            rows = order[i : min(z, i + step)]
+            w = np.cumsum(np.log(room[rows, None] + np.arange(n)) + np.log(d * p[rows])[:, None], axis=1) + s
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            tables[rows] = 1 + (w < u[rows, None] * w[:, -1:]).sum(axis=1).clip(0, n - 1)
+    far = np.flatnonzero(c > EXACT)
+    if len(far):
+        n, r, q = c[far].astype(float), room[far], p[far]
+        weight = lambda t: stirling_far(n, t, d) + log_gamma(r + t) - log_gamma(r) + t * np.log(d * q)
+        lo, hi = np.zeros(len(far)), np.log(n - 1)  # of the logarithm of t; the weight has one top
+        for _ in range(60):
+            a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
+            left = weight(np.exp(a)) > weight(np.exp(b))
+            lo, hi = np.where(left, lo, a), np.where(left, b, hi)
+        top = np.clip(np.exp((lo + hi) / 2), 1.0, n - 1)
+        h = np.clip(top * 0.02, 0.5, np.maximum(np.minimum(top - 1, n - 1 - top), 0.5))
+        at = np.clip(top, 1 + h, n - 1 - h)
+        bend = (weight(at + h) - 2 * weight(at) + weight(at - h)) / h**2
+        wide = 1 / np.sqrt(np.maximum(-bend, 1e-12))
+        # whole numbers within six deviations of the top, each by its weight
+        grid = np.rint(top[:, None] + wide[:, None] * np.linspace(-6, 6, 97)).clip(1, (n - 1)[:, None])
+        w = np.stack([weight(g) for g in grid.T], axis=1)
+        w[:, 1:][grid[:, 1:] == grid[:, :-1]] = -np.inf
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        tables[far] = grid[np.arange(len(far)), (w < u[far, None] * w[:, -1:]).sum(axis=1).clip(0, 96)].astype(np.int64)
+    return tables
+
+
 def strength_of(c: np.ndarray, t: np.ndarray, d: float, n: np.ndarray | None = None) -> float:
     """A level's strength from its restaurants' customers and tables (n restaurants have each pair): the mean of the sampler with one auxiliary Beta and t - 1 auxiliary Bernoulli variables a restaurant, until it settles. Prior: Gamma(1, 1)."""
     n = (np.ones(len(c)) if n is None else n)[c > 1]
     c, t = c[c > 1].astype(float), t[c > 1].astype(float)
     s = STRENGTH
     for _ in range(60):
-        opened = (s / d * (digamma(s / d + t) - digamma(s / d + 1.0)) * n).sum()
-        s = float(np.clip((1 + opened) / (1 - ((digamma(s + 1.0) - digamma(s + c)) * n).sum()), 0.01, 1e6))
+        opened_ = (s / d * (digamma(s / d + t) - digamma(s / d + 1.0)) * n).sum()
+        s = float(np.clip((1 + opened_) / (1 - ((digamma(s + 1.0) - digamma(s + c)) * n).sum()), 0.01, 1e6))
     return s
 
 
-def golden(k: int) -> np.uint64:
-    return np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+# -- blocks, and what they ask
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The finisher of splitmix64 on unsigned numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def blocks_of(docs: DataFrame, learn: Column, *, id_col: str, text_col: str) -> DataFrame:
+    """(block, ids, learn, length, words, n, tokens): texts as numbers into the block's own list of words, n of which stand in texts to learn from."""
+    kind = docs.schema[id_col].dataType
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-class Drawn:
-    """Random numbers of rows by their keys and the turn, so that neither the order of rows nor their tasks change a sample."""
+        number = count(TaskContext.get().partitionId() << 32)
+        ids, learns, lengths, tokens, vocabulary, total = [], [], [], [], defaultdict(count().__next__), 0
 
-    def __init__(self, keys: np.ndarray, seed: int):
-        self.keys = mixed(keys + golden(seed))
+        def done() -> pa.RecordBatch:
+            flat = np.concatenate(tokens)
+            n = np.bincount(flat[np.repeat(np.array(learns), lengths)], minlength=len(vocabulary))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([next(number)], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([learns], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([zstandard.compress(b"\n".join(vocabulary), 3)], pa.binary()), pa.array([shut(n)], pa.binary()), pa.array([shut(flat)], pa.binary())],
+                ["block", "ids", "learn", "length", "words", "n", "tokens"],
+            )
 
-    def random(self, rows: np.ndarray, turn: int) -> np.ndarray:
-        return (mixed(self.keys[rows] + golden(turn + 1)) >> np.uint64(11)) * 2.0**-53
+        for b in batches:
+            for i in range(b.num_rows):
+                words = (b.column("_text")[i].as_py() or "").encode().lower().split()
+                words.append(END)
+                tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+                ids.append(b.column("_id").slice(i, 1)), learns.append(bool(b.column("_learn")[i].as_py())), lengths.append(len(words))
+                total += len(words)
+                if total >= BLOCK_TOKENS:
+                    yield done()
+                    ids, learns, lengths, tokens, vocabulary, total = [], [], [], [], defaultdict(count().__next__), 0
+        if ids:
+            yield done()
 
-    def binomial(self, rows: np.ndarray, turn: int, size: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """By inversion; by the normal distribution where the variance is 25 or more."""
-        u, q = self.random(rows, turn), np.minimum(p, 1 - p)
-        mean, var = size * q, size * q * (1 - q)
-        z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * self.random(rows, turn + (1 << 40)))
-        out = np.clip(np.rint(mean + np.sqrt(var) * z), 0, size)
-        few = np.flatnonzero(var < 25)
-        n, r, left = size[few].astype(float), q[few] / (1 - q[few]), u[few]
-        mass, k = (1 - q[few]) ** n, np.zeros(len(few))
-        while True:
-            on = (left >= mass) & (k < n)
-            if not on.any():
-                break
-            left = np.where(on, left - mass, left)
-            mass = np.where(on, mass * (n - k) / (k + 1) * r, mass)
-            k += on
-        out[few] = k
-        return np.where(p > 0.5, size - out, out)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
+    return rows.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, learn array<boolean>, length array<int>, words binary, n binary, tokens binary")
 
 
-class Plain:
-    """The same from a generator."""
+def parts_of_words(words: list[bytes], parts: int) -> np.ndarray:
+    return (np.array([xxhash.xxh64_intdigest(w, 3) for w in words], np.uint64) % np.uint64(parts)).astype(np.int64)
 
-    def __init__(self, rng: np.random.Generator):
-        self.rng = rng
 
-    def random(self, rows: np.ndarray, turn: int) -> np.ndarray:
-        return self.rng.random(len(rows))
+def parts_of_pairs(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-    def binomial(self, rows: np.ndarray, turn: int, size: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return self.rng.binomial(size, p)
 
+def sliced(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that puts equal parts together, and (part, from, to) of each."""
+    order = np.argsort(part, kind="stable")
+    if not len(part):
+        return order, []
+    found, first = np.unique(part[order], return_index=True)
+    return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
 
-def seat(c: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generator | Drawn) -> np.ndarray:
-    """Tables of c customers of a dish each, where a new table weighs `fresh` and a table of n customers n - d.
 
-    Up to EXPLICIT customers: all take their seats in turn, then each gets up once and sits down again given the others (Gibbs).
-    """
-    rng = rng if isinstance(rng, Drawn) else Plain(rng)
-    tables = np.minimum(c, 1).astype(np.float64)
-    for n in range(2, EXPLICIT + 1):
-        who = np.flatnonzero(c == n)
-        for part in np.array_split(who, len(who) // 50_000 + 1) if len(who) else ():
-            sizes, at, rows = np.zeros((len(part), n)), np.zeros((n, len(part)), np.int64), np.arange(len(part))
-            for turn in range(2 * n):
-                j = turn % n
-                if turn >= n:
-                    sizes[rows, at[j]] -= 1
-                weight = np.where(sizes > 0, sizes - d, 0)
-                weight[rows, np.argmin(sizes, axis=1)] = fresh[part]
-                cum = np.cumsum(weight, axis=1)
-                at[j] = (cum < rng.random(part, turn)[:, None] * cum[:, -1:]).sum(axis=1).clip(0, n - 1)
-                sizes[rows, at[j]] += 1
-            tables[part] = (sizes > 0).sum(axis=1)
-    many = np.flatnonzero(c > EXPLICIT)
-    if len(many):
-        many = many[np.argsort(-c[many], kind="stable")]
-        left, a, t, i = c[many], fresh[many], np.ones(len(many)), 1
-        while True:
-            live = int(np.searchsorted(-left, -i, "left"))  # those with more than i customers
-            if not live:
-                break
-            step = max(1, i // 16)
-            size = np.minimum(step, left[:live] - i).astype(np.int64)
-            p = np.clip(a[:live] / (a[:live] + np.maximum(i - d * t[:live], 1e-9)), 0, 1)
-            t[:live] += rng.binomial(many[:live], i, size, p) if step > 1 else rng.random(many[:live], i) < p
-            i += step
-        tables[many] = t
-    return tables
+QUESTION = "part long, block long, data binary"
+
+
+def questions(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "block", "data"])
 
 
-class Seating:
-    """Some words' customers in all restaurants, sampled given the totals, in one process; tests hold the formulas against it. w: word numbers from 0 to n - 1; w and ctx name each pair of a word and a restaurant once."""
-
-    def __init__(self, w: np.ndarray, ctx: np.ndarray, c: np.ndarray, n: int, size: int, totals: Totals, seed: int):
-        self.w, self.ctx, self.c, self.n, self.size, self.totals, self.rng = w, ctx, c.astype(np.int64), n, size, totals, np.random.default_rng(seed)
-        self.pairs, self.up = np.unique(w * size + ctx % size, return_inverse=True)
-        self.w1, self.u1 = self.pairs // size, self.pairs % size
-        self.t = np.maximum(1, self.c**0.7).astype(np.int64)
-        self.c1 = np.bincount(self.up, self.t, len(self.pairs)).astype(np.int64)
-        self.t1 = np.maximum(1, self.c1**0.7).astype(np.int64)
-        self.c0 = np.bincount(self.w1, self.t1, n).astype(np.int64)
-        self.t0 = np.minimum(self.c0, 1)
-
-    def sweep(self) -> None:
-        g = self.totals
-        p0 = g.root(self.c0, self.t0)[self.w1]
-        p1 = g.middle(self.c1, self.t1, self.u1, p0)
-        self.t = seat(self.c, (g.strength[2] + g.discount[2] * g.t2[self.ctx]) * p1[self.up], g.discount[2], self.rng)
-        self.c1 = np.bincount(self.up, self.t, len(self.pairs)).astype(np.int64)
-        self.t1 = seat(self.c1, (g.strength[1] + g.discount[1] * g.t1[self.u1]) * p0, g.discount[1], self.rng)
-        self.c0 = np.bincount(self.w1, self.t1, self.n).astype(np.int64)
-        self.t0 = seat(self.c0, np.full(self.n, (g.strength[0] + g.discount[0] * g.t0) / (g.words + 1)), g.discount[0], self.rng)
-
-    def counts(self) -> dict[str, np.ndarray]:
-        """What the totals are summed up from."""
-        ones = lambda c: np.array([(c == 1).sum(), (c == 2).sum()], float)
-        return {
-            "t2": np.bincount(self.ctx, self.t, self.size**2), "c1": np.bincount(self.u1, self.c1, self.size), "t1": np.bincount(self.u1, self.t1, self.size),
-            "root": np.array([self.c0.sum(), self.t0.sum(), self.n], float), "n0": ones(self.c0), "n1": ones(self.c1), "n2": ones(self.c),
-        }
-
-    def samples(self) -> Iterator[int]:
-        """Sweeps, and stops at each sample after the burn-in. The same totals and seed give the same samples."""
-        for k in range(BURN_IN + SAMPLES):
-            self.sweep()
-            if k >= BURN_IN:
-                yield k - BURN_IN
-
-    def probability(self, w: np.ndarray, ctx: np.ndarray, g: Totals) -> np.ndarray:
-        """Of word number w (or -1: unknown) in restaurant ctx, by the present seating, of which g are the totals over all words."""
-        known = np.maximum(w, 0)
-        at = lambda keys, wanted: np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-        pick = lambda values, i, ok: np.where(ok, values[i], 0) if len(values) else np.zeros(len(ok))
-        p0 = g.root(pick(self.c0, known, w >= 0), pick(self.t0, known, w >= 0))
-        u, size = ctx % self.size, self.size
-        i = at(self.pairs, w * size + u)
-        ok = (self.pairs[i] == w * size + u) if len(self.pairs) else np.zeros(len(w), bool)
-        p1 = g.middle(pick(self.c1, i, ok), pick(self.t1, i, ok), u, p0)
-        keys, wanted = self.w * size**2 + self.ctx, w * size**2 + ctx
-        i = at(keys, wanted)
-        ok = (keys[i] == wanted) if len(keys) else np.zeros(len(w), bool)
-        return g.leaf(pick(self.c, i, ok), pick(self.t, i, ok), ctx, p1)
-
-
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(_r, _learn, pair, last, word): a row for each word, with the restaurant (the last two words), its parent (the last one) and the word. texts(_r, _text, _learn)."""
-    names = ["_r", "_learn", "pair", "last", "word"]
-
-    def block(rows: list[int], learn: list[bool], words: list[list[bytes]]) -> pa.RecordBatch:
-        vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-        length = np.array([len(x) for x in words])
-        v = np.fromiter((vocabulary[t] for x in words for t in x), np.int64, length.sum())
-        w = np.array([xxhash.xxh64_intdigest(t) for t in vocabulary], np.uint64)[v]
-        at = np.arange(len(v)) - np.repeat(np.cumsum(length) - length, length)
-        # 0 stands before a text's first word
-        u1 = np.where(at > 0, np.roll(w, 1), np.uint64(0))
-        u2 = np.where(at > 1, np.roll(w, 2), np.uint64(0))
-        pair = mixed(mixed(u2 + np.uint64(1)) + u1)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), length)), pa.array(np.repeat(np.array(learn), length)), *(pa.array(x.view(np.int64)) for x in (pair, u1, w))], names)
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """Groups of rows that come in order of key."""
+    now, held = None, []
+    for b in batches:
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if a == z:
+                continue
+            if k[a] != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(k[a])
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def word_questions(blocks: DataFrame, parts: int) -> DataFrame:
+    """Each block's words and counts, a list for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, learn, words, n = [], [], [], 0
         for b in batches:
-            for r, text, yes in zip(b.column("_r").to_pylist(), b.column("_text"), b.column("_learn").to_pylist(), strict=True):
-                x = words_of(text.as_py())
-                rows.append(r), learn.append(yes), words.append(x)
-                n += len(x)
-                if n >= BLOCK_TOKENS:
-                    yield block(rows, learn, words)
-                    rows, learn, words, n = [], [], [], 0
-        if rows:
-            yield block(rows, learn, words)
+            for block, words, n in zip(b.column("block").to_pylist(), b.column("words"), b.column("n"), strict=True):
+                words, (n,) = zstandard.decompress(words.as_py()).split(b"\n"), opened(n.as_py(), 1)
+                order, cuts = sliced(parts_of_words(words, parts))
+                pick = order.tolist()
+                yield questions([(p, block, len(x := shut(n[order[a:z]])).to_bytes(4, "little") + x + zstandard.compress(b"\n".join([words[i] for i in pick[a:z]]), 3)) for p, a, z in cuts])
+
+    return blocks.select("block", "words", "n").mapInArrow(run, QUESTION)
 
-    return texts.select("_r", "_text", "_learn").mapInArrow(run, "_r long, _learn boolean, pair long, last long, word long")
 
+def number_words(asked: DataFrame, parts: int) -> DataFrame:
+    """Answers (part, block, data: number and count of each word that the block asked of the part), and for block -1 the counts of the part's known words.
+
+    A part's words get numbers in order of their counts, dealt out like cards among the parts, so that frequent words have small ones. Words without a text to learn from are unknown.
+    """
 
-def seated(rows: DataFrame, keys: list[str], c: str, t: str, d: float, seed: int) -> DataFrame:
-    """rows with the tables t of their c customers, where a new table weighs `_fresh`, a column that goes."""
-    kept = [f for f in rows.schema if f.name not in (t, "_fresh")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_key(batches, "part"):
+            place, total, lists = defaultdict(count().__next__), np.zeros(0, np.int64), []
+            for data in rows.column("data"):
+                raw = data.as_py()
+                size = int.from_bytes(raw[:4], "little")
+                (n,) = opened(raw[4 : 4 + size], 1)
+                at = np.fromiter(map(place.__getitem__, zstandard.decompress(raw[4 + size :]).split(b"\n")), np.int64, len(n))
+                total = np.concatenate([total, np.zeros(len(place) - len(total), np.int64)])
+                total[at] += n  # a list has a word once
+                lists.append(at)
+            order = np.argsort(-total, kind="stable")
+            number = np.empty(len(total), np.int64)
+            number[order] = np.arange(len(total)) * parts + part + FIRST_WORD
+            number[total == 0] = UNKNOWN
+            yield questions([(part, block, shut(number[at], total[at])) for block, at in zip(rows.column("block").to_pylist(), lists, strict=True)])
+            end = place.get(END, -1)
+            known = total[order][total[order] > 0]
+            yield questions([(part, -1, shut(known, (order == end)[: len(known)]))])
+
+    return gathered(asked, parts).mapInArrow(run, QUESTION)
+
+
+def gathered(rows: DataFrame, parts: int, *more: str) -> DataFrame:
+    return rows.repartition(parts, "part").sortWithinPartitions("part", *more)
+
+
+def vocabulary_of(answers: DataFrame, parts: int) -> DataFrame:
+    """(id, n, is_end) of the known words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name = np.zeros(b.num_rows, np.uint64)
+            for part, data in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
+                n, end = opened(data.as_py(), 2)
+                for i in range(0, len(n), 1 << 16):
+                    k = np.arange(i, min(len(n), i + (1 << 16)))
+                    yield pa.RecordBatch.from_arrays([pa.array(k * parts + part + FIRST_WORD), pa.array(n[k]), pa.array(end[k] > 0)], ["id", "n", "is_end"])
+
+    return answers.filter("block = -1").select("part", "data").mapInArrow(run, "id long, n long, is_end boolean")
+
+
+def met(blocks: DataFrame, answers: DataFrame, into: int) -> DataFrame:
+    """Blocks, each followed by its answers in order of their parts: rows(block, part, data, ..) where a block's own row has part -1."""
+    own = blocks.withColumns({"part": F.lit(-1).cast("long"), "data": F.lit(None).cast("binary")})
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in blocks.schema if f.name != "block"]
+    return own.unionByName(answers.filter("block >= 0").select("block", "part", "data", *nothing)).repartition(into, "block").sortWithinPartitions("block", "part")
+
+
+NUMBERED = "block long, ids array<{0}>, learn array<boolean>, length array<int>, tokens binary, numbers binary, known array<int>, base array<double>, part long, data binary"
+
+
+def pairs_of(tokens: np.ndarray, number: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word and of the one before it."""
+    word = number[tokens]
+    last = np.roll(word, 1)
+    last[np.cumsum(length) - length] = START
+    return word, last
+
+
+def numbered(blocks: DataFrame, answers: DataFrame, parts: int, into: int) -> DataFrame:
+    """Blocks with their words' numbers and counts, and each document's known words and base; beside them (part not null) the pairs of words that they ask each part for, with their customers."""
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    names = [x.split()[0] for x in NUMBERED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in by_key(batches, "block"):
+            words = zstandard.decompress(rows.column("words")[0].as_py()).split(b"\n")
+            (tokens,), length = opened(rows.column("tokens")[0].as_py(), 1), np.array(rows.column("length")[0].as_py())
+            learn = np.array(rows.column("learn")[0].as_py())
+            order, cuts = sliced(parts_of_words(words, parts))
+            number, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            for (_, a, z), data in zip(cuts, rows.column("data").slice(1), strict=True):
+                number[order[a:z]], n[order[a:z]] = opened(data.as_py(), 2)
+            starts = np.cumsum(length) - length
+            known = np.add.reduceat((n > 0)[tokens].astype(np.int64), starts)
+            base = np.add.reduceat(np.log10(n + 1.0)[tokens], starts)
+            own = rows.slice(0, 1)
+            none = lambda t: pa.nulls(1, t)
+            plain = lambda c: own.column(c).combine_chunks()
+            types = [plain(c).type for c in ("ids", "learn", "length")]
+            yield pa.RecordBatch.from_arrays([plain("block"), plain("ids"), plain("learn"), plain("length"), plain("tokens"), pa.array([shut(number, n)], pa.binary()), pa.array([known], pa.list_(pa.int32())), pa.array([base], pa.list_(pa.float64())), none(pa.int64()), none(pa.binary())], names)
+            keys, customers = asked_pairs(tokens, number, length, learn)
+            order, cuts = sliced(parts_of_pairs(keys, parts))
+            keys, customers = keys[order], customers[order]
+            for i in range(0, len(cuts), 512):
+                some = cuts[i : i + 512]
+                k = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), *(pa.nulls(k, t) for t in (*types, pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()))), pa.array([p for p, *_ in some], pa.int64()), pa.array([shut(np.diff(keys[a:z], prepend=0), customers[a:z]) for _, a, z in some], pa.binary())], names)
+
+    return met(blocks, answers, into).mapInArrow(run, NUMBERED.format(kind))
+
+
+def asked_pairs(tokens: np.ndarray, number: np.ndarray, length: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct pairs (last << 32 | word) of known words, sorted, and how often each stands in texts to learn from."""
+    word, last = pairs_of(tokens, number, length)
+    ok = (word != UNKNOWN) & (last != UNKNOWN)
+    keys, which = np.unique(last[ok] << 32 | word[ok], return_inverse=True)
+    return keys, np.bincount(which, np.repeat(learn, length)[ok], len(keys)).astype(np.int64)
+
+
+def counted(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The customers of each pair that a part is asked for."""
+    found = [opened(x.as_py(), 2) for x in lists]
+    keys, which = np.unique(np.concatenate([np.cumsum(k) for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+
+
+def crowded(asked: DataFrame, parts: int) -> DataFrame:
+    """(part, last, word, c): pairs of two customers or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_key(batches, "part"):
+            keys, c = counted(rows.column("data"))
+            keys, c = keys[c > 1], c[c > 1]
+            for i in range(0, len(keys), 1 << 16):
+                k = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part)), pa.array(k >> 32), pa.array(k & 0xFFFFFFFF), pa.array(c[i : i + (1 << 16)])], ["part", "last", "word", "c"])
+
+    return gathered(asked, parts).mapInArrow(run, "part long, last long, word long, c long")
+
+
+# -- sweeps
+
+
+def seated(rows: DataFrame, keys: list[str], c: str, old: str, d: float, seed: int, draw: Callable = seat) -> DataFrame:
+    """rows with new tables in place of `old`, drawn given the columns _room and _p, which go."""
+    kept = [f for f in rows.schema if f.name not in (old, "_room", "_p")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            numbers = lambda k: t.column(k).to_numpy()
+            name = np.zeros(t.num_rows, np.uint64)
             for k in keys:
-                name = mixed(name + b.column(k).to_numpy(zero_copy_only=False).view(np.uint64))
-            tables = seat(b.column(c).to_numpy(zero_copy_only=False), b.column("_fresh").to_numpy(zero_copy_only=False), d, Drawn(name, seed))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(tables.astype(np.int64))], [*(f.name for f in kept), t])
+                name = mixed(name + numbers(k).astype(np.uint64))
+            tables = draw(numbers(c), numbers("_room"), numbers("_p"), d, uniform(name, seed))
+            yield from t.select([f.name for f in kept]).append_column(old, pa.array(tables)).to_batches(1 << 14)
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 1 << 16:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
 
-    return rows.select(*[f.name for f in kept], "_fresh").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{t} long"]))
+    return rows.select(*[f.name for f in kept], old, "_room", "_p").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{old} long"]))
 
 
-def guessed(c: str) -> Column:
-    """Tables to start from."""
-    return F.greatest(F.lit(1), F.floor(F.pow(F.col(c), 0.7))).cast("long")
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are written and no longer referred to; it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @dataclass
-class State:
-    """A sweep's tables. leaves(pair, last, word, c, t): of two customers or more. middles(last, word, alone, c1, t1): those that may have two or more. words(word, n, c0, t0)."""
+class Totals:
+    """Of the root, in one sample."""
 
-    leaves: DataFrame
-    middles: DataFrame
-    words: DataFrame
-    paths: list[str]
+    customers: int
+    tables: int
 
 
 class Model:
-    """The restaurants of the words that occurrences() gives, its state and sweeps."""
-
-    def __init__(self, taught: DataFrame, seed: int):
-        self.seed, self.discount, self.strength, self.sweeps = seed, (DISCOUNT,) * 3, (STRENGTH,) * 3, 0
-        self.all, _ = written(taught.groupBy("pair", "last", "word").agg(F.count(F.lit(1)).alias("c")), "leaves")
-        n = F.col("c")
-        self.pairs, _ = written(self.all.groupBy("pair").agg(F.sum("c").alias("c2"), F.count_if(n == 1).alias("alone")), "pairs")
-        self.twos, _ = written(self.all.groupBy("last", "word").agg(F.count_if(n == 1).alias("alone"), F.count_if(n > 1).alias("others")), "twos")
-        self.vocabulary, _ = written(self.all.groupBy("word").agg(F.sum("c").alias("n")), "words")
-        lone = self.lone = (F.col("alone") == 1) & (F.col("others") == 0)
-        self.lone_last, _ = written(self.twos.filter(lone).groupBy("last").agg(F.count(F.lit(1)).alias("lone")), "lone-last")
-        self.lone_word, _ = written(self.twos.filter(lone).groupBy("word").agg(F.count(F.lit(1)).alias("lone")), "lone-word")
-        size = self.vocabulary.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    """Dishes of several customers as rows, leaves(part, last, word, c, t), and a row for each word, words(id, n, lone_last, lone_word, tables, c0, t0): as a restaurant it has n customers and `tables`, as a dish of the root c0 and t0."""
+
+    def __init__(self, leaves: DataFrame, vocabulary: DataFrame, starts: int, seed: int, draw: Callable = seat):
+        """vocabulary(id, n, is_end); starts: texts to learn from."""
+        self.draw = draw
+        self.spark, self.seed, self.discount, self.strength, self.sweeps = leaves.sparkSession, seed, (DISCOUNT,) * 2, (STRENGTH,) * 2, 0
+        self.leaves, self.leaves_path = written(leaves.withColumn("t", F.greatest(F.lit(1), F.floor(F.pow("c", 0.7))).cast("long")), "seats")
+        size = vocabulary.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         self.n_words, self.n_tokens = size["words"], size["n"]
-        self.state = self.kept(self.all.filter("c > 1").withColumn("t", guessed("c")), lambda m: m.withColumn("t1", guessed("c1")), lambda w: w.withColumn("t0", F.least("c0", F.lit(1)).cast("long")))
-
-    def kept(self, leaves: DataFrame, middle, root) -> State:
-        """Writes a state: leaves, then middles with the customers that leaves' tables send, then words likewise."""
-        leaves, a = written(leaves.select("pair", "last", "word", "c", "t"), "seats")
-        sent = leaves.groupBy("last", "word").agg(F.sum("t").alias("sent"))
-        m = self.twos.filter(~self.lone).join(sent, ["last", "word"], "left").select("last", "word", "alone", (F.col("alone") + F.coalesce("sent", F.lit(0))).alias("c1"))
-        middles, b = written(middle(m), "middles")
-        up = middles.groupBy("word").agg(F.sum("t1").alias("sent"))
-        w = self.vocabulary.join(up, "word", "left").join(self.lone_word, "word", "left").select("word", "n", (F.coalesce("sent", F.lit(0)) + F.coalesce("lone", F.lit(0))).alias("c0"))
-        words, c = written(root(w), "roots")
-        return State(leaves, middles, words, [a, b, c])
-
-    def root_totals(self, state: State) -> tuple[int, int]:
-        r = state.words.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("c"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t")).first()
-        return r["c"], r["t"]
-
-    def of_pairs(self, state: State) -> DataFrame:
-        """(pair, c2, t2): every restaurant's totals."""
-        t = state.leaves.groupBy("pair").agg(F.sum("t").alias("t"))
-        return self.pairs.join(t, "pair", "left").select("pair", "c2", (F.col("alone") + F.coalesce("t", F.lit(0))).alias("t2"))
-
-    def of_last(self, state: State) -> DataFrame:
-        """(last, cu, tu): every parent's totals."""
-        m = state.middles.groupBy("last").agg(F.sum("c1").alias("c"), F.sum("t1").alias("t"))
-        lone = F.coalesce("lone", F.lit(0))
-        return m.join(self.lone_last, "last", "full").select("last", (F.coalesce("c", F.lit(0)) + lone).alias("cu"), (F.coalesce("t", F.lit(0)) + lone).alias("tu"))
-
-    def p0(self, c: Column, t: Column, totals: tuple[int, int]) -> Column:
+        start = self.spark.range(1).select(F.lit(START).cast("long").alias("id"), F.lit(starts).cast("long").alias("n"), F.lit(False).alias("is_end"))
+        sums, z = self.sums("c"), lambda c: F.coalesce(F.col(c), F.lit(0))
+        words = vocabulary.unionByName(start).join(sums, "id", "left")
+        # a text's end is no restaurant, its start no dish
+        lone_last = F.when(F.col("is_end"), 0).otherwise(F.col("n") - z("of_last")).cast("long")
+        lone_word = F.when(F.col("id") == START, 0).otherwise(F.col("n") - z("of_word")).cast("long")
+        guess = words.select("id", F.when(F.col("is_end"), 0).otherwise(F.col("n")).cast("long").alias("n"), lone_last.alias("lone_last"), lone_word.alias("lone_word"))
+        self.words, self.words_path = written(guess, "words")
+        self.words, self.words_path = self.rebuilt(self.words.withColumn("t0", F.lit(0).cast("long")), None)
+
+    def sums(self, t: str) -> DataFrame:
+        """(id, of_last, of_word): the leaves' sums for each word as a restaurant and as a dish."""
+        zero = F.lit(0).cast("long")
+        last = self.leaves.groupBy(F.col("last").alias("id")).agg(F.sum(t).alias("of_last")).withColumn("of_word", zero)
+        word = self.leaves.groupBy(F.col("word").alias("id")).agg(F.sum(t).alias("of_word")).withColumn("of_last", zero)
+        return last.unionByName(word).groupBy("id").agg(F.sum("of_last").alias("of_last"), F.sum("of_word").alias("of_word"))
+
+    def rebuilt(self, words: DataFrame, seed: int | None) -> tuple[DataFrame, str]:
+        """The words' rows by the leaves as they now are, with the root seated anew (at first: guessed)."""
+        z = lambda c: F.coalesce(F.col(c), F.lit(0))
+        new = words.join(self.sums("t"), "id", "left").select("id", "n", "lone_last", "lone_word", (F.col("lone_last") + z("of_last")).alias("tables"), (F.col("lone_word") + z("of_word")).alias("c0"), "t0")
+        if seed is None:
+            new = new.withColumn("t0", F.least("c0", F.lit(1)).cast("long"))
+        else:
+            d, room = self.discount[0], self.strength[0] / self.discount[0] + self.root.tables
+            new = seated(new.withColumns({"_room": F.greatest(F.lit(room) - F.col("t0"), F.lit(1e-6)), "_p": F.lit(1.0 / (self.n_words + 1))}), ["id"], "c0", "t0", d, seed, self.draw)
+        out, path = written(new, "words")
+        r = out.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("c"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t")).first()
+        self.root = Totals(r["c"], r["t"])
+        drop_path(self.spark, self.words_path)
+        return out, path
+
+    def p0(self) -> Column:
         d, s = self.discount[0], self.strength[0]
-        return (c - d * t + (s + d * totals[1]) / (self.n_words + 1)) / (s + totals[0])
-
-    def p1(self, c: Column, t: Column, cu: Column, tu: Column, p0: Column) -> Column:
-        d, s = self.discount[1], self.strength[1]
-        return (c - d * t + (s + d * tu) * p0) / (s + cu)
-
-    def p2(self, c: Column, t: Column, c2: Column, t2: Column, p1: Column) -> Column:
-        d, s = self.discount[2], self.strength[2]
-        return (c - d * t + (s + d * t2) * p1) / (s + c2)
+        return (F.col("c0") - d * F.col("t0") + (s + d * self.root.tables) / (self.n_words + 1)) / (s + self.root.customers)
 
-    def sweep(self) -> State:
-        """All rows seated anew, given the totals of the state before."""
+    def sweep(self, keep: str | None = None) -> None:
+        """All dishes seated anew, given the totals of the state before. keep: the name under which the leaves hold their present tables from now on."""
         self.sweeps += 1
-        (d0, d1, d2), (s0, s1, s2), before, c, seed = self.discount, self.strength, self.state, F.col, self.seed * 1009 + self.sweeps * 3
-        totals = self.root_totals(before)
-        words = before.words.select("word", self.p0(c("c0"), c("t0"), totals).alias("p0"))
-        last = self.of_last(before)
-        m = before.middles.join(last, "last").join(words, "word")
-        up = m.select("last", "word", self.p1(c("c1"), c("t1"), c("cu"), c("tu"), c("p0")).alias("p1"))
-        rows = before.leaves.join(self.of_pairs(before), "pair").join(up, ["last", "word"])
-        leaves = seated(rows.select("pair", "last", "word", "c", ((s2 + d2 * c("t2")) * c("p1")).alias("_fresh")), ["pair", "word"], "c", "t", d2, seed)
-
-        def middle(m: DataFrame) -> DataFrame:
-            m = m.join(last, "last").join(words, "word")
-            return seated(m.select("last", "word", "alone", "c1", ((s1 + d1 * c("tu")) * c("p0")).alias("_fresh")), ["last", "word"], "c1", "t1", d1, seed + 1)
-
-        def root(w: DataFrame) -> DataFrame:
-            fresh = (s0 + d0 * totals[1]) / (self.n_words + 1)
-            return seated(w.withColumn("_fresh", F.lit(fresh)), ["word"], "c0", "t0", d0, seed + 2)
-
-        self.state = self.kept(leaves, middle, root)
-        return before
+        seed, d, s = self.seed * 1009 + self.sweeps * 3, self.discount[1], self.strength[1]
+        rows = self.leaves.withColumn(keep, F.col("t")) if keep else self.leaves
+        rows = rows.join(self.words.select(F.col("id").alias("last"), "tables"), "last").join(self.words.select(F.col("id").alias("word"), self.p0().alias("_p")), "word")
+        rows = rows.withColumn("_room", F.lit(s / d) + F.col("tables") - F.col("t")).drop("tables")
+        before = self.leaves_path
+        self.leaves, self.leaves_path = written(seated(rows, ["last", "word"], "c", "t", d, seed, self.draw), "seats")
+        drop_path(self.spark, before)
+        words = self.words.withColumns({f"{x}_{keep}": F.col(x) for x in ("tables", "c0", "t0")}) if keep else self.words
+        kept = words.select("id", *[c for c in words.columns if c.endswith(f"_{keep}")]) if keep else None
+        if kept is not None:
+            self.kept, _ = written(kept, "words-kept")
+        self.words, self.words_path = self.rebuilt(words.select("id", "n", "lone_last", "lone_word", "t0"), seed + 1)
+        let_go(self.spark)
 
     def estimate(self) -> None:
         """Discounts from the dishes with one and two customers, then strengths from a histogram of the restaurants' totals, in which numbers over 1,000 count by three digits."""
-        s, lone = self.state, self.twos.filter(self.lone).count()
-        of = lambda df, col: df.agg(F.count_if(F.col(col) == 1).alias("a"), F.count_if(F.col(col) == 2).alias("b")).first()
-        seen = [of(s.words, "c0"), of(s.middles, "c1"), of(self.all, "c")]
-        once = [(r["a"] + more, r["b"]) for r, more in zip(seen, (0, lone, 0), strict=True)]
-        self.discount = tuple(float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else DISCOUNT for a, b in once)
+        lone = self.words.agg(F.coalesce(F.sum("lone_last"), F.lit(0)).alias("n")).first()["n"]
+        pairs = self.leaves.filter("c = 2").count()
+        root = self.words.agg(F.count_if(F.col("c0") == 1).alias("a"), F.count_if(F.col("c0") == 2).alias("b")).first()
+        of = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else DISCOUNT
+        self.discount = (of(root["a"], root["b"]), of(lone, pairs))
 
         def coarse(x: str) -> Column:
             unit = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(x)) - 2, F.lit(0)))
             return (F.round(F.col(x) / unit) * unit).cast("long").alias(x)
 
-        def level(frame: DataFrame, c: str, t: str, d: float) -> float:
-            rows = frame.filter(F.col(c) > 1).select(coarse(c), coarse(t)).groupBy(c, t).count().collect()
-            return strength_of(*(np.array([r[k] for r in rows], float) for k in (c, t)), d, np.array([r["count"] for r in rows], float))
-
-        c0, t0 = self.root_totals(s)
-        root = strength_of(np.array([c0]), np.array([t0]), self.discount[0])
-        self.strength = (root, level(self.of_last(s), "cu", "tu", self.discount[1]), level(self.of_pairs(s), "c2", "t2", self.discount[2]))
-
-    def scored(self, rows: DataFrame, samples: list[State]) -> DataFrame:
-        """rows(pair, last, word, ..) with `p`, the mean of the samples' probabilities, and `n`, the customers of the word (null: unknown)."""
-        c, z = F.col, lambda name: F.coalesce(F.col(name), F.lit(0))
-        k = range(len(samples))
-        join_all = lambda frames, on: frames[0] if len(frames) == 1 else frames[0].join(join_all(frames[1:], on), on)
-        many = join_all([s.leaves.select("pair", "word", *(["c"] if i == 0 else []), c("t").alias(f"t_{i}")) for i, s in enumerate(samples)], ["pair", "word"])
-        leaves = many.unionByName(self.all.filter("c = 1").select("pair", "word", "c", *[F.lit(1).cast("long").alias(f"t_{i}") for i in k]))
-        pairs = join_all([self.of_pairs(s).select("pair", *(["c2"] if i == 0 else []), c("t2").alias(f"t2_{i}")) for i, s in enumerate(samples)], ["pair"])
-        twos = join_all([s.middles.select("last", "word", c("c1").alias(f"c1_{i}"), c("t1").alias(f"t1_{i}")) for i, s in enumerate(samples)], ["last", "word"])
-        one = F.lit(1).cast("long")
-        twos = twos.unionByName(self.twos.filter(self.lone).select("last", "word", *[one.alias(f"{x}_{i}") for i in k for x in ("c1", "t1")]))
-        last = join_all([self.of_last(s).select("last", c("cu").alias(f"cu_{i}"), c("tu").alias(f"tu_{i}")) for i, s in enumerate(samples)], ["last"])
-        words = join_all([s.words.select("word", *(["n"] if i == 0 else []), c("c0").alias(f"c0_{i}"), c("t0").alias(f"t0_{i}")) for i, s in enumerate(samples)], ["word"])
-        out = rows.join(pairs, "pair", "left").join(leaves, ["pair", "word"], "left").join(twos, ["last", "word"], "left").join(last, "last", "left").join(words, "word", "left")
-        p = F.lit(0.0)
-        for i, s in enumerate(samples):
-            p0 = self.p0(z(f"c0_{i}"), z(f"t0_{i}"), self.root_totals(s))
-            p1 = self.p1(z(f"c1_{i}"), z(f"t1_{i}"), z(f"cu_{i}"), z(f"tu_{i}"), p0)
-            p = p + self.p2(z("c"), z(f"t_{i}"), z("c2"), z(f"t2_{i}"), p1) / len(samples)
-        return out.select(*rows.columns, p.alias("p"), "n")
-
-
-def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+        rows = self.words.filter("n > 1").select(coarse("n"), coarse("tables")).groupBy("n", "tables").count().collect()
+        level = strength_of(*(np.array([r[k] for r in rows], float) for k in ("n", "tables")), self.discount[1], np.array([r["count"] for r in rows], float))
+        self.strength = (strength_of(np.array([self.root.customers]), np.array([self.root.tables]), self.discount[0]), level)
+
+
+def probability(c: np.ndarray, t: np.ndarray, n: np.ndarray, tables: np.ndarray, c0: np.ndarray, t0: np.ndarray, root: Totals, words: int, discount: tuple[float, float], strength: tuple[float, float]) -> np.ndarray:
+    """Of a word by one sample: c customers at t tables in a restaurant of n customers and `tables`, c0 at t0 in the root."""
+    (d0, d1), (s0, s1) = discount, strength
+    p0 = (c0 - d0 * t0 + (s0 + d0 * root.tables) / (words + 1)) / (s0 + root.customers)
+    return (c - d1 * t + (s1 + d1 * tables) * p0) / (s1 + n)
+
+
+# -- scores
+
+
+def answered(asked: DataFrame, leaves: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """What the samples say of the pairs and words that blocks ask for, each in the order of the question.
+
+    asked(part, block, data); leaves(part, last, word, c, t_0, ..) and words(part, id, ..) come before the questions of their part. Parts from `parts` on are those of words.
+    """
+    t_names, w_names = [c for c in leaves.columns if c.startswith("t_")], [c for c in words.columns if c not in ("part", "id")]
+    width = max(len(t_names) + 1, len(w_names))
+    cast = lambda cols: F.array(*[F.col(c).cast("long") for c in cols]).alias("v")
+    none = F.lit(None).cast("binary").alias("data")
+    zero = F.lit(-1).cast("long").alias("block")
+    rows = leaves.select("part", zero, none, (F.shiftleft("last", 32).bitwiseOR(F.col("word"))).alias("key"), cast(["c", *t_names]))
+    rows = rows.unionByName(words.select("part", zero, none, F.col("id").alias("key"), cast(w_names)))
+    rows = rows.unionByName(asked.select("part", "block", "data", F.lit(0).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("v")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in by_key(batches, "part"):
+            block = group.column("block").to_numpy()
+            n = int((block < 0).sum())
+            keys = group.column("key").slice(0, n).to_numpy()
+            k = len(t_names) + 1 if part < parts else len(w_names)
+            v = group.column("v").slice(0, n).combine_chunks()
+            v = (v.flatten().to_numpy() if n else np.zeros(0, np.int64)).reshape(n, -1)
+            values = np.zeros((n + 1, width), np.int64)  # the last row is that of what isn't there
+            if n:
+                order = np.argsort(keys, kind="stable")
+                keys, values[:n, : v.shape[1]] = keys[order], v[order]
+            lists = group.column("data").slice(n)
+            every, c = counted(lists) if part < parts and len(lists) else (None, None)
+            out = []
+            for b, data in zip(block[n:].tolist(), lists, strict=True):
+                wanted = np.cumsum(opened(data.as_py(), 2 if part < parts else 1)[0])
+                at = np.searchsorted(keys, wanted)
+                at = np.where((at < n) & (keys[np.minimum(at, n - 1)] == wanted), at, n) if n else np.zeros(len(wanted), np.int64)
+                found = values[at, :k]
+                if part < parts:
+                    # a pair without a row has one customer, who has a table of its own, or none
+                    single = (at == n) & (c[np.searchsorted(every, wanted)] > 0)
+                    found[single] = 1
+                out.append((part, b, shut(*found.T)))
+                if len(out) == 256:
+                    yield questions(out)
+                    out = []
+            if out:
+                yield questions(out)
+
+    return gathered(rows, 2 * parts, "block").mapInArrow(run, QUESTION)
+
+
+def words_asked(blocks: DataFrame, parts: int) -> DataFrame:
+    """The known words of each block, by their parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, numbers in zip(b.column("block").to_pylist(), b.column("numbers"), strict=True):
+                ids = np.unique(opened(numbers.as_py(), 2)[0])
+                ids = ids[ids >= FIRST_WORD]
+                order, cuts = sliced((ids - FIRST_WORD) % parts)
+                ids = ids[order]
+                yield questions([(parts + p, block, shut(np.diff(ids[a:z], prepend=0))) for p, a, z in cuts])
+
+    return blocks.select("block", "numbers").mapInArrow(run, QUESTION)
+
+
+def scored(blocks: DataFrame, answers: DataFrame, score: Callable, parts: int, into: int, samples: int, starts: tuple[int, ...]) -> DataFrame:
+    """(_id, held_out, n_tokens, n_known, base, score) of each document. starts: the texts to learn from, then the tables of the restaurant of text starts in each sample."""
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, "block"):
+            (tokens,), length = opened(rows.column("tokens")[0].as_py(), 1), np.array(rows.column("length")[0].as_py())
+            number, n = opened(rows.column("numbers")[0].as_py(), 2)
+            learn = np.array(rows.column("learn")[0].as_py())
+            given = dict(zip(rows.column("part").to_pylist()[1:], rows.column("data").slice(1), strict=True))
+            keys, _ = asked_pairs(tokens, number, length, learn)
+            pair = np.zeros((len(keys), samples + 1), np.int64)
+            order, cuts = sliced(parts_of_pairs(keys, parts))
+            for p, a, z in cuts:
+                pair[order[a:z]] = np.stack(opened(given[p].as_py(), samples + 1), axis=1)
+            ids = np.unique(number)
+            ids = ids[ids >= FIRST_WORD]
+            of = np.zeros((len(ids) + 2, 3 * samples + 1), np.int64)  # unknown, text start, then the words
+            of[1, 0], of[1, 1 : 1 + samples] = starts[0], starts[1:]
+            order, cuts = sliced((ids - FIRST_WORD) % parts)
+            for p, a, z in cuts:
+                of[order[a:z] + 2] = np.stack(opened(given[parts + p].as_py(), 3 * samples + 1), axis=1)
+            word, last = pairs_of(tokens, number, length)
+            place = lambda x: np.where(x >= FIRST_WORD, np.searchsorted(ids, x) + 2, x)
+            w, u = place(word), place(last)
+            ok = (word != UNKNOWN) & (last != UNKNOWN)
+            at = np.searchsorted(keys, last[ok] << 32 | word[ok])
+            p = np.zeros(len(word))
+            for k in range(samples):
+                c, t = np.zeros(len(word)), np.zeros(len(word))
+                c[ok], t[ok] = pair[at, 0], pair[at, 1 + k]
+                p += score(k, c, t, of[u, 0], of[u, 1 + k], of[w, 1 + samples + k], of[w, 1 + 2 * samples + k]) / samples
+            total = np.add.reduceat(np.log10(p), np.cumsum(length) - length)
+            one = lambda c: rows.column(c).slice(0, 1).combine_chunks().flatten()
+            yield pa.RecordBatch.from_arrays([one("ids"), pa.array(~learn), pa.array(length.astype(np.int64)), one("known").cast(pa.int64()), one("base"), pa.array(total)], ["_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    return met(blocks, answers, into).mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+
+
+def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, draw: Callable = seat) -> DataFrame:
     """Scores every row by a model of the rows for which learn holds.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both log10 probabilities of the whole text with its end, and
-    perplexity by score. Null counts as an empty text, which is its end alone. Repeated rows are scored, and learned from, each time. Without rows to learn
-    from, both models are uniform over the one unknown word. Empty input gives empty output.
+    perplexity by score. draw chooses the number of tables as seat() does. Null counts as an empty text, which is its end alone. Repeated rows and ids, null ids too, are scored, and learned from, each time. Without rows to learn
+    from, both models are uniform over the one unknown word. Texts of any length are one row of a block. Empty input gives empty output.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("_r"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
-    texts, _ = written(rows, "texts")  # rows keep their numbers
-    model = Model(occurrences(texts.filter("_learn")), seed)
-
-    def forget(state: State) -> None:
-        for path in state.paths:
-            drop_path(spark, path)
-
+    blocks, blocks_path = written(blocks_of(docs, learn, id_col=id_col, text_col=text_col), "blocks")
+    size = blocks.select(F.count(F.lit(1)).alias("blocks"), F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"), F.sum(F.size(F.filter("learn", lambda x: x))).alias("texts")).first()
+    parts, into, texts = max(1, -(-(size["n"] or 0) // PART_TOKENS)), max(1, size["blocks"]), size["texts"] or 0
+    answers, answers_path = written(number_words(word_questions(blocks, parts), parts), "numbers")
+    ready, ready_path = written(numbered(blocks.drop("n"), answers, parts, into), "numbered")
+    asked, own = ready.filter("part is not null").select("part", "block", "data"), ready.filter("part is null").select("block", "ids", "learn", "length", "tokens", "numbers", "known", "base")
+    drop_path(spark, blocks_path)
+    let_go(spark)
+    model = Model(crowded(asked, parts), vocabulary_of(answers, parts), texts, seed, draw)
+    drop_path(spark, answers_path)
+    let_go(spark)
     for _ in range(FIRST_SWEEPS):
-        forget(model.sweep())
+        model.sweep()
     model.estimate()
-    samples = []
+    roots, kept = [], []
     for k in range(BURN_IN + SAMPLES):
-        before = model.sweep()
-        if k <= BURN_IN:
-            forget(before)
-        if k >= BURN_IN:
-            samples.append(model.state)
-    found = model.scored(occurrences(texts).drop("_learn"), samples)
-    n = F.coalesce("n", F.lit(0))
-    sums = found.groupBy("_r").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("n").alias("n_known"), F.sum(F.log10(n + 1)).alias("base"), F.sum(F.log10("p")).alias("score"))
-    out = texts.select("_r", "_id", "_learn").join(sums, "_r")
-    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_words + 1)))
-    return out.select(F.col("_id").alias(id_col), (~F.col("_learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+        j = k - BURN_IN  # samples before this sweep
+        model.sweep(keep=f"t_{j - 1}" if j > 0 else None)
+        if j > 0:
+            kept.append(model.kept)
+        if j >= 0:
+            roots.append(model.root)
+    last = SAMPLES - 1
+    words = model.words.select("id", "n", *[F.col(x).alias(f"{x}_t_{last}") for x in ("tables", "c0", "t0")])
+    for frame in kept:
+        words = words.join(frame, "id")
+    columns = [f"{x}_t_{k}" for x in ("tables", "c0", "t0") for k in range(SAMPLES)]
+    words, words_path = written(words.select((F.pmod(F.col("id") - FIRST_WORD, F.lit(parts)) + parts).alias("part"), "id", "n", *columns), "answers-of-words")
+    start = words.filter(F.col("id") == START).select("n", *columns[:SAMPLES]).first()
+    leaves = model.leaves.withColumnRenamed("t", f"t_{last}").select("part", "last", "word", "c", *[f"t_{k}" for k in range(SAMPLES)])
+    replies, replies_path = written(answered(asked.unionByName(words_asked(own, parts)), leaves, words.filter(F.col("id") >= FIRST_WORD), parts), "answers")
+    drop_path(spark, words_path)
+    drop_path(spark, model.leaves_path)
+    let_go(spark)
+    n_words, discount, strength = model.n_words, model.discount, model.strength
+
+    def score(k: int, c: np.ndarray, t: np.ndarray, n: np.ndarray, tables: np.ndarray, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
+        return probability(c, t, n, tables, c0, t0, roots[k], n_words, discount, strength)
+
+    out = scored(own, replies, score, parts, into, SAMPLES, tuple(start))
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + n_words + 1)))
+    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

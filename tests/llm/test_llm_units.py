@@ -548,27 +548,78 @@ def test_base_and_counts(spark):
         assert np.isfinite(r["score"]) and r["score"] < 0
 
 
-def test_probabilities_of_a_restaurant_sum_to_one():
-    rng = np.random.default_rng(2)
-    size, n = 3, 40
-    w, ctx = np.nonzero(rng.random((n, size**2)) < 0.5)
-    c = rng.integers(1, 200, len(w))
-    c2 = np.bincount(ctx, c, size**2)
-    s = pitman_yor.Seating(w, ctx, c, n, size, pitman_yor.Totals.guess(c2, size), 1)
-    for _ in s.samples():
-        k = s.counts()
-        totals = pitman_yor.Totals(c2, k["t2"], k["c1"], k["t1"], *k["root"])
-        for r in range(size**2):
-            known = s.probability(np.arange(n), np.full(n, r), totals).sum()
-            unknown = s.probability(np.array([-1]), np.array([r]), totals)[0]
-            assert abs(known + unknown - 1) < 1e-9
-
-
-def test_seats_stay_between_one_and_the_customers():
+def partitions(n):
+    """All ways to put customers 0 to n - 1 at tables."""
+    if n == 0:
+        yield []
+        return
+    for p in partitions(n - 1):
+        for i in range(len(p)):
+            yield [x + (j == i) for j, x in enumerate(p)]
+        yield [*p, 1]
+
+
+@pytest.mark.parametrize("d", [0.2, 0.75])
+def test_stirling_numbers_against_all_partitions(d):
+    for c in range(1, 8):
+        want = collections.Counter()
+        for p in partitions(c):
+            want[len(p)] += np.prod([np.prod([k - d for k in range(1, n)]) for n in p])
+        got = np.exp(pitman_yor.stirling(d)[c, 1 : c + 1])
+        assert np.allclose(got, [want[t] for t in range(1, c + 1)])
+
+
+@pytest.mark.parametrize("d", [0.1, 0.3, 0.7, 0.95])
+def test_series_of_many_customers_agree_with_the_recursion(d):
+    t = np.array([1, 2, 7, 20, 60, 130, 300, 500, 700, 900, 1000])
+    got = pitman_yor.stirling_far(np.full(len(t), 1024.0), t.astype(float), d)
+    assert np.abs(got - pitman_yor.stirling(d)[1024, t]).max() < 0.06
+
+
+def test_seats_follow_their_conditional():
     rng = np.random.default_rng(3)
-    c = np.array([0, 1, 2, 5, 12, 13, 500, 100_000])
-    t = pitman_yor.seat(c, np.full(len(c), 0.5), 0.7, rng)
+    d, room, p, n = 0.6, 4.0, 0.2, 20_000
+    want = np.exp(pitman_yor.stirling(d)[6, 1:7]) * [np.prod([d * p * (room + j) for j in range(t)]) for t in range(1, 7)]
+    t = pitman_yor.seat(np.full(n, 6), np.full(n, room), np.full(n, p), d, rng.random(n))
+    assert np.abs(np.bincount(t, minlength=7)[1:] / n - want / want.sum()).max() < 0.015
+    c = np.array([0, 1, 2, 5, 13, 500, 1024, 1025, 100_000, 10**9])
+    t = pitman_yor.seat(c, np.full(len(c), 50.0), np.full(len(c), 0.1), 0.7, rng.random(len(c)))
     assert (t <= c).all() and (t[c > 0] >= 1).all() and t[0] == 0
+    near, far = (pitman_yor.seat(np.full(3000, k), np.full(3000, 900.0), np.full(3000, 0.05), 0.7, rng.random(3000)) for k in (1024, 1025))
+    assert abs(near.mean() / far.mean() - 1) < 0.02 and abs(near.std() / far.std() - 1) < 0.1
+
+
+def test_scores_against_brute_force_with_fixed_seats(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(0, 40)) for _ in range(50)] + [None, "", "new alpha unseen beta", "alpha " * 30, "long " * 5000]
+    learn = {i: i % 3 != 0 for i in range(len(texts))}
+    models = []
+
+    class Kept(pitman_yor.Model):
+        def __init__(self, *args):
+            super().__init__(*args)
+            models.append(self)
+
+    monkeypatch.setattr(pitman_yor, "Model", Kept)
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 700)  # several parts
+    half = lambda c, room, p, d, u: np.minimum(c, (c + 1) // 2)
+    got = {r["doc_id"]: r for r in pitman_yor.score_texts(docs(spark, texts), F.col("doc_id") % 3 != 0, draw=half).collect()}
+    words = {i: ["<start>", *(t or "").encode().lower().split(), b""] for i, t in enumerate(texts)}
+    c = collections.Counter((a, b) for i, ws in words.items() if learn[i] for a, b in zip(ws, ws[1:], strict=False))
+    t = {k: (n + 1) // 2 for k, n in c.items()}
+    customers, tables, c0 = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, b), n in c.items():
+        customers[a] += n
+        tables[a] += t[a, b]
+        c0[b] += t[a, b]
+    t0 = {w: (n + 1) // 2 for w, n in c0.items()}
+    (d0, d1), (s0, s1) = models[0].discount, models[0].strength
+    root = lambda w: (c0[w] - d0 * t0.get(w, 0) + (s0 + d0 * sum(t0.values())) / (len(c0) + 1)) / (s0 + sum(c0.values()))
+    prob = lambda a, w: (c[a, w] - d1 * t.get((a, w), 0) + (s1 + d1 * tables[a]) * root(w)) / (s1 + customers[a])
+    for i, ws in words.items():
+        assert abs(got[i]["score"] - sum(np.log10(prob(a, b)) for a, b in zip(ws, ws[1:], strict=False))) < 1e-6 * max(1, len(ws))
+    for a in ("<start>", b"alpha", b"never seen"):
+        assert abs(sum(prob(a, w) for w in c0) + prob(a, b"unknown") - 1) < 1e-9
 
 
 def test_models_of_nothing(spark):
@@ -585,20 +636,6 @@ def test_rare_words_name_restaurants(spark):
     assert all(r[3 * n + i]["score"] > r[3 * n + 20 + i]["score"] + 1 for i in range(20))
 
 
-def test_distributed_probabilities_sum_to_one(spark):
-    rng = random.Random(4)
-    texts = docs(spark, [prose(rng, 30) for _ in range(40)]).select(F.col("doc_id").alias("_r"), F.col("text").alias("_text"), F.lit(True).alias("_learn"))
-    seen = pitman_yor.occurrences(texts)
-    model = pitman_yor.Model(seen, 1)
-    model.sweep()
-    model.estimate()
-    model.sweep()
-    words = model.vocabulary.select("word").unionByName(spark.createDataFrame([(12345,)], "word long"))
-    places = seen.select("pair", "last").distinct().limit(7).unionByName(spark.createDataFrame([(1, 2)], "pair long, last long"))
-    sums = model.scored(places.crossJoin(words), [model.state]).groupBy("pair").agg(F.sum("p").alias("p")).collect()
-    assert len(sums) == 8 and all(abs(r["p"] - 1) < 1e-9 for r in sums)
-
-
 def test_repeated_partitions_are_scored_each_time(spark):
     rng = random.Random(6)
     one = docs(spark, [prose(rng, 20) for _ in range(10)])  # several partitions
