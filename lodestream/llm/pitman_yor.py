@@ -20,6 +20,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,20 +102,29 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
+def log_gamma_far(x: np.ndarray) -> np.ndarray:
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x)
+
+
 def stirling_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """The same for large c and 1 <= t < c, which need not be whole: for few tables by the alternating sum of rising factorials of -j d, whose terms fall quickly, for many by the saddle point of the generating function ((1 - (1 - x)^d) / d)^t / t!."""
-    few = np.where(t <= 0.4 * c, t * c**-d <= 4, (t <= 0.7 * c) & (t * c**-d <= 2.5))
-    out = np.empty(len(c))
-    n, k = c[few], t[few]
-    total, chosen, first = np.zeros(len(n)), np.ones(len(n)), log_gamma(n - d)
-    for j in range(1, 61):
-        chosen = chosen * (k - j + 1) / j * -1
-        x = j * d
-        total += chosen * -x * np.sin(np.pi * x) / np.pi * np.exp(log_gamma(n - x) - first + log_gamma(np.array(x)))
-    out[few] = np.log(np.maximum(total, 1e-300)) + first - k * np.log(d) - log_gamma(k + 1)
-    n, k = c[~few], t[~few]
+    """The same for large c, a row each of t, with 1 <= t < c, which need not be whole: for few tables by the alternating sum of rising factorials of -j d, whose terms fall quickly, for many by the saddle point of the generating function ((1 - (1 - x)^d) / d)^t / t!."""
+    n = np.broadcast_to(c[:, None], t.shape)
+    few = np.where(t <= 0.4 * n, t * n**-d <= 4, (t <= 0.7 * n) & (t * n**-d <= 2.5))
+    out = np.empty(t.shape)
+    x = np.arange(1, 41) * d
+    first = log_gamma_far(c - d)
+    terms = -x * np.sin(np.pi * x) / np.pi * np.exp(log_gamma_far(c[:, None] - x) - first[:, None] + log_gamma(x))
+    total, chosen, k = np.zeros(t.shape), np.ones(t.shape), np.where(few, t, 1.0)
+    for j in range(1, 41):
+        chosen = chosen * (j - 1 - k) / j
+        total += chosen * terms[:, j - 1, None]
+    near = np.log(np.maximum(total, 1e-300)) + first[:, None] - k * np.log(d) - log_gamma(k + 1)
+    out[few] = near[few]
+    n, k = n[~few], t[~few]
+    if not len(n):
+        return out
     lo, hi = np.full(len(n), 1e-12), np.full(len(n), 700.0)  # of y, where x = 1 - e^-y
-    for _ in range(70):
+    for _ in range(48):
         y = (lo + hi) / 2
         high = np.log(k * d / n) + np.log(-np.expm1(-y)) + y * (1 - d) - np.log(-np.expm1(-d * y)) > 0
         lo, hi = np.where(high, lo, y), np.where(high, y, hi)
@@ -125,6 +135,27 @@ def stirling_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out
 
 
+def seat_far(n: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """seat() for many customers: the top of the weight is closed in on by two grids, then a number within six deviations of it is drawn."""
+    rows = np.arange(len(n))
+    weight = lambda t: stirling_far(n, t, d) + log_gamma(room[:, None] + t) - log_gamma(room)[:, None] + t * np.log(d * p)[:, None]
+    lo, hi = np.zeros(len(n)), np.log(n - 1)  # of the logarithm of t; the weight has one top
+    for _ in range(3):
+        grid = lo[:, None] + (hi - lo)[:, None] * np.linspace(0, 1, 25)
+        best = weight(np.exp(grid)).argmax(axis=1)
+        lo, hi = grid[rows, np.maximum(best - 1, 0)], grid[rows, np.minimum(best + 1, 24)]
+    top = np.clip(np.exp((lo + hi) / 2), 1.0, n - 1)
+    h = np.clip(top * 0.02, 0.5, np.maximum(np.minimum(top - 1, n - 1 - top), 0.5))
+    at = np.clip(top, 1 + h, n - 1 - h)
+    w = weight(np.stack([at - h, at, at + h], axis=1))
+    wide = 1 / np.sqrt(np.maximum(-(w[:, 0] - 2 * w[:, 1] + w[:, 2]) / h**2, 1e-12))
+    grid = np.rint(top[:, None] + wide[:, None] * np.linspace(-6, 6, 97)).clip(1, (n - 1)[:, None])
+    w = weight(grid)
+    w[:, 1:][grid[:, 1:] == grid[:, :-1]] = -np.inf
+    w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+    return grid[rows, (w < u[:, None] * w[:, -1:]).sum(axis=1).clip(0, 96)].astype(np.int64)
+
+
 def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
     """Tables of c customers of a dish each, drawn by the random numbers u from their full conditional.
 
@@ -143,25 +174,9 @@ def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, u: np.ndarray
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             tables[rows] = 1 + (w < u[rows, None] * w[:, -1:]).sum(axis=1).clip(0, n - 1)
     far = np.flatnonzero(c > EXACT)
-    if len(far):
-        n, r, q = c[far].astype(float), room[far], p[far]
-        weight = lambda t: stirling_far(n, t, d) + log_gamma(r + t) - log_gamma(r) + t * np.log(d * q)
-        lo, hi = np.zeros(len(far)), np.log(n - 1)  # of the logarithm of t; the weight has one top
-        for _ in range(60):
-            a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
-            left = weight(np.exp(a)) > weight(np.exp(b))
-            lo, hi = np.where(left, lo, a), np.where(left, b, hi)
-        top = np.clip(np.exp((lo + hi) / 2), 1.0, n - 1)
-        h = np.clip(top * 0.02, 0.5, np.maximum(np.minimum(top - 1, n - 1 - top), 0.5))
-        at = np.clip(top, 1 + h, n - 1 - h)
-        bend = (weight(at + h) - 2 * weight(at) + weight(at - h)) / h**2
-        wide = 1 / np.sqrt(np.maximum(-bend, 1e-12))
-        # whole numbers within six deviations of the top, each by its weight
-        grid = np.rint(top[:, None] + wide[:, None] * np.linspace(-6, 6, 97)).clip(1, (n - 1)[:, None])
-        w = np.stack([weight(g) for g in grid.T], axis=1)
-        w[:, 1:][grid[:, 1:] == grid[:, :-1]] = -np.inf
-        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-        tables[far] = grid[np.arange(len(far)), (w < u[far, None] * w[:, -1:]).sum(axis=1).clip(0, 96)].astype(np.int64)
+    for i in range(0, len(far), 4096):
+        k = far[i : i + 4096]
+        tables[k] = seat_far(c[k].astype(float), room[k], p[k], d, u[k])
     return tables
 
 
@@ -179,6 +194,42 @@ def strength_of(c: np.ndarray, t: np.ndarray, d: float, n: np.ndarray | None = N
 # -- blocks, and what they ask
 
 
+def in_slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about BLOCK_TOKENS bytes of text, or of one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column("_text")), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < b.num_rows:
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BLOCK_TOKENS, "right")))
+        yield b.slice(a, z - a)
+        a = z
+
+
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, between ASCII white space, A-Z lower-cased, and how many each text has."""
+    clean = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    lists = pc.ascii_split_whitespace(clean)
+    n = np.where(pc.equal(clean, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    found = lists.flatten()
+    return found.filter(pc.not_equal(found, "")), n
+
+
+def block_of(block: int, held: list[tuple[pa.Array, pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """held: ids, learn, words and their numbers. A block numbers its words itself; the end of a text is the last of its words."""
+    ids, learn = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
+    words = pa.concat_arrays([h[2] for h in held]).dictionary_encode()
+    n = np.concatenate([h[3] for h in held]) + 1
+    end = len(words.dictionary)
+    flat = np.full(n.sum(), end)
+    ends = np.zeros(len(flat), bool)
+    ends[np.cumsum(n) - 1] = True
+    flat[~ends] = words.indices.to_numpy()
+    learns = learn.to_numpy(zero_copy_only=False)
+    counts = np.bincount(flat[np.repeat(learns, n)], minlength=end + 1)
+    names = b"\n".join([*(x.encode() for x in words.dictionary.to_pylist()), END])
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(ids), one(learn), one(pa.array(n, pa.int32())), *(pa.array([x], pa.binary()) for x in (zstandard.compress(names, 3), shut(counts), shut(flat)))], ["block", "ids", "learn", "length", "words", "n", "tokens"])
+
+
 def blocks_of(docs: DataFrame, learn: Column, *, id_col: str, text_col: str) -> DataFrame:
     """(block, ids, learn, length, words, n, tokens): texts as numbers into the block's own list of words, n of which stand in texts to learn from."""
     kind = docs.schema[id_col].dataType
@@ -186,29 +237,17 @@ def blocks_of(docs: DataFrame, learn: Column, *, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = count(TaskContext.get().partitionId() << 32)
-        ids, learns, lengths, tokens, vocabulary, total = [], [], [], [], defaultdict(count().__next__), 0
-
-        def done() -> pa.RecordBatch:
-            flat = np.concatenate(tokens)
-            n = np.bincount(flat[np.repeat(np.array(learns), lengths)], minlength=len(vocabulary))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([next(number)], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([learns], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([zstandard.compress(b"\n".join(vocabulary), 3)], pa.binary()), pa.array([shut(n)], pa.binary()), pa.array([shut(flat)], pa.binary())],
-                ["block", "ids", "learn", "length", "words", "n", "tokens"],
-            )
-
+        number, held, total = count(TaskContext.get().partitionId() << 32), [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                words = (b.column("_text")[i].as_py() or "").encode().lower().split()
-                words.append(END)
-                tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
-                ids.append(b.column("_id").slice(i, 1)), learns.append(bool(b.column("_learn")[i].as_py())), lengths.append(len(words))
-                total += len(words)
+            for part in in_slices(b):
+                found, n = split_words(part.column("_text"))
+                held.append((part.column("_id"), part.column("_learn"), found, n))
+                total += len(found) + len(n)
                 if total >= BLOCK_TOKENS:
-                    yield done()
-                    ids, learns, lengths, tokens, vocabulary, total = [], [], [], [], defaultdict(count().__next__), 0
-        if ids:
-            yield done()
+                    yield block_of(next(number), held)
+                    held, total = [], 0
+        if held:
+            yield block_of(next(number), held)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
     return rows.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, learn array<boolean>, length array<int>, words binary, n binary, tokens binary")
@@ -358,7 +397,8 @@ def numbered(blocks: DataFrame, answers: DataFrame, parts: int, into: int) -> Da
             plain = lambda c: own.column(c).combine_chunks()
             types = [plain(c).type for c in ("ids", "learn", "length")]
             yield pa.RecordBatch.from_arrays([plain("block"), plain("ids"), plain("learn"), plain("length"), plain("tokens"), pa.array([shut(number, n)], pa.binary()), pa.array([known], pa.list_(pa.int32())), pa.array([base], pa.list_(pa.float64())), none(pa.int64()), none(pa.binary())], names)
-            keys, customers = asked_pairs(tokens, number, length, learn)
+            keys, which, ok = asked_pairs(tokens, number, length)
+            customers = np.bincount(which, np.repeat(learn, length)[ok], len(keys)).astype(np.int64)
             order, cuts = sliced(parts_of_pairs(keys, parts))
             keys, customers = keys[order], customers[order]
             for i in range(0, len(cuts), 512):
@@ -369,19 +409,19 @@ def numbered(blocks: DataFrame, answers: DataFrame, parts: int, into: int) -> Da
     return met(blocks, answers, into).mapInArrow(run, NUMBERED.format(kind))
 
 
-def asked_pairs(tokens: np.ndarray, number: np.ndarray, length: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct pairs (last << 32 | word) of known words, sorted, and how often each stands in texts to learn from."""
+def asked_pairs(tokens: np.ndarray, number: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct pairs (last << 32 | word) of known words, sorted, and which of them each word ends, for the words where both are known."""
     word, last = pairs_of(tokens, number, length)
     ok = (word != UNKNOWN) & (last != UNKNOWN)
     keys, which = np.unique(last[ok] << 32 | word[ok], return_inverse=True)
-    return keys, np.bincount(which, np.repeat(learn, length)[ok], len(keys)).astype(np.int64)
+    return keys, which, ok
 
 
-def counted(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The customers of each pair that a part is asked for."""
+def counted(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that a part is asked for and their customers; and which pair each entry of the lists is, and where the lists end."""
     found = [opened(x.as_py(), 2) for x in lists]
     keys, which = np.unique(np.concatenate([np.cumsum(k) for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
+    return keys, np.bincount(which, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64), which, np.cumsum([len(k) for k, _ in found])
 
 
 def crowded(asked: DataFrame, parts: int) -> DataFrame:
@@ -389,7 +429,7 @@ def crowded(asked: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_key(batches, "part"):
-            keys, c = counted(rows.column("data"))
+            keys, c, *_ = counted(rows.column("data"))
             keys, c = keys[c > 1], c[c > 1]
             for i in range(0, len(keys), 1 << 16):
                 k = keys[i : i + (1 << 16)]
@@ -419,7 +459,7 @@ def seated(rows: DataFrame, keys: list[str], c: str, old: str, d: float, seed: i
         for b in batches:
             held.append(b)
             n += b.num_rows
-            if n >= 1 << 16:
+            if n >= 1 << 18:
                 yield from flush(held)
                 held, n = [], 0
         if held:
@@ -538,7 +578,6 @@ def answered(asked: DataFrame, leaves: DataFrame, words: DataFrame, parts: int)
     asked(part, block, data); leaves(part, last, word, c, t_0, ..) and words(part, id, ..) come before the questions of their part. Parts from `parts` on are those of words.
     """
     t_names, w_names = [c for c in leaves.columns if c.startswith("t_")], [c for c in words.columns if c not in ("part", "id")]
-    width = max(len(t_names) + 1, len(w_names))
     cast = lambda cols: F.array(*[F.col(c).cast("long") for c in cols]).alias("v")
     none = F.lit(None).cast("binary").alias("data")
     zero = F.lit(-1).cast("long").alias("block")
@@ -553,23 +592,19 @@ def answered(asked: DataFrame, leaves: DataFrame, words: DataFrame, parts: int)
             keys = group.column("key").slice(0, n).to_numpy()
             k = len(t_names) + 1 if part < parts else len(w_names)
             v = group.column("v").slice(0, n).combine_chunks()
-            v = (v.flatten().to_numpy() if n else np.zeros(0, np.int64)).reshape(n, -1)
-            values = np.zeros((n + 1, width), np.int64)  # the last row is that of what isn't there
-            if n:
+            v = (v.flatten().to_numpy() if n else np.zeros(0, np.int64)).reshape(n, k)
+            lists, out, at = group.column("data").slice(n), [], None
+            if part < parts and len(lists):
+                # a pair without a row has one customer, who has a table of its own, or none
+                pairs, c, which, ends = counted(lists)
+                values = np.repeat(np.minimum(c, 1)[:, None], k, axis=1)
+                values[np.searchsorted(pairs, keys)] = v
+                at = np.split(which, ends[:-1])
+            elif n:
                 order = np.argsort(keys, kind="stable")
-                keys, values[:n, : v.shape[1]] = keys[order], v[order]
-            lists = group.column("data").slice(n)
-            every, c = counted(lists) if part < parts and len(lists) else (None, None)
-            out = []
-            for b, data in zip(block[n:].tolist(), lists, strict=True):
-                wanted = np.cumsum(opened(data.as_py(), 2 if part < parts else 1)[0])
-                at = np.searchsorted(keys, wanted)
-                at = np.where((at < n) & (keys[np.minimum(at, n - 1)] == wanted), at, n) if n else np.zeros(len(wanted), np.int64)
-                found = values[at, :k]
-                if part < parts:
-                    # a pair without a row has one customer, who has a table of its own, or none
-                    single = (at == n) & (c[np.searchsorted(every, wanted)] > 0)
-                    found[single] = 1
+                keys, values = keys[order], v[order]
+            for i, (b, data) in enumerate(zip(block[n:].tolist(), lists, strict=True)):
+                found = values[at[i]] if at else values[np.searchsorted(keys, np.cumsum(opened(data.as_py(), 1)[0]))]
                 out.append((part, b, shut(*found.T)))
                 if len(out) == 256:
                     yield questions(out)
@@ -605,7 +640,7 @@ def scored(blocks: DataFrame, answers: DataFrame, score: Callable, parts: int, i
             number, n = opened(rows.column("numbers")[0].as_py(), 2)
             learn = np.array(rows.column("learn")[0].as_py())
             given = dict(zip(rows.column("part").to_pylist()[1:], rows.column("data").slice(1), strict=True))
-            keys, _ = asked_pairs(tokens, number, length, learn)
+            keys, which, ok = asked_pairs(tokens, number, length)
             pair = np.zeros((len(keys), samples + 1), np.int64)
             order, cuts = sliced(parts_of_pairs(keys, parts))
             for p, a, z in cuts:
@@ -617,15 +652,11 @@ def scored(blocks: DataFrame, answers: DataFrame, score: Callable, parts: int, i
             order, cuts = sliced((ids - FIRST_WORD) % parts)
             for p, a, z in cuts:
                 of[order[a:z] + 2] = np.stack(opened(given[parts + p].as_py(), 3 * samples + 1), axis=1)
-            word, last = pairs_of(tokens, number, length)
-            place = lambda x: np.where(x >= FIRST_WORD, np.searchsorted(ids, x) + 2, x)
-            w, u = place(word), place(last)
-            ok = (word != UNKNOWN) & (last != UNKNOWN)
-            at = np.searchsorted(keys, last[ok] << 32 | word[ok])
-            p = np.zeros(len(word))
+            w, u = pairs_of(tokens, np.where(number >= FIRST_WORD, np.searchsorted(ids, number) + 2, number), length)
+            p = np.zeros(len(tokens))
             for k in range(samples):
-                c, t = np.zeros(len(word)), np.zeros(len(word))
-                c[ok], t[ok] = pair[at, 0], pair[at, 1 + k]
+                c, t = np.zeros(len(tokens)), np.zeros(len(tokens))
+                c[ok], t[ok] = pair[which, 0], pair[which, 1 + k]
                 p += score(k, c, t, of[u, 0], of[u, 1 + k], of[w, 1 + samples + k], of[w, 1 + 2 * samples + k]) / samples
             total = np.add.reduceat(np.log10(p), np.cumsum(length) - length)
             one = lambda c: rows.column(c).slice(0, 1).combine_chunks().flatten()
