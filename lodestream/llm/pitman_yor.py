@@ -6,7 +6,7 @@ and pairs of words (`answered`), in packed lists, which are far smaller than a r
 
 Seats are sampled dish by dish: the number of tables of a dish of c customers is drawn from its full conditional given all others, by generalized Stirling
 numbers, whatever c is. The others' totals are those of the sweep before (the usual approximation of distributed Gibbs samplers). A customer that is alone with its dish
-has one table in every sample, so sweeps go over the other dishes only, as rows that Spark joins with their restaurants' totals.
+has one table in every sample, so sweeps go over the other dishes only. Each half of a sweep is a written table, a row for each part and the lists between parts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import gc
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import count
 
@@ -42,16 +42,22 @@ END = b""  # no word is empty
 
 
 def shut(*columns: np.ndarray) -> bytes:
-    """Equally long columns of unsigned numbers, by byte planes, compressed."""
-    planes = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    """Equally long columns of numbers from 0 on, by byte planes, as many as a column needs, compressed."""
+    wide = [max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1 for c in columns]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for c, w in zip(columns, wide, strict=True)]
+    return bytes(wide) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def opened(data: bytes, n: int) -> list[np.ndarray]:
     """The n columns that shut() packed, as int64."""
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    planes = np.frombuffer(raw, np.uint8).reshape(n, 8, len(raw) // (8 * n))
-    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
+    wide, raw = data[:n], zstandard.ZstdDecompressor().decompress(data[n:])
+    rows, at, out = len(raw) // sum(wide), 0, []
+    for w in wide:
+        column = np.zeros((rows, 8), np.uint8)
+        column[:, :w] = np.frombuffer(raw, np.uint8, w * rows, at).reshape(w, rows).T
+        out.append(column.view("<i8").ravel())
+        at += w * rows
+    return out
 
 
 def golden(k: int) -> np.uint64:
@@ -257,15 +263,21 @@ def parts_of_words(words: list[bytes], parts: int) -> np.ndarray:
     return (np.array([xxhash.xxh64_intdigest(w, 3) for w in words], np.uint64) % np.uint64(parts)).astype(np.int64)
 
 
+def parts_of_ids(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The start of texts goes with their end, so that its part is never empty."""
+    return np.where(ids == START, parts_of_words([END], parts)[0], (ids - FIRST_WORD) % parts)
+
+
 def parts_of_pairs(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def sliced(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order that puts equal parts together, and (part, from, to) of each."""
-    order = np.argsort(part, kind="stable")
     if not len(part):
-        return order, []
+        return np.zeros(0, np.int64), []
+    # 16-bit numbers are sorted by radix
+    order = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")
     found, first = np.unique(part[order], return_index=True)
     return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
 
@@ -311,7 +323,7 @@ def word_questions(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def number_words(asked: DataFrame, parts: int) -> DataFrame:
-    """Answers (part, block, data: number and count of each word that the block asked of the part), and for block -1 the counts of the part's known words.
+    """Answers (part, block, data: number and count of each word that the block asked of the part), and for block -1 the counts of the part's known words, how many those are, and their customers.
 
     A part's words get numbers in order of their counts, dealt out like cards among the parts, so that frequent words have small ones. Words without a text to learn from are unknown.
     """
@@ -331,32 +343,21 @@ def number_words(asked: DataFrame, parts: int) -> DataFrame:
             number = np.empty(len(total), np.int64)
             number[order] = np.arange(len(total)) * parts + part + FIRST_WORD
             number[total == 0] = UNKNOWN
-            yield questions([(part, block, shut(number[at], total[at])) for block, at in zip(rows.column("block").to_pylist(), lists, strict=True)])
             end = place.get(END, -1)
             known = total[order][total[order] > 0]
-            yield questions([(part, -1, shut(known, (order == end)[: len(known)]))])
+            out = [(part, -1, shut(known, (order == end)[: len(known)]), len(known), int(known.sum()))]
+            out += [(part, block, shut(number[at], total[at]), 0, 0) for block, at in zip(rows.column("block").to_pylist(), lists, strict=True)]
+            for i in range(0, len(out), 256):
+                cols = list(zip(*out[i : i + 256], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 2 else pa.int64()) for k, c in enumerate(cols)], ["part", "block", "data", "known", "customers"])
 
-    return gathered(asked, parts).mapInArrow(run, QUESTION)
+    return gathered(asked, parts).mapInArrow(run, f"{QUESTION}, known long, customers long")
 
 
 def gathered(rows: DataFrame, parts: int, *more: str) -> DataFrame:
     return rows.repartition(parts, "part").sortWithinPartitions("part", *more)
 
 
-def vocabulary_of(answers: DataFrame, parts: int) -> DataFrame:
-    """(id, n, is_end) of the known words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
-                n, end = opened(data.as_py(), 2)
-                for i in range(0, len(n), 1 << 16):
-                    k = np.arange(i, min(len(n), i + (1 << 16)))
-                    yield pa.RecordBatch.from_arrays([pa.array(k * parts + part + FIRST_WORD), pa.array(n[k]), pa.array(end[k] > 0)], ["id", "n", "is_end"])
-
-    return answers.filter("block = -1").select("part", "data").mapInArrow(run, "id long, n long, is_end boolean")
-
-
 def met(blocks: DataFrame, answers: DataFrame, into: int) -> DataFrame:
     """Blocks, each followed by its answers in order of their parts: rows(block, part, data, ..) where a block's own row has part -1."""
     own = blocks.withColumns({"part": F.lit(-1).cast("long"), "data": F.lit(None).cast("binary")})
@@ -424,48 +425,120 @@ def counted(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return keys, np.bincount(which, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64), which, np.cumsum([len(k) for k, _ in found])
 
 
-def crowded(asked: DataFrame, parts: int) -> DataFrame:
-    """(part, last, word, c): pairs of two customers or more."""
+# -- sweeps
+
+
+#: A part's state is a row whose block is -1: of pairs of two customers or more (keys, c, t, and the t of earlier samples; a: customers, b: pairs of two), or of words (n, whether it is
+#: a text's end, tables, c0, t0; a: customers of the root, b: its tables, c: tables of the restaurant of text starts, d and e: dishes of one and of two customers). Other rows are lists between parts of pairs and of words.
+STATE = QUESTION + ", a long, b long, c long, d long, e long"
+LOW = (1 << 32) - 1
+
+
+def state_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*[(*r, *(0,) * (8 - len(r))) for r in rows], strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(cols)], ["part", "block", "data", "a", "b", "c", "d", "e"])
+
+
+def ids_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a part's pairs, and where in them the first and the second word of each pair are."""
+    last, word = keys >> 32, keys & LOW
+    ids = np.unique(np.concatenate([last, word]))
+    return ids, np.searchsorted(ids, last), np.searchsorted(ids, word)
+
+
+def with_lists(part: int, keys: np.ndarray, c: np.ndarray, t: np.ndarray, kept: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """The state of a part of pairs, and what its words' parts need of it: by how many customers have no table of their own, as dishes of a restaurant and of the root."""
+    yield state_rows([(part, -1, shut(np.diff(keys, prepend=0), c, t, *kept), int(c.sum()), int((c == 2).sum()))])
+    ids, last, word = ids_of(keys)
+    less = [np.bincount(x, c - t, len(ids)).astype(np.int64) for x in (last, word)]
+    order, cuts = sliced(parts_of_ids(ids, parts))
+    for i in range(0, len(cuts), 512):
+        yield state_rows([(p, part, shut(np.diff(ids[k], prepend=0), *(x[k] for x in less))) for p, a, z in cuts[i : i + 512] for k in (order[a:z],)])
+
+
+def begun(asked: DataFrame, parts: int) -> DataFrame:
+    """The pairs of two customers or more, at tables that are a guess."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in by_key(batches, "part"):
             keys, c, *_ = counted(rows.column("data"))
             keys, c = keys[c > 1], c[c > 1]
-            for i in range(0, len(keys), 1 << 16):
-                k = keys[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part)), pa.array(k >> 32), pa.array(k & 0xFFFFFFFF), pa.array(c[i : i + (1 << 16)])], ["part", "last", "word", "c"])
+            yield from with_lists(part, keys, c, np.maximum(1, c**0.7).astype(np.int64), [], parts)
 
-    return gathered(asked, parts).mapInArrow(run, "part long, last long, word long, c long")
+    return gathered(asked, parts).mapInArrow(run, STATE)
 
 
-# -- sweeps
+@dataclass(frozen=True)
+class Given:
+    """What all parts share in a sweep. root: customers and tables of the root before it."""
 
+    parts: int
+    words: int
+    starts: int
+    discount: tuple[float, float] = (DISCOUNT,) * 2
+    strength: tuple[float, float] = (STRENGTH,) * 2
+    root: tuple[int, int] = (0, 0)
 
-def seated(rows: DataFrame, keys: list[str], c: str, old: str, d: float, seed: int, draw: Callable = seat) -> DataFrame:
-    """rows with new tables in place of `old`, drawn given the columns _room and _p, which go."""
-    kept = [f for f in rows.schema if f.name not in (old, "_room", "_p")]
+
+def seat_words(rows: DataFrame, g: Given, seed: int, draw: Callable, *, first: bool = False) -> DataFrame:
+    """Words' totals by the lists of the pairs' parts, the root seated anew, and an answer to each list. rows(part, block, data): states and lists; at first the states are the counts that number_words() gives."""
+    of_start = int(parts_of_ids(np.array([START]), g.parts)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            numbers = lambda k: t.column(k).to_numpy()
-            name = np.zeros(t.num_rows, np.uint64)
-            for k in keys:
-                name = mixed(name + numbers(k).astype(np.uint64))
-            tables = draw(numbers(c), numbers("_room"), numbers("_p"), d, uniform(name, seed))
-            yield from t.select([f.name for f in kept]).append_column(old, pa.array(tables)).to_batches(1 << 14)
-
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= 1 << 18:
-                yield from flush(held)
-                held, n = [], 0
-        if held:
-            yield from flush(held)
+        for part, group in by_key(batches, "part"):
+            blocks, data = group.column("block").to_pylist(), group.column("data")
+            own = blocks[0] == -1
+            n, end, *old = opened(data[0].as_py(), 2 if first else 5) if own else (np.zeros(0, np.int64),) * 2
+            if first and part == of_start:
+                n, end = np.append(n, g.starts), np.append(end, 0)  # the start of texts, a restaurant and no dish
+            less = np.zeros((2, len(n)), np.int64)
+            places = []
+            for x in data.slice(int(own)):
+                ids, of_last, of_word = opened(x.as_py(), 3)
+                ids = np.cumsum(ids)
+                at = np.where(ids == START, len(n) - 1, (ids - FIRST_WORD) // g.parts)
+                less[0, at] += of_last  # a list has a word once
+                less[1, at] += of_word
+                places.append(at)
+            tables, c0, start = np.where(end > 0, 0, n - less[0]), n - less[1], 0
+            if part == of_start:
+                c0[-1], start = 0, int(tables[-1])
+            if first:
+                t0 = np.minimum(c0, 1)
+            else:
+                (d, s), t = (g.discount[0], g.strength[0]), old[2]
+                t0 = draw(c0, np.maximum(s / d + g.root[1] - t, 1e-6), np.full(len(n), 1.0 / (g.words + 1)), d, uniform(np.arange(len(n)).astype(np.uint64) * np.uint64(g.parts) + np.uint64(part), seed))
+            yield state_rows([(part, -1, shut(n, end, tables, c0, t0), int(c0.sum()), int(t0.sum()), start, int((c0 == 1).sum()), int((c0 == 2).sum()))])
+            for i in range(0, len(places), 512):
+                yield state_rows([(b, part, shut(tables[at], c0[at], t0[at])) for b, at in zip(blocks[int(own) + i :], places[i : i + 512], strict=False)])
+
+    return gathered(rows, g.parts, "block").mapInArrow(run, STATE)
+
+
+def seat_pairs(rows: DataFrame, g: Given, seed: int, draw: Callable, *, keep: bool, samples_before: int) -> DataFrame:
+    """Pairs seated anew, given their words' totals. rows(part, block, data): states and answers. keep: the tables before stay beside the new ones, as do those of samples_before."""
 
-    return rows.select(*[f.name for f in kept], old, "_room", "_p").mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{old} long"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in by_key(batches, "part"):
+            keys, c, t, *kept = opened(group.column("data")[0].as_py(), 3 + samples_before)
+            keys = np.cumsum(keys)
+            ids, last, word = ids_of(keys)
+            totals = np.zeros((3, len(ids)), np.int64)
+            order, cuts = sliced(parts_of_ids(ids, g.parts))
+            for (_, a, z), data in zip(cuts, group.column("data").slice(1), strict=True):
+                totals[:, order[a:z]] = opened(data.as_py(), 3)
+            tables, c0, t0 = totals
+            p0 = root_probability(c0, t0, g)
+            d, s = g.discount[1], g.strength[1]
+            new = draw(c, s / d + tables[last] - t, p0[word], d, uniform(mixed(keys.astype(np.uint64)), seed))
+            yield from with_lists(part, keys, c, new, [*kept, t] if keep else kept, g.parts)
+
+    return gathered(rows, g.parts, "block").mapInArrow(run, STATE)
+
+
+def root_probability(c0: np.ndarray, t0: np.ndarray, g: Given) -> np.ndarray:
+    d, s = g.discount[0], g.strength[0]
+    return (c0 - d * t0 + (s + d * g.root[1]) / (g.words + 1)) / (s + g.root[0])
 
 
 def let_go(spark: SparkSession) -> None:
@@ -474,143 +547,104 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-@dataclass
-class Totals:
-    """Of the root, in one sample."""
+class Model:
+    """Sweeps over written states: of pairs and of words, each half a sweep, which ask each other by lists."""
 
-    customers: int
-    tables: int
+    def __init__(self, asked: DataFrame, answers: DataFrame, g: Given, seed: int, draw: Callable):
+        self.spark, self.g, self.seed, self.draw, self.sweeps, self.paths, self.samples = asked.sparkSession, g, seed, draw, 0, [], 0
+        self.pairs = self.step(begun(asked, g.parts), "pairs")
+        self.words = self.step(seat_words(self.lists(self.pairs).unionByName(answers.filter("block = -1").select("part", "block", "data")), g, 0, draw, first=True), "words")
+        self.read_root()
 
+    def step(self, frame: DataFrame, name: str) -> DataFrame:
+        out, path = written(frame, name)
+        self.paths.append(path)
+        return out
 
-class Model:
-    """Dishes of several customers as rows, leaves(part, last, word, c, t), and a row for each word, words(id, n, lone_last, lone_word, tables, c0, t0): as a restaurant it has n customers and `tables`, as a dish of the root c0 and t0."""
-
-    def __init__(self, leaves: DataFrame, vocabulary: DataFrame, starts: int, seed: int, draw: Callable = seat):
-        """vocabulary(id, n, is_end); starts: texts to learn from."""
-        self.draw = draw
-        self.spark, self.seed, self.discount, self.strength, self.sweeps = leaves.sparkSession, seed, (DISCOUNT,) * 2, (STRENGTH,) * 2, 0
-        self.leaves, self.leaves_path = written(leaves.withColumn("t", F.greatest(F.lit(1), F.floor(F.pow("c", 0.7))).cast("long")), "seats")
-        size = vocabulary.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        self.n_words, self.n_tokens = size["words"], size["n"]
-        start = self.spark.range(1).select(F.lit(START).cast("long").alias("id"), F.lit(starts).cast("long").alias("n"), F.lit(False).alias("is_end"))
-        sums, z = self.sums("c"), lambda c: F.coalesce(F.col(c), F.lit(0))
-        words = vocabulary.unionByName(start).join(sums, "id", "left")
-        # a text's end is no restaurant, its start no dish
-        lone_last = F.when(F.col("is_end"), 0).otherwise(F.col("n") - z("of_last")).cast("long")
-        lone_word = F.when(F.col("id") == START, 0).otherwise(F.col("n") - z("of_word")).cast("long")
-        guess = words.select("id", F.when(F.col("is_end"), 0).otherwise(F.col("n")).cast("long").alias("n"), lone_last.alias("lone_last"), lone_word.alias("lone_word"))
-        self.words, self.words_path = written(guess, "words")
-        self.words, self.words_path = self.rebuilt(self.words.withColumn("t0", F.lit(0).cast("long")), None)
-
-    def sums(self, t: str) -> DataFrame:
-        """(id, of_last, of_word): the leaves' sums for each word as a restaurant and as a dish."""
-        zero = F.lit(0).cast("long")
-        last = self.leaves.groupBy(F.col("last").alias("id")).agg(F.sum(t).alias("of_last")).withColumn("of_word", zero)
-        word = self.leaves.groupBy(F.col("word").alias("id")).agg(F.sum(t).alias("of_word")).withColumn("of_last", zero)
-        return last.unionByName(word).groupBy("id").agg(F.sum("of_last").alias("of_last"), F.sum("of_word").alias("of_word"))
-
-    def rebuilt(self, words: DataFrame, seed: int | None) -> tuple[DataFrame, str]:
-        """The words' rows by the leaves as they now are, with the root seated anew (at first: guessed)."""
-        z = lambda c: F.coalesce(F.col(c), F.lit(0))
-        new = words.join(self.sums("t"), "id", "left").select("id", "n", "lone_last", "lone_word", (F.col("lone_last") + z("of_last")).alias("tables"), (F.col("lone_word") + z("of_word")).alias("c0"), "t0")
-        if seed is None:
-            new = new.withColumn("t0", F.least("c0", F.lit(1)).cast("long"))
-        else:
-            d, room = self.discount[0], self.strength[0] / self.discount[0] + self.root.tables
-            new = seated(new.withColumns({"_room": F.greatest(F.lit(room) - F.col("t0"), F.lit(1e-6)), "_p": F.lit(1.0 / (self.n_words + 1))}), ["id"], "c0", "t0", d, seed, self.draw)
-        out, path = written(new, "words")
-        r = out.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("c"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t")).first()
-        self.root = Totals(r["c"], r["t"])
-        drop_path(self.spark, self.words_path)
-        return out, path
-
-    def p0(self) -> Column:
-        d, s = self.discount[0], self.strength[0]
-        return (F.col("c0") - d * F.col("t0") + (s + d * self.root.tables) / (self.n_words + 1)) / (s + self.root.customers)
-
-    def sweep(self, keep: str | None = None) -> None:
-        """All dishes seated anew, given the totals of the state before. keep: the name under which the leaves hold their present tables from now on."""
+    @staticmethod
+    def lists(frame: DataFrame) -> DataFrame:
+        return frame.filter("block >= 0").select("part", "block", "data")
+
+    @staticmethod
+    def states(frame: DataFrame) -> DataFrame:
+        return frame.filter("block = -1").select("part", "block", "data")
+
+    def read_root(self) -> None:
+        r = self.words.filter("block = -1").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "abcde"]).first()
+        self.g, self.start, self.root_dishes = replace(self.g, root=(r["a"], r["b"])), r["c"], (r["d"], r["e"])
+
+    def sweep(self, *, keep: bool = False) -> None:
+        """All dishes seated anew, given the totals of the state before. keep: the pairs hold their present tables from now on, as those of a sample."""
         self.sweeps += 1
-        seed, d, s = self.seed * 1009 + self.sweeps * 3, self.discount[1], self.strength[1]
-        rows = self.leaves.withColumn(keep, F.col("t")) if keep else self.leaves
-        rows = rows.join(self.words.select(F.col("id").alias("last"), "tables"), "last").join(self.words.select(F.col("id").alias("word"), self.p0().alias("_p")), "word")
-        rows = rows.withColumn("_room", F.lit(s / d) + F.col("tables") - F.col("t")).drop("tables")
-        before = self.leaves_path
-        self.leaves, self.leaves_path = written(seated(rows, ["last", "word"], "c", "t", d, seed, self.draw), "seats")
-        drop_path(self.spark, before)
-        words = self.words.withColumns({f"{x}_{keep}": F.col(x) for x in ("tables", "c0", "t0")}) if keep else self.words
-        kept = words.select("id", *[c for c in words.columns if c.endswith(f"_{keep}")]) if keep else None
-        if kept is not None:
-            self.kept, _ = written(kept, "words-kept")
-        self.words, self.words_path = self.rebuilt(words.select("id", "n", "lone_last", "lone_word", "t0"), seed + 1)
-        let_go(self.spark)
-
-    def estimate(self) -> None:
+        seed = self.seed * 1009 + self.sweeps * 2
+        self.pairs = self.step(seat_pairs(self.states(self.pairs).unionByName(self.lists(self.words)), self.g, seed, self.draw, keep=keep, samples_before=self.samples), "pairs")
+        self.samples += keep
+        self.words = self.step(seat_words(self.lists(self.pairs).unionByName(self.states(self.words)), self.g, seed + 1, self.draw), "words")
+        self.read_root()
+
+    def estimate(self, tokens: int) -> None:
         """Discounts from the dishes with one and two customers, then strengths from a histogram of the restaurants' totals, in which numbers over 1,000 count by three digits."""
-        lone = self.words.agg(F.coalesce(F.sum("lone_last"), F.lit(0)).alias("n")).first()["n"]
-        pairs = self.leaves.filter("c = 2").count()
-        root = self.words.agg(F.count_if(F.col("c0") == 1).alias("a"), F.count_if(F.col("c0") == 2).alias("b")).first()
+        r = self.pairs.filter("block = -1").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("c"), F.coalesce(F.sum("b"), F.lit(0)).alias("two")).first()
         of = lambda a, b: float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else DISCOUNT
-        self.discount = (of(root["a"], root["b"]), of(lone, pairs))
+        discount = (of(*self.root_dishes), of(tokens - r["c"], r["two"]))
 
-        def coarse(x: str) -> Column:
-            unit = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(x)) - 2, F.lit(0)))
-            return (F.round(F.col(x) / unit) * unit).cast("long").alias(x)
+        def coarse(x: np.ndarray) -> np.ndarray:
+            unit = 10 ** np.maximum(np.floor(np.log10(np.maximum(x, 1))).astype(np.int64) - 2, 0)
+            return (x + unit // 2) // unit * unit
 
-        rows = self.words.filter("n > 1").select(coarse("n"), coarse("tables")).groupBy("n", "tables").count().collect()
-        level = strength_of(*(np.array([r[k] for r in rows], float) for k in ("n", "tables")), self.discount[1], np.array([r["count"] for r in rows], float))
-        self.strength = (strength_of(np.array([self.root.customers]), np.array([self.root.tables]), self.discount[0]), level)
+        def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for data in b.column("data"):
+                    n, end, tables, *_ = opened(data.as_py(), 5)
+                    both, k = np.unique(np.stack([coarse(x[(n > 1) & (end == 0)]) for x in (n, tables)]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(k.astype(np.int64))], ["n", "tables", "k"])
 
+        rows = self.states(self.words).select("data").mapInArrow(histogram, "n long, tables long, k long").groupBy("n", "tables").agg(F.sum("k").alias("k")).collect()
+        level = strength_of(*(np.array([x[c] for x in rows], float) for c in ("n", "tables")), discount[1], np.array([x["k"] for x in rows], float))
+        self.g = replace(self.g, discount=discount, strength=(strength_of(*(np.array([x]) for x in self.g.root), discount[0]), level))
 
-def probability(c: np.ndarray, t: np.ndarray, n: np.ndarray, tables: np.ndarray, c0: np.ndarray, t0: np.ndarray, root: Totals, words: int, discount: tuple[float, float], strength: tuple[float, float]) -> np.ndarray:
-    """Of a word by one sample: c customers at t tables in a restaurant of n customers and `tables`, c0 at t0 in the root."""
-    (d0, d1), (s0, s1) = discount, strength
-    p0 = (c0 - d0 * t0 + (s0 + d0 * root.tables) / (words + 1)) / (s0 + root.customers)
-    return (c - d1 * t + (s1 + d1 * tables) * p0) / (s1 + n)
+
+def probability(c: np.ndarray, t: np.ndarray, n: np.ndarray, tables: np.ndarray, c0: np.ndarray, t0: np.ndarray, g: Given) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """What a word's probability is made of, by one sample: (own of a pair + rest of its restaurant * root of its word) / norm of the restaurant, as own, (rest, norm), root.
+
+    A pair has c customers at t tables, a restaurant n customers and `tables`, a word c0 at t0 in the root.
+    """
+    d, s = g.discount[1], g.strength[1]
+    return c - d * t, (s + d * tables, s + n), root_probability(c0, t0, g)
 
 
 # -- scores
 
 
-def answered(asked: DataFrame, leaves: DataFrame, words: DataFrame, parts: int) -> DataFrame:
-    """What the samples say of the pairs and words that blocks ask for, each in the order of the question.
+def answered(rows: DataFrame, parts: int, samples: int) -> DataFrame:
+    """What the samples say of the pairs and words that blocks ask for, each in the order of the question: customers and each sample's tables of a pair; customers, then each sample's tables, c0 and t0 of a word.
 
-    asked(part, block, data); leaves(part, last, word, c, t_0, ..) and words(part, id, ..) come before the questions of their part. Parts from `parts` on are those of words.
+    rows(part, block, data): questions, and before them (block below 0) the part's states. Parts from `parts` on are those of words, with a state for each sample.
     """
-    t_names, w_names = [c for c in leaves.columns if c.startswith("t_")], [c for c in words.columns if c not in ("part", "id")]
-    cast = lambda cols: F.array(*[F.col(c).cast("long") for c in cols]).alias("v")
-    none = F.lit(None).cast("binary").alias("data")
-    zero = F.lit(-1).cast("long").alias("block")
-    rows = leaves.select("part", zero, none, (F.shiftleft("last", 32).bitwiseOR(F.col("word"))).alias("key"), cast(["c", *t_names]))
-    rows = rows.unionByName(words.select("part", zero, none, F.col("id").alias("key"), cast(w_names)))
-    rows = rows.unionByName(asked.select("part", "block", "data", F.lit(0).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in by_key(batches, "part"):
-            block = group.column("block").to_numpy()
-            n = int((block < 0).sum())
-            keys = group.column("key").slice(0, n).to_numpy()
-            k = len(t_names) + 1 if part < parts else len(w_names)
-            v = group.column("v").slice(0, n).combine_chunks()
-            v = (v.flatten().to_numpy() if n else np.zeros(0, np.int64)).reshape(n, k)
-            lists, out, at = group.column("data").slice(n), [], None
-            if part < parts and len(lists):
-                # a pair without a row has one customer, who has a table of its own, or none
+            blocks, data = group.column("block").to_pylist(), group.column("data")
+            own = sum(b < 0 for b in blocks)
+            lists = data.slice(own)
+            if not len(lists):
+                continue
+            if part < parts:
+                # a pair without a state has one customer, who has a table of its own, or none
                 pairs, c, which, ends = counted(lists)
-                values = np.repeat(np.minimum(c, 1)[:, None], k, axis=1)
-                values[np.searchsorted(pairs, keys)] = v
+                values = [np.minimum(c, 1) for _ in range(samples + 1)]
+                if own:
+                    keys, c, t, *kept = opened(data[0].as_py(), samples + 2)
+                    there = np.searchsorted(pairs, np.cumsum(keys))
+                    for column, x in zip(values, (c, *kept, t), strict=True):
+                        column[there] = x
                 at = np.split(which, ends[:-1])
-            elif n:
-                order = np.argsort(keys, kind="stable")
-                keys, values = keys[order], v[order]
-            for i, (b, data) in enumerate(zip(block[n:].tolist(), lists, strict=True)):
-                found = values[at[i]] if at else values[np.searchsorted(keys, np.cumsum(opened(data.as_py(), 1)[0]))]
-                out.append((part, b, shut(*found.T)))
-                if len(out) == 256:
-                    yield questions(out)
-                    out = []
-            if out:
-                yield questions(out)
+            else:
+                found = [opened(x.as_py(), 5) for x in data.slice(0, own)]
+                values = [np.where(found[0][1] > 0, 0, found[0][0]), *(f[k] for k in (2, 3, 4) for f in found)]
+                at = [(np.cumsum(opened(x.as_py(), 1)[0]) - FIRST_WORD) // parts for x in lists]
+            for i in range(0, len(at), 256):
+                yield questions([(part, b, shut(*(x[k] for x in values))) for b, k in zip(blocks[own + i :], at[i : i + 256], strict=False)])
 
     return gathered(rows, 2 * parts, "block").mapInArrow(run, QUESTION)
 
@@ -655,9 +689,9 @@ def scored(blocks: DataFrame, answers: DataFrame, score: Callable, parts: int, i
             w, u = pairs_of(tokens, np.where(number >= FIRST_WORD, np.searchsorted(ids, number) + 2, number), length)
             p = np.zeros(len(tokens))
             for k in range(samples):
-                c, t = np.zeros(len(tokens)), np.zeros(len(tokens))
-                c[ok], t[ok] = pair[which, 0], pair[which, 1 + k]
-                p += score(k, c, t, of[u, 0], of[u, 1 + k], of[w, 1 + samples + k], of[w, 1 + 2 * samples + k]) / samples
+                own, rest, root = score(k, pair[:, 0], pair[:, 1 + k], of[:, 0], of[:, 1 + k], of[:, 1 + samples + k], of[:, 1 + 2 * samples + k])
+                p[ok] += own[which] / (rest[1][u[ok]] * samples)
+                p += (rest[0] / rest[1])[u] * (root / samples)[w]
             total = np.add.reduceat(np.log10(p), np.cumsum(length) - length)
             one = lambda c: rows.column(c).slice(0, 1).combine_chunks().flatten()
             yield pa.RecordBatch.from_arrays([one("ids"), pa.array(~learn), pa.array(length.astype(np.int64)), one("known").cast(pa.int64()), one("base"), pa.array(total)], ["_id", "held_out", "n_tokens", "n_known", "base", "score"])
@@ -682,37 +716,30 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
     asked, own = ready.filter("part is not null").select("part", "block", "data"), ready.filter("part is null").select("block", "ids", "learn", "length", "tokens", "numbers", "known", "base")
     drop_path(spark, blocks_path)
     let_go(spark)
-    model = Model(crowded(asked, parts), vocabulary_of(answers, parts), texts, seed, draw)
-    drop_path(spark, answers_path)
-    let_go(spark)
+    known = answers.filter("block = -1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("words"), F.coalesce(F.sum("customers"), F.lit(0)).alias("tokens")).first()
+    model = Model(asked, answers, Given(parts, known["words"], texts), seed, draw)
     for _ in range(FIRST_SWEEPS):
         model.sweep()
-    model.estimate()
-    roots, kept = [], []
+    model.estimate(known["tokens"])
+    given, words, starts = [], [], []
     for k in range(BURN_IN + SAMPLES):
-        j = k - BURN_IN  # samples before this sweep
-        model.sweep(keep=f"t_{j - 1}" if j > 0 else None)
-        if j > 0:
-            kept.append(model.kept)
-        if j >= 0:
-            roots.append(model.root)
-    last = SAMPLES - 1
-    words = model.words.select("id", "n", *[F.col(x).alias(f"{x}_t_{last}") for x in ("tables", "c0", "t0")])
-    for frame in kept:
-        words = words.join(frame, "id")
-    columns = [f"{x}_t_{k}" for x in ("tables", "c0", "t0") for k in range(SAMPLES)]
-    words, words_path = written(words.select((F.pmod(F.col("id") - FIRST_WORD, F.lit(parts)) + parts).alias("part"), "id", "n", *columns), "answers-of-words")
-    start = words.filter(F.col("id") == START).select("n", *columns[:SAMPLES]).first()
-    leaves = model.leaves.withColumnRenamed("t", f"t_{last}").select("part", "last", "word", "c", *[f"t_{k}" for k in range(SAMPLES)])
-    replies, replies_path = written(answered(asked.unionByName(words_asked(own, parts)), leaves, words.filter(F.col("id") >= FIRST_WORD), parts), "answers")
-    drop_path(spark, words_path)
-    drop_path(spark, model.leaves_path)
+        model.sweep(keep=k > BURN_IN)
+        if k >= BURN_IN:
+            given.append(model.g)
+            state = model.words.filter("block = -1")
+            words.append(state.select((F.col("part") + parts).alias("part"), F.lit(len(words) - SAMPLES).cast("long").alias("block"), "data"))
+            starts.append(model.start)
+    rows = asked.unionByName(words_asked(own, parts)).unionByName(model.states(model.pairs))
+    for w in words:
+        rows = rows.unionByName(w)
+    replies, _ = written(answered(rows, parts, SAMPLES), "answers")
+    for path in (answers_path, *model.paths):
+        drop_path(spark, path)
     let_go(spark)
-    n_words, discount, strength = model.n_words, model.discount, model.strength
 
-    def score(k: int, c: np.ndarray, t: np.ndarray, n: np.ndarray, tables: np.ndarray, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
-        return probability(c, t, n, tables, c0, t0, roots[k], n_words, discount, strength)
+    def score(k: int, *columns: np.ndarray) -> tuple:
+        return probability(*columns, given[k])
 
-    out = scored(own, replies, score, parts, into, SAMPLES, tuple(start))
-    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + n_words + 1)))
-    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    out = scored(own, replies, score, parts, into, SAMPLES, (texts, *starts))
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(known["tokens"] + known["words"] + 1)))
+    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(known["tokens"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

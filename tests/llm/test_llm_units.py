@@ -613,7 +613,7 @@ def test_scores_against_brute_force_with_fixed_seats(spark, monkeypatch):
         tables[a] += t[a, b]
         c0[b] += t[a, b]
     t0 = {w: (n + 1) // 2 for w, n in c0.items()}
-    (d0, d1), (s0, s1) = models[0].discount, models[0].strength
+    (d0, d1), (s0, s1) = models[0].g.discount, models[0].g.strength
     root = lambda w: (c0[w] - d0 * t0.get(w, 0) + (s0 + d0 * sum(t0.values())) / (len(c0) + 1)) / (s0 + sum(c0.values()))
     prob = lambda a, w: (c[a, w] - d1 * t.get((a, w), 0) + (s1 + d1 * tables[a]) * root(w)) / (s1 + customers[a])
     for i, ws in words.items():
