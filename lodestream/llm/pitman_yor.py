@@ -405,7 +405,7 @@ def numbered(blocks: DataFrame, answers: DataFrame, parts: int, into: int) -> Da
             for i in range(0, len(cuts), 512):
                 some = cuts[i : i + 512]
                 k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), *(pa.nulls(k, t) for t in (*types, pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()))), pa.array([p for p, *_ in some], pa.int64()), pa.array([shut(np.diff(keys[a:z], prepend=0), customers[a:z]) for _, a, z in some], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), *(pa.nulls(k, t) for t in (*types, pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.float64()))), pa.array([p for p, *_ in some], pa.int64()), pa.array([shut(np.diff(keys[a:z] >> 32, prepend=0), keys[a:z] & LOW, customers[a:z]) for _, a, z in some], pa.binary())], names)
 
     return met(blocks, answers, into).mapInArrow(run, NUMBERED.format(kind))
 
@@ -420,9 +420,9 @@ def asked_pairs(tokens: np.ndarray, number: np.ndarray, length: np.ndarray) -> t
 
 def counted(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pairs that a part is asked for and their customers; and which pair each entry of the lists is, and where the lists end."""
-    found = [opened(x.as_py(), 2) for x in lists]
-    keys, which = np.unique(np.concatenate([np.cumsum(k) for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64), which, np.cumsum([len(k) for k, _ in found])
+    found = [opened(x.as_py(), 3) for x in lists]
+    keys, which = np.unique(np.concatenate([np.cumsum(last) << 32 | word for last, word, _ in found]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([n for *_, n in found]), len(keys)).astype(np.int64), which, np.cumsum([len(n) for *_, n in found])
 
 
 # -- sweeps
@@ -551,16 +551,11 @@ class Model:
     """Sweeps over written states: of pairs and of words, each half a sweep, which ask each other by lists."""
 
     def __init__(self, asked: DataFrame, answers: DataFrame, g: Given, seed: int, draw: Callable):
-        self.spark, self.g, self.seed, self.draw, self.sweeps, self.paths, self.samples = asked.sparkSession, g, seed, draw, 0, [], 0
-        self.pairs = self.step(begun(asked, g.parts), "pairs")
-        self.words = self.step(seat_words(self.lists(self.pairs).unionByName(answers.filter("block = -1").select("part", "block", "data")), g, 0, draw, first=True), "words")
+        self.spark, self.g, self.seed, self.draw, self.sweeps, self.samples = asked.sparkSession, g, seed, draw, 0, []
+        self.pairs, self.pairs_path = written(begun(asked, g.parts), "pairs")
+        self.words, self.words_path = written(seat_words(self.lists(self.pairs).unionByName(answers.filter("block = -1").select("part", "block", "data")), g, 0, draw, first=True), "words")
         self.read_root()
 
-    def step(self, frame: DataFrame, name: str) -> DataFrame:
-        out, path = written(frame, name)
-        self.paths.append(path)
-        return out
-
     @staticmethod
     def lists(frame: DataFrame) -> DataFrame:
         return frame.filter("block >= 0").select("part", "block", "data")
@@ -574,13 +569,19 @@ class Model:
         self.g, self.start, self.root_dishes = replace(self.g, root=(r["a"], r["b"])), r["c"], (r["d"], r["e"])
 
     def sweep(self, *, keep: bool = False) -> None:
-        """All dishes seated anew, given the totals of the state before. keep: the pairs hold their present tables from now on, as those of a sample."""
+        """All dishes seated anew, given the totals of the state before. keep: that state is a sample: the pairs hold its tables from now on, and its words stay."""
         self.sweeps += 1
-        seed = self.seed * 1009 + self.sweeps * 2
-        self.pairs = self.step(seat_pairs(self.states(self.pairs).unionByName(self.lists(self.words)), self.g, seed, self.draw, keep=keep, samples_before=self.samples), "pairs")
-        self.samples += keep
-        self.words = self.step(seat_words(self.lists(self.pairs).unionByName(self.states(self.words)), self.g, seed + 1, self.draw), "words")
+        seed, before = self.seed * 1009 + self.sweeps * 2, [self.pairs_path]
+        self.pairs, self.pairs_path = written(seat_pairs(self.states(self.pairs).unionByName(self.lists(self.words)), self.g, seed, self.draw, keep=keep, samples_before=len(self.samples)), "pairs")
+        (self.samples if keep else before).append(self.words_path)
+        self.words, self.words_path = written(seat_words(self.lists(self.pairs).unionByName(self.states(self.words)), self.g, seed + 1, self.draw), "words")
         self.read_root()
+        self.drop(*before)
+
+    def drop(self, *paths: str) -> None:
+        for path in paths:
+            drop_path(self.spark, path)
+        let_go(self.spark)
 
     def estimate(self, tokens: int) -> None:
         """Discounts from the dishes with one and two customers, then strengths from a histogram of the restaurants' totals, in which numbers over 1,000 count by three digits."""
@@ -712,12 +713,14 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
     size = blocks.select(F.count(F.lit(1)).alias("blocks"), F.sum(F.aggregate("length", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"), F.sum(F.size(F.filter("learn", lambda x: x))).alias("texts")).first()
     parts, into, texts = max(1, -(-(size["n"] or 0) // PART_TOKENS)), max(1, size["blocks"]), size["texts"] or 0
     answers, answers_path = written(number_words(word_questions(blocks, parts), parts), "numbers")
+    let_go(spark)
     ready, ready_path = written(numbered(blocks.drop("n"), answers, parts, into), "numbered")
     asked, own = ready.filter("part is not null").select("part", "block", "data"), ready.filter("part is null").select("block", "ids", "learn", "length", "tokens", "numbers", "known", "base")
+    known = answers.filter("block = -1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("words"), F.coalesce(F.sum("customers"), F.lit(0)).alias("tokens")).first()
     drop_path(spark, blocks_path)
     let_go(spark)
-    known = answers.filter("block = -1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("words"), F.coalesce(F.sum("customers"), F.lit(0)).alias("tokens")).first()
     model = Model(asked, answers, Given(parts, known["words"], texts), seed, draw)
+    model.drop(answers_path)
     for _ in range(FIRST_SWEEPS):
         model.sweep()
     model.estimate(known["tokens"])
@@ -733,9 +736,7 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
     for w in words:
         rows = rows.unionByName(w)
     replies, _ = written(answered(rows, parts, SAMPLES), "answers")
-    for path in (answers_path, *model.paths):
-        drop_path(spark, path)
-    let_go(spark)
+    model.drop(model.pairs_path, model.words_path, *model.samples)
 
     def score(k: int, *columns: np.ndarray) -> tuple:
         return probability(*columns, given[k])
