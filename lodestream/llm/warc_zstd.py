@@ -1,6 +1,6 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, then one frame per record.
 
-Spark's text sink writes the files, on whatever file system the shared folder is: a row is a frame's bytes, and its line separator is an empty
+Spark's text sink writes the files, on whatever file system the shared folder is: a row is an archive's bytes, and its line separator is an empty
 skippable frame, which every Zstandard reader passes over.
 """
 
@@ -11,7 +11,6 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import pyarrow as pa
 import zstandard
@@ -157,22 +156,27 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 1000, bytes_per_file: int = BYTES_PER_FILE) -> None:
-    """Archives under path, of so many records each that a file has about bytes_per_file of payloads, and so is small enough to read whole, however the rows are dealt out."""
+    """Archives under path, closed once they hold bytes_per_file of records, and so small enough to read whole, however the rows are dealt out; only a page that is larger by itself makes a larger file."""
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
-    mean = pages.select(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 512)).first()[0] or 512
-    records = max(1, int(bytes_per_file // mean))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in b.to_pylist())
-        for first in rows:
-            # a file's rows: the dictionary, then `records` records; the sink begins a new file after as many rows
-            for frame in frames_of(chain([first], islice(rows, records - 1))):
-                yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["value"])
-
-    frames = with_revisits(pages, min_bytes=min_bytes).mapInArrow(pack, "value binary")
+        archive = lambda rows: pa.RecordBatch.from_arrays([pa.array([b"".join(frames_of(iter(rows)))], pa.binary())], ["value"])
+        held, size = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                held.append(row)
+                size += 512 + len(row["html"] or "")
+                if size >= bytes_per_file:
+                    yield archive(held)
+                    held, size = [], 0
+        if held:
+            yield archive(held)
+
+    archives = with_revisits(pages, min_bytes=min_bytes).mapInArrow(pack, "value binary")
     # a cast of binary to string keeps the bytes as they are, and the text sink writes them so
-    frames.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", records + 1).text(path)
+    archives.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -436,6 +436,15 @@ def test_archives_round_trip(spark, tmp_path):
         assert r["payload"] == (b"" if i in (1, 2) else raw)
 
 
+def test_archives_of_large_pages_and_repeated_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/large"
+    rows = [(i, "http://x/", str(i) * 40_000, 7, "z") for i in range(9)] + [(3, "http://x/", "3" * 40_000, 7, "z")]
+    warc_zstd.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, refers_to int, record_type string").coalesce(1), path, bytes_per_file=100_000)
+    assert len(list((tmp_path / "large").glob("part-*"))) >= 3
+    got = sorted((r["page_id"], r["record_type"], len(r["payload"])) for r in warc_zstd.read_archives(spark, path).collect())
+    assert got == sorted((i, "response", 40_000) for i, *_ in rows)
+
+
 def test_archives_of_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc_zstd.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
