@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_text
+from .text import as_text, let
 
 RELATIVE = r"\b(\d+|an?)\s*(minute|min|hour|hr|day|d|week|wk|month|mo)s?\b"
 PLUS_DAYS = r"(\d+)\+\s*days?"
@@ -14,20 +14,22 @@ SECONDS = {"mi": 60, "h": 3600, "w": 7 * 86400, "mo": 30 * 86400}
 
 def posted_at(x: Column, scraped_at: Column) -> Column:
     """Time of an ISO text (UTC unless it says otherwise), or of today, yesterday, N+ days and N units ago against scraped_at; else null."""
-    text = F.lower(as_text(x))
-    amount, unit = F.regexp_extract(text, RELATIVE, 1), F.regexp_extract(text, RELATIVE, 2)
-    n = F.coalesce(amount.try_cast("long"), F.lit(1))
-    each = F.when(unit.startswith("mo"), SECONDS["mo"]).when(unit.startswith("mi"), SECONDS["mi"]).when(unit.startswith("h"), SECONDS["h"]).when(unit.startswith("w"), SECONDS["w"]).otherwise(86400)
-    back = (
-        F.when(text.rlike(r"\b(today|just posted)\b"), 0).when(text.rlike(r"\byesterday\b"), 86400)
-        .when(text.rlike(PLUS_DAYS), F.regexp_extract(text, PLUS_DAYS, 1).try_cast("long") * 86400).when(text.rlike(RELATIVE), n * each)
-    )
-    return F.coalesce(F.try_to_timestamp(as_text(x)), F.timestamp_seconds(F.unix_seconds(scraped_at) - back))
+    each = lambda unit: F.when(unit.startswith("mo"), SECONDS["mo"]).when(unit.startswith("mi"), SECONDS["mi"]).when(unit.startswith("h"), SECONDS["h"]).when(unit.startswith("w"), SECONDS["w"]).otherwise(86400)
+
+    def back(text: Column) -> Column:
+        units = let(F.regexp_extract(text, RELATIVE, 2), each) * F.coalesce(F.regexp_extract(text, RELATIVE, 1).try_cast("long"), F.lit(1))
+        return (
+            F.when(text.rlike(r"\b(today|just posted)\b"), 0).when(text.rlike(r"\byesterday\b"), 86400)
+            .when(text.rlike(PLUS_DAYS), F.regexp_extract(text, PLUS_DAYS, 1).try_cast("long") * 86400).when(text.rlike(RELATIVE), units)
+        )
+
+    return let(as_text(x), lambda t: F.coalesce(F.try_to_timestamp(t), F.timestamp_seconds(F.unix_seconds(scraped_at) - let(F.lower(t), back))))
 
 
 def age_days(given: Column, posted: Column, now: Column) -> Column:
-    """The given age, or else whole days since posted; never below 0."""
-    return F.greatest(F.coalesce(given.cast("long"), F.floor((F.unix_seconds(now) - F.unix_seconds(posted)) / 86400)), F.lit(0).cast("long"))
+    """The given age, or else whole days since posted; never below 0, and null where neither is known."""
+    days = F.coalesce(given.cast("long"), F.floor((F.unix_seconds(now) - F.unix_seconds(posted)) / 86400))
+    return let(days, lambda d: F.when(d > 0, d).when(d.isNotNull(), 0).cast("long"))
 
 
 def recency_quality(posted: Column, raw_was_relative: Column, age: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,11 +23,18 @@ EXPERIENCE_PATTERNS = (
     ("mid", r"(?i)\b(mid[-\s]?level|intermediate|level\s*ii|level\s*2)\b"),
     ("senior", r"(?i)\b(senior|sr\.?|lead|staff|principal|manager|director|head)\b"),
 )
+CLEARANCE_PATTERNS = (("top_secret", r"(?i)\btop secret\b"), ("secret", r"(?i)\bsecret clearance\b"), ("public_trust", r"(?i)\bpublic trust\b"), ("clearance_required", r"(?i)\bsecurity clearance\b"))
 EXPERIENCE_LABELS = {"internship": ("intern", "internship", "co-op", "coop"), "entry": ("entry", "entry-level", "junior", "new grad", "associate"), "mid": ("mid", "mid-level", "intermediate"), "senior": ("senior", "lead", "staff", "principal", "manager", "director")}
 CITIES = {"new york": "new york ny", "san francisco": "san francisco ca", "los angeles": "los angeles ca"}
+# How places are written.
 CITY_LABELS = ((r"(?i)^(new york( city)?(,?\s*ny)?|nyc)$", "New York, NY"), (r"(?i)^san francisco(,?\s*ca)?$", "San Francisco, CA"), (r"(?i)^los angeles(,?\s*ca)?$", "Los Angeles, CA"), (r"(?i)^remote(\s+[a-z]{2,})?$", "Remote"), (r"(?i)^hybrid$", "Hybrid"), (r"(?i)^onsite$", "Onsite"))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it: Spark would write x out at each place."""
+    return F.transform(F.array(x), f)[0]
+
+
 def squeeze(x: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(x, r"\s+", " "))
@@ -34,7 +42,7 @@ def squeeze(x: Column) -> Column:
 
 def as_text(x: Column) -> Column:
     """Squeezed text, or null where nothing is left."""
-    return F.nullif(squeeze(x), F.lit(""))
+    return let(squeeze(x), lambda t: F.when(t != "", t))
 
 
 def canon_ascii(x: Column) -> Column:
@@ -70,11 +78,14 @@ def capitalised(w: Column) -> Column:
 
 def title_case(x: Column) -> Column:
     """Titles that are mostly capitals or all small get title case; mixed ones stay as they are."""
-    text = as_text(x)
-    letters, capitals, smalls = (F.length(F.regexp_replace(text, p, "")) for p in (r"[^\p{L}]", r"[^\p{Lu}]", r"[^\p{Ll}]"))
-    even = (letters > 0) & ((capitals >= 0.65 * letters) | (smalls >= 0.95 * letters))
-    cased = F.transform(F.split(text, " "), lambda w, i: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).when((i > 0) & F.lower(w).isin(*TITLE_STOPWORDS), F.lower(w)).otherwise(capitalised(w)))
-    return F.when(even, F.array_join(cased, " ")).otherwise(text)
+
+    def of(text: Column) -> Column:
+        counts = F.struct(*[F.length(F.regexp_replace(text, p, "")).alias(n) for n, p in (("letters", r"[^\p{L}]"), ("capitals", r"[^\p{Lu}]"), ("smalls", r"[^\p{Ll}]"))])
+        even = let(counts, lambda n: (n["letters"] > 0) & ((n["capitals"] >= 0.65 * n["letters"]) | (n["smalls"] >= 0.95 * n["letters"])))
+        cased = F.transform(F.split(text, " "), lambda w, i: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).when((i > 0) & F.lower(w).isin(*TITLE_STOPWORDS), F.lower(w)).otherwise(capitalised(w)))
+        return F.when(even, F.array_join(cased, " ")).otherwise(text)
+
+    return let(as_text(x), of)
 
 
 def title_key(x: Column) -> Column:
@@ -83,9 +94,8 @@ def title_key(x: Column) -> Column:
 
 
 def company_name(x: Column) -> Column:
-    text = as_text(x)
-    name = F.regexp_replace(F.regexp_replace(text, r"(?i)^at ", ""), r"[\s|/,-]+$", "")
-    return F.when(~canon_ascii(text).isin(*UNKNOWN_COMPANIES), title_case(name))
+    name = lambda text: F.regexp_replace(F.regexp_replace(text, r"(?i)^at ", ""), r"[\s|/,-]+$", "")
+    return let(as_text(x), lambda text: F.when(~canon_ascii(text).isin(*UNKNOWN_COMPANIES), title_case(name(text))))
 
 
 def company_key(x: Column) -> Column:
@@ -93,18 +103,16 @@ def company_key(x: Column) -> Column:
 
 
 def work_mode(x: Column) -> Column:
-    low = F.regexp_replace(F.lower(as_text(x)), "^on-site$", "onsite")
-    return F.when(low.isin(*WORK_MODES), low)
+    return let(F.regexp_replace(F.lower(as_text(x)), "^on-site$", "onsite"), lambda low: F.when(low.isin(*WORK_MODES), low))
 
 
 def experience(x: Column) -> Column:
-    low = F.lower(as_text(x))
-    return reduce(lambda c, kv: F.when(low.isin(*kv[1]), kv[0]).otherwise(c), EXPERIENCE_LABELS.items(), low)
+    return let(F.lower(as_text(x)), lambda low: reduce(lambda c, kv: F.when(low.isin(*kv[1]), kv[0]).otherwise(c), EXPERIENCE_LABELS.items(), low))
 
 
 def first_pattern(x: Column, patterns) -> Column:
     """The label of the first pattern that is found in x."""
-    return F.coalesce(*[F.when(x.rlike(p), label) for label, p in patterns])
+    return let(x, lambda t: F.coalesce(*[F.when(t.rlike(p), label) for label, p in patterns]))
 
 
 def infer_work_mode(title: Column, location: Column, description: Column) -> Column:
@@ -115,13 +123,18 @@ def infer_experience(title: Column, description: Column) -> Column:
     return first_pattern(F.concat_ws(" ", title, description), EXPERIENCE_PATTERNS)
 
 
+def infer_clearance(title: Column, description: Column) -> Column:
+    """The kind of security clearance that a listing asks for; null if none."""
+    return first_pattern(F.concat_ws(" ", title, description), CLEARANCE_PATTERNS)
+
+
 def location_name(x: Column) -> Column:
-    text = squeeze(F.replace(as_text(x), F.lit(" - "), F.lit(", ")))
     short = lambda w: F.lower(w).isin(*ACRONYMS) | w.rlike("^[A-Za-z]{2}$") | F.lower(w).isin("us", "usa")
     case = lambda w: F.when(short(w), F.upper(w)).otherwise(capitalised(w))
-    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    plain = F.array_join(F.transform(parts, lambda p: F.array_join(F.transform(F.split(p, " "), case), " ")), ", ")
-    return F.coalesce(*[F.when(text.rlike(p), label) for p, label in CITY_LABELS], F.nullif(plain, F.lit("")))
+    parts = lambda text: F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    plain = lambda text: F.array_join(F.transform(parts(text), lambda p: F.array_join(F.transform(F.split(p, " "), case), " ")), ", ")
+    named = lambda text: F.coalesce(*[F.when(text.rlike(p), label) for p, label in CITY_LABELS], let(plain(text), lambda t: F.when(t != "", t)))
+    return let(squeeze(F.replace(as_text(x), F.lit(" - "), F.lit(", "))), named)
 
 
 def location_key(x: Column, mode: Column) -> Column:
@@ -129,15 +142,20 @@ def location_key(x: Column, mode: Column) -> Column:
     low = F.regexp_replace(canon_ascii(x), r"\bnew york city\b", "new york")
     for city, full in CITIES.items():
         low = F.regexp_replace(F.regexp_replace(low, rf"\b{city}\b", full), rf"\b{full} {full.rsplit(' ', 1)[1]}\b", full)
-    return F.when(as_text(x).isNull(), F.coalesce(F.when(mode.isin(*WORK_MODES), mode), F.lit("unspecified"))).otherwise(F.coalesce(F.nullif(low, F.lit("")), F.lit("unspecified")))
+    return F.when(as_text(x).isNull(), F.coalesce(F.when(mode.isin(*WORK_MODES), mode), F.lit("unspecified"))).otherwise(let(low, lambda t: F.when(F.coalesce(t, F.lit("")) != "", t).otherwise("unspecified")))
 
 
 def location_quality(x: Column, mode: Column) -> Column:
     """missing, mode_only, broad, weak (two letters or less) or structured."""
-    key = location_key(x, mode)
+    return quality_of_key(x, mode, location_key(x, mode))
+
+
+def quality_of_key(x: Column, mode: Column, key: Column) -> Column:
+    """The same where the key is known."""
     return F.when(as_text(x).isNull() & mode.isNull(), "missing").when(key.isin(*WORK_MODES), "mode_only").when(key.isin(*BROAD_LOCATIONS), "broad").when(F.length(canon_ascii(x)) <= 2, "weak").otherwise("structured")
 
 
+# How salaries are written.
 NUMBER = r"(\d[\d,]*(?:\.\d+)?)\s*([kK]?)"
 SALARY_FORMS = {
     "range": rf"(?i)(usd|\$)?\s*{NUMBER}\s*(?:-|to)\s*(?:usd|\$)?\s*{NUMBER}",
@@ -149,18 +167,22 @@ SALARY_FORMS = {
 
 def salary_parse(x: Column) -> Column:
     """struct(min, max, currency) of a range, a yearly amount, a least or a most, in this order; k counts thousands, a turned-round range is put right. The second amount of a range may repeat the currency."""
+    none = F.lit(None).cast("double")
+    amount = lambda n, k: F.regexp_replace(n, ",", "").try_cast("double") * F.when(F.lower(k) == "k", 1000.0).otherwise(1.0)
+    shapes = {"range": lambda a, b: (F.least(a, b), F.greatest(a, b)), "single": lambda a, _: (a, a), "from": lambda a, _: (a, none), "up_to": lambda a, _: (none, a)}
 
-    def amount(form: str, at: int) -> Column:
-        n = F.regexp_replace(F.regexp_extract(x, SALARY_FORMS[form], at), ",", "").try_cast("double")
-        return F.when(F.lower(F.regexp_extract(x, SALARY_FORMS[form], at + 1)) == "k", n * 1000).otherwise(n)
+    def found(form: str) -> Column:
+        """The form's groups, each looked up once; a form that isn't there has no first amount."""
+        pattern, last = SALARY_FORMS[form], 5 if form == "range" else 3
+        groups = F.array(*[F.regexp_extract(x, pattern, i) for i in range(1, last + 1)])
 
-    def found(form: str, low: Column, high: Column) -> Column:
-        return F.when(x.rlike(SALARY_FORMS[form]), F.struct(low.alias("min"), high.alias("max"), F.when(F.regexp_extract(x, SALARY_FORMS[form], 1) != "", "USD").alias("currency")))
+        def of(g: Column) -> Column:
+            low, high = shapes[form](amount(g[1], g[2]), amount(g[3], g[4]) if form == "range" else none)
+            return F.when(g[1] != "", F.struct(low.alias("min"), high.alias("max"), F.when(g[0] != "", "USD").alias("currency")))
 
-    none = F.lit(None).cast("double")
-    a, b = amount("range", 2), amount("range", 4)
-    one = amount("single", 2)
-    return F.coalesce(found("range", F.least(a, b), F.greatest(a, b)), found("single", one, one), found("from", amount("from", 2), none), found("up_to", none, amount("up_to", 2)))
+        return let(groups, of)
+
+    return F.coalesce(*map(found, SALARY_FORMS))
 
 
 def salary_format(low: Column, high: Column, currency: Column) -> Column:

@@ -41,8 +41,24 @@ def under_threshold(deals: DataFrame, *, gpu_most: float = 2000.0, pc_most: floa
     return with_classes(deals).filter(F.expr("not c.laptop and c.is_5090") & ((F.col("c.gpu") & (F.col("price") <= gpu_most)) | (F.col("c.computer") & (F.col("price") <= pc_most))))
 
 
-def risk_score(discount: Column, price: Column) -> Column:
-    return F.round(F.coalesce(discount, F.lit(0.0)) * F.log1p(F.coalesce(price, F.lit(0.0))), 4)
+def cheapest(deals: DataFrame, n: int) -> DataFrame:
+    """The first n by price, then title; rows without a price last."""
+    return deals.orderBy(F.asc_nulls_last("price"), "title", "pos").limit(n)
+
+
+# What a deal's size in dollars, its debt ratio and its customers' churn add to the risk.
+RISK_PER_10M, RISK_OF_DEBT, RISK_OF_CHURN = 0.2, 0.5, 0.3
+
+
+def risk_score(size: Column, debt_ratio: Column, churn: Column) -> Column:
+    """0 to 1; what isn't known adds nothing."""
+    z = lambda x: F.coalesce(x, F.lit(0.0))
+    return F.round(F.least(z(size) / 1e7 * RISK_PER_10M + z(debt_ratio) * RISK_OF_DEBT + z(churn) * RISK_OF_CHURN, F.lit(1.0)), 4)
+
+
+def top_risk(deals: DataFrame, n: int = 5) -> DataFrame:
+    """The n riskiest of deals(pos, size_usd, debt_ratio, churn); ties go to the first."""
+    return deals.withColumn("risk", risk_score(F.col("size_usd"), F.col("debt_ratio"), F.col("churn"))).orderBy(F.desc("risk"), "pos").limit(n)
 
 
 @dataclass(frozen=True)
@@ -80,8 +96,12 @@ def alert_decisions(deals: DataFrame, state: DataFrame, *, now: Column, policy:
 
 
 def next_state(state: DataFrame, decisions: DataFrame, *, policy: AlertPolicy) -> DataFrame:
-    """The snapshot after a batch: decided keys replaced, the others as they were."""
-    d = decisions.filter("not repeated").select("deal_key", F.col("next_price").alias("last_price"), F.col("next_status").alias("last_status"), F.col("next_alerted_at").alias("last_alerted_at"), (F.col("next_alerted_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(policy.cooldown_seconds))).alias("cooldown_until"), F.col("next_count").alias("alert_count"))
+    """The snapshot after a batch: decided keys replaced, the others as they were. Where the state has created_at, a key keeps its own, and a new one gets the time of its first alert."""
+    kept = ["created_at"] if "created_at" in state.columns else []
+    d = decisions.filter("not repeated")
+    if kept:
+        d = d.join(state.select("deal_key", "created_at"), "deal_key", "left").withColumn("created_at", F.coalesce("created_at", "next_alerted_at"))
+    d = d.select("deal_key", *kept, F.col("next_price").alias("last_price"), F.col("next_status").alias("last_status"), F.col("next_alerted_at").alias("last_alerted_at"), (F.col("next_alerted_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(policy.cooldown_seconds))).alias("cooldown_until"), F.col("next_count").alias("alert_count"))
     return state.join(d.select("deal_key"), "deal_key", "left_anti").select(d.columns).unionByName(d)
 
 

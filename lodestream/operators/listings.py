@@ -53,11 +53,12 @@ def has_phrase(canonical: Column, phrase: str) -> Column:
 
 def normalize(raw: DataFrame, *, scraped_at: Column) -> DataFrame:
     """Enriched listings: names in order, salary, work mode, experience, dates, keys and quality. Rows without a title are dropped."""
-    salary = text.salary_parse(F.col("salary_text"))
-    base = raw.filter(text.as_text(F.col("title")).isNotNull()).select(
+    raw = raw.withColumns({"title": text.as_text(F.col("title")), "_salary": text.salary_parse(F.col("salary_text")), "posted_text": text.as_text(F.col("posted_text"))})
+    salary = F.col("_salary")
+    base = raw.filter(F.col("title").isNotNull()).select(
         "job_id", "source", "description", text.title_case(F.col("title")).alias("title"), text.company_name(F.col("company")).alias("company"), text.location_name(F.col("location")).alias("location"),
         salary["min"].alias("salary_min"), salary["max"].alias("salary_max"), F.when(salary.isNotNull(), F.coalesce(salary["currency"], F.lit("USD"))).alias("currency"), text.as_text(F.col("salary_text")).alias("salary_raw"),
-        text.work_mode(F.col("work_mode_text")).alias("mode"), text.experience(F.col("experience_text")).alias("level"), text.as_text(F.col("url")).alias("url"), text.as_text(F.col("posted_text")).alias("posted_raw"),
+        text.work_mode(F.col("work_mode_text")).alias("mode"), text.experience(F.col("experience_text")).alias("level"), text.as_text(F.col("url")).alias("url"), F.col("posted_text").alias("posted_raw"),
         dates.posted_at(F.col("posted_text"), scraped_at).alias("posted_at"), F.try_to_timestamp(F.col("posted_text")).isNull().alias("relative"),
     )
     mode = F.coalesce("mode", text.infer_work_mode(F.col("title"), F.col("location"), F.col("description")))
@@ -66,8 +67,9 @@ def normalize(raw: DataFrame, *, scraped_at: Column) -> DataFrame:
     out = out.withColumns({
         "salary_text": F.when(F.col("currency").isNotNull(), text.salary_format(F.col("salary_min"), F.col("salary_max"), F.col("currency"))).otherwise(F.col("salary_raw")),
         "company_key": text.company_key(F.col("company")), "title_key": text.title_key(F.col("title")), "location_key": text.location_key(F.col("location"), F.col("mode")),
-        "location_quality": text.location_quality(F.col("location"), F.col("mode")), "recency_quality": dates.recency_quality(F.col("posted_at"), F.col("relative"), F.col("age_days")),
+        "recency_quality": dates.recency_quality(F.col("posted_at"), F.col("relative"), F.col("age_days")),
     })
+    out = out.withColumn("location_quality", text.quality_of_key(F.col("location"), F.col("mode"), F.col("location_key")))
     return out.withColumns({"job_key": urls.job_key(F.col("company_key"), F.col("title_key"), F.col("location_key"), F.col("url"), F.col("job_id")), "quality": quality(out)}).drop("relative", "salary_raw")
 
 
@@ -407,3 +409,119 @@ def requirement_lines(docs: DataFrame, hints: tuple[str, ...], *, most: int = 8)
     return docs.select("id", F.posexplode(lines).alias("pos", "line"))
 
 
+
+
+# Titles that an entry-level search drops, and how many days old a listing may be where recent ones are preferred.
+SENIOR_TITLE = r"(?i)\b(senior|sr|lead|staff|principal|manager)\b"
+RECENT_DAYS = 14
+
+
+def experience_filter(request: Request) -> Column:
+    """Whether a listing fits the level asked for: an entry-level request drops senior levels and titles, any other nothing."""
+    if "entry" not in request.experience:
+        return F.lit(True)
+    return (F.coalesce("level", F.lit("")) != "senior") & ~F.coalesce("title", F.lit("")).rlike(SENIOR_TITLE)
+
+
+def recency_filter(request: Request, *, most: int = RECENT_DAYS) -> Column:
+    """Where recent listings are preferred, those of at most so many days; undated ones go."""
+    return F.coalesce(F.col("age_days") <= most, F.lit(False)) if request.prefer_recent else F.lit(True)
+
+
+MANUAL = "struct<title:string,company:string,location:string,url:string,source_url:string,salary_min:double,salary_max:double,salary_currency:string,experience_level:string,work_mode:string,posted_at:string,description_snippet:string>"
+
+
+def manual_rows(payloads: DataFrame) -> DataFrame:
+    """Listings typed into requests, in the shape of collected ones: payloads(request_id, payload) with a JSON object whose manual_jobs is a list of objects.
+
+    source is manual; source_url is the url where none is given. Entries that are no objects and payloads without a list give nothing.
+    """
+    entries = F.from_json(F.get_json_object("payload", "$.manual_jobs"), "array<string>")
+    rows = payloads.select("request_id", F.posexplode(entries).alias("pos", "x")).filter(F.startswith(F.trim("x"), F.lit("{"))).select("request_id", "pos", F.from_json("x", MANUAL).alias("j"))
+    filled = F.coalesce(F.when(F.trim("j.source_url") != "", F.col("j.source_url")), F.when(F.trim("j.url") != "", F.col("j.url")))
+    return rows.select("request_id", "pos", F.lit("manual").alias("source"), filled.alias("source_url"), *[F.col(f"j.{c}").alias(c) for c in ("title", "company", "location", "url", "salary_min", "salary_max", "salary_currency", "experience_level", "work_mode", "posted_at", "description_snippet")])
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Of a collecting run."""
+
+    per_source: int = 250
+    pages: int = 5
+    queries_per_pair: int = 4
+    queries: int = 8
+    least_raw: int = 0
+    least_unique: int = 0
+    least_per_source: int = 0
+    seconds: int | None = None
+    expand: bool = False
+    stop_at_least: bool = True
+    stop_when_dry: bool = True
+
+
+# What a request means where it says nothing, and the ranges that its numbers are held to.
+DEFAULT_QUERY, DEFAULT_PLACE = "software engineer", "United States"
+RANGES = {"per_source": (1, 1000), "pages": (1, 20), "queries_per_pair": (1, 10), "queries": (1, 20), "least_raw": (0, 5000), "least_unique": (0, 5000), "least_per_source": (0, 1000), "seconds": (1, 3600)}
+ENTRY_NAMES = ("entry-level", "entry level", "junior", "new grad", "associate")
+
+
+@dataclass(frozen=True)
+class Resolved:
+    """A request's parameters, complete: what to search for, how, and how much."""
+
+    query: str
+    mode: str
+    request: Request
+    limits: Limits
+
+
+def resolve_request(raw: dict | None) -> Resolved:
+    """Parameters of a run from what a caller gave: names that mean one thing are joined, lists made distinct, levels and modes normalised, numbers clamped, and the search mode inferred: broad discovery for generic titles alone."""
+    raw = raw if isinstance(raw, dict) else {}
+
+    def words(*names: str) -> tuple[str, ...]:
+        found: dict[str, str] = {}
+        for name in names:
+            given = raw.get(name)
+            for x in given if isinstance(given, list) else [given]:
+                if isinstance(x, str) and (t := " ".join(x.split())):
+                    found.setdefault(t.lower(), t)
+        return tuple(found.values())
+
+    def number(*names: str) -> float | None:
+        for name in names:
+            try:
+                return float(str(raw[name]).strip().lstrip("$").replace(",", ""))
+            except (KeyError, ValueError):
+                continue
+        return None
+
+    def clamped(key: str, default: int | None, *names: str) -> int | None:
+        low, high = RANGES[key]
+        n = number(*names)
+        return default if n is None or (n == 0 and low > 0) else int(min(max(n, low), high))
+
+    def switch(name: str, default: bool) -> bool:
+        x = raw.get(name)
+        if isinstance(x, str):
+            return {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(x.strip().lower(), default)
+        return x if isinstance(x, bool) else default
+
+    level = lambda x: "entry" if x.lower() in ENTRY_NAMES else x.lower()
+    work = lambda x: {"on-site": "onsite"}.get(x.lower(), x.lower())
+    named = words("query", "search_query")
+    recent = switch("prefer_recent", False) or (words("shortlist_freshness_preference") or ("",))[0].lower() in ("prefer_recent", "strong_prefer_recent")
+    request = Request(
+        titles=words("desired_title", "titles"), keywords=words("keywords", "desired_title_keywords"), excluded=words("excluded_keywords", "excluded_title_keywords"),
+        locations=words("locations") or words("location", "search_location") or (DEFAULT_PLACE,), work_modes=tuple(dict.fromkeys(w for x in words("work_mode_preference") or words("work_modes") if (w := work(x)) in text.WORK_MODES)),
+        experience=tuple(dict.fromkeys(map(level, words("experience_level", "experience_levels")))), salary_min=number("minimum_salary", "desired_salary_min"), salary_max=number("desired_salary_max"), prefer_recent=recent,
+    )
+    given = (words("search_mode") or ("",))[0].lower().replace("-", "_").replace(" ", "_")
+    mode = given if given in ("broad_discovery", "precision_match") else "broad_discovery" if request.broad else "precision_match"
+    broad = mode == "broad_discovery"
+    limits = Limits(
+        per_source=clamped("per_source", 250, "result_limit_per_source", "max_jobs_per_source", "max_jobs_per_board"), pages=clamped("pages", 5, "max_pages_per_source"), queries_per_pair=clamped("queries_per_pair", 4, "max_queries_per_title_location_pair"),
+        queries=clamped("queries", 14 if broad else 8, "max_queries_per_run"), least_raw=clamped("least_raw", 0, "minimum_raw_jobs_total"), least_unique=clamped("least_unique", 0, "minimum_unique_jobs_total"), least_per_source=clamped("least_per_source", 0, "minimum_jobs_per_source"),
+        seconds=clamped("seconds", None, "collection_time_cap_seconds"), expand=switch("enable_query_expansion", broad), stop_at_least=switch("stop_when_minimum_reached", True), stop_when_dry=switch("early_stop_when_no_new_results", True),
+    )
+    return Resolved(named[0] if named else DEFAULT_QUERY, mode, request, limits)

@@ -226,3 +226,46 @@ def digest(rows: DataFrame, *, by: str, most: int, title: Column, order: list[Co
     first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select(by, F.struct("_n", title.alias("line")).alias("l"))
     lines = first.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: F.concat(x["_n"].cast("string"), F.lit(". "), x["line"])), "\n").alias("body"))
     return sizes.join(lines, by).select(by, "n", F.concat(F.lit("## "), F.col(by).cast("string"), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), F.col("body")).alias("markdown"))
+
+
+def watcher_summary(templates: DataFrame, tasks: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """templates(id, task_type) with their latest task, its latest run and artifact: the task whose payload names the template as planner_template_id, or else the latest of its type where the type has this one template.
+
+    tasks(task_id, task_type, payload, updated), runs(task_id, run_id, status, at), artifacts(task_id, artifact_id, is_result, at). Each side is cut to a row a key by a maximum before it is joined.
+    """
+    from .ops import latest_per_key
+
+    marker = F.nullif(F.trim(F.get_json_object("payload", "$.planner_template_id")), F.lit(""))
+    t = tasks.select("task_id", "task_type", "updated", marker.alias("id"))
+    named = latest_per_key(t.filter("id is not null"), ["id", "task_type"], "updated", "task_id").select("id", "task_type", F.col("task_id").alias("named"))
+    lone = templates.groupBy("task_type").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("task_type")
+    by_type = latest_per_key(t.drop("id"), ["task_type"], "updated", "task_id").join(lone, "task_type", "left_semi").select("task_type", F.col("task_id").alias("by_type"))
+    found = templates.join(named, ["id", "task_type"], "left").join(by_type, "task_type", "left").select("id", "task_type", F.coalesce("named", "by_type").alias("task_id"))
+    r = latest_per_key(runs, ["task_id"], "at", "run_id").select("task_id", "run_id", "status")
+    a = latest_per_key(artifacts, ["task_id"], "is_result", "at", "artifact_id").select("task_id", "artifact_id")
+    return found.join(r, "task_id", "left").join(a, "task_id", "left").select("id", "task_type", "task_id", "run_id", "status", "artifact_id")
+
+
+def digest_rows(digest: DataFrame, listings: DataFrame) -> DataFrame:
+    """digest(job_id, rank, title, company, salary) completed from listings(job_id, title, company, salary) of the same id; a digest's row stays where there is none."""
+    s = listings.select("job_id", *[F.col(c).alias(f"s_{c}") for c in ("title", "company", "salary")])
+    filled = lambda c, otherwise: text.short_text(F.coalesce(text.as_text(F.col(c)), text.as_text(F.col(f"s_{c}")), F.lit(otherwise)), 120).alias(c)
+    return digest.join(s, "job_id", "left").select("job_id", "rank", filled("title", "Unknown role"), filled("company", "Unknown company"), filled("salary", "Not listed"))
+
+
+def run_preview(sources: DataFrame, focus: tuple[str, ...]) -> DataFrame:
+    """(pos, line): what a collecting run says of the sources in focus that it has, in the order of focus.
+
+    sources(source, raw, kept, pages, under_target, blocking) has a row a source; focus is a parameter, so the first line's names are few.
+    """
+    place = F.array_position(F.array(*map(F.lit, focus)), F.col("source")).cast("int")
+    s = sources.filter(F.col("source").isin(*focus)).withColumns({"at": place, "label": F.initcap("source")})
+    lines = F.array_compact(F.array(
+        F.format_string("%s contributed %d raw jobs", "label", "raw"), F.format_string("%s kept %d jobs after filtering", "label", "kept"), F.format_string("%s attempted %d pages", "label", "pages"),
+        F.when(F.col("under_target"), F.concat("label", F.lit(" is under target for this run"))), F.when(F.col("blocking").isNotNull(), F.concat("label", F.lit(" suspected blocking: "), "blocking")),
+    ))
+    each = s.select("at", F.posexplode(lines).alias("i", "line")).select((F.col("at") * 10 + F.col("i")).alias("pos"), "line")
+    names = s.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("n")).filter(F.size("n") > 0)
+    n = F.size("n")
+    head = F.when(n == 1, F.col("n")[0]).when(n == 2, F.array_join("n", " + ")).otherwise(F.concat(F.array_join(F.slice("n", F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(", and "), F.element_at("n", -1)))
+    return names.select(F.lit(0).alias("pos"), F.concat(head, F.lit(" active")).alias("line")).unionByName(each)

@@ -92,21 +92,42 @@ def alert_decisions(spark, sf_dir):
     return ops.alert_decisions(batch, state, now=F.lit(NOW).cast("timestamp"), policy=POLICY).select("deal_key", "pos", "price", "should_alert", "reasons", "next_count")
 
 
+DECIDED = SQL["alert_decisions"].split("SELECT deal_key, pos, price, NOT again")[0]
+
+
 @query("alert_state")
 def alert_state(spark, sf_dir):
     state, batch = state_and_batch(spark, sf_dir)
-    return ops.next_state(state, ops.alert_decisions(batch, state, now=F.lit(NOW).cast("timestamp"), policy=POLICY), policy=POLICY)
+    after = ops.next_state(state, ops.alert_decisions(batch, state, now=F.lit(NOW).cast("timestamp"), policy=POLICY), policy=POLICY)
+    return after.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_alerted_at", "cooldown_until")})
+
 
+SQL["alert_state"] = DECIDED + f"""SELECT deal_key, CASE WHEN a THEN price ELSE lp END AS last_price, CASE WHEN a THEN status ELSE ls END AS last_status, CASE WHEN a THEN TIMESTAMP '{NOW}' ELSE la END AS last_alerted_at, CASE WHEN a THEN TIMESTAMP '{NOW}' ELSE la END + INTERVAL 6 HOUR AS cooldown_until, (coalesce(ac, 0) + a::INT)::INTEGER AS alert_count
+ FROM (SELECT *, moved OR changed OR expired AS a FROM k WHERE NOT again) UNION ALL SELECT deal_key, lp, ls, la, la + INTERVAL 400 DAY, ac::INTEGER FROM st WHERE deal_key NOT IN (SELECT deal_key FROM k)"""
 
-@query("deal_pipeline")
+
+@query("deal_pipeline", f"""WITH st AS (SELECT deal_key, arg_max(price, pos) AS lp, arg_max(status, pos) AS ls, arg_max(shipped, pos)::TIMESTAMP AS la FROM (SELECT deal_key, order_key * 10 + line AS pos, round(price, 2) AS price, CASE WHEN in_stock THEN 'in_stock' WHEN NOT in_stock THEN 'out_of_stock' ELSE 'unknown' END AS status, shipped FROM {KEYED}) WHERE shipped < '1998-01-01' GROUP BY 1),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(source)), coalesce(trim(url), ''), lower(trim(title)) ORDER BY order_key, line) AS nth FROM {CLASSES}) WHERE nth = 1),
+g AS (SELECT *, regexp_replace(trim(title), '\\s+', ' ', 'g') AS tq FROM u WHERE NOT laptop AND wanted AND (({GPU} AND price <= 2000 AND NOT peripheral) OR (computer AND price <= 4000 AND (NOT peripheral OR strong)))),
+b AS (SELECT {KEY.replace("lower(trim(title))", "lower(tq)")} AS deal_key, order_key * 10 + line AS pos, price, CASE WHEN in_stock THEN 'in_stock' WHEN NOT in_stock THEN 'out_of_stock' ELSE 'unknown' END AS status FROM (SELECT *, lower(trim(source)) AS s FROM g)),
+j AS (SELECT b.*, lp, ls, row_number() OVER (PARTITION BY b.deal_key ORDER BY pos) > 1 AS again, st.deal_key IS NULL AS fresh, st.deal_key IS NULL OR TIMESTAMP '{NOW}' >= la + INTERVAL 400 DAY AS expired FROM b LEFT JOIN st USING (deal_key)),
+k AS (SELECT *, coalesce(abs(price - lp) >= 25 OR (lp > 0 AND abs(price - lp) / lp * 100 >= 3), false) AS moved, coalesce(ls <> status, false) AS changed FROM j)
+SELECT deal_key, pos, round(price, 2) AS price, NOT again AND (moved OR changed OR expired) AS should_alert, CASE WHEN again THEN 'duplicate_in_batch' ELSE concat_ws(',', CASE WHEN fresh THEN 'new_item' END, CASE WHEN moved THEN 'material_price_change' END, CASE WHEN changed THEN 'status_changed' END, CASE WHEN expired AND NOT fresh THEN 'cooldown_expired' END, CASE WHEN NOT (moved OR changed OR expired) THEN 'in_cooldown' END) END AS reasons FROM k""")
 def deal_pipeline(spark, sf_dir):
     state, _ = state_and_batch(spark, sf_dir)
     return ops.pipeline(numbered(spark, sf_dir), state, now=F.lit(NOW).cast("timestamp"), policy=POLICY).select("deal_key", "pos", F.round("price", 2).alias("price"), "should_alert", "reasons")
 
 
-@query("top_risk", "SELECT order_key, line, round(price, 2) AS price FROM deals ORDER BY price DESC, order_key, line LIMIT 5")
+@query("top_risk", "SELECT order_key * 10 + line AS pos, round(least(coalesce(price * 1000, 0) / 1e7 * 0.2 + supplier % 7 / 10.0 * 0.5 + coalesce(CASE WHEN line > 1 THEN line % 5 / 5.0 END, 0) * 0.3, 1.0), 4) AS risk FROM deals ORDER BY risk DESC, pos LIMIT 5")
 def top_risk(spark, sf_dir):
-    return inputs.deals(spark, sf_dir).orderBy(F.desc("price"), "order_key", "line").limit(5).select("order_key", "line", F.round("price", 2).alias("price"))
+    d = numbered(spark, sf_dir).select("pos", (F.col("price") * 1000).alias("size_usd"), (F.col("supplier") % 7 / 10.0).alias("debt_ratio"), F.when(F.col("line") > 1, F.col("line") % 5 / 5.0).alias("churn"))
+    return ops.top_risk(d).select("pos", "risk")
+
+
+@query("cheapest_targets", f"SELECT order_key * 10 + line AS pos, title, price FROM (SELECT order_key, line, title, round(price, 2) AS price FROM {CLASSES} WHERE NOT laptop AND wanted AND (({GPU} AND price <= 2000) OR (computer AND price <= 4000))) ORDER BY price, title, pos LIMIT 20")
+def cheapest_targets(spark, sf_dir):
+    good = ops.under_threshold(numbered(spark, sf_dir)).select("pos", "title", F.round("price", 2).alias("price"))
+    return ops.cheapest(good, 20)
 
 
 @query("reason_counts", f"SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM ({'__ALERTS__'})) GROUP BY reason")

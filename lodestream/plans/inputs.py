@@ -19,7 +19,7 @@ SELECT doc_id AS job_id, n_chars, lang, lower(source) AS source,
   CASE doc_id % 5 WHEN 0 THEN 'On-Site' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'field' ELSE NULL END AS work_mode_text,
   CASE doc_id % 5 WHEN 0 THEN 'New Grad' WHEN 1 THEN 'Principal' WHEN 2 THEN 'wizard' ELSE NULL END AS experience_text,
   CASE doc_id % 4 WHEN 0 THEN 'https://WWW.' || source || '.example.com/jobs/view/' || CAST(n_chars % 500 AS VARCHAR(9)) || '/?utm_source=x&b=2&a=1#top' WHEN 1 THEN 'https://' || source || '.example.com/search?q=dev' WHEN 2 THEN 'https://' || source || '.example.com/jobs' ELSE NULL END AS url,
-  substr(w3, 1, 300) AS description
+  w3 AS description
 FROM (
   SELECT doc_id, n_chars, lang, source, split_part(t, ' ', 1) AS w1, split_part(t, ' ', 2) AS w2, t AS w3
   FROM (SELECT doc_id, n_chars, lang, source, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' '), ' +', ' ')) AS t FROM {documents})
@@ -82,6 +82,7 @@ def with_views(sql: str) -> str:
     views = {"jobs": JOBS_DUCKDB, "deals": DEALS.replace("{lineitem}", "lineitem").replace("{part}", "part"), "runs": RUNS.replace("{orders}", "orders"), "events_": EVENTS.replace("{events}", "events")}
     used = [f"{name} AS ({text})" for name, text in views.items() if f" {name}" in sql]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {', '.join([*used, body[5:]])}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{', '.join([*used, body[len(head):]])}"
     return f"WITH {', '.join(used)} {body}" if used else body

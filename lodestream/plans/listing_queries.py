@@ -147,17 +147,77 @@ def url_keys(spark, sf_dir):
     return inputs.jobs(spark, sf_dir).select("job_id", urls.normal_url(F.col("url")).alias("url"), urls.url_kind(F.col("url")).alias("url_kind"), urls.short_hash(F.coalesce(F.trim("url"), "title")).alias("identity"))
 
 
-@query("duplicate_groups")
+def rnd(x: str, n: int) -> str:
+    """Halves up by the number's shortest decimal form, as Spark rounds doubles."""
+    return f"round(({x})::VARCHAR::DECIMAL(30, 17), {n})::DOUBLE"
+
+
+def cap(x: str, low: float = 0.0, high: float = 100.0) -> str:
+    return f"greatest({low}::DOUBLE, least(({x})::DOUBLE, {high}::DOUBLE))"
+
+
+def canon_u(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def phrase(x: str, p: str) -> str:
+    return f"contains(' ' || {x} || ' ', ' {p} ')"
+
+
+_PATTERN_MODE = r"""CASE WHEN regexp_matches(h, '(?i)\b(remote|work\s*from\s*home|wfh|anywhere)\b') THEN 'remote' WHEN regexp_matches(h, '(?i)\bhybrid\b') THEN 'hybrid' WHEN regexp_matches(h, '(?i)\b(on[-\s]?site|onsite|in\s+office)\b') THEN 'onsite' END"""
+_PATTERN_LEVEL = r"""CASE WHEN regexp_matches(e, '(?i)\b(intern|internship|co[-\s]?op)\b') THEN 'internship' WHEN regexp_matches(e, '(?i)\b(entry[-\s]?level|junior|new\s*grad|associate)\b') THEN 'entry' WHEN regexp_matches(e, '(?i)\b(mid[-\s]?level|intermediate|level\s*ii|level\s*2)\b') THEN 'mid' WHEN regexp_matches(e, '(?i)\b(senior|sr\.?|lead|staff|principal|manager|director|head)\b') THEN 'senior' END"""
+NORMAL = rf"""n0 AS (SELECT p.job_id, p.source, p.description, {cased('p.title')} AS title, {titled('p.title')} AS title_key, {COMPANY.replace("company", "p.company").replace("unknown p.company", "unknown company")} AS company, place AS location, p.mode AS given_mode, lower({sq('p.experience_text')}) AS x,
+  lo AS salary_min, hi AS salary_max, CASE WHEN form IS NOT NULL THEN coalesce(cur, 'USD') END AS currency, {sq('p.salary_text')} AS salary_raw, {sq('p.url')} AS url, kind AS url_kind, posted AS posted_at, {sq('p.posted_text')} AS posted_raw, regexp_matches(p.posted_text, '^2026') AS dated
+  FROM {PLACED} p JOIN (SELECT job_id, lo, hi, cur, form FROM {SALARY}) s ON s.job_id = p.job_id JOIN (SELECT job_id, posted FROM {POSTED}) d ON d.job_id = p.job_id JOIN (SELECT job_id, kind FROM {URLED}) u ON u.job_id = p.job_id),
+n1 AS (SELECT *, coalesce(given_mode, {_PATTERN_MODE}) AS mode, coalesce(CASE x WHEN 'new grad' THEN 'entry' WHEN 'principal' THEN 'senior' ELSE x END, {_PATTERN_LEVEL}) AS level, CASE WHEN posted_at IS NOT NULL THEN greatest(floor((epoch(TIMESTAMP '{NOW}') - epoch(posted_at)) / 86400)::BIGINT, 0) END AS age_days,
+  CASE WHEN currency IS NULL THEN salary_raw WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN format('${{:,}} - ${{:,}}', round(salary_min)::BIGINT, round(salary_max)::BIGINT) ELSE format('${{:,}}', round(coalesce(salary_max, salary_min))::BIGINT) END AS salary_text,
+  {COMPANY_KEY.replace("lower(c)", "lower(company)")} AS company_key, location AS place FROM (SELECT *, concat_ws(' ', title, location, description) AS h, concat_ws(' ', title, description) AS e FROM n0)),
+n2 AS (SELECT *, k AS location_key, CASE WHEN place IS NULL AND mode IS NULL THEN 'missing' WHEN k IN ('remote', 'hybrid', 'onsite') THEN 'mode_only' WHEN k IN ('united states', 'united states of america', 'usa', 'us', 'u s', 'north america') THEN 'broad' WHEN length({canon('place')}) <= 2 THEN 'weak' ELSE 'structured' END AS location_quality,
+  CASE WHEN age_days IS NULL THEN 'missing' WHEN dated THEN 'timestamp' ELSE 'relative_normalized' END AS recency_quality FROM {KEYED.replace(PLACED, "n1")}),
+normal AS (SELECT job_id, source, description, title, company, location, salary_min, salary_max, currency, mode, level, url, posted_raw, posted_at, age_days, url_kind, salary_text, company_key, title_key, location_key, location_quality, recency_quality,
+  CASE WHEN company_key <> '' AND title_key <> '' THEN 'job:' || company_key || '|' || title_key || '|' || location_key WHEN title_key <> '' THEN 'job:title:' || title_key || '|' || location_key WHEN url IS NOT NULL THEN 'url:' || lower(url) ELSE 'id:' || job_id END AS job_key,
+  (2 + CASE WHEN company IS NOT NULL THEN 25 ELSE 0 END + CASE location_quality WHEN 'structured' THEN 12 WHEN 'mode_only' THEN 8 WHEN 'broad' THEN 5 ELSE CASE WHEN location IS NOT NULL THEN 3 ELSE 0 END END + CASE url_kind WHEN 'missing' THEN 0 WHEN 'direct' THEN 18 ELSE 8 END + CASE WHEN recency_quality <> 'missing' THEN 15 ELSE 0 END
+  + CASE WHEN mode IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN salary_text IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN trim(description) <> '' THEN 6 ELSE 0 END + CASE WHEN level IS NOT NULL THEN 4 ELSE 0 END)::DOUBLE AS quality FROM n2 WHERE title IS NOT NULL)"""
+_near = " OR ".join(f"contains(location_key, '{w}') OR contains('{w}', location_key) OR len(list_intersect(tk, {sorted(set(w.split()))})) >= greatest(1, least(len(list_distinct(tk)), {len(set(w.split()))}) - 1)" for w in REQUEST.locations)
+MATCHED = rf"""matched AS (SELECT *, CASE reason WHEN 'location_unknown' THEN 6.0::DOUBLE WHEN 'exact_location_match' THEN 100.0 WHEN 'near_location_match' THEN 84.0 ELSE 10.0 END AS place_score FROM (SELECT *, CASE WHEN location_quality IN ('missing', 'weak') OR location_key = 'unspecified' THEN 'location_unknown' WHEN location_key IN {REQUEST.locations} THEN 'exact_location_match' WHEN {_near} THEN 'near_location_match' ELSE 'location_mismatch' END AS reason
+  FROM (SELECT *, list_filter(string_split(location_key, ' '), lambda w: w <> '') AS tk FROM normal)))"""
+SCORED = rf"""g AS (SELECT *, {canon_u('title')} AS ct, {canon_u("concat_ws(' ', title, description, location)")} AS ch, list_filter(list_distinct(string_split({canon_u("concat_ws(' ', title, description)")}, ' ')), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+')) AS tokens, quality / 100.0::DOUBLE AS q FROM matched),
+f AS (SELECT *, CASE WHEN {phrase('ct', 'lead')} OR {phrase('ct', 'manager')} THEN 1 ELSE 0 END AS families, CASE WHEN {phrase('ct', 'lead')} THEN 1 ELSE 0 END AS titles, CASE WHEN {phrase('ch', 'intern')} THEN 1 ELSE 0 END + CASE WHEN {phrase('ch', 'api')} THEN 1 ELSE 0 END AS words FROM g),
+pt AS (SELECT *, least(families * 0.62::DOUBLE + titles * 0.28::DOUBLE, 1.7::DOUBLE) AS s_title, least(words * 0.14::DOUBLE, 0.42::DOUBLE) AS s_keyword, least(greatest(coalesce(salary_min, 0), coalesce(salary_max, 0)) / 260000.0::DOUBLE, 0.55::DOUBLE) AS s_salary, place_score / 100.0::DOUBLE * 0.24::DOUBLE AS s_mode, (CASE WHEN level IN ('entry', 'internship') THEN 0.18 WHEN level = 'mid' THEN 0.1 WHEN level = 'senior' THEN 0.05 ELSE 0.0 END)::DOUBLE AS s_level,
+  q * 0.28::DOUBLE AS s_meta, (CASE url_kind WHEN 'direct' THEN 0.12 WHEN 'missing' THEN 0.0 ELSE 0.05 END)::DOUBLE AS s_link, __OVERLAP__ AS overlap, (CASE WHEN age_days IS NULL THEN 28 ELSE 0 END)::DOUBLE AS missing, CASE WHEN age_days > 30 THEN 48.0::DOUBLE WHEN age_days > 14 THEN {rnd("least(18.0::DOUBLE + (age_days - 14) * 1.5::DOUBLE, 40.0::DOUBLE)", 2)} ELSE 0.0 END AS old,
+  CASE WHEN age_days IS NULL OR age_days > 30 THEN 0.0::DOUBLE WHEN age_days > 14 THEN {cap("55.0::DOUBLE - (age_days - 14) * 3.0::DOUBLE")} ELSE {cap("100.0::DOUBLE - age_days * 5.0::DOUBLE")} END AS recency_score FROM f),
+tt AS (SELECT *, {cap(rnd("s_title + s_keyword + s_salary + s_mode + s_level + s_meta + s_link + 0.0::DOUBLE", 4) + " / 2.6::DOUBLE * 100.0::DOUBLE")} AS score_100, {cap(f"18.0::DOUBLE + {rnd('s_title', 4)} * 34.0::DOUBLE + {rnd('s_keyword', 4)} * 18.0::DOUBLE + 0.0::DOUBLE")} AS title_match FROM pt),
+sb AS (SELECT *, {cap("16.0::DOUBLE + score_100 * 0.24::DOUBLE + title_match * 0.16::DOUBLE + overlap * 48.0::DOUBLE + q * 8.0::DOUBLE")} AS resume_match, {cap(f"10.0::DOUBLE + {rnd('s_salary', 4)} * 100.0::DOUBLE + q * 10.0::DOUBLE + CASE url_kind WHEN 'direct' THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END")} AS salary_score,
+  {cap(f"place_score * 0.82::DOUBLE + {rnd('s_mode', 4)} * 45.0::DOUBLE + q * 6.0::DOUBLE")} AS location_score, {cap(f"12.0::DOUBLE + {rnd('s_level', 4)} * 220.0::DOUBLE + 0.0::DOUBLE")} AS seniority FROM tt),
+scored AS (SELECT * REPLACE ({rnd('resume_match', 2)} AS resume_match, {rnd('title_match', 2)} AS title_match, {rnd('location_score', 2)} AS location_score, {rnd('recency_score', 2)} AS recency_score),
+  {rnd(cap("greatest(score_100, " + rnd("resume_match * 0.30::DOUBLE + title_match * 0.20::DOUBLE + salary_score * 0.12::DOUBLE + location_score * 0.13::DOUBLE + seniority * 0.12::DOUBLE + recency_score * 0.13::DOUBLE", 2) + ") - missing - old"), 2)} AS overall,
+  {rnd(cap("(100.0::DOUBLE - quality) * 0.06::DOUBLE + CASE WHEN company IS NULL THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + CASE url_kind WHEN 'missing' THEN 2.5::DOUBLE WHEN 'direct' THEN 0.0::DOUBLE ELSE 0.75::DOUBLE END + CASE WHEN posted_at IS NULL THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN location_quality IN ('missing', 'weak') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN mode IS NULL THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END", 0.0, 15.0), 2)} AS penalty FROM sb)"""
+_OVERLAP = "least(len(list_intersect(tokens, ['the', 'and', 'with'])) / greatest(least(len(tokens), 12), 1)::DOUBLE, 1.0::DOUBLE)"
+RANKED = rf"""first AS (SELECT * FROM (SELECT *, job_id % 20 AS pipeline, row_number() OVER (PARTITION BY job_id % 20 ORDER BY overall - penalty DESC, quality DESC, job_id) AS nth FROM scored) WHERE nth <= 200),
+c AS (SELECT *, count(*) OVER (PARTITION BY pipeline, sc) / count(*) OVER (PARTITION BY pipeline)::DOUBLE AS share, row_number() OVER (PARTITION BY pipeline, cc ORDER BY overall DESC, resume_match DESC, title_match DESC, job_id) - 1 AS n_company, row_number() OVER (PARTITION BY pipeline, tc ORDER BY overall DESC, resume_match DESC, title_match DESC, job_id) - 1 AS n_title, row_number() OVER (PARTITION BY pipeline, sc ORDER BY overall DESC, resume_match DESC, title_match DESC, job_id) - 1 AS n_source
+  FROM (SELECT *, {canon_u('company')} AS cc, {canon_u('title')} AS tc, lower(trim(coalesce(source, 'unknown'))) AS sc FROM first)),
+o AS (SELECT *, least(n_company * 6.0::DOUBLE, 18.0::DOUBLE) AS company_penalty, least(n_title * 3.0::DOUBLE, 9.0::DOUBLE) AS title_penalty, CASE WHEN share > 0.5 AND n_source > 0 THEN 2.5::DOUBLE ELSE 0.0::DOUBLE END AS source_penalty, greatest(0.0::DOUBLE, (1.0::DOUBLE - share) * 2.0::DOUBLE) AS source_bonus, least(penalty * 0.6::DOUBLE, 7.0::DOUBLE) AS off FROM c),
+r AS (SELECT *, {rnd(cap("overall - company_penalty - title_penalty - source_penalty - off + source_bonus"), 2)} AS adjusted FROM o)"""
+
+
+def chained(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+
+@query("duplicate_groups", chained(NORMAL) + """SELECT job_key, b.*, salary_min, salary_max, members, sources FROM (SELECT job_key, arg_max(struct_pack(job_id, title, company, location, mode, level, url, posted_at, quality),
+ struct_pack(quality, filled := (company IS NOT NULL)::INT + (location IS NOT NULL)::INT + (mode IS NOT NULL)::INT + (salary_text IS NOT NULL)::INT + (url IS NOT NULL)::INT + (description IS NOT NULL)::INT + (posted_at IS NOT NULL)::INT + (level IS NOT NULL)::INT, pay := coalesce(salary_max, salary_min, 0), first := -job_id)) AS b,
+ min(salary_min) AS salary_min, max(salary_max) AS salary_max, count(*) AS members, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM normal GROUP BY job_key)""")
 def duplicate_groups(spark, sf_dir):
-    return listings.duplicate_groups(normalized(spark, sf_dir))
+    return listings.duplicate_groups(normalized(spark, sf_dir)).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
-@query("duplicate_members")
+@query("duplicate_members", chained(NORMAL) + "SELECT job_key, job_id FROM normal")
 def duplicate_members(spark, sf_dir):
     return listings.duplicate_members(normalized(spark, sf_dir))
 
 
-@query("normalized_listings")
+@query("normalized_listings", chained(NORMAL) + "SELECT * FROM normal")
 def normalized_listings(spark, sf_dir):
     return normalized(spark, sf_dir).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
@@ -180,12 +240,12 @@ def exclude_terms(spark, sf_dir):
     return inputs.jobs(spark, sf_dir).filter(~F.exists(terms, lambda t: hay.contains(t))).select("job_id", "title")
 
 
-@query("location_match")
+@query("location_match", chained(NORMAL, MATCHED) + "SELECT job_id, location_key, mode, place_score AS score, reason, reason IN ('exact_location_match', 'near_location_match') AS is_match FROM matched")
 def location_match(spark, sf_dir):
     return normalized(spark, sf_dir).withColumn("m", listings.location_match(REQUEST)).select("job_id", "location_key", "mode", "m.score", "m.reason", "m.is_match")
 
 
-@query("job_filter")
+@query("job_filter", chained(NORMAL, MATCHED) + "SELECT job_id, title, location_key, salary_min, salary_max, level FROM matched WHERE NOT contains(lower(title), 'wizard') AND contains(lower(title), 'lead') AND reason NOT IN ('location_unknown', 'location_mismatch') AND coalesce(salary_max >= 80000, true)")
 def job_filter(spark, sf_dir):
     return normalized(spark, sf_dir).filter(listings.job_filter(REQUEST)).select("job_id", "title", "location_key", "salary_min", "salary_max", "level")
 
@@ -196,12 +256,14 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.stage(listings.diversity(first), "ranked")
 
 
-@query("rank_listings")
+@query("rank_listings", chained(NORMAL, MATCHED, SCORED.replace("__OVERLAP__", _OVERLAP), RANKED) + "SELECT pipeline, job_id, row_number() OVER (PARTITION BY pipeline ORDER BY adjusted DESC, overall DESC, resume_match DESC, job_id) AS rank, CASE WHEN adjusted / 50.0::DOUBLE >= 1.6 THEN 'strong_match' WHEN adjusted / 50.0::DOUBLE >= 1.15 THEN 'good_match' WHEN adjusted / 50.0::DOUBLE >= 0.75 THEN 'stretch_match' ELSE 'low_match' END AS tier, overall, adjusted, company_penalty, title_penalty, source_penalty, round(source_bonus, 6) AS source_bonus FROM r")
 def rank_listings(spark, sf_dir):
     return ranked(spark, sf_dir).select("pipeline", "job_id", "rank", "tier", "overall", "adjusted", "company_penalty", "title_penalty", "source_penalty", F.round("source_bonus", 6).alias("source_bonus"))
 
 
-@query("blended_scores")
+@query("blended_scores", chained(NORMAL, MATCHED, SCORED.replace("__OVERLAP__", "0.0::DOUBLE"), f"""b AS (SELECT s.*, m_location, m_overall, m_overall IS NOT NULL AS has FROM scored s LEFT JOIN (SELECT job_id, n_chars % 100 AS m_location, n_chars % 90 AS m_overall FROM jobs WHERE job_id % 3 = 0) m ON m.job_id = s.job_id)
+SELECT job_id, {rnd(cap(cap("CASE WHEN has THEN " + cap("m_overall * 0.88::DOUBLE + recency_score * 0.12::DOUBLE") + " ELSE overall END - CASE WHEN place_score < 25 THEN 16.0::DOUBLE WHEN place_score < 50 THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END") + " - (missing + old)"), 2)} AS overall,
+ {rnd("CASE WHEN has THEN m_location * 0.55::DOUBLE + place_score * 0.45::DOUBLE ELSE greatest(location_score, place_score) END", 2)} AS location_score, CASE WHEN has THEN 'model' ELSE 'deterministic' END AS mode_of_score FROM b"""))
 def blended_scores(spark, sf_dir):
     captured = inputs.jobs(spark, sf_dir).filter("job_id % 3 = 0").select("job_id", (F.col("n_chars") % 100).cast("double").alias("location_score"), (F.col("n_chars") % 90).cast("double").alias("overall"))
     scored = listings.fallback_scores(normalized(spark, sf_dir), REQUEST)
@@ -266,9 +328,9 @@ def requirement_lines(spark, sf_dir):
     return listings.requirement_lines(docs, ("with", "ing", "tion"))
 
 
-@query("query_plan", "SELECT row_number() OVER (ORDER BY turn, tp, lp) AS query_index, query, location, turn FROM (SELECT *, row_number() OVER (PARTITION BY query, location ORDER BY turn, tp, lp) AS n FROM (SELECT n_nationkey AS tp, r_regionkey AS lp, r_name AS location, t.turn, CASE t.turn WHEN 0 THEN lower(n_name) WHEN 1 THEN 'senior ' || lower(n_name) ELSE replace(lower(n_name), 'engineer', 'developer') END AS query FROM nation, region, (VALUES (0), (1), (2)) t(turn) WHERE n_nationkey < 8)) WHERE n = 1 ORDER BY turn, tp, lp LIMIT 50")
+@query("query_plan", "SELECT row_number() OVER (ORDER BY turn, tp, lp) AS query_index, query, location, turn FROM (SELECT *, row_number() OVER (PARTITION BY query, location ORDER BY turn, tp, lp) AS n FROM (SELECT n_nationkey AS tp, r_regionkey AS lp, r_name AS location, t.turn, CASE t.turn WHEN 0 THEN lower(n_name) WHEN 1 THEN 'senior ' || lower(n_name) ELSE replace(lower(n_name), 'engineer', 'developer') END AS query FROM nation, region, (VALUES (0), (1), (2)) t(turn))) WHERE n = 1 ORDER BY turn, tp, lp LIMIT 50")
 def query_plan(spark, sf_dir):
-    titles = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey < 8").select(F.col("n_nationkey").alias("title_pos"), F.lower("n_name").alias("title"))
+    titles = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("title_pos"), F.lower("n_name").alias("title"))
     places = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("location_pos"), F.col("r_name").alias("location"))
     return listings.expand_queries(titles, places)
 
@@ -287,3 +349,54 @@ def score_audit(spark, sf_dir):
     j = inputs.jobs(spark, sf_dir).select(F.col("job_id").alias("id"), "n_chars")
     captured = j.filter("id % 5 <> 0").select("id", (F.col("n_chars") % 130).alias("score")).unionByName(j.filter("id % 7 = 1").select("id", F.lit(5).cast("long").alias("score")))
     return ops.score_audit(j.filter("id % 4 <> 0"), captured)
+
+
+LEVELLED = r"""(SELECT *, coalesce(CASE lower(trim(experience_text)) WHEN 'new grad' THEN 'entry' WHEN 'principal' THEN 'senior' ELSE lower(trim(experience_text)) END, CASE WHEN regexp_matches(e, '(?i)\b(intern|internship|co[-\s]?op)\b') THEN 'internship'
+ WHEN regexp_matches(e, '(?i)\b(entry[-\s]?level|junior|new\s*grad|associate)\b') THEN 'entry' WHEN regexp_matches(e, '(?i)\b(mid[-\s]?level|intermediate|level\s*ii|level\s*2)\b') THEN 'mid' WHEN regexp_matches(e, '(?i)\b(senior|sr\.?|lead|staff|principal|manager|director|head)\b') THEN 'senior' END) AS level
+ FROM (SELECT *, concat_ws(' ', title, description) AS e FROM jobs))"""
+
+
+@query("entry_listings", rf"SELECT job_id, level FROM {LEVELLED} WHERE coalesce(level, '') <> 'senior' AND NOT regexp_matches(title, '(?i)\b(senior|sr|lead|staff|principal|manager)\b')")
+def entry_listings(spark, sf_dir):
+    c = F.col
+    j = inputs.jobs(spark, sf_dir).withColumn("level", F.coalesce(text.experience(c("experience_text")), text.infer_experience(c("title"), c("description"))))
+    return j.filter(listings.experience_filter(Request(experience=("entry",)))).select("job_id", "level")
+
+
+@query("recent_listings", f"SELECT job_id, a AS age_days FROM (SELECT *, greatest(floor((epoch(TIMESTAMP '{NOW}') - epoch(posted)) / 86400)::BIGINT, 0) AS a FROM {POSTED} WHERE posted IS NOT NULL) WHERE a <= 14")
+def recent_listings(spark, sf_dir):
+    j = inputs.jobs(spark, sf_dir).withColumn("posted_at", dates.posted_at(F.col("posted_text"), now()))
+    j = j.withColumn("age_days", F.when(F.col("posted_at").isNotNull(), dates.age_days(F.lit(None).cast("long"), F.col("posted_at"), now())))
+    return j.filter(listings.recency_filter(Request(prefer_recent=True))).select("job_id", "age_days")
+
+
+@query("clearances", r"SELECT job_id, CASE WHEN regexp_matches(x, '(?i)\btop secret\b') THEN 'top_secret' WHEN regexp_matches(x, '(?i)\bsecret clearance\b') THEN 'secret' WHEN regexp_matches(x, '(?i)\bpublic trust\b') THEN 'public_trust' WHEN regexp_matches(x, '(?i)\bsecurity clearance\b') THEN 'clearance_required' END AS clearance FROM (SELECT job_id, concat_ws(' ', title, description || CASE n_chars % 5 WHEN 0 THEN ' Top Secret needed' WHEN 1 THEN ' a secret clearance' WHEN 2 THEN ' Public trust' WHEN 3 THEN ' security clearance' ELSE '' END) AS x FROM jobs)")
+def clearances(spark, sf_dir):
+    k = F.col("n_chars") % 5
+    said = F.when(k == 0, " Top Secret needed").when(k == 1, " a secret clearance").when(k == 2, " Public trust").when(k == 3, " security clearance").otherwise("")
+    return inputs.jobs(spark, sf_dir).select("job_id", text.infer_clearance(F.col("title"), F.concat("description", said)).alias("clearance"))
+
+
+@query("manual_listings", "SELECT job_id AS request_id, i AS pos, 'manual' AS source, CASE WHEN i = 0 THEN url ELSE 'https://given.example.com/' || job_id END AS source_url, CASE WHEN i = 0 THEN title ELSE company END AS title, CASE WHEN i = 0 THEN 50.5 END AS salary_min FROM jobs, (VALUES (0), (2)) v(i) WHERE job_id % 3 = 0 OR i = 0")
+def manual_listings(spark, sf_dir):
+    c = F.col
+    one = F.to_json(F.struct(c("title"), c("url"), F.lit(" ").alias("source_url"), F.lit(50.5).alias("salary_min")))
+    two = F.to_json(F.struct(c("company").alias("title"), F.concat(F.lit("https://given.example.com/"), c("job_id").cast("string")).alias("source_url")))
+    entries = F.when(c("job_id") % 3 == 0, F.concat_ws(",", one, F.lit("null"), two)).otherwise(one)
+    rows = inputs.jobs(spark, sf_dir).select(c("job_id").alias("request_id"), F.concat(F.lit('{"manual_jobs":['), entries, F.lit("]}")).alias("payload"))
+    return listings.manual_rows(rows).select("request_id", "pos", "source", "source_url", "title", "salary_min")
+
+
+@query("digest_rows", """WITH d AS (SELECT job_id * 2 AS job_id, row_number() OVER (PARTITION BY source ORDER BY job_id) AS rank, CASE WHEN job_id % 4 = 0 THEN title || ' ' || repeat('x', 130) END AS title, CASE WHEN job_id % 5 = 0 THEN ' ' ELSE company END AS company, salary_text AS salary FROM jobs),
+ j AS (SELECT d.job_id, rank, coalesce({}, {}, 'Unknown role') AS title, coalesce({}, {}, 'Unknown company') AS company, coalesce({}, {}, 'Not listed') AS salary FROM d LEFT JOIN (SELECT job_id, title AS st, company AS sc, salary_text AS ss FROM jobs) s ON s.job_id = d.job_id)
+ SELECT job_id, rank, CASE WHEN length(title) <= 120 THEN title ELSE rtrim(substr(title, 1, 119)) || '…' END AS title, company, salary FROM j""".format(*map(sq, ("title", "st", "company", "sc", "salary", "ss"))))
+def digest_rows(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ..operators import reports
+
+    c = F.col
+    j = inputs.jobs(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("job_id")).cast("long")
+    d = j.select((c("job_id") * 2).alias("job_id"), rank.alias("rank"), F.when(c("job_id") % 4 == 0, F.concat("title", F.lit(" "), F.repeat(F.lit("x"), 130))).alias("title"), F.when(c("job_id") % 5 == 0, " ").otherwise(c("company")).alias("company"), c("salary_text").alias("salary"))
+    return reports.digest_rows(d, j.select("job_id", "title", "company", c("salary_text").alias("salary")))

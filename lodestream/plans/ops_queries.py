@@ -173,7 +173,14 @@ def alert_feed(spark, sf_dir):
     return ops.compress_alerts(ops.event_signals(inputs.events(spark, sf_dir)), now=now()).select("signature", "n", "event_id", "family", "severity", "category", "priority")
 
 
-@query("alert_top")
+ACTIONS = "CASE WHEN contains(t, 'budget') THEN 'adjust_budget' WHEN family = 'notify-failure' THEN 'check_channel' WHEN contains(t, 'failed') THEN 'inspect_runs' WHEN regexp_matches(t, 'watchdog|stale|heartbeat') THEN 'check_heartbeats' WHEN regexp_matches(t, 'planner|approval') THEN 'check_planner' WHEN regexp_matches(t, 'auth|api key') THEN 'check_key' WHEN contains(t, 'template') THEN 'fix_template' END"
+
+
+@query("alert_top", f"""SELECT category, position, signature, priority, next_action FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY priority DESC, latest DESC, signature) AS position FROM (
+ SELECT signature, latest, category, action AS next_action, (s + c + CASE WHEN n > 1 THEN least(n * 5, 40) ELSE 0 END + CASE WHEN epoch(TIMESTAMP '{NOW}') - floor(epoch(latest)) <= 900 THEN 25 WHEN epoch(TIMESTAMP '{NOW}') - floor(epoch(latest)) <= 3600 THEN 10 ELSE 0 END)::BIGINT AS priority FROM (
+ SELECT signature, count(*) AS n, arg_max(family, struct_pack(ts, event_id)) AS family, max(ts) AS latest, CASE max(CASE category WHEN 'actionNeeded' THEN 4 WHEN 'workflow' THEN 3 WHEN 'system' THEN 2 ELSE 1 END) WHEN 4 THEN 'actionNeeded' WHEN 3 THEN 'workflow' WHEN 2 THEN 'system' ELSE 'informational' END AS category, arg_max(act, struct_pack(ts, event_id)) FILTER (act IS NOT NULL) AS action,
+ max(CASE severity WHEN 'error' THEN 300 WHEN 'warning' THEN 200 ELSE 100 END) AS s, max(CASE category WHEN 'actionNeeded' THEN 100 WHEN 'workflow' THEN 60 WHEN 'system' THEN 50 ELSE 20 END) AS c FROM (SELECT *, {ACTIONS} AS act FROM {SIGNED}) GROUP BY signature)
+ WHERE family <> 'planner-tick' OR n > 2 OR category = 'actionNeeded')) WHERE position <= CASE category WHEN 'actionNeeded' THEN 10 ELSE 12 END""")
 def alert_top(spark, sf_dir):
     feed = ops.compress_alerts(ops.event_signals(inputs.events(spark, sf_dir)), now=now())
     return ops.top_per_category(feed, {"actionNeeded": 10, "workflow": 12, "system": 12, "informational": 12}).select("category", "position", "signature", "priority", "next_action")
@@ -209,11 +216,11 @@ def early_stop(spark, sf_dir):
     return ops.early_stop(attempts, empty=3, least=6).select("source", "query_index", "new_rows", "executed")
 
 
-@query("collection_waterfall", """WITH d AS (SELECT source, lang AS src2, substr(coalesce(text, ''), 1, 40) AS k, n_chars > 800 AS kept FROM documents), p AS (SELECT source, k, count(*) AS n, count_if(kept) AS kept FROM d GROUP BY 1, 2), e AS (SELECT k, count(*) AS n, count_if(kept) AS kept FROM d GROUP BY 1)
+@query("collection_waterfall", """WITH d AS (SELECT source, lang AS src2, md5(coalesce(text, '')) AS k, n_chars > 800 AS kept FROM documents), p AS (SELECT source, k, count(*) AS n, count_if(kept) AS kept FROM d GROUP BY 1, 2), e AS (SELECT k, count(*) AS n, count_if(kept) AS kept FROM d GROUP BY 1)
 SELECT source, sum(n)::BIGINT AS discovered, sum(kept)::BIGINT AS kept, count_if(kept > 0) AS distinct_rows, (sum(kept) - count_if(kept > 0))::BIGINT AS collapsed FROM p GROUP BY source UNION ALL SELECT 'all sources', sum(n)::BIGINT, sum(kept)::BIGINT, count_if(kept > 0), (sum(kept) - count_if(kept > 0))::BIGINT FROM e""")
 def collection_waterfall(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ops.waterfall(d.select("source", (F.col("n_chars") > 800).alias("kept"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("key")))
+    return ops.waterfall(d.select("source", (F.col("n_chars") > 800).alias("kept"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")))
 
 
 @query("worst_status", "SELECT task_type AS source, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'running') THEN 'running' ELSE 'success' END AS status, arg_max(error, struct_pack(started, run_id)) FILTER (error IS NOT NULL) AS last_error, count(*) AS attempts FROM runs GROUP BY 1")
@@ -239,7 +246,7 @@ def token_costs(spark, sf_dir):
 def heartbeat_upsert(spark, sf_dir):
     e = beats(spark, sf_dir)
     last = lambda x: x.groupBy("agent").agg(F.max("ts").alias("last_seen"))
-    return sinks.upsert(last(e.filter("ts < '2024-01-15'")), last(e.filter("ts >= '2024-01-15'")).unionByName(last(e).limit(0)), "agent")
+    return sinks.upsert(last(e.filter("ts < '2024-01-15'")), last(e.filter("ts >= '2024-01-15'")), "agent")
 
 
 @query("metric_gauges", "SELECT 'errors' AS name, count_if(level = 'error') AS value FROM events_ UNION ALL SELECT 'events', count(*) FROM events_")

@@ -44,9 +44,9 @@ def page_states(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", html.page_state(F.col("html"), html.link_count(F.col("html"))).alias("state"))
 
 
-@query("page_links", rf"""SELECT page_id, (i - 1)::INTEGER AS pos, href, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href AS url FROM (SELECT page_id, url, generate_subscripts(h, 1) AS i, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h FROM pages)) WHERE starts_with(href, '/')""")
+@query("page_links", rf"""SELECT page_id, (i - 1)::INTEGER AS pos, href, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || href AS url FROM (SELECT page_id, url, generate_subscripts(h, 1) AS i, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h FROM pages))""")
 def page_links(spark, sf_dir):
-    return html.anchors(pages(spark, sf_dir)).filter(F.startswith("href", F.lit("/"))).select("page_id", "pos", "href", "url")
+    return html.anchors(pages(spark, sf_dir)).select("page_id", "pos", "href", "url")
 
 
 @query("job_cards")

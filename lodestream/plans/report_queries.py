@@ -8,6 +8,7 @@ from ..functions import text, urls
 from ..operators import ops, reports
 from ..sources import html
 from . import inputs
+from .page_queries import STRIP
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,11 +63,13 @@ def price_hints(spark, sf_dir):
     return p.select("page_id", F.length("html").alias("n"), reports.price_hint(marked, name).alias("price"))
 
 
-@query("card_tokens", r"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), ' '), lambda t: trim(t)), lambda t: t <> ''))) AS n FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '[&<]')")
+DOTTED = r"replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), ' ', ' · ')"
+
+
+@query("card_tokens", f"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex({STRIP.format(DOTTED)}, '[·•]'), lambda t: trim(t)), lambda t: t <> ''))) AS n FROM pages")
 def card_tokens(spark, sf_dir):
     h1 = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
-    p = table(spark, sf_dir, "pages").filter(~h1.rlike("[&<]"))
-    return p.select("page_id", F.size(html.card_tokens(F.regexp_replace(text.squeeze(h1), " ", " · "))).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(html.card_tokens(F.regexp_replace(text.squeeze(h1), " ", " · "))).cast("long").alias("n"))
 
 
 @query("best_urls", "SELECT job_id, CASE WHEN job_id % 4 = 0 THEN trim(url) WHEN job_id % 4 = 1 THEN 'https://board.example.com/viewjob/' || job_id WHEN url IS NOT NULL THEN 'https://board.example.com/viewjob/' || job_id ELSE 'https://board.example.com/viewjob/' || job_id END AS url FROM jobs")
@@ -168,19 +171,24 @@ def history_flags(spark, sf_dir):
     return reports.with_history(j, h, now=F.lit("2026-03-20 12:00:00").cast("timestamp"), cooldown_days=7).select("job_id", "seen_before", "cooldown_left")
 
 
-@query("chained_summary", """WITH t AS (SELECT o_custkey % 400 AS key, o_custkey AS task_id, max(o_orderdate) AS made FROM orders GROUP BY 1, 2), lt AS (SELECT key, arg_max(task_id, struct_pack(made, task_id)) AS task_id FROM t GROUP BY 1), lr AS (SELECT task_id, arg_max(run_id, struct_pack(started, run_id)) AS run_id, arg_max(status, struct_pack(started, run_id)) AS status FROM runs GROUP BY 1),
-a AS (SELECT l_orderkey AS run_id, l_orderkey * 10 + l_linenumber AS artifact_id, l_linenumber % 2 = 1 AS is_result, l_shipdate AS made FROM lineitem WHERE l_quantity > 30), la AS (SELECT run_id, arg_max(artifact_id, struct_pack(is_result, made, artifact_id)) AS artifact_id FROM a GROUP BY 1)
-SELECT c_custkey AS key, lt.task_id, lr.run_id, la.artifact_id, CASE WHEN lt.task_id IS NULL THEN 'none' WHEN lr.run_id IS NULL THEN 'queued' WHEN status = 'failed' THEN 'failed' WHEN la.artifact_id IS NULL THEN 'running' ELSE 'ready' END AS state FROM customer LEFT JOIN lt ON key = c_custkey LEFT JOIN lr ON lr.task_id = lt.task_id LEFT JOIN la ON la.run_id = lr.run_id WHERE c_custkey < 450""")
+@query("chained_summary", """WITH t AS (SELECT o_custkey // 3 AS key, o_custkey AS task_id, max(o_orderdate) AS made FROM orders GROUP BY 1, 2), lt AS (SELECT key, arg_max(task_id, struct_pack(made, task_id)) AS task_id FROM t GROUP BY 1), lr AS (SELECT task_id, arg_max(run_id, struct_pack(started, run_id)) AS run_id, arg_max(status, struct_pack(started, run_id)) AS status FROM runs GROUP BY 1),
+a AS (SELECT l_orderkey AS run_id, l_orderkey * 10 + l_linenumber AS artifact_id, l_linenumber % 2 = 1 AS is_result, l_shipdate AS made FROM lineitem), la AS (SELECT run_id, arg_max(artifact_id, struct_pack(is_result, made, artifact_id)) AS artifact_id FROM a GROUP BY 1)
+SELECT c_custkey AS key, lt.task_id, lr.run_id, la.artifact_id, CASE WHEN lt.task_id IS NULL THEN 'none' WHEN lr.run_id IS NULL THEN 'queued' WHEN status = 'failed' THEN 'failed' WHEN la.artifact_id IS NULL THEN 'running' ELSE 'ready' END AS state FROM customer LEFT JOIN lt ON key = c_custkey LEFT JOIN lr ON lr.task_id = lt.task_id LEFT JOIN la ON la.run_id = lr.run_id""")
 def chained_summary(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    tasks = o.groupBy((F.col("o_custkey") % 400).alias("key"), F.col("o_custkey").alias("task_id")).agg(F.max("o_orderdate").alias("at"))
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 30")
+    tasks = o.groupBy(F.floor(F.col("o_custkey") / 3).cast("long").alias("key"), F.col("o_custkey").alias("task_id")).agg(F.max("o_orderdate").alias("at"))
+    li = table(spark, sf_dir, "lineitem")
     artifacts = li.select(F.col("l_orderkey").alias("run_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("artifact_id"), (F.col("l_linenumber") % 2 == 1).alias("is_result"), F.col("l_shipdate").alias("at"))
-    keys = table(spark, sf_dir, "customer").filter("c_custkey < 450").select(F.col("c_custkey").alias("key"))
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
     return reports.chained_summary(keys, tasks, inputs.runs(spark, sf_dir), artifacts).select("key", "task_id", "run_id", "artifact_id", "state")
 
 
-@query("label_keys")
+_CANON = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("label_keys", f"""WITH l AS (SELECT p_partkey AS id, {_CANON.format("concat_ws(' ', p_name, p_type)")} AS l FROM part), d AS (SELECT DISTINCT p_brand AS key, {_CANON.format("p_name")} AS p FROM part), lw AS (SELECT *, list_distinct(string_split(l, ' ')) AS lt FROM l), dw AS (SELECT *, list_distinct(string_split(p, ' ')) AS pt FROM d),
+r AS (SELECT id, key, p, CASE WHEN l = p THEN 1 WHEN starts_with(' ' || l || ' ', ' ' || p || ' ') THEN 2 WHEN contains(' ' || l || ' ', ' ' || p || ' ') THEN 3 WHEN len(list_intersect(lt, pt)) / greatest(len(lt), len(pt))::DOUBLE >= 0.65 THEN 4 END AS rule FROM lw, dw)
+SELECT id, m.key AS key, m.rule AS rule FROM (SELECT id, min(struct_pack(rule, n := -length(p), key)) AS m FROM r WHERE rule IS NOT NULL GROUP BY id)""")
 def label_keys(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     labels = parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("label"))
@@ -195,12 +203,12 @@ def option_matches(spark, sf_dir):
     return reports.best_option(rows).select("id", "option")
 
 
-FUNNEL = "(SELECT source, (doc_id % 5)::INTEGER AS query_index, doc_id AS pos, substr(coalesce(text, ''), 1, 40) AS key, n_chars > 800 AS kept FROM documents)"
+FUNNEL = "(SELECT source, (doc_id % 5)::INTEGER AS query_index, doc_id AS pos, md5(coalesce(text, '')) AS key, n_chars > 800 AS kept FROM documents)"
 
 
 @query("query_funnel", f"WITH f AS {FUNNEL}, g AS (SELECT *, row_number() OVER (PARTITION BY source, key, kept ORDER BY query_index, pos) AS n FROM f) SELECT source, query_index, count(*) AS found, count_if(kept) AS kept, count_if(kept AND n = 1) AS new_rows, count_if(kept AND n > 1) AS duplicates FROM g GROUP BY 1, 2")
 def query_funnel(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5).cast("int").alias("query_index"), F.col("doc_id").alias("pos"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("key"), (F.col("n_chars") > 800).alias("kept"))
+    d = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 5).cast("int").alias("query_index"), F.col("doc_id").alias("pos"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), (F.col("n_chars") > 800).alias("kept"))
     return reports.query_funnel(d)
 
 
@@ -258,16 +266,16 @@ def result_else_latest(spark, sf_dir):
     return ops.latest_per_key(a, ["run_id"], "is_result", "at", "l_linenumber").select("run_id", "artifact_id", "is_result")
 
 
-@query("union_of_sources", "SELECT 'listing' AS kind, source, title FROM jobs UNION ALL SELECT 'deal', trim(lower(source)), trim(title) FROM deals WHERE line = 1")
+@query("union_of_sources", "SELECT 'listing' AS kind, source, title FROM jobs UNION ALL SELECT 'deal', trim(lower(source)), trim(title) FROM deals")
 def union_of_sources(spark, sf_dir):
     a = inputs.jobs(spark, sf_dir).select(F.lit("listing").alias("kind"), "source", "title")
-    b = inputs.deals(spark, sf_dir).filter("line = 1").select(F.lit("deal").alias("kind"), F.trim(F.lower("source")).alias("source"), F.trim("title").alias("title"))
+    b = inputs.deals(spark, sf_dir).select(F.lit("deal").alias("kind"), F.trim(F.lower("source")).alias("source"), F.trim("title").alias("title"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
 @query("set_differences", "SELECT user_id AS agent FROM events_ EXCEPT SELECT s_suppkey FROM supplier")
 def set_differences(spark, sf_dir):
-    return inputs.events(spark, sf_dir).select(F.col("user_id").alias("agent")).exceptAll(table(spark, sf_dir, "supplier").select("s_suppkey").limit(0)).distinct().join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("agent")), "agent", "left_anti")
+    return inputs.events(spark, sf_dir).select(F.col("user_id").alias("agent")).distinct().join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("agent")), "agent", "left_anti")
 
 
 @query("markdown_digest", "SELECT source, n, '## ' || source || ' (' || n || ')' || chr(10) || body AS markdown FROM (SELECT source, max(c) AS n, string_agg(k || '. ' || title, chr(10) ORDER BY k) AS body FROM (SELECT source, title, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, job_id) AS k, count(*) OVER (PARTITION BY source) AS c FROM jobs) WHERE k <= 5 GROUP BY source)")
@@ -285,3 +293,32 @@ def daily_report(spark, sf_dir):
     two = s.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("n"), "source"))).filter("r <= 2")
     busiest = two.groupBy("day").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "source", "n"))), lambda x: F.concat_ws(" ", x["source"], x["n"].cast("string"))), ", ").alias("busiest"))
     return per.join(busiest, "day").withColumn("line", F.format_string("%d events, %d errors; busiest: %s", "events", "errors", "busiest"))
+
+
+WATCHED = "CASE {0} % 3 WHEN 0 THEN 'solo' || {0} ELSE 'pair' || ({0} // 3) END"
+
+
+@query("watcher_summary", f"""WITH tp AS (SELECT 'w' || c_custkey AS id, {WATCHED.format('c_custkey')} AS task_type FROM customer), tk AS (SELECT o_orderkey AS task_id, {WATCHED.format('o_custkey')} AS task_type, CASE WHEN o_orderkey % 4 < 2 THEN 'w' || o_custkey END AS marker, o_orderdate AS u FROM orders),
+ nm AS (SELECT marker AS id, task_type, arg_max(task_id, struct_pack(u, task_id)) AS named FROM tk WHERE marker IS NOT NULL GROUP BY 1, 2), ty AS (SELECT task_type, arg_max(task_id, struct_pack(u, task_id)) AS by_type FROM tk WHERE task_type IN (SELECT task_type FROM tp GROUP BY 1 HAVING count(*) = 1) GROUP BY 1),
+ f AS (SELECT tp.id, tp.task_type, coalesce(named, by_type) AS task_id FROM tp LEFT JOIN nm USING (id, task_type) LEFT JOIN ty ON ty.task_type = tp.task_type), r AS (SELECT l_orderkey AS task_id, arg_max(l_orderkey * 10 + l_linenumber, struct_pack(l_shipdate, l_linenumber)) AS run_id, arg_max(l_linestatus, struct_pack(l_shipdate, l_linenumber)) AS status FROM lineitem GROUP BY 1),
+ a AS (SELECT l_orderkey AS task_id, arg_max(l_partkey, struct_pack(r := l_linenumber % 2 = 0, d := l_shipdate, k := l_partkey)) AS artifact_id FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1)
+ SELECT f.id, task_type, f.task_id, run_id, status, artifact_id FROM f LEFT JOIN r ON r.task_id = f.task_id LEFT JOIN a ON a.task_id = f.task_id""")
+def watcher_summary(spark, sf_dir):
+    c = F.col
+    kind = lambda k: F.when(c(k) % 3 == 0, F.concat(F.lit("solo"), c(k).cast("string"))).otherwise(F.concat(F.lit("pair"), F.floor(c(k) / 3).cast("string")))
+    templates = table(spark, sf_dir, "customer").select(F.concat(F.lit("w"), c("c_custkey").cast("string")).alias("id"), kind("c_custkey").alias("task_type"))
+    payload = F.when(c("o_orderkey") % 4 < 2, F.format_string('{"planner_template_id": " w%d "}', "o_custkey")).otherwise('{"other": 1}')
+    tasks = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("task_id"), kind("o_custkey").alias("task_type"), payload.alias("payload"), c("o_orderdate").alias("updated"))
+    li = table(spark, sf_dir, "lineitem")
+    runs = li.select(c("l_orderkey").alias("task_id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("run_id"), c("l_linestatus").alias("status"), c("l_shipdate").alias("at"))
+    artifacts = li.filter("l_orderkey % 5 <> 0").select(c("l_orderkey").alias("task_id"), c("l_partkey").alias("artifact_id"), (c("l_linenumber") % 2 == 0).alias("is_result"), c("l_shipdate").alias("at"))
+    return reports.watcher_summary(templates, tasks, runs, artifacts)
+
+
+@query("run_preview", """WITH s AS (SELECT level AS source, count(*) AS raw, count_if(value > 20) AS kept, count(DISTINCT user_id) AS pages, count(*) < 200 AS under, CASE WHEN count_if(source = 'planner') > 5 THEN 'login_wall' END AS blocking FROM events_ GROUP BY 1), f AS (SELECT *, list_position(['warning', 'error', 'info'], source) AS spot, upper(source[1]) || source[2:] AS label FROM s),
+ l AS (SELECT spot, list_filter([label || ' contributed ' || raw || ' raw jobs', label || ' kept ' || kept || ' jobs after filtering', label || ' attempted ' || pages || ' pages', CASE WHEN under THEN label || ' is under target for this run' END, CASE WHEN blocking IS NOT NULL THEN label || ' suspected blocking: ' || blocking END], lambda x: x IS NOT NULL) AS x FROM f)
+ SELECT (spot * 10 + generate_subscripts(x, 1) - 1)::INTEGER AS pos, unnest(x) AS line FROM l UNION ALL SELECT 0, CASE len(n) WHEN 1 THEN n[1] WHEN 2 THEN n[1] || ' + ' || n[2] ELSE n[1] || ', ' || n[2] || ', and ' || n[3] END || ' active' FROM (SELECT list(label ORDER BY spot) AS n FROM f)""")
+def run_preview(spark, sf_dir):
+    c = F.col
+    e = inputs.events(spark, sf_dir).groupBy(c("level").alias("source")).agg(F.count(F.lit(1)).alias("raw"), F.count_if(c("value") > 20).alias("kept"), F.countDistinct("user_id").alias("pages"), (F.count(F.lit(1)) < 200).alias("under_target"), F.when(F.count_if(c("source") == "planner") > 5, "login_wall").alias("blocking"))
+    return reports.run_preview(e, ("warning", "error", "info"))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a local one where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stage-")
+    """A new path in the folder of spark.checkpoint.dir. Where a local session names none, as in tests, a temporary one; a cluster must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-stage-")
     return f"{root.rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
@@ -38,17 +42,17 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName().removeprefix("v=")) for p in done if p.getName().startswith("v="))
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version; an empty frame before the first."""
-    have = versions(spark, path)
+def read_snapshot(spark: SparkSession, path: str, schema: str, *, before: int | None = None) -> DataFrame:
+    """The newest version (below `before`, where given); an empty frame before the first."""
+    have = [v for v in versions(spark, path) if before is None or v < before]
     return spark.read.schema(schema).parquet(f"{path}/v={have[-1]}") if have else spark.createDataFrame([], schema)
 
 
-def write_snapshot(df: DataFrame, path: str, *, keep: int = 2) -> int:
-    """Writes the next version, never over one that is being read, and drops all but the last `keep`. A version counts once its _SUCCESS file is there, so a run that dies halfway changes nothing."""
+def write_snapshot(df: DataFrame, path: str, *, keep: int = 2, version: int | None = None) -> int:
+    """Writes the next version, never over one that is being read, and drops all but the last `keep`. A version counts once its _SUCCESS file is there, so a run that dies halfway changes nothing. A stream names the version by its batch, so that a batch that is run again replaces its own."""
     spark = df.sparkSession
-    have = versions(spark, path)
-    new = (have[-1] if have else 0) + 1
+    have = [v for v in versions(spark, path) if version is None or v < version]
+    new = (have[-1] if have else 0) + 1 if version is None else version
     df.write.mode("overwrite").parquet(f"{path}/v={new}")
     for v in have[: max(0, len(have) + 1 - keep)]:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")

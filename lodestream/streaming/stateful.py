@@ -18,22 +18,44 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 
 
 def rows_in_order(batches: Iterator[pd.DataFrame], *by: str) -> Iterator:
+    """A key's rows of one micro-batch in order. How many those are is a matter of the source's limits, such as maxFilesPerTrigger."""
     yield from pd.concat(list(batches)).sort_values(list(by)).itertuples(index=False)
 
 
-class DealAlerts(StatefulProcessor):
-    """Per deal key: last alerted price, status and time. Emits each row with should_alert and a reason."""
+def timed(rows: DataFrame, late: str) -> DataFrame:
+    """rows with a watermark on ts and at_s, its seconds since 1970, whatever the session's time zone is."""
+    return rows.withWatermark("ts", late).withColumn("at_s", F.unix_micros("ts") / 1e6)
 
-    def __init__(self, policy: AlertPolicy):
-        self.policy = policy
+
+class Timed(StatefulProcessor):
+    """State of a key that is dropped once it no longer matters: at the event time that `wake` was last called with."""
+
+    def wake(self, at: float) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(at * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+class DealAlerts(Timed):
+    """Per deal key: last alerted price, status and time. Emits each row with should_alert and a reason. A deal unseen for `forget` seconds is new again."""
+
+    def __init__(self, policy: AlertPolicy, forget: float):
+        self.policy, self.forget = policy, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("deal", "price double, status string, alerted double")
+        self.handle, self.state = handle, handle.getValueState("deal", "price double, status string, alerted double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         have, out = self.state.get() if self.state.exists() else None, []
-        for r in rows_in_order(rows, "ts", "pos"):
-            now = r.ts.timestamp()
+        for r in rows_in_order(rows, "at_s", "pos"):
+            now = r.at_s
             reason = "new_item"
             if have:
                 delta = abs(r.price - have[0]) if pd.notna(r.price) and have[0] is not None else 0.0
@@ -43,104 +65,119 @@ class DealAlerts(StatefulProcessor):
                 have = (float(r.price), r.status, now)
             out.append((key[0], r.ts, r.pos, r.price, bool(reason), reason or "in_cooldown"))
         self.state.update(have)
+        self.wake(now + self.forget)
         yield pd.DataFrame(out, columns=["deal_key", "ts", "pos", "price", "should_alert", "reason"])
 
-    def close(self) -> None:
-        pass
 
-
-def deal_alerts(deals: DataFrame, policy: AlertPolicy) -> DataFrame:
+def deal_alerts(deals: DataFrame, policy: AlertPolicy, *, forget_days: float = 180.0, late: str = "10 minutes") -> DataFrame:
     """deals(deal_key, ts, pos, price, status) as a stream."""
-    return deals.groupBy("deal_key").transformWithStateInPandas(DealAlerts(policy), "deal_key string, ts timestamp, pos long, price double, should_alert boolean, reason string", "Append", "None")
+    return timed(deals, late).groupBy("deal_key").transformWithStateInPandas(DealAlerts(policy, forget_days * 86400), "deal_key string, ts timestamp, pos long, price double, should_alert boolean, reason string", "Append", "EventTime")
 
 
-class NotifyOnce(StatefulProcessor):
+class NotifyOnce(Timed):
     """Per channel and key: sent, then suppressed until ttl seconds after the sending; suppressed rows don't prolong it."""
 
     def __init__(self, ttl: float):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sent", "until double")
+        self.handle, self.state = handle, handle.getValueState("sent", "until double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         until, out = self.state.get()[0] if self.state.exists() else float("-inf"), []
-        for r in rows_in_order(rows, "ts", "id"):
-            send = r.ts.timestamp() >= until
-            until = r.ts.timestamp() + self.ttl if send else until
+        for r in rows_in_order(rows, "at_s", "id"):
+            send = r.at_s >= until
+            until = r.at_s + self.ttl if send else until
             out.append((key[0], key[1], r.id, r.ts, send))
         self.state.update((until,))
+        self.wake(until)
         yield pd.DataFrame(out, columns=["channel", "dedupe_key", "id", "ts", "sent"])
 
-    def close(self) -> None:
-        pass
-
 
-def notify_once(messages: DataFrame, ttl: float) -> DataFrame:
+def notify_once(messages: DataFrame, ttl: float, *, late: str = "10 minutes") -> DataFrame:
     """messages(channel, dedupe_key, id, ts) as a stream."""
-    return messages.groupBy("channel", "dedupe_key").transformWithStateInPandas(NotifyOnce(ttl), "channel string, dedupe_key string, id long, ts timestamp, sent boolean", "Append", "None")
+    return timed(messages, late).groupBy("channel", "dedupe_key").transformWithStateInPandas(NotifyOnce(ttl), "channel string, dedupe_key string, id long, ts timestamp, sent boolean", "Append", "EventTime")
+
 
+class Heartbeats(Timed):
+    """Per agent: stale once no beat came for stale_after seconds, which a timer tells even if none comes again; while it stays silent, a warning each cooldown and never more often. A warning says when to try a restart: backoff, doubled by each further one, up to a limit, and reset by the next beat, which is a recovery.
 
-class Heartbeats(StatefulProcessor):
-    """Per agent: a gap longer than stale_after makes it stale when the next beat arrives; warnings at most once per cooldown; then recovered. Restarts back off, doubling up to a limit."""
+    An agent that has been silent for `forget` seconds is dropped. Results are the same however rows fall into micro-batches.
+    """
 
-    def __init__(self, stale_after: float, cooldown: float, backoff: float = 60.0, most: float = 3600.0):
-        self.stale_after, self.cooldown, self.backoff, self.most = stale_after, cooldown, backoff, most
+    def __init__(self, stale_after: float, cooldown: float, forget: float, backoff: float = 60.0, most: float = 3600.0):
+        self.stale_after, self.cooldown, self.forget, self.backoff, self.most = stale_after, cooldown, forget, backoff, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("beat", "last double, warned double, wait double")
+        self.handle, self.state = handle, handle.getValueState("beat", "last double, warned double, wait double, due double")
+
+    def warn(self, key: str, until: float, warned: float, wait: float, due: float, out: list) -> tuple[float, float, float]:
+        while due <= until:
+            out.append((key, due, "stale", wait))
+            warned, wait, due = due, min(wait * 2, self.most), due + self.cooldown
+        return warned, wait, due
+
+    @staticmethod
+    def frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["agent", "at", "event", "retry_after"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, warned, wait = self.state.get() if self.state.exists() else (None, float("-inf"), self.backoff)
+        last, warned, wait, due = self.state.get() if self.state.exists() else (None, float("-inf"), self.backoff, 0.0)
         out = []
-        for r in rows_in_order(rows, "ts", "id"):
-            now = r.ts.timestamp()
+        for r in rows_in_order(rows, "at_s", "id"):
+            now = r.at_s
             if last is not None and now - last > self.stale_after:
-                if now - warned >= self.cooldown:
-                    out.append((key[0], r.ts, "stale", wait))
-                    warned, wait = now, min(wait * 2, self.most)
-                out.append((key[0], r.ts, "recovered", None))
-            last = now
-        self.state.update((last, warned, wait))
-        yield pd.DataFrame(out, columns=["agent", "ts", "event", "retry_after"])
-
-    def close(self) -> None:
-        pass
-
-
-def heartbeat_changes(beats: DataFrame, stale_after: float, cooldown: float) -> DataFrame:
-    """beats(agent, id, ts) as a stream."""
-    return beats.groupBy("agent").transformWithStateInPandas(Heartbeats(stale_after, cooldown), "agent string, ts timestamp, event string, retry_after double", "Append", "None")
-
-
-class TokenBucket(StatefulProcessor):
-    """Per identity: capacity tokens, refilled at rate per second; a row takes one or is refused."""
+                warned, wait, due = self.warn(key[0], min(now, last + self.forget), warned, wait, due, out)
+                out.append((key[0], now, "recovered", None))
+            last, wait, due = now, self.backoff, max(now + self.stale_after, warned + self.cooldown)
+        self.state.update((last, warned, wait, due))
+        self.wake(min(due, last + self.forget))
+        yield self.frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, warned, wait, due = self.state.get()
+        out, now = [], timerValues.getCurrentWatermarkInMs() / 1000
+        warned, wait, due = self.warn(key[0], min(now, last + self.forget), warned, wait, due, out)
+        if now >= last + self.forget:
+            self.state.clear()
+        else:
+            self.state.update((last, warned, wait, due))
+            self.wake(min(due, last + self.forget))
+        yield self.frame(out)
+
+
+def heartbeat_changes(beats: DataFrame, stale_after: float, cooldown: float, *, forget_days: float = 90.0, late: str = "10 minutes") -> DataFrame:
+    """beats(agent, id, ts) as a stream -> agent, ts (when a beat was due, or came), event (stale or recovered), retry_after."""
+    out = timed(beats, late).groupBy("agent").transformWithStateInPandas(Heartbeats(stale_after, cooldown, forget_days * 86400), "agent string, at double, event string, retry_after double", "Append", "EventTime")
+    return out.select("agent", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")).alias("ts"), "event", "retry_after")
+
+
+class TokenBucket(Timed):
+    """Per identity: capacity tokens, refilled at rate per second; a row takes one or is refused. A bucket that must be full again is dropped."""
 
     def __init__(self, capacity: float, rate: float):
         self.capacity, self.rate = capacity, rate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, at double")
+        self.handle, self.state = handle, handle.getValueState("bucket", "tokens double, at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         tokens, at = self.state.get() if self.state.exists() else (self.capacity, None)
         out = []
-        for r in rows_in_order(rows, "ts", "id"):
-            now = r.ts.timestamp()
+        for r in rows_in_order(rows, "at_s", "id"):
+            now = r.at_s
             tokens = min(self.capacity, tokens + (now - at if at is not None else 0) * self.rate)
             at, ok = now, tokens >= 1
             tokens -= ok
             out.append((key[0], r.id, r.ts, bool(ok)))
         self.state.update((tokens, at))
+        self.wake(at + self.capacity / self.rate)
         yield pd.DataFrame(out, columns=["identity", "id", "ts", "allowed"])
 
-    def close(self) -> None:
-        pass
-
 
-def rate_limit(calls: DataFrame, capacity: float = 120.0, rate: float = 2.0) -> DataFrame:
+def rate_limit(calls: DataFrame, capacity: float = 120.0, rate: float = 2.0, *, late: str = "10 minutes") -> DataFrame:
     """calls(identity, id, ts) as a stream."""
-    return calls.groupBy("identity").transformWithStateInPandas(TokenBucket(capacity, rate), "identity string, id long, ts timestamp, allowed boolean", "Append", "None")
+    return timed(calls, late).groupBy("identity").transformWithStateInPandas(TokenBucket(capacity, rate), "identity string, id long, ts timestamp, allowed boolean", "Append", "EventTime")
 
 
 def windowed_monitor(events: DataFrame, *, look_back: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes", limit: float = 0.3) -> DataFrame:

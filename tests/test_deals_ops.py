@@ -104,3 +104,31 @@ def test_deal_stream_equals_batch(spark, tmp_path):
     rows = [("k", START + dt.timedelta(minutes=i), i, p, "in_stock") for i, p in enumerate(prices)]
     got = run_stream(spark, tmp_path, "deals", rows, "deal_key string, ts timestamp, pos long, price double, status string", lambda s: stateful.deal_alerts(s, AlertPolicy()))
     assert [r["should_alert"] for r in sorted(got, key=lambda r: r["pos"])] == [True, False, False, True, False]
+
+
+def test_silent_agents_are_told_by_a_timer(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    rows = [("a", 0, at(0)), ("a", 1, at(50)), ("a", 2, at(400)), ("b", 3, at(0)), ("clock", 4, at(1000)), ("clock", 5, at(1030))]
+    got = run_stream(spark, tmp_path, "beats", rows, "agent string, id long, ts timestamp", lambda s: stateful.heartbeat_changes(s, 100.0, 200.0, late="0 seconds"))
+    seen = sorted((r["agent"], int((r["ts"] - START).total_seconds()), r["event"], r["retry_after"]) for r in got if r["agent"] != "clock")
+    a = [("a", 150, "stale", 60.0), ("a", 350, "stale", 120.0), ("a", 400, "recovered", None), ("a", 550, "stale", 60.0), ("a", 750, "stale", 120.0), ("a", 950, "stale", 240.0)]
+    assert seen == [*a, *[("b", 100 + 200 * i, "stale", 60.0 * 2**i) for i in range(5)]]
+
+
+def test_a_batch_that_runs_again_replaces_its_snapshot(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/snap", "k string, n long"
+    for version, n in ((1, 5), (2, 7), (2, 7)):
+        old = sinks.read_snapshot(spark, path, schema, before=version)
+        both = old.unionByName(spark.createDataFrame([("x", n)], schema)).groupBy("k").agg(F.sum("n").alias("n"))
+        sinks.write_snapshot(both, path, version=version)
+    assert [r["n"] for r in sinks.read_snapshot(spark, path, schema).collect()] == [12]
+
+
+def test_risk_and_creation_time(spark):
+    rows = spark.createDataFrame([(1, 2e7, 0.5, 0.1), (2, 9e7, 0.9, 0.9), (3, None, None, 1.0)], "pos long, size_usd double, debt_ratio double, churn double")
+    assert [(r["pos"], r["risk"]) for r in deals.top_risk(rows, 3).collect()] == [(2, 1.0), (1, 0.68), (3, 0.3)]
+    state = spark.createDataFrame([("old", 5.0, "in_stock", START, START, 1, START)], "deal_key string, last_price double, last_status string, last_alerted_at timestamp, cooldown_until timestamp, alert_count int, created_at timestamp")
+    batch = spark.createDataFrame([("old", 1, 500.0, "in_stock"), ("new", 2, 9.0, "in_stock")], "deal_key string, pos long, price double, status string")
+    later = START + dt.timedelta(days=3)
+    after = deals.next_state(state, deals.alert_decisions(batch, state, now=F.lit(later), policy=AlertPolicy()), policy=AlertPolicy())
+    assert {r["deal_key"]: (r["created_at"], r["last_price"]) for r in after.collect()} == {"old": (START, 500.0), "new": (later, 9.0)}

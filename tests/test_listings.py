@@ -30,13 +30,13 @@ def one(spark, column, value, kind="string"):
 
 def test_two_spellings_fall_into_one_group(spark):
     jobs = normal(spark,
-                  {"title": "SR MACHINE LEARNING ENGINEER", "company": "ACME, INC.", "location": "New York, NY", "source": "indeed", "salary_text": "$150k - $180k"},
-                  {"title": "Senior Machine Learning Engineer", "company": "Acme Inc", "location": "New York City", "source": "linkedin", "salary_text": "$140,000 to $170,000"},
-                  {"title": "Data Analyst", "company": "Acme Inc", "location": "Remote"})
+                  {"title": "JR TURBINE DEV", "company": "HALDEN WORKS, LLC", "location": "Los Angeles, CA", "source": "beta", "salary_text": "$90k - $110k"},
+                  {"title": "Junior Turbine Developer", "company": "Halden Works Llc", "location": "los angeles", "source": "gamma", "salary_text": "$85,000 to $105,000"},
+                  {"title": "Kiln Keeper", "company": "Halden Works Llc", "location": "Remote"})
     groups = {r["members"]: r for r in listings.duplicate_groups(jobs).collect()}
     assert sorted(groups) == [1, 2]
-    assert groups[2]["sources"] == "indeed,linkedin" and groups[2]["salary_min"] == 140000 and groups[2]["salary_max"] == 180000
-    assert groups[2]["level"] == "senior" and groups[2]["location"] == "New York, NY"
+    assert groups[2]["sources"] == "beta,gamma" and groups[2]["salary_min"] == 85000 and groups[2]["salary_max"] == 110000
+    assert groups[2]["level"] == "entry" and groups[2]["location"] == "Los Angeles, CA"
 
 
 def test_fields_of_a_sparse_row(spark):
@@ -151,3 +151,36 @@ def test_partition_count_does_not_matter(spark):
     jobs = normal(spark, *[{"title": f"Engineer {i % 5}", "company": f"C{i % 3} Ltd", "location": "Remote"} for i in range(40)])
     a, b = (sorted(map(str, listings.duplicate_groups(j).collect())) for j in (jobs.repartition(1), jobs.repartition(8)))
     assert a == b
+
+
+def test_requests_are_completed_and_clamped():
+    r = listings.resolve_request(None)
+    assert (r.query, r.mode, r.request.locations, r.limits.queries, r.limits.per_source, r.limits.seconds) == ("software engineer", "precision_match", ("United States",), 8, 250, None)
+    r = listings.resolve_request({"desired_title": " Data  Engineer ", "titles": ["data engineer", "Developer"]})
+    assert r.mode == "broad_discovery" and r.request.titles == ("Data Engineer", "Developer") and r.limits.queries == 14 and r.limits.expand
+    r = listings.resolve_request({
+        "titles": ["lead"], "keywords": ["kiln", "Kiln"], "desired_title_keywords": ["clay"], "excluded_keywords": "night", "work_mode_preference": ["On-Site", "orbit"], "experience_level": "new grad", "experience_levels": ["Senior"],
+        "minimum_salary": "$90,000", "max_jobs_per_source": 99_999, "max_pages_per_source": -3, "collection_time_cap_seconds": "7200", "minimum_raw_jobs_total": 0, "search_mode": "Precision Match", "prefer_recent": "yes", "stop_when_minimum_reached": "no",
+    })
+    q, n = r.request, r.limits
+    assert q.keywords == ("kiln", "clay") and q.excluded == ("night",) and q.work_modes == ("onsite",) and q.experience == ("entry", "senior") and q.salary_min == 90000 and q.prefer_recent
+    assert (n.per_source, n.pages, n.seconds, n.least_raw, n.stop_at_least, n.queries, n.expand, r.mode) == (1000, 1, 3600, 0, False, 8, False, "precision_match")
+
+
+def test_entry_and_recent_filters(spark):
+    rows = spark.createDataFrame([(1, "Kiln Keeper", "entry", 3), (2, "Sr Kiln Keeper", None, 14), (3, "Keeper", "senior", 15), (4, "Keeper", None, None)], "id int, title string, level string, age_days int")
+    entry, recent = Request(experience=("entry",)), Request(prefer_recent=True)
+    assert {r["id"] for r in rows.filter(listings.experience_filter(entry)).collect()} == {1, 4}
+    assert {r["id"] for r in rows.filter(listings.recency_filter(recent)).collect()} == {1, 2}
+    assert rows.filter(listings.experience_filter(recent)).count() == 4 and rows.filter(listings.recency_filter(entry)).count() == 4
+
+
+def test_manual_rows_skip_what_is_no_object(spark):
+    rows = spark.createDataFrame([(1, '{"manual_jobs": [{"title": "a", "url": "http://u/"}, 5, null, {"title": "b", "url": "http://v/", "source_url": "http://w/"}]}'), (2, '{"manual_jobs": "none"}'), (3, "not json"), (4, None)], "request_id int, payload string")
+    got = sorted((r["request_id"], r["title"], r["source_url"], r["source"]) for r in listings.manual_rows(rows).collect() if r["title"])
+    assert got == [(1, "a", "http://u/", "manual"), (1, "b", "http://w/", "manual")]
+
+
+@pytest.mark.parametrize("base, href, want", [("http://h/a/b/c", "../d", "http://h/a/d"), ("http://h/a/b/c", "./", "http://h/a/b/"), ("http://h/a", "/x/../../y?z=..", "http://h/y?z=.."), ("http://h/a/", "..", "http://h/")])
+def test_dot_segments_are_resolved(spark, base, href, want):
+    assert one(spark, lambda x: urls.absolute_url(F.lit(base), x), href) == want
