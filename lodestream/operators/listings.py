@@ -81,7 +81,7 @@ def quality(jobs: DataFrame) -> Column:
     recency = F.when(c["recency_quality"].isin("timestamp", "relative_normalized"), 15.0).when(c["recency_quality"] == "age_only", 11.0).otherwise(0.0)
     return (
         add(c["title"].isNotNull(), 2.0) + add(c["company"].isNotNull(), 25.0) + place + F.when(c["url_kind"] == "missing", 0.0).when(c["url_kind"] == "direct", 18.0).otherwise(8.0) + recency
-        + add(c["mode"].isNotNull(), 10.0) + add(c["salary_text"].isNotNull(), 8.0) + add(text.as_text(c["description"]).isNotNull(), 6.0) + add(c["level"].isNotNull(), 4.0)
+        + add(c["mode"].isNotNull(), 10.0) + add(c["salary_text"].isNotNull(), 8.0) + add(c["description"].rlike(r"\S"), 6.0) + add(c["level"].isNotNull(), 4.0)
     )
 
 
@@ -205,9 +205,10 @@ def job_filter(request: Request) -> Column:
     return reduce(lambda a, b: a & b, ok)
 
 
-def signals(request: Request) -> Column:
-    """struct of a listing's deterministic signals and their sum."""
-    title, hay = text.canon_unicode(F.col("title")), text.canon_unicode(F.concat_ws(" ", "title", "description", "location"))
+def signals(request: Request, *, canonical: bool = False) -> Column:
+    """struct of a listing's deterministic signals and their sum. canonical: the description's canonical text is there as description_c."""
+    title = text.canon_unicode(F.col("title"))
+    hay = F.concat_ws(" ", title, F.col("description_c") if canonical else text.canon_unicode(F.col("description")), text.canon_unicode(F.col("location")))
     count = lambda x, phrases: sum([has_phrase(x, p).cast("int") for p in phrases], F.lit(0))
     families = sum([any_of([has_phrase(title, n) for n in TITLE_FAMILIES[k]]).cast("int") for k in request.families], F.lit(0))
     pay = F.greatest(F.coalesce("salary_min", F.lit(0.0)), F.coalesce("salary_max", F.lit(0.0)))
@@ -236,9 +237,13 @@ WEIGHTS = {"resume_match": 0.30, "title_match": 0.20, "salary_score": 0.12, "loc
 def fallback_scores(jobs: DataFrame, request: Request, profile: tuple[str, ...] = ()) -> DataFrame:
     """Normalised listings with six sub-scores and the overall score, from signals alone. profile: the tokens of an applicant's text, a parameter."""
     s, r, place = F.col("s"), F.col("r"), F.col("place")
-    tokens = F.filter(F.array_distinct(text.words(text.canon_unicode(F.concat_ws(" ", "title", "description")))), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$"))
-    overlap = F.size(F.array_intersect(tokens, F.array(*map(F.lit, profile)).cast("array<string>"))) / F.greatest(F.least(F.size(tokens), F.lit(12)), F.lit(1))
-    out = jobs.withColumns({"s": signals(request), "r": recency(request), "place": location_match(request), "overlap": F.least(overlap, F.lit(1.0))})
+    # the whole text is made canonical once, for signals and tokens alike
+    jobs = jobs.withColumn("description_c", text.canon_unicode(F.col("description")))
+    both = F.concat_ws(" ", text.canon_unicode(F.col("title")), "description_c")
+    tokens = F.filter(F.array_distinct(text.words(both)), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$"))
+    share = lambda t: F.size(F.array_intersect(t, F.array(*map(F.lit, profile)).cast("array<string>"))) / F.greatest(F.least(F.size(t), F.lit(12)), F.lit(1))
+    overlap = text.let(tokens, share) if profile else F.lit(0.0)
+    out = jobs.withColumns({"s": signals(request, canonical=True), "r": recency(request), "place": location_match(request), "overlap": F.least(overlap, F.lit(1.0))})
     cap = lambda x: text.bounded(x, 0.0, 100.0)
     q = F.col("quality") / 100.0
     out = out.withColumns({"score_100": cap(s["total"] / (2.8 if request.broad else 2.6) * 100.0), "title_match": cap(18.0 + s["title"] * 34.0 + s["keyword"] * 18.0 + F.when(F.lit(request.broad) & (s["families"] > 0), 8.0).otherwise(0.0))})
@@ -250,7 +255,7 @@ def fallback_scores(jobs: DataFrame, request: Request, profile: tuple[str, ...]
     })
     weighted = F.round(reduce(lambda a, b: a + b, [F.col(k) * w for k, w in WEIGHTS.items()]), 2)
     overall = F.round(cap(F.greatest("score_100", weighted) - r["missing_penalty"] - r["old_penalty"]), 2)
-    return out.withColumns({"overall": overall, "penalty": quality_penalty()}).withColumns({k: F.round(F.col(k), 2) for k in (*WEIGHTS, "score_100")})
+    return out.withColumns({"overall": overall, "penalty": quality_penalty()}).withColumns({k: F.round(F.col(k), 2) for k in (*WEIGHTS, "score_100")}).drop("description_c")
 
 
 def blend(scored: DataFrame, captured: DataFrame, request: Request) -> DataFrame:
