@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     band proposes is lost, and no pair is written that is known to be connected. With 32 bands of 4 rows a pair at 0.75 is proposed with probability 1 - 5e-6.
 
     Null, empty and blank texts have no shingles and stay alone. Rows with a null id get a null component and are kept, linking nothing.
-    Repeated rows of one id share its component. Empty input gives empty output.
+    Repeated rows of one id share its component. An id is taken to name one text: where it names several, they share a component, and only one of them, whichever
+    is met first, is compared with others. Empty input gives empty output.
     """
     spark = docs.sparkSession
     rows, _ = written(signatures(docs, id_col=id_col, text_col=text_col), "sig")
