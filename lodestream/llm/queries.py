@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_events, decontaminate, exact_dedup, minhash, packing, pitman_yor, repeated_windows, toxicity, url_rules, warc_zstd
+from . import bpe_transducer, chat_events, decontaminate, exact_dedup, minhash, packing, pitman_yor, repeated_windows, toxicity, url_rules, warc_zstd
 from .common import scratch_path, table
 
 #: The rules of the url query.
@@ -89,4 +89,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_packing, op4_minhash, op5_decontamination, op6_chat, op7_warc, op8_exact_dedup, op9_url_rules, op10_repeats)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe_transducer.encode_texts(table(spark, sf_dir, "documents"), ranks=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN, with_decoded=True)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_packing, op4_minhash, op5_decontamination, op6_chat, op7_warc, op8_exact_dedup, op9_url_rules, op10_repeats, op11_bpe)}
