@@ -85,4 +85,28 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
 """
 
-SQL = {"op4_minhash": OP4, "op5_decontamination": OP5, "op6_chat": OP6, "op7_warc": OP7, "op8_exact_dedup": OP8, "op9_url_rules": OP9}
+#: The crc32 of a text of letters up to U+00FF, byte by byte: DuckDB has none.
+_TABLE = "(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) t(i))"
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, unicode(ch)::BIGINT - 64] END))"
+OP12 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), crc(t) AS MATERIALIZED (SELECT {_TABLE}
+), hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES.format("doc_id || ':' || w")}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs, crc
+), typed AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed
+), words AS (SELECT word, count(*) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cut AS (SELECT word, length(word) AS l, unnest(range(length(word))) AS i, n FROM words
+), less AS (SELECT word, l, i, n, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS s FROM cut
+), shorter AS (SELECT DISTINCT less.word AS long, words.word AS short, less.n AS long_n, words.n AS short_n FROM less JOIN words ON words.word = s
+), near AS (
+  SELECT x.word, y.word AS other, y.n FROM less x JOIN less y ON x.s = y.s AND x.i = y.i AND x.word <> y.word
+  UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter
+), best AS (SELECT word, count(*) AS n_near, min(struct_pack(least := -n, form := other)) AS b FROM near GROUP BY word
+), formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.least >= 10 * n THEN b.form END AS form, CASE WHEN -b.least >= 10 * n THEN -b.least END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+), ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+SQL = {"op4_minhash": OP4, "op5_decontamination": OP5, "op6_chat": OP6, "op7_warc": OP7, "op8_exact_dedup": OP8, "op9_url_rules": OP9, "op12_spelling": OP12}
