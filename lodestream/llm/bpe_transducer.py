@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Bounds of what a worker keeps besides states: verdicts on pairs, and outputs of short pieces. Each is emptied when full, which changes no result.
-PAIRS, PIECES, PIECE_CHARS = 1 << 18, 1 << 19, 64
+PAIRS, PIECES, PIECE_CHARS = 1 << 19, 1 << 20, 64
 #: After so many bytes of one piece the certain tokens are emitted.
 WINDOW = 4096
 #: Characters of a text above which its pieces are not listed at once.
@@ -49,14 +49,14 @@ def merged(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]
 
 
 class State(dict):
-    """Transitions: byte -> state, worked out at first use. node: of the longest beginning; depth: its length; ends: (length, token) of the tokens that end here, longest first."""
+    """Transitions: byte -> state, worked out at first use. node: of the longest beginning; depth: its length; ends: (length, token, verdicts on what precedes it) of the tokens that end here, longest first."""
 
     __slots__ = ("machine", "node", "depth", "ends", "shorter")
 
     def __init__(self, machine: Transducer, node: int, depth: int, shorter: State | None):
         self.machine, self.node, self.depth, self.shorter = machine, node, depth, shorter
         token = machine.token_at[node]
-        here = ((depth, token),) if token >= 0 and machine.made_of(machine.bytes_of[token]) else ()
+        here = ((depth, token, machine.pairs[token]),) if token >= 0 and machine.made_of(machine.bytes_of[token]) else ()
         self.ends = here + (shorter.ends if shorter is not None else ())
 
     def __missing__(self, byte: int) -> State:
@@ -80,30 +80,11 @@ class Run:
         out: list[int] = []
         for lo in range(0, len(data), WINDOW):
             self.take(data[lo : lo + WINDOW])
-            if lo + WINDOW < len(data) or len(self.last) > WINDOW:
-                out += self.settle()
+            out += self.settle()
         return out
 
     def take(self, data: bytes) -> None:
-        state, last, pairs, follows = self.state, self.last, self.machine.pairs, self.machine.may_follow
-        i = len(last)
-        for byte in data:
-            state = state[byte]
-            for n, token in state.ends:
-                if (fits := pairs.get(key := last[i - n] << 32 | token)) or fits is None and follows(key):
-                    last.append(token)
-                    break
-            i += 1
-        self.state = state
-
-    def back(self, i: int) -> list[int]:
-        """The tokens up to prefix i, since the last emission."""
-        out, last, length = [], self.last, self.machine.length
-        while i:
-            out.append(last[i])
-            i -= length[last[i]]
-        out.reverse()
-        return out
+        self.state = self.machine.walk(self.state, self.last, data)
 
     def settle(self) -> list[int]:
         """Emits what the sequences up to all starts of begun tokens share."""
@@ -114,12 +95,12 @@ class Run:
             at.remove(top)
             at.add(top - self.machine.length[self.last[top]])
         cut = at.pop()
-        out = self.back(cut)
+        out = self.machine.back(self.last, cut)
         del self.last[:cut]
         return out
 
     def finish(self) -> list[int]:
-        return self.back(len(self.last) - 1)
+        return self.machine.back(self.last, len(self.last) - 1)
 
 
 class Transducer:
@@ -143,7 +124,8 @@ class Transducer:
                     self.token_at.append(-1)
             self.token_at[node] = rank
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {rank: {} for rank in self.bytes_of}  # by the second token
+        self.n_pairs = 0
         self.states: dict[int, State] = {}
         self.start = self.states[0] = State(self, 0, 0, None)
 
@@ -155,14 +137,38 @@ class Transducer:
             self.halves[token] = found
         return found
 
-    def may_follow(self, key: int) -> bool:
-        """Whether merging leaves the pair of tokens of key (the first << 32 | the second) alone; at the start, which is -1, any token may stand.
+    def walk(self, state: State, last: list[int], data: bytes) -> State:
+        """Appends the last token of each longer prefix to last, and returns the state after data."""
+        i, follows = len(last), self.may_follow
+        for byte in data:
+            state = state[byte]
+            for n, token, verdicts in state.ends:
+                if (fits := verdicts.get(last[i - n])) or fits is None and follows(last[i - n], token):
+                    last.append(token)
+                    break
+            i += 1
+        return state
+
+    def back(self, last: list[int], i: int) -> list[int]:
+        """The tokens up to prefix i."""
+        out, length = [], self.length
+        while i:
+            token = last[i]
+            out.append(token)
+            i -= length[token]
+        out.reverse()
+        return out
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging leaves the pair of tokens alone; at the start, where a is -1, any token may stand.
 
         Merges on both sides of the border are undone, the latest first. The pair falls if at some time the two parts at the border could merge sooner than the merge undone last.
         """
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        a, b = key >> 32, key & 0xFFFFFFFF
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            for verdicts in self.pairs.values():
+                verdicts.clear()
+            self.n_pairs = 1
         x, y, ranks, found = self.bytes_of.get(a, b""), self.bytes_of[b], self.ranks, True
         before, left = len(ranks) + 256, False  # the time of the merge undone last, and whether it was on the left
         while x:
@@ -178,7 +184,7 @@ class Transducer:
                 before, x = ranks[x], self.made_of(x)[1]
             else:
                 before, y = ranks[y], self.made_of(y)[0]
-        self.pairs[key] = found
+        self.pairs[b][a] = found
         return found
 
     def feed(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
@@ -194,8 +200,12 @@ class Transducer:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        run = Run(self)
-        return run.push(piece) + run.finish()
+        if len(piece) > WINDOW:
+            run = Run(self)
+            return run.push(piece) + run.finish()
+        last = [-1]
+        self.walk(self.start, last, piece)
+        return self.back(last, len(piece))
 
 
 class Pieces(dict):
@@ -258,26 +268,44 @@ class Utf8:
         return "".join(out)
 
 
+class Whole(dict):
+    """id -> the characters of its token; None where it begins or ends inside a character."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        self.bytes_of = bytes_of
+
+    def __missing__(self, i: int) -> str | None:
+        machine = Utf8()
+        text = machine.feed(self.bytes_of[i])
+        self[i] = text = None if machine.lacks or "�" in text else text
+        return text
+
+
 class Decoder:
-    """Text of ids as they come. A token of whole characters that meets no held bytes is looked up; all others go through the byte machine."""
+    """Text of ids as they come. Tokens of whole characters that meet no held bytes are looked up; all others go through the byte machine."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.machine = bytes_of, Utf8()
-        self.whole: dict[int, str | None] = {}
+        self.bytes_of, self.machine, self.whole = bytes_of, Utf8(), Whole(bytes_of)
 
     def feed(self, ids: Iterable[int]) -> str:
         out: list[str] = []
         whole, machine = self.whole, self.machine
         for i in ids:
-            if (text := whole.get(i, "")) == "":
-                own = Utf8()
-                text = own.feed(self.bytes_of[i])
-                text = whole[i] = None if own.lacks or "�" in text else text
+            text = whole[i]
             if text is None or machine.lacks:
                 text = machine.feed(self.bytes_of[i])
             out.append(text)
         return "".join(out)
 
+    def feed_all(self, ids: list[int]) -> str:
+        """The same for many ids, some at a time: where all are of whole characters, they are joined at once."""
+        out = []
+        for lo in range(0, len(ids), 256):
+            some = ids[lo : lo + 256]
+            texts = [] if self.machine.lacks else list(map(self.whole.__getitem__, some))
+            out.append(self.feed(some) if not texts or None in texts else "".join(texts))
+        return "".join(out)
+
     def end(self) -> str:
         return self.machine.end()
 
@@ -294,8 +322,8 @@ class Codec:
         found = self.split.findall(text) if len(text) <= LONG else (m[0] for m in self.split.finditer(text))
         return array("i", chain.from_iterable(map(self.pieces.__getitem__, found)))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return self.decoder.feed(ids) + self.decoder.end()
+    def decode(self, ids: list[int]) -> str:
+        return self.decoder.feed_all(ids) + self.decoder.end()
 
 
 @lru_cache(2)
