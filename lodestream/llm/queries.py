@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_events, decontaminate, exact_dedup, minhash, packing, pitman_yor, repeated_windows, spelling, toxicity, url_rules, warc_zstd
+from . import bpe_transducer, chat_events, collocations, decontaminate, exact_dedup, minhash, packing, pitman_yor, repeated_windows, spelling, toxicity, url_rules, warc_zstd
 from .common import scratch_path, table
 
 #: The rules of the url query.
@@ -99,4 +99,8 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.typed_words(table(spark, sf_dir, "documents")).filter("n >= 2"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_packing, op4_minhash, op5_decontamination, op6_chat, op7_warc, op8_exact_dedup, op9_url_rules, op10_repeats, op11_bpe, op12_spelling)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_packing, op4_minhash, op5_decontamination, op6_chat, op7_warc, op8_exact_dedup, op9_url_rules, op10_repeats, op11_bpe, op12_spelling, op13_collocations)}

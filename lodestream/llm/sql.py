@@ -109,4 +109,20 @@ WITH RECURSIVE runs AS (
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
 
-SQL = {"op4_minhash": OP4, "op5_decontamination": OP5, "op6_chat": OP6, "op7_warc": OP7, "op8_exact_dedup": OP8, "op9_url_rules": OP9, "op12_spelling": OP12}
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (SELECT c.lang, c.phrase, c.k, c.a, min(struct_pack(score := (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT, cut := cut, l := x.f, r := y.f)) AS b
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ') GROUP BY ALL
+), inside AS (SELECT lang, unnest([array_to_string(list_slice(string_split(phrase, ' '), 1, 2), ' '), array_to_string(list_slice(string_split(phrase, ' '), 2, 3), ' ')]) AS phrase, f FROM f WHERE k = 3
+), longer AS (SELECT lang, phrase, max(f) AS longer FROM inside GROUP BY ALL
+), kept AS (SELECT s.* FROM s LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM r JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op4_minhash": OP4, "op5_decontamination": OP5, "op6_chat": OP6, "op7_warc": OP7, "op8_exact_dedup": OP8, "op9_url_rules": OP9, "op12_spelling": OP12, "op13_collocations": OP13}
