@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..sources.sinks import stage
+from ..sources.sinks import drop, stage, staged
 
 TITLE_FAMILIES = {"engineer": ("engineer", "software engineer", "developer"), "data": ("data", "data scientist", "data engineer", "machine learning"), "lead": ("lead", "manager")}
 
@@ -304,6 +303,8 @@ def top_ranked(rows: DataFrame, n: int, *order: Column, by: str = "pipeline") ->
 
 @dataclass(frozen=True)
 class ShortlistPolicy:
+    """pool: how many rows of a pipeline, by rank, may be picked at all; None for all of them."""
+
     most: int = 10
     least_score: float = 37.5
     per_source: int = 4
@@ -313,78 +314,69 @@ class ShortlistPolicy:
     similar: float = 0.8
     freshness_bonus: float = 4.0
     repeat_penalty: float = 6.0
-
-
-POOL = 200
+    resurface: bool = True
+    pool: int | None = 200
 
 
 def shortlist(rows: DataFrame, policy: ShortlistPolicy) -> DataFrame:
-    """Greedy picks in each pipeline: again and again the row with the largest score less penalties for what is picked already.
+    """Greedy picks in each pipeline: again and again the row with the largest score less penalties for what is picked already; ties go to the better rank.
 
-    rows: pipeline, job_id, rank, source, company, title, adjusted, freshness, group_id, in_cooldown, repeat_factor. Each pick changes
-    the other scores, hence a grouped function; a pipeline is cut to its first POOL rows before, so a group is small. Returns
-    pipeline, job_id, pick, effective for picks, and for the others reason.
+    rows: pipeline, job_id (once in its pipeline), rank, source, company, title, adjusted, freshness, group_id, in_cooldown, repeat_factor, and, if there, resurfaced (seen in
+    an earlier run, but never shown). Returns pipeline, job_id, pick, effective for picks, and for the others reason. All pipelines pick at once, one row a round, so there are as many
+    rounds as picks at most. A round is a maximum per pipeline, begun on the map side, over rows joined with their pipeline's picks so far, of which
+    there are at most `most`; a pipeline's rows are never gathered.
     """
-
-    def tokens(x: str) -> set[str]:
-        return set("".join(c if c.isalnum() else " " for c in x.lower()).split())
-
-    def alike(a: set[str], b: set[str]) -> float:
-        return len(a & b) / len(a | b) if a and b else 0.0
-
-    def why_not(r, picked, groups, sources, companies) -> str:
-        if r.adjusted < policy.least_score:
-            return "below_min_score"
-        if r.in_cooldown:
-            return "notification_cooldown"
-        if sources.get(r.source, 0) >= policy.per_source:
-            return "per_source_cap"
-        if companies.get(r.company, 0) >= policy.per_company:
-            return "per_company_cap"
-        return "duplicate_group_repeat" if r.group_id and r.group_id in groups else ""
-
-    def nearest(r, picked) -> float:
-        same = [alike(tokens(r.title or ""), tokens(p.title or "")) for p in picked if p.company == r.company]
-        return max([x for x in same if x >= policy.similar], default=0.0)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [r for r in pdf.assign(company=pdf.company.fillna("")).sort_values("rank").itertuples()]
-        picked, out, groups, sources, companies = [], [], set(), {}, {}
-        while left and len(picked) < policy.most:
-            best, at = -1e9, None
-            for i, r in enumerate(left):
-                if why_not(r, picked, groups, sources, companies):
-                    continue
-                near = nearest(r, picked)
-                worth = r.adjusted + r.freshness * policy.freshness_bonus - sources.get(r.source, 0) * policy.source_weight - companies.get(r.company, 0) * policy.company_weight - r.repeat_factor * policy.repeat_penalty - (10 + near * 10 if near else 0)
-                if worth > best:
-                    best, at = worth, i
-            if at is None:
-                break
-            r = left.pop(at)
-            picked.append(r)
-            sources[r.source], companies[r.company] = sources.get(r.source, 0) + 1, companies.get(r.company, 0) + 1
-            groups |= {r.group_id} if r.group_id else set()
-            out.append((r.pipeline, r.job_id, len(picked), round(best, 4), None))
-        for r in left:
-            reason = why_not(r, picked, groups, sources, companies) or ("near_duplicate_company_title" if nearest(r, picked) else "max_items")
-            out.append((r.pipeline, r.job_id, None, None, reason))
-        return pd.DataFrame(out, columns=["pipeline", "job_id", "pick", "effective", "reason"]).astype({"pick": "Int64"})
-
-    columns = ["pipeline", "job_id", "rank", "source", "company", "title", "adjusted", "freshness", "group_id", "in_cooldown", "repeat_factor"]
-    pool = rows.select(*columns).filter(F.col("rank") <= POOL)
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("pipeline", "job_id")}
-    return pool.groupBy("pipeline").applyInPandas(pick, f"pipeline {kinds['pipeline']}, job_id {kinds['job_id']}, pick long, effective double, reason string")
+    spark = rows.sparkSession
+    chosen = rows.filter(F.col("rank") <= policy.pool) if policy.pool is not None else rows
+    resurfaced = F.coalesce("resurfaced", F.lit(False)) if "resurfaced" in rows.columns else F.lit(False)
+    never = F.when(F.col("adjusted") < policy.least_score, "below_min_score").when(F.coalesce("in_cooldown", F.lit(False)), "notification_cooldown").when(F.lit(not policy.resurface) & resurfaced, "resurface_disabled")
+    base = chosen.select(
+        "pipeline", "job_id", "rank", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("company", F.lit("")).alias("company"), F.array_distinct(text.words(text.canon_unicode(F.col("title")))).alias("tokens"),
+        F.nullif("group_id", F.lit("")).alias("group_id"), "adjusted", (F.col("adjusted") + F.col("freshness") * policy.freshness_bonus).alias("worth"), (F.col("repeat_factor") * policy.repeat_penalty).alias("repeat_off"), never.alias("never"),
+    )
+    base, base_path = staged(base, "pool")
+    fields = ("job_id", "source", "company", "tokens", "group_id")
+    kinds = {c: base.schema[c].dataType.simpleString() for c in fields}
+    none = F.array().cast(f"array<struct<{', '.join(f'{c}:{kinds[c]}' for c in fields)}, effective:double>>")
+    of_source, of_company = F.size(F.filter("p", lambda x: x["source"] == F.col("source"))), F.size(F.filter("p", lambda x: x["company"] == F.col("company")))
+    taken = F.coalesce(F.exists("p", lambda x: x["group_id"] == F.col("group_id")), F.lit(False))
+    alike = lambda x: F.when(F.size(F.array_union(x["tokens"], F.col("tokens"))) > 0, F.size(F.array_intersect(x["tokens"], F.col("tokens"))) / F.size(F.array_union(x["tokens"], F.col("tokens"))))
+    near = F.array_max(F.filter(F.transform(F.filter("p", lambda x: x["company"] == F.col("company")), alike), lambda s: s >= policy.similar))
+    barred = F.when(F.col("of_source") >= policy.per_source, "per_source_cap").when(F.col("of_company") >= policy.per_company, "per_company_cap").when(F.col("taken"), "duplicate_group_repeat")
+    seen = lambda frame, picks: frame.join(picks, "pipeline").withColumns({"of_source": of_source, "of_company": of_company, "taken": taken, "near": near})
+    effective = F.col("worth") - F.col("of_source") * policy.source_weight - F.col("of_company") * policy.company_weight - F.col("repeat_off") - F.coalesce(10.0 + F.col("near") * 10.0, F.lit(0.0))
+    picks, path = staged(base.select("pipeline").distinct().withColumn("p", none), "picks")
+    for _ in range(policy.most):
+        r = seen(base.filter("never is null"), picks).withColumn("effective", effective)
+        order = F.when(barred.isNull(), F.struct("effective", (-F.col("rank")).alias("early")))
+        best = r.groupBy("pipeline").agg(F.max_by(F.struct(*fields, "effective"), order).alias("best")).filter("best is not null")
+        grown, new_path = staged(picks.join(best, "pipeline", "left").select("pipeline", F.when(F.col("best").isNotNull(), F.concat("p", F.array("best"))).otherwise(F.col("p")).alias("p"), F.col("best").isNotNull().alias("grew")), "picks")
+        done = grown.filter("grew").isEmpty()
+        drop(spark, path)
+        picks, path = grown.drop("grew"), new_path
+        if done:
+            break
+    at = F.array_position(F.transform("p", lambda x: x["job_id"]), F.col("job_id"))
+    reason = F.coalesce("never", barred, F.when(F.col("near").isNotNull(), "near_duplicate_company_title"), F.lit("max_items"))
+    out = seen(base, picks).withColumn("at", F.nullif(at, F.lit(0).cast("long")))
+    out, _ = staged(out.select("pipeline", "job_id", F.col("at").alias("pick"), F.round(F.get("p", F.col("at") - 1)["effective"], 4).alias("effective"), F.when(F.col("at").isNull(), reason).alias("reason")), "shortlist")
+    drop(spark, path, base_path)
+    return out
 
 
 def shortlist_fail_soft(rows: DataFrame, policy: ShortlistPolicy, *, floor: float = 20.0, at_least: int = 3) -> DataFrame:
-    """The shortlist, and for pipelines with fewer than at_least picks a second pass with a lower threshold; selection_basis tells which."""
-    from dataclasses import replace
+    """The shortlist, and for pipelines with fewer than at_least picks a second pass with a lower threshold, which counts where it picks more.
 
+    selection_basis is fail_soft for the rows of such a pipeline, but threshold for what the first pass picked, too.
+    """
     first = shortlist(rows, policy)
-    short = first.groupBy("pipeline").agg(F.count("pick").alias("n")).filter(F.col("n") < at_least).select("pipeline")
-    second = shortlist(rows.join(short, "pipeline", "left_semi"), replace(policy, least_score=floor, most=at_least))
-    return first.join(short, "pipeline", "left_anti").withColumn("selection_basis", F.lit("threshold")).unionByName(second.withColumn("selection_basis", F.lit("fail_soft")))
+    n = lambda frame, name: frame.groupBy("pipeline").agg(F.count("pick").alias(name))
+    short = n(first, "n").filter(F.col("n") < min(at_least, policy.most))
+    second = shortlist(rows.join(short.select("pipeline"), "pipeline", "left_semi"), replace(policy, least_score=floor, most=min(at_least, policy.most)))
+    better = n(second, "m").join(short, "pipeline").filter("m > n").select("pipeline")
+    standard = first.filter("pick is not null").select("pipeline", "job_id", F.lit("threshold").alias("b"))
+    soft = second.join(better, "pipeline", "left_semi").join(standard, ["pipeline", "job_id"], "left").select(*second.columns, F.coalesce("b", F.lit("fail_soft")).alias("selection_basis"))
+    return first.join(better, "pipeline", "left_anti").withColumn("selection_basis", F.lit("threshold")).unionByName(soft)
 
 
 def history_merge(history: DataFrame, batch: DataFrame) -> DataFrame:

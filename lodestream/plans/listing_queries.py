@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,14 +277,39 @@ def shortlist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("pipeline", "job_id", "rank", "source", "company", "title", "adjusted", dates.freshness(F.col("age_days")).alias("freshness"), F.col("job_key").alias("group_id"), (F.col("job_id") % 11 == 0).alias("in_cooldown"), F.when(F.col("job_id") % 5 == 0, dates.history_factor(F.col("posted_at"), now())).otherwise(0.0).alias("repeat_factor"))
 
 
-@query("shortlist")
+def picked(name: str, rows: str, policy: ShortlistPolicy, floor: float | None = None) -> str:
+    """Recursive common table expressions for the greedy picks from the view rows: `name`_picks (pipeline, p) and `name` (pipeline, job_id, pick, effective, reason). A pick a step, in each pipeline."""
+    n = policy
+    counts = "len(list_filter(s.p, lambda x: x.source = r.source)) AS ns, len(list_filter(s.p, lambda x: x.company = r.company)) AS nc, list_contains(list_transform(s.p, lambda x: x.group_id), r.group_id) AS taken"
+    near = f"list_max(list_filter(list_transform(list_filter(s.p, lambda x: x.company = r.company), lambda x: CASE WHEN len(list_distinct(list_concat(x.tokens, r.tokens))) > 0 THEN len(list_intersect(x.tokens, r.tokens)) / len(list_distinct(list_concat(x.tokens, r.tokens)))::DOUBLE END), lambda x: x >= {n.similar}::DOUBLE)) AS near"
+    never = f"CASE WHEN adjusted < {n.least_score if floor is None else floor} THEN 'below_min_score' WHEN in_cooldown THEN 'notification_cooldown' END"
+    worth = f"worth - ns * {n.source_weight}::DOUBLE - nc * {n.company_weight}::DOUBLE - repeat_off - coalesce(10.0::DOUBLE + near * 10.0::DOUBLE, 0.0::DOUBLE)"
+    barred = f"CASE WHEN ns >= {n.per_source} THEN 'per_source_cap' WHEN nc >= {n.per_company} THEN 'per_company_cap' WHEN taken THEN 'duplicate_group_repeat' END"
+    return f"""{name}_base AS MATERIALIZED (SELECT pipeline, job_id, rank, coalesce(source, 'unknown') AS source, coalesce(company, '') AS company, list_filter(list_distinct(string_split({canon_u('title')}, ' ')), lambda t: t <> '') AS tokens, nullif(group_id, '') AS group_id, adjusted, adjusted + freshness * {n.freshness_bonus}::DOUBLE AS worth, repeat_factor * {n.repeat_penalty}::DOUBLE AS repeat_off, {never} AS never FROM {rows}{'' if n.pool is None else f' WHERE rank <= {n.pool}'}),
+ {name}_steps AS (SELECT DISTINCT pipeline, 0 AS k, [struct_pack(job_id := job_id, source := source, company := company, tokens := tokens, group_id := group_id, effective := worth)][1:0] AS p, true AS grew FROM (SELECT pipeline, min(job_id) AS job_id, '' AS source, '' AS company, ['']  AS tokens, '' AS group_id, 0.0::DOUBLE AS worth FROM {name}_base GROUP BY pipeline)
+  UNION ALL SELECT pipeline, k + 1, CASE WHEN b IS NULL THEN p ELSE list_append(p, b) END, b IS NOT NULL FROM (SELECT pipeline, k, any_value(p) AS p, arg_max(struct_pack(job_id := job_id, source := source, company := company, tokens := tokens, group_id := group_id, effective := e), struct_pack(e := e, early := -rank)) FILTER (never IS NULL AND {barred} IS NULL) AS b
+   FROM (SELECT *, {worth} AS e FROM (SELECT r.*, s.k, s.p, {counts}, {near} FROM {name}_steps s JOIN {name}_base r ON r.pipeline = s.pipeline WHERE s.k < {n.most} AND s.grew)) GROUP BY pipeline, k)),
+ {name}_picks AS (SELECT pipeline, arg_max(p, k) AS p FROM {name}_steps GROUP BY pipeline),
+ {name} AS (SELECT pipeline, job_id, nullif(pos, 0)::BIGINT AS pick, CASE WHEN pos > 0 THEN round(p[pos].effective, 4) END AS effective, CASE WHEN coalesce(pos, 0) = 0 THEN coalesce(never, {barred}, CASE WHEN near IS NOT NULL THEN 'near_duplicate_company_title' END, 'max_items') END AS reason
+  FROM (SELECT r.*, s.p, list_position(list_transform(s.p, lambda x: x.job_id), r.job_id) AS pos, {counts}, {near} FROM {name}_base r JOIN {name}_picks s ON s.pipeline = r.pipeline))"""
+
+
+RANKS = "ranked AS (SELECT *, row_number() OVER (PARTITION BY pipeline ORDER BY adjusted DESC, overall DESC, resume_match DESC, job_id) AS rank FROM r)"
+_FACTOR = f"CASE WHEN posted_at IS NULL THEN 0.35 WHEN epoch(TIMESTAMP '{NOW}') - epoch(posted_at) <= 7 * 86400 THEN 1.0 WHEN epoch(TIMESTAMP '{NOW}') - epoch(posted_at) <= 30 * 86400 THEN 0.65 WHEN epoch(TIMESTAMP '{NOW}') - epoch(posted_at) <= 90 * 86400 THEN 0.35 ELSE 0.2 END::DOUBLE"
+POOLED = f"pooled AS (SELECT pipeline, job_id, rank, source, company, title, adjusted, coalesce(exp(-age_days / 21.0::DOUBLE), 0.35::DOUBLE) AS freshness, job_key AS group_id, job_id % 11 = 0 AS in_cooldown, CASE WHEN job_id % 5 = 0 THEN {_FACTOR} ELSE 0.0 END AS repeat_factor FROM ranked)"
+TO_POOL = (NORMAL, MATCHED, SCORED.replace("__OVERLAP__", _OVERLAP), RANKED, RANKS, POOLED)
+SOFT_POLICY = ShortlistPolicy(least_score=60.0)
+
+
+@query("shortlist", "WITH RECURSIVE " + ", ".join([*TO_POOL, picked("sl", "pooled", ShortlistPolicy())]) + " SELECT * FROM sl")
 def shortlist(spark, sf_dir):
     return listings.shortlist(shortlist_rows(spark, sf_dir), ShortlistPolicy())
 
 
-@query("shortlist_fail_soft")
+@query("shortlist_fail_soft", "WITH RECURSIVE " + ", ".join([*TO_POOL, picked("sl", "pooled", SOFT_POLICY), "few AS (SELECT pipeline, count(pick) AS n FROM sl GROUP BY pipeline HAVING count(pick) < 3)", picked("so", "(SELECT * FROM pooled WHERE pipeline IN (SELECT pipeline FROM few))", replace(SOFT_POLICY, most=3), 20.0), "better AS (SELECT pipeline FROM (SELECT pipeline, count(pick) AS m FROM so GROUP BY pipeline) JOIN few USING (pipeline) WHERE m > n)"]) + """
+ SELECT *, 'threshold' AS selection_basis FROM sl WHERE pipeline NOT IN (SELECT pipeline FROM better) UNION ALL SELECT so.*, CASE WHEN sl.pick IS NOT NULL THEN 'threshold' ELSE 'fail_soft' END FROM so LEFT JOIN sl USING (pipeline, job_id) WHERE so.pipeline IN (SELECT pipeline FROM better)""")
 def shortlist_fail_soft(spark, sf_dir):
-    return listings.shortlist_fail_soft(shortlist_rows(spark, sf_dir), ShortlistPolicy(least_score=60.0))
+    return listings.shortlist_fail_soft(shortlist_rows(spark, sf_dir), SOFT_POLICY)
 
 
 @query("digest_lines", "SELECT source, count(*) AS n, round(100.0 * count_if(salary_text IS NOT NULL) / count(*), 2) AS salary_share, array_to_string(list_slice(list(title ORDER BY job_id), 1, 3), ' | ') AS first_titles FROM jobs GROUP BY source")

@@ -107,8 +107,8 @@ def metadata_values(spark, sf_dir):
     return inputs.events(spark, sf_dir).select("event_id", reports.metadata_value(bad, "k").alias("k"))
 
 
-@query("digest_rows", r"SELECT job_id, concat_ws(' at ', t, c) AS heading, array_to_string(list_filter([CASE WHEN c IS NULL THEN 'company missing' END, CASE WHEN location IS NULL THEN 'location missing' END, CASE WHEN url IS NULL THEN 'link missing' END, CASE WHEN posted_text IS NULL THEN 'date missing' END], lambda x: x IS NOT NULL), ', ') AS gaps FROM (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t, trim(regexp_replace(company, '\s+', ' ', 'g')) AS c FROM jobs)")
-def digest_rows(spark, sf_dir):
+@query("digest_row_texts", r"SELECT job_id, concat_ws(' at ', t, c) AS heading, array_to_string(list_filter([CASE WHEN c IS NULL THEN 'company missing' END, CASE WHEN location IS NULL THEN 'location missing' END, CASE WHEN url IS NULL THEN 'link missing' END, CASE WHEN posted_text IS NULL THEN 'date missing' END], lambda x: x IS NOT NULL), ', ') AS gaps FROM (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t, trim(regexp_replace(company, '\s+', ' ', 'g')) AS c FROM jobs)")
+def digest_row_texts(spark, sf_dir):
     c = F.col
     return inputs.jobs(spark, sf_dir).select("job_id", reports.heading(c("title"), c("company")).alias("heading"), reports.gaps({"company": c("company"), "location": c("location"), "link": c("url"), "date": c("posted_text")}).alias("gaps"))
 

@@ -19,11 +19,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage's table and reads it: later stages filter and scan columns, instead of computing every expression again."""
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes a stage's table and reads it: later stages filter and scan columns, instead of computing every expression again. Also gives its path, for drop()."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    return staged(df, name)[0]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes stage tables that nothing reads any more."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def append(df: DataFrame, path: str, *partitions: str) -> None:
@@ -54,9 +65,7 @@ def write_snapshot(df: DataFrame, path: str, *, keep: int = 2, version: int | No
     have = [v for v in versions(spark, path) if version is None or v < version]
     new = (have[-1] if have else 0) + 1 if version is None else version
     df.write.mode("overwrite").parquet(f"{path}/v={new}")
-    for v in have[: max(0, len(have) + 1 - keep)]:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    drop(spark, *[f"{path}/v={v}" for v in have[: max(0, len(have) + 1 - keep)]])
     return new
 
 
