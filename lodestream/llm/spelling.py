@@ -105,18 +105,19 @@ def links(words: DataFrame, *, classes: int | None = None) -> DataFrame:
     rows = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_LETTERS) / F.greatest(length, F.lit(1)))))
     sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n_words")).select("block", F.ceil(F.col("n_words") / rows).cast("int").alias("tiles"))
     sizes, sizes_path = written(sizes, "sizes")
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # merge: sizes grow with the vocabulary, and Spark doesn't see how much larger the repeated rows are than their files
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     cut = keyed.withColumn("salt", F.pmod(F.xxhash64("word", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"])
     cut = cut.withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
     own = F.sort_array(F.collect_list(F.struct("word", "n")))
     tiles = cut.groupBy("block", "tile").agg(own.alias("w")).select("block", "tile", F.array_join("w.word", "").alias("words"), F.col("w.n").alias("counts"))
     tiles, tiles_path = written(tiles, "tiles")
     asked = sizes.select("block", "tiles", F.explode(neighbours(F.col("block"), classes)).alias("to"))
-    meet = asked.join(sizes.select(F.col("block").alias("to"), F.col("tiles").alias("to_tiles")), "to")
+    meet = asked.join(sizes.select(F.col("block").alias("to"), F.col("tiles").alias("to_tiles")).hint("merge"), "to")
     meet = meet.select("block", "to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "to_tiles").select("block", "tile", "to", F.explode(F.sequence(F.lit(0), F.col("to_tiles") - 1)).alias("to_tile"))
     meet = meet.filter((F.col("block") != F.col("to")) | (F.col("tile") <= F.col("to_tile")))
     other = tiles.select(F.col("block").alias("to"), F.col("tile").alias("to_tile"), F.col("words").alias("to_words"), F.col("counts").alias("to_counts"))
-    both = meet.join(tiles, ["block", "tile"]).join(other, ["to", "to_tile"])
+    both = meet.join(tiles.hint("merge"), ["block", "tile"]).join(other.hint("merge"), ["to", "to_tile"])
     same = (F.col("block") == F.col("to")) & (F.col("tile") == F.col("to_tile"))
     both = both.select("words", "counts", F.when(same, None).otherwise(F.col("to_words")).alias("to_words"), F.when(same, None).otherwise(F.col("to_counts")).alias("to_counts"))
 
