@@ -50,12 +50,12 @@ def has_phrase(canonical: Column, phrase: str) -> Column:
     return F.concat(F.lit(" "), canonical, F.lit(" ")).contains(f" {phrase.lower()} ")
 
 
-def normalize(raw: DataFrame, *, scraped_at: Column) -> DataFrame:
-    """Enriched listings: names in order, salary, work mode, experience, dates, keys and quality. Rows without a title are dropped."""
+def normalize(raw: DataFrame, *, scraped_at: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Enriched listings: names in order, salary, work mode, experience, dates, keys and quality, and the columns to keep as they are. Rows without a title are dropped."""
     raw = raw.withColumns({"title": text.as_text(F.col("title")), "_salary": text.salary_parse(F.col("salary_text")), "posted_text": text.as_text(F.col("posted_text"))})
     salary = F.col("_salary")
     base = raw.filter(F.col("title").isNotNull()).select(
-        "job_id", "source", "description", text.title_case(F.col("title")).alias("title"), text.company_name(F.col("company")).alias("company"), text.location_name(F.col("location")).alias("location"),
+        *keep, "job_id", "source", "description", text.title_case(F.col("title")).alias("title"), text.company_name(F.col("company")).alias("company"), text.location_name(F.col("location")).alias("location"),
         salary["min"].alias("salary_min"), salary["max"].alias("salary_max"), F.when(salary.isNotNull(), F.coalesce(salary["currency"], F.lit("USD"))).alias("currency"), text.as_text(F.col("salary_text")).alias("salary_raw"),
         text.work_mode(F.col("work_mode_text")).alias("mode"), text.experience(F.col("experience_text")).alias("level"), text.as_text(F.col("url")).alias("url"), F.col("posted_text").alias("posted_raw"),
         dates.posted_at(F.col("posted_text"), scraped_at).alias("posted_at"), F.try_to_timestamp(F.col("posted_text")).isNull().alias("relative"),
@@ -92,18 +92,46 @@ def quality_penalty() -> Column:
     return F.round(text.bounded(total, 0.0, 15.0), 2)
 
 
-def duplicate_groups(jobs: DataFrame) -> DataFrame:
-    """One row per job_key: the best member's fields, the widest salary, the number of members and sources. Sums begin on the map side; the members' ids are rows of duplicate_members."""
+#: Fields that a group's best member takes from the first other member that has them.
+FILLED = ("company", "location", "mode", "level", "url")
+#: Fields of a date, which go together.
+DATED = ("posted_at", "posted_raw", "age_days", "recency_quality")
+
+
+def duplicate_groups(jobs: DataFrame, *, by: tuple[str, ...] = ("job_key",)) -> DataFrame:
+    """One row per key of normalised listings: the best member, completed from the others; with the number of members and their sources.
+
+    The best has the highest quality, then most fields, most pay, and the least job_id. Each field that it lacks comes from the member with the least job_id that has it; the description, if it
+    has none, is the longest (ties: least job_id). Salaries are the widest, put right if turned round, and their text is made anew where the best has none. Kind of address, place
+    and quality are judged again. All of it is one aggregation of maxima and minima whose order skips members without the field, begun on the map
+    side, so no group gathers; the members are rows of duplicate_members.
+    """
+    has = lambda c: F.col(c).isNotNull() if c == "posted_at" else F.trim(c) != ""
     filled = sum(F.col(c).isNotNull().cast("int") for c in ("company", "location", "mode", "salary_text", "url", "description", "posted_at", "level"))
     rank = F.struct("quality", filled.alias("filled"), F.coalesce("salary_max", "salary_min", F.lit(0.0)).alias("pay"), (-F.col("job_id")).alias("first"))
-    best = F.max_by(F.struct("job_id", "title", "company", "location", "mode", "level", "url", "posted_at", "quality"), rank)
-    g = jobs.groupBy("job_key").agg(best.alias("b"), F.min("salary_min").alias("salary_min"), F.max("salary_max").alias("salary_max"), F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_set("source")).alias("sources"))
-    return g.select("job_key", "b.*", "salary_min", "salary_max", "members", F.array_join("sources", ",").alias("sources"))
+    first = lambda value, c: F.min_by(value, F.when(has(c), F.col("job_id")))
+    g = jobs.groupBy(*by).agg(
+        F.max_by(F.struct("job_id", "source", "title", "title_key", "company_key", "currency", "salary_text", "description", *FILLED, *DATED), rank).alias("b"), *[first(F.col(c), c).alias(f"f_{c}") for c in FILLED], first(F.struct(*DATED), "posted_at").alias("f_dated"),
+        F.max_by("description", F.when(has("description"), F.struct(F.length(F.trim("description")), -F.col("job_id")))).alias("f_description"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high"),
+        F.count(F.lit(1)).alias("members"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"),
+    )
+    own = lambda c: F.when(F.trim(F.col("b")[c]) != "", F.col("b")[c])
+    out = g.select(
+        *by, *[F.col("b")[c].alias(c) for c in ("job_id", "source", "title", "title_key", "company_key", "currency")], *[F.coalesce(own(c), f"f_{c}").alias(c) for c in FILLED],
+        *[F.when(F.col("b.posted_at").isNotNull() | F.col("f_dated").isNull(), F.col("b")[c]).otherwise(F.col("f_dated")[c]).alias(c) for c in DATED], F.coalesce(own("description"), "f_description", "b.description").alias("description"),
+        F.when(F.col("high") < F.col("low"), F.col("high")).otherwise(F.col("low")).alias("salary_min"), F.when(F.col("high") < F.col("low"), F.col("low")).otherwise(F.col("high")).alias("salary_max"), own("salary_text").alias("salary_text"), "members", "sources",
+    )
+    paid = F.coalesce("salary_max", "salary_min").isNotNull()
+    out = out.withColumns({
+        "salary_text": F.coalesce("salary_text", F.when(paid, text.salary_format(F.col("salary_min"), F.col("salary_max"), F.coalesce("currency", F.lit("USD"))))), "url_kind": urls.url_kind(F.col("url")), "location_key": text.location_key(F.col("location"), F.col("mode")),
+    })
+    out = out.withColumn("location_quality", text.quality_of_key(F.col("location"), F.col("mode"), F.col("location_key")))
+    return out.withColumn("quality", quality(out))
 
 
 def duplicate_members(jobs: DataFrame) -> DataFrame:
-    """(job_key, job_id): a row for each member of each group, so that no group gathers in a row."""
-    return jobs.select("job_key", "job_id")
+    """(job_key, job_id, source, url): a row for each member of each group, so that no group gathers in a row."""
+    return jobs.select("job_key", "job_id", "source", "url")
 
 
 def title_pairs(groups: DataFrame, *, low: float = 0.68, high: float = 0.84) -> DataFrame:
@@ -347,7 +375,8 @@ def shortlist(rows: DataFrame, policy: ShortlistPolicy) -> DataFrame:
     effective = F.col("worth") - F.col("of_source") * policy.source_weight - F.col("of_company") * policy.company_weight - F.col("repeat_off") - F.coalesce(10.0 + F.col("near") * 10.0, F.lit(0.0))
     picks, path = staged(base.select("pipeline").distinct().withColumn("p", none), "picks")
     for _ in range(policy.most):
-        r = seen(base.filter("never is null"), picks).withColumn("effective", effective)
+        open_ = seen(base.filter("never is null"), picks).filter(~F.exists("p", lambda x: x["job_id"] == F.col("job_id")))
+        r = open_.withColumn("effective", effective)
         order = F.when(barred.isNull(), F.struct("effective", (-F.col("rank")).alias("early")))
         best = r.groupBy("pipeline").agg(F.max_by(F.struct(*fields, "effective"), order).alias("best")).filter("best is not null")
         grown, new_path = staged(picks.join(best, "pipeline", "left").select("pipeline", F.when(F.col("best").isNotNull(), F.concat("p", F.array("best"))).otherwise(F.col("p")).alias("p"), F.col("best").isNotNull().alias("grew")), "picks")

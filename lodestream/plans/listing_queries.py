@@ -207,14 +207,40 @@ def chained(*parts: str) -> str:
 
 
 
-@query("duplicate_groups", chained(NORMAL) + """SELECT job_key, b.*, salary_min, salary_max, members, sources FROM (SELECT job_key, arg_max(struct_pack(job_id, title, company, location, mode, level, url, posted_at, quality),
+def merged_groups(rows: str, by: str, name: str) -> str:
+    """Common table expressions for duplicate groups of rows by the columns `by`."""
+    filled = ("company", "location", "mode", "level", "url")
+    dated = ("posted_at", "posted_raw", "age_days", "recency_quality")
+    firsts = ", ".join(f"arg_min({c}, job_id) FILTER (trim({c}) <> '') AS f_{c}" for c in filled)
+    own = lambda c: f"CASE WHEN trim(b.{c}) <> '' THEN b.{c} END"
+    merged = ", ".join([*(f"b.{c} AS {c}" for c in ("job_id", "source", "title", "title_key", "company_key", "currency")), *(f"coalesce({own(c)}, f_{c}) AS {c}" for c in filled), *(f"CASE WHEN b.posted_at IS NOT NULL OR f_dated IS NULL THEN b.{c} ELSE f_dated.{c} END AS {c}" for c in dated)])
+    money = "CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN format('${:,} - ${:,}', round(salary_min)::BIGINT, round(salary_max)::BIGINT) WHEN coalesce(salary_max, salary_min) IS NOT NULL THEN format('${:,}', round(coalesce(salary_max, salary_min))::BIGINT) END"
+    return rf"""{name}_g AS (SELECT {by}, arg_max(struct_pack(job_id, source, title, title_key, company_key, currency, salary_text, description, {", ".join(filled + dated)}),
  struct_pack(quality, filled := (company IS NOT NULL)::INT + (location IS NOT NULL)::INT + (mode IS NOT NULL)::INT + (salary_text IS NOT NULL)::INT + (url IS NOT NULL)::INT + (description IS NOT NULL)::INT + (posted_at IS NOT NULL)::INT + (level IS NOT NULL)::INT, pay := coalesce(salary_max, salary_min, 0), first := -job_id)) AS b,
- min(salary_min) AS salary_min, max(salary_max) AS salary_max, count(*) AS members, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM normal GROUP BY job_key)""")
+ {firsts}, arg_min(struct_pack({", ".join(dated)}), job_id) FILTER (posted_at IS NOT NULL) AS f_dated, arg_max(description, struct_pack(l := length(trim(description)), f := -job_id)) FILTER (trim(description) <> '') AS f_description,
+ min(salary_min) AS low, max(salary_max) AS high, count(*) AS members, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM {rows} GROUP BY {by}),
+{name}_m AS (SELECT {by}, {merged}, coalesce({own("description")}, f_description, b.description) AS description, CASE WHEN high < low THEN high ELSE low END AS salary_min, CASE WHEN high < low THEN low ELSE high END AS salary_max, {own("salary_text")} AS own_text, members, sources FROM {name}_g),
+{name}_k AS (SELECT *, location AS place, coalesce(own_text, {money}) AS salary_text FROM {name}_m),
+{name}_u AS (SELECT * EXCLUDE (u, scheme, host, path, q), CASE WHEN u IS NULL THEN 'missing' WHEN len(list_intersect(list_transform(string_split(lower(q), '&'), lambda kv: split_part(kv, '=', 1)), ['q', 'query', 'keywords', 'sc.keyword'])) > 0 THEN 'search' WHEN contains(lower(path), 'search') AND NOT contains(lower(path), 'view') AND NOT contains(lower(path), 'listing') THEN 'search'
+ WHEN regexp_matches(lower(path), '/jobs/view|/viewjob|joblisting|/stu/jobs/') OR lower(path) NOT IN ('', '/', '/jobs') THEN 'direct' ELSE 'unknown' END AS url_kind FROM (SELECT *, {_U} FROM (SELECT *, trim(url) AS u FROM {name}_k))),
+{name}_q AS (SELECT * EXCLUDE (k), k AS location_key, CASE WHEN place IS NULL AND mode IS NULL THEN 'missing' WHEN k IN ('remote', 'hybrid', 'onsite') THEN 'mode_only' WHEN k IN ('united states', 'united states of america', 'usa', 'us', 'u s', 'north america') THEN 'broad' WHEN length({canon('place')}) <= 2 THEN 'weak' ELSE 'structured' END AS location_quality FROM {KEYED.replace(PLACED, f"{name}_u")}),
+{name} AS (SELECT * EXCLUDE (place, own_text), (2 + CASE WHEN company IS NOT NULL THEN 25 ELSE 0 END + CASE location_quality WHEN 'structured' THEN 12 WHEN 'mode_only' THEN 8 WHEN 'broad' THEN 5 ELSE CASE WHEN location IS NOT NULL THEN 3 ELSE 0 END END + CASE url_kind WHEN 'missing' THEN 0 WHEN 'direct' THEN 18 ELSE 8 END + CASE WHEN recency_quality <> 'missing' THEN 15 ELSE 0 END
+  + CASE WHEN mode IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN salary_text IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN trim(description) <> '' THEN 6 ELSE 0 END + CASE WHEN level IS NOT NULL THEN 4 ELSE 0 END)::DOUBLE AS quality FROM {name}_q)"""
+
+
+@query("duplicate_groups", chained(NORMAL, merged_groups("normal", "job_key", "merged")) + "SELECT * FROM merged")
 def duplicate_groups(spark, sf_dir):
     return listings.duplicate_groups(normalized(spark, sf_dir)).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
-@query("duplicate_members", chained(NORMAL) + "SELECT job_key, job_id FROM normal")
+@query("merged_fields", chained(NORMAL, "tens AS (SELECT *, job_id // 10 AS ten FROM normal)", merged_groups("tens", "ten", "merged")) + "SELECT * FROM merged")
+def merged_fields(spark, sf_dir):
+    """Ten neighbours each as one group, so that every field has something to fill."""
+    rows = normalized(spark, sf_dir).withColumn("ten", F.floor(F.col("job_id") / 10))
+    return listings.duplicate_groups(rows, by=("ten",)).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+
+
+@query("duplicate_members", chained(NORMAL) + "SELECT job_key, job_id, source, url FROM normal")
 def duplicate_members(spark, sf_dir):
     return listings.duplicate_members(normalized(spark, sf_dir))
 
@@ -288,7 +314,7 @@ def picked(name: str, rows: str, policy: ShortlistPolicy, floor: float | None =
     return f"""{name}_base AS MATERIALIZED (SELECT pipeline, job_id, rank, coalesce(source, 'unknown') AS source, coalesce(company, '') AS company, list_filter(list_distinct(string_split({canon_u('title')}, ' ')), lambda t: t <> '') AS tokens, nullif(group_id, '') AS group_id, adjusted, adjusted + freshness * {n.freshness_bonus}::DOUBLE AS worth, repeat_factor * {n.repeat_penalty}::DOUBLE AS repeat_off, {never} AS never FROM {rows}{'' if n.pool is None else f' WHERE rank <= {n.pool}'}),
  {name}_steps AS (SELECT DISTINCT pipeline, 0 AS k, [struct_pack(job_id := job_id, source := source, company := company, tokens := tokens, group_id := group_id, effective := worth)][1:0] AS p, true AS grew FROM (SELECT pipeline, min(job_id) AS job_id, '' AS source, '' AS company, ['']  AS tokens, '' AS group_id, 0.0::DOUBLE AS worth FROM {name}_base GROUP BY pipeline)
   UNION ALL SELECT pipeline, k + 1, CASE WHEN b IS NULL THEN p ELSE list_append(p, b) END, b IS NOT NULL FROM (SELECT pipeline, k, any_value(p) AS p, arg_max(struct_pack(job_id := job_id, source := source, company := company, tokens := tokens, group_id := group_id, effective := e), struct_pack(e := e, early := -rank)) FILTER (never IS NULL AND {barred} IS NULL) AS b
-   FROM (SELECT *, {worth} AS e FROM (SELECT r.*, s.k, s.p, {counts}, {near} FROM {name}_steps s JOIN {name}_base r ON r.pipeline = s.pipeline WHERE s.k < {n.most} AND s.grew)) GROUP BY pipeline, k)),
+   FROM (SELECT *, {worth} AS e FROM (SELECT r.*, s.k, s.p, {counts}, {near} FROM {name}_steps s JOIN {name}_base r ON r.pipeline = s.pipeline WHERE s.k < {n.most} AND s.grew AND NOT list_contains(list_transform(s.p, lambda x: x.job_id), r.job_id))) GROUP BY pipeline, k)),
  {name}_picks AS (SELECT pipeline, arg_max(p, k) AS p FROM {name}_steps GROUP BY pipeline),
  {name} AS (SELECT pipeline, job_id, nullif(pos, 0)::BIGINT AS pick, CASE WHEN pos > 0 THEN round(p[pos].effective, 4) END AS effective, CASE WHEN coalesce(pos, 0) = 0 THEN coalesce(never, {barred}, CASE WHEN near IS NOT NULL THEN 'near_duplicate_company_title' END, 'max_items') END AS reason
   FROM (SELECT r.*, s.p, list_position(list_transform(s.p, lambda x: x.job_id), r.job_id) AS pos, {counts}, {near} FROM {name}_base r JOIN {name}_picks s ON s.pipeline = r.pipeline))"""
