@@ -195,7 +195,8 @@ def frequent_phrases(docs: DataFrame, *, longest: int = 3, least: int = 10, lang
             yield from done(now, blobs, mass)
 
     runs = rows.mapInArrow(count, "part long, lang string, mass long, run binary")
-    dealt = runs.repartition(min(parts, TASKS), "part").sortWithinPartitions("part", "lang")
+    tasks = min(parts, TASKS)
+    dealt = runs.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part", "lang")
     return dealt.mapInArrow(select, "lang string, phrase string, f long")
 
 
