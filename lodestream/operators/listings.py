@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..sources.sinks import drop, stage, staged
+from ..sources.sinks import drop, read_snapshot, stage, staged, write_snapshot
 
 TITLE_FAMILIES = {"engineer": ("engineer", "software engineer", "developer"), "data": ("data", "data scientist", "data engineer", "machine learning"), "lead": ("lead", "manager")}
 
@@ -408,13 +408,54 @@ def shortlist_fail_soft(rows: DataFrame, policy: ShortlistPolicy, *, floor: floa
     return first.join(better, "pipeline", "left_anti").withColumn("selection_basis", F.lit("threshold")).unionByName(soft)
 
 
+#: What a history keeps of a listing: the last value that wasn't empty.
+ATTRIBUTES = ("title", "company", "source", "url")
+COUNTS = ("seen", "shortlisted", "notified")
+
+
 def history_merge(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """history and batch(job_key, seen, shortlisted, notified, at) -> the new snapshot: counts added up, first and last times kept."""
-    b = batch.groupBy("job_key").agg(*[F.sum(c).alias(f"{c}_b") for c in ("seen", "shortlisted", "notified")], F.min("at").alias("first_b"), F.max("at").alias("last_b"))
+    """The next snapshot: counts added up, first and last times kept, and of each attribute the last value that wasn't empty, with its time.
+
+    batch(job_key, seen, shortlisted, notified, at, title, company, source, url); rows without a key are left out. history has for each attribute a struct(at, value); the larger one stays (ties of
+    time go to the larger value), so attributes and times come out the same in whatever order batches arrive, and however often. Counts add up each time: apply_batch takes a batch once.
+    """
+    given = lambda c: F.when(F.trim(c) != "", F.struct("at", F.trim(c).alias("value")))
+    at = lambda c: F.max(F.when(F.col(c) > 0, F.col("at")))
+    b = batch.filter(F.trim("job_key") != "").groupBy("job_key").agg(
+        *[F.sum(c).alias(f"{c}_b") for c in COUNTS], F.min("at").alias("first_b"), F.max("at").alias("last_b"), at("shortlisted").alias("shortlisted_b_at"), at("notified").alias("notified_b_at"), *[F.max(given(c)).alias(f"{c}_b") for c in ATTRIBUTES],
+    )
     j = history.join(b, "job_key", "full_outer")
     zero = F.lit(0).cast("long")
-    counts = [(F.coalesce(F.col(c), zero) + F.coalesce(F.col(f"{c}_b"), zero)).alias(c) for c in ("seen", "shortlisted", "notified")]
-    return j.select("job_key", *counts, F.least("first_at", "first_b").alias("first_at"), F.greatest("last_at", "last_b").alias("last_at"))
+    counts = [(F.coalesce(F.col(c), zero) + F.coalesce(F.col(f"{c}_b"), zero)).alias(c) for c in COUNTS]
+    times = [F.least("first_at", "first_b").alias("first_at"), F.greatest("last_at", "last_b").alias("last_at"), F.greatest("last_shortlisted", "shortlisted_b_at").alias("last_shortlisted"), F.greatest("last_notified", "notified_b_at").alias("last_notified")]
+    return j.select("job_key", *counts, *times, *[F.greatest(c, f"{c}_b").alias(c) for c in ATTRIBUTES])
+
+
+def history_schema(at: str = "timestamp") -> str:
+    return f"job_key string, {', '.join(f'{c} long' for c in COUNTS)}, first_at {at}, last_at {at}, last_shortlisted {at}, last_notified {at}, {', '.join(f'{c} struct<at:{at},value:string>' for c in ATTRIBUTES)}"
+
+
+def history_view(history: DataFrame) -> DataFrame:
+    """A history with plain attributes."""
+    return history.withColumns({c: F.col(c)["value"] for c in ATTRIBUTES})
+
+
+def read_history(spark: SparkSession, path: str, *, at: str = "timestamp") -> DataFrame:
+    return read_snapshot(spark, path, f"{history_schema(at)}, batch_id string").filter("batch_id is null").drop("batch_id")
+
+
+def apply_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: str, *, at: str = "timestamp") -> bool:
+    """Merges a batch into the history at path, unless it has been merged before; tells whether it was.
+
+    The ids of merged batches are rows of the same snapshot, so a run that dies leaves neither the batch nor its id.
+    """
+    old = read_snapshot(spark, path, f"{history_schema(at)}, batch_id string")
+    if not old.filter(F.col("batch_id") == batch_id).isEmpty():
+        return False
+    merged = history_merge(old.filter("batch_id is null").drop("batch_id"), batch).withColumn("batch_id", F.lit(None).cast("string"))
+    ids = old.filter("batch_id is not null").select("batch_id").union(spark.range(1).select(F.lit(batch_id)))
+    write_snapshot(merged.unionByName(ids, allowMissingColumns=True), path)
+    return True
 
 
 def expand_queries(titles: DataFrame, locations: DataFrame, *, most: int = 50) -> DataFrame:

@@ -83,6 +83,18 @@ def metadata_value(json: Column, key: str) -> Column:
     return F.get_json_object(json, f"$.{key}")
 
 
+def metadata_of(json: Column, *, keep_bad: bool = True) -> Column:
+    """A metadata text as a VARIANT: its value, or the text itself where it is no JSON (null, if bad texts aren't kept). Empty texts give null."""
+    t = F.nullif(F.trim(json), F.lit(""))
+    parsed = F.try_parse_json(t)
+    return F.coalesce(parsed, t.cast("variant")) if keep_bad else parsed
+
+
+def metadata_text(value: Column) -> Column:
+    """JSON text of a VARIANT, map or struct; a VARIANT that is a text alone is written as that text."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
+
 def gaps(job: dict[str, Column]) -> Column:
     """What a digest row lacks, in words."""
     return F.array_join(F.array_compact(F.array(*[F.when(text.as_text(c).isNull(), f"{name} missing") for name, c in job.items()])), ", ")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import deals as ops
 from ..operators.deals import AlertPolicy
+from ..sources import html
 from . import inputs
 
 QUERIES: dict = {}
@@ -145,3 +146,36 @@ def price_snippets(spark, sf_dir):
     d = d.withColumn("s", F.format_string("was $%.2f now $ %.2f", "a", "b"))
     prices = text.price_values(F.col("s"))
     return d.select("order_key", "line", (F.array(F.round("a", 2), F.round("b", 2)) == prices).alias("found_both"), text.plausible_price(prices, F.lit("")).alias("plausible"))
+
+
+OFFERS = """SELECT order_key, line, title, CASE WHEN line % 3 = 0 THEN NULL ELSE CAST(10000 + supplier AS VARCHAR(9)) END AS sku, CASE line % 5 WHEN 0 THEN 'was $1,299.99 and now only $999.50' WHEN 1 THEN 'from $50 up to $70.25, before: $80.00' WHEN 2 THEN 'no price' WHEN 3 THEN 'list $10.00, price: $20' ELSE '<b itemprop="price"> <i>$5.50</i></b> data-price="6.75"' END AS snippet,
+ '{{"price": {{"currentPrice": 1, "customerPrice": ' || CAST(100 + line AS VARCHAR(9)) || '.5, "displayableRegularPrice": ' || CAST(90 + 20 * line AS VARCHAR(9)) || ', "skuId": "' || CAST(10000 + supplier AS VARCHAR(9)) || '"}}}} <b>' || CASE line % 4 WHEN 0 THEN '' WHEN 1 THEN replace(title, '"', '\\"') ELSE title END || '</b> {{"price": {{"customerPrice": 77, "displayableRegularPrice": 99.5, "skuId": "99999"}}}}' || CASE WHEN order_key % 2 = 0 THEN ' {{"price":{{"customerPrice":' || CAST(200 + line AS VARCHAR(9)) || ',"displayableRegularPrice":150,"skuId":"' || CAST(10000 + supplier AS VARCHAR(9)) || '"}}}}' ELSE '' END AS html
+ FROM (SELECT order_key, line, supplier, CASE WHEN order_key % 3 = 0 THEN title || ' 12"' ELSE title END AS title FROM {deals})"""
+_VALUES = "list_transform(regexp_extract_all(snippet, '\\$\\s*([0-9][0-9,]*(?:\\.[0-9]{2})?)', 1), lambda p: replace(p, ',', '')::DOUBLE)"
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _pair(shop: str, name: str) -> str:
+    rules = html.SHOPS[shop]
+    number = lambda p: f"try_cast(replace(nullif(regexp_extract(snippet, {_q(p)}, 1), ''), ',', '') AS DOUBLE)"
+    otherwise = "list_min(v)" if rules["else"] == "least" else "coalesce(list_max(list_filter(v, lambda p: p <= 10000)), list_max(list_filter(v, lambda p: p >= 50)))"
+    return f"coalesce({', '.join(map(number, rules['now']))}, {otherwise}) AS {name}, {number(rules['before'])} AS {name}_b"
+
+
+_OLD = lambda n: f"CASE WHEN {n} IS NULL OR coalesce({n}_b, CASE WHEN len(v) >= 2 AND list_max(v) > {n} THEN list_max(v) END) > {n} THEN coalesce({n}_b, CASE WHEN len(v) >= 2 AND list_max(v) > {n} THEN list_max(v) END) END"
+_MAPPED = lambda kind: f"list_filter(list_zip(regexp_extract_all(html, {_q(html.SKU_PRICE[kind])}, 2), regexp_extract_all(html, {_q(html.SKU_PRICE[kind])}, 1)), lambda x: x[1] = sku)[-1][2]::DOUBLE"
+
+
+@query("offer_prices", f"""WITH o AS (SELECT *, {_VALUES} AS v, strpos(html, title) AS plain_at, strpos(html, replace(title, '"', '\\"')) AS quoted_at FROM (__OFFERS__)), p AS (SELECT *, {", ".join(_pair(s, s) for s in html.SHOPS)} FROM o),
+ f AS (SELECT *, {", ".join(f"{_OLD(s)} AS {s}_old" for s in html.SHOPS)}, coalesce(nullif(plain_at, 0), quoted_at) AS spot FROM p), m AS (SELECT *, coalesce({_MAPPED('customer')}, bestbuy) AS price1, {_MAPPED('regular')} AS regular, substr(html, greatest(spot - 3500, 1), spot + 9000 - greatest(spot - 3500, 1)) AS near FROM f),
+ h AS (SELECT *, CASE WHEN regular > price1 THEN regular ELSE bestbuy_old END AS old1, CASE WHEN spot > 0 THEN list_min(list_transform(regexp_extract_all(near, {_q(html.NEAR_PRICE['customer'])}, 1), lambda x: x::DOUBLE)) END AS hint, CASE WHEN spot > 0 THEN list_transform(regexp_extract_all(near, {_q(html.NEAR_PRICE['regular'])}, 1), lambda x: x::DOUBLE) END AS regulars FROM m),
+ g AS (SELECT *, list_min(list_filter(regulars, lambda x: hint IS NULL OR x >= hint)) AS hint_old FROM h)
+ SELECT order_key, line, coalesce(price1, hint) AS price, CASE WHEN price1 IS NOT NULL THEN old1 WHEN hint_old > hint THEN hint_old ELSE old1 END AS old_price, newegg AS newegg_price, newegg_old, microcenter AS microcenter_price, microcenter_old FROM g""".replace("__OFFERS__", OFFERS.format(deals="deals")))
+def offer_prices(spark, sf_dir):
+    c = F.col
+    rows = spark.sql(OFFERS, deals=inputs.deals(spark, sf_dir))
+    out = rows.select("order_key", "line", html.offer_prices(c("html"), c("snippet"), c("title"), c("sku"), "bestbuy").alias("p"), *[html.price_pair(c("snippet"), s).alias(s) for s in ("newegg", "microcenter")])
+    return out.select("order_key", "line", "p.price", "p.old_price", c("newegg.price").alias("newegg_price"), c("newegg.old_price").alias("newegg_old"), c("microcenter.price").alias("microcenter_price"), c("microcenter.old_price").alias("microcenter_old"))

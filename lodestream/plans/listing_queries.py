@@ -364,13 +364,19 @@ def leader_clusters(spark, sf_dir):
     return listings.leader_clusters(reps.select("id", F.col("id").alias("ord"), "bucket", "title_key"), threshold=0.5)
 
 
-@query("listing_history", "SELECT k AS job_key, count(*) + count_if(n_chars % 2 = 0) AS seen, count_if(n_chars % 3 = 0) AS shortlisted, 0::BIGINT AS notified, min(n_chars) AS first_at, max(n_chars) AS last_at FROM (SELECT source || '|' || lang AS k, n_chars FROM jobs) GROUP BY k")
+_SHOWN = "CASE WHEN n_chars % 3 = 0 THEN n_chars END"
+_LAST = lambda c: f"arg_max(trim({c}), struct_pack(at := n_chars, v := trim({c}))) FILTER (trim({c}) <> '') AS {c}"
+
+
+@query("listing_history", f"SELECT k AS job_key, count(*) AS seen, count_if(n_chars % 3 = 0) AS shortlisted, count_if(n_chars % 9 = 0) AS notified, min(n_chars) AS first_at, max(n_chars) AS last_at, max({_SHOWN}) AS last_shortlisted, max(CASE WHEN n_chars % 9 = 0 THEN n_chars END) AS last_notified, {', '.join(map(_LAST, ('title', 'company', 'source', 'url')))} FROM (SELECT *, lang || '|' || (job_id // 7) AS k FROM jobs) GROUP BY k")
 def listing_history(spark, sf_dir):
-    j = inputs.jobs(spark, sf_dir).select(F.concat_ws("|", "source", "lang").alias("job_key"), F.col("n_chars").alias("at"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    old = j.filter("at % 2 = 0").groupBy("job_key").agg(F.count(F.lit(1)).alias("seen"), F.sum(none).alias("shortlisted"), F.sum(none).alias("notified"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    batch = j.select("job_key", one.alias("seen"), (F.col("at") % 3 == 0).cast("long").alias("shortlisted"), none.alias("notified"), "at")
-    return listings.history_merge(old, batch)
+    """Three batches in any order, one of them twice."""
+    c, one = F.col, F.lit(1).cast("long")
+    j = inputs.jobs(spark, sf_dir).select(F.concat_ws("|", "lang", F.floor(c("job_id") / 7).cast("string")).alias("job_key"), one.alias("seen"), (c("n_chars") % 3 == 0).cast("long").alias("shortlisted"), (c("n_chars") % 9 == 0).cast("long").alias("notified"), c("n_chars").alias("at"), "title", "company", "source", "url", (c("job_id") % 3).alias("b"))
+    path = sinks.shared_path(spark, "history")
+    for b in (2, 0, 2, 1):
+        listings.apply_batch(spark, path, j.filter(c("b") == b).drop("b"), f"batch {b}", at="long")
+    return listings.history_view(listings.read_history(spark, path, at="long"))
 
 
 @query("requirement_lines", r"""SELECT id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, unnest(l) AS line FROM (

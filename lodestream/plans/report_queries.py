@@ -8,7 +8,7 @@ from ..functions import text, urls
 from ..operators import ops, reports
 from ..sources import html
 from . import inputs
-from .page_queries import STRIP
+from .page_queries import stripped
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,7 +66,7 @@ def price_hints(spark, sf_dir):
 DOTTED = r"replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), ' ', ' · ')"
 
 
-@query("card_tokens", f"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex({STRIP.format(DOTTED)}, '[·•]'), lambda t: trim(t)), lambda t: t <> ''))) AS n FROM pages")
+@query("card_tokens", f"SELECT page_id, len(list_distinct(list_filter(list_transform(string_split_regex({stripped(DOTTED)}, '[·•]'), lambda t: trim(t)), lambda t: t <> ''))) AS n FROM pages")
 def card_tokens(spark, sf_dir):
     h1 = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
     return table(spark, sf_dir, "pages").select("page_id", F.size(html.card_tokens(F.regexp_replace(text.squeeze(h1), " ", " · "))).cast("long").alias("n"))
@@ -107,6 +107,15 @@ def metadata_values(spark, sf_dir):
     return inputs.events(spark, sf_dir).select("event_id", reports.metadata_value(bad, "k").alias("k"))
 
 
+METADATA = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN 'plain "words" ' || props WHEN 2 THEN '[1,"two",{{"k":3}}]' WHEN 3 THEN ' {{"a":{{"b":[' || CAST(event_id AS VARCHAR(20)) || ',null,true]}},"k":"x"}} ' WHEN 4 THEN ' ' ELSE NULL END AS m FROM {events}"""
+
+
+@query("metadata_codec", "SELECT event_id, CASE WHEN trim(m) = '' THEN NULL WHEN json_valid(m) THEN json(m)::VARCHAR ELSE trim(m) END AS kept, CASE WHEN trim(m) <> '' AND json_valid(m) THEN json(m)::VARCHAR END AS strict, CASE WHEN json_valid(m) THEN json_extract_string(m, '$.k') END AS k FROM (" + METADATA.format(events="events") + ")")
+def metadata_codec(spark, sf_dir):
+    rows = spark.sql(METADATA, events=table(spark, sf_dir, "events")).select("event_id", reports.metadata_of(F.col("m")).alias("v"), reports.metadata_of(F.col("m"), keep_bad=False).alias("s"))
+    return rows.select("event_id", reports.metadata_text(F.col("v")).alias("kept"), reports.metadata_text(F.col("s")).alias("strict"), F.try_variant_get("v", "$.k", "string").alias("k"))
+
+
 @query("digest_row_texts", r"SELECT job_id, concat_ws(' at ', t, c) AS heading, array_to_string(list_filter([CASE WHEN c IS NULL THEN 'company missing' END, CASE WHEN location IS NULL THEN 'location missing' END, CASE WHEN url IS NULL THEN 'link missing' END, CASE WHEN posted_text IS NULL THEN 'date missing' END], lambda x: x IS NOT NULL), ', ') AS gaps FROM (SELECT *, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t, trim(regexp_replace(company, '\s+', ' ', 'g')) AS c FROM jobs)")
 def digest_row_texts(spark, sf_dir):
     c = F.col

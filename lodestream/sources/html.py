@@ -9,19 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
+from ..functions import entities, text, urls
 
 ANCHOR = re.compile(r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", re.I | re.S)
-# The five entities of HTML's own syntax and the common space.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: White space of any kind: references may stand for some that \s doesn't fit.
+SPACES = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def strip(html: Column) -> Column:
-    """Visible text: tags out, common entities back, white space squeezed."""
-    out = F.regexp_replace(html, r"<[^>]+>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return text.squeeze(out)
+    """Visible text: tags out, character references decoded, white space squeezed."""
+    return F.trim(F.regexp_replace(entities.decode(F.regexp_replace(html, r"<[^>]+>", " ")), SPACES, " "))
 
 
 def anchors(pages: DataFrame, *, before: int = 900, after: int = 2000) -> DataFrame:
@@ -71,26 +68,92 @@ def link_count(html: Column) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(html, F.lit(r"<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))))
 
 
-def page_state(html: Column, links: Column) -> Column:
-    """upstream_failure, auth_blocked, consent_blocked, anti_bot_blocked, empty, layout_mismatch or success, in this order."""
-    low = F.lower(F.coalesce(html, F.lit("")))
-    return (
-        F.when(low == "", "upstream_failure").when(low.rlike("sign in to continue|log in to continue|password"), "auth_blocked").when(low.rlike("accept (all )?cookies|consent"), "consent_blocked")
-        .when(low.rlike("captcha|unusual traffic|are you a robot"), "anti_bot_blocked").when(links == 0, "empty").when(~low.contains("<article"), "layout_mismatch").otherwise("success")
-    )
+# How shops write prices, and the JSON inside their pages. A shop has patterns for the price now, tried in order, one for the price before, and what counts if none is found.
+AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]{2})?)"
+SHOPS = {
+    "bestbuy": {"now": (rf"(?i)(?:now|sale|current|price)\D{{0,20}}\${AMOUNT}",), "before": rf"(?i)(?:was|regular|orig(?:inal)?|list)\D{{0,20}}\${AMOUNT}", "else": "least"},
+    "newegg": {"now": (rf"(?i)(?:now|sale|current)\D{{0,20}}\${AMOUNT}",), "before": rf"(?i)(?:was|regular|orig(?:inal)?|list|before)\D{{0,30}}\${AMOUNT}", "else": "plausible"},
+    "microcenter": {
+        "now": (rf"(?i)(?:now|sale|current|price|our price)\D{{0,20}}\${AMOUNT}", r'(?i)data-price="([0-9][0-9,]*(?:\.[0-9]{1,2})?)"', rf'(?is)itemprop="price"[^>]*>\s*(?:<[^>]+>\s*)*\$?\s*{AMOUNT}'),
+        "before": rf"(?i)(?:was|regular|orig(?:inal)?|list)\D{{0,20}}\${AMOUNT}", "else": "least",
+    },
+}
+SKU_PRICE = {"customer": r'(?is)"price"\s*:\s*\{.*?"customerPrice"\s*:\s*([0-9]+(?:\.[0-9]+)?).*?"skuId"\s*:\s*"([0-9]{5,})"', "regular": r'(?is)"price"\s*:\s*\{.*?"displayableRegularPrice"\s*:\s*([0-9]+(?:\.[0-9]+)?).*?"skuId"\s*:\s*"([0-9]{5,})"'}
+NEAR_PRICE = {"customer": r'(?i)"customerPrice"\s*:\s*([0-9]+(?:\.[0-9]+)?)', "regular": r'(?i)"displayableRegularPrice"\s*:\s*([0-9]+(?:\.[0-9]+)?)'}
+BEFORE_TITLE, AFTER_TITLE = 3500, 9000
 
 
-def sku_prices(html: Column) -> Column:
-    """Map of sku to the last customer price of the JSON inside a page."""
-    skus, prices = (F.regexp_extract_all(html, F.lit(r'"sku"\s*:\s*"?([A-Za-z0-9-]+)"?\s*,\s*"customerPrice"\s*:\s*([0-9.]+)'), F.lit(i)) for i in (1, 2))
+def price_pair(snippet: Column, shop: str) -> Column:
+    """struct(price, old_price) of the text around an offer: the shop's patterns first, then all $ amounts; an old price that isn't above the price is none."""
+    rules, amounts = SHOPS[shop], text.price_values(snippet)
+    number = lambda p: F.regexp_replace(F.nullif(F.regexp_extract(snippet, p, 1), F.lit("")), ",", "").try_cast("double")
+    otherwise = F.array_min(amounts) if rules["else"] == "least" else text.plausible_price(amounts, F.lit(None).cast("string"))
+
+    def pair(x: Column) -> Column:
+        old = F.coalesce(x["old"], F.when((F.size(amounts) >= 2) & (F.array_max(amounts) > x["price"]), F.array_max(amounts)))
+        return F.struct(x["price"].alias("price"), F.when(x["price"].isNull() | (old > x["price"]), old).alias("old_price"))
+
+    return text.let(F.struct(F.coalesce(*map(number, rules["now"]), otherwise).alias("price"), number(rules["before"]).alias("old")), pair)
+
+
+def last_prices(skus: Column, prices: Column) -> Column:
+    """Map of sku to price from two arrays; of a sku that occurs again the last price counts."""
     pairs = F.zip_with(skus, prices, lambda k, v: F.struct(k.alias("k"), v.cast("double").alias("v")))
     last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
 
+def sku_prices(html: Column) -> Column:
+    """Map of sku to the last customer price of flat JSON inside a page."""
+    skus, prices = (F.regexp_extract_all(html, F.lit(r'"sku"\s*:\s*"?([A-Za-z0-9-]+)"?\s*,\s*"customerPrice"\s*:\s*([0-9.]+)'), F.lit(i)) for i in (1, 2))
+    return last_prices(skus, prices)
+
+
+def offered_skus(html: Column, kind: str = "customer") -> Column:
+    """Map of sku to the last customer or regular price of a page's offers, whose JSON has the price in an object before the sku."""
+    prices, skus = (F.regexp_extract_all(html, F.lit(SKU_PRICE[kind]), F.lit(i)) for i in (1, 2))
+    return last_prices(skus, prices)
+
+
+def title_prices(html: Column, title: Column) -> Column:
+    """struct(price, old_price) near the title's first place in a page, where it stands as it is or else with quotes escaped: the least customer price, and the least regular one that isn't below it."""
+
+    def of(at: Column) -> Column:
+        start = F.greatest(at - BEFORE_TITLE, F.lit(1))
+        near = F.substring(html, start, at + AFTER_TITLE - start)
+        values = {k: F.transform(F.regexp_extract_all(near, F.lit(p), F.lit(1)), lambda x: x.cast("double")) for k, p in NEAR_PRICE.items()}
+        price = F.array_min(values["customer"])
+        return F.when((at > 0) & (title != ""), F.struct(price.alias("price"), F.array_min(F.filter(values["regular"], lambda v: price.isNull() | (v >= price))).alias("old_price")))
+
+    return text.let(F.coalesce(F.nullif(F.instr(html, title), F.lit(0)), F.instr(html, F.replace(title, F.lit('"'), F.lit('\\"')))), of)
+
+
+def offer_prices(html: Column, snippet: Column, title: Column, sku: Column, shop: str) -> Column:
+    """struct(price, old_price) of an offer: from the text around it, overridden by the page's JSON for its sku, and by prices near its title as the last resort."""
+    pair = price_pair(snippet, shop)
+
+    def mapped(p: Column) -> Column:
+        price = F.coalesce(F.try_element_at(offered_skus(html), sku), p["price"])
+        regular = F.try_element_at(offered_skus(html, "regular"), sku)
+        return F.struct(price.alias("price"), F.when(regular > price, regular).otherwise(p["old_price"]).alias("old_price"))
+
+    def hinted(p: Column) -> Column:
+        near = title_prices(html, title)
+        return F.when(p["price"].isNotNull(), p).otherwise(F.struct(near["price"].alias("price"), F.when(near["old_price"] > near["price"], near["old_price"]).otherwise(p["old_price"]).alias("old_price")))
+
+    return text.let(text.let(pair, mapped), hinted)
+
+
+#: Keys that hold item lists, and keys of which one makes an object an item itself.
+LISTS = ("deals", "items", "results", "top_deals", "highest_risk")
+ITEM_KEYS = ("title", "name", "url", "link", "price", "old_price", "discount_pct", "score")
+
+
 def raw_items(payload: Column) -> Column:
-    """Items of a JSON payload: a list, an object with item lists under known keys, or a single item; as an array of JSON texts."""
-    one = F.from_json(payload, "array<string>")
-    keys = ("deals", "items", "results", "top_deals", "highest_risk")
-    lists = F.flatten(F.array_compact(F.array(*[F.from_json(F.get_json_object(payload, f"$.{k}"), "array<string>") for k in keys])))
-    return F.when(F.trim(payload).startswith("["), one).when(F.size(lists) > 0, lists).otherwise(F.array(payload))
+    """Items of a JSON payload of unknown shape, as an array of JSON texts: the objects of a list, those of an object's item lists one after the other, or the object itself if it has a key of an item. Anything else has none."""
+    parsed = F.try_parse_json(payload)
+    objects = lambda items: F.filter(F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.to_json(x)), lambda x: x.startswith("{"))
+    lists = lambda v: F.flatten(F.array(*[objects(F.try_variant_get(v, f"$.{k}", "array<variant>")) for k in LISTS]))
+    own = lambda v: F.coalesce(*[F.when(F.variant_get(v, f"$.{k}", "variant").isNotNull(), True) for k in ITEM_KEYS], F.lit(False)) & F.to_json(v).startswith("{")
+    none = F.array().cast("array<string>")
+    return F.when(parsed.isNull(), none).when(F.schema_of_variant(parsed).startswith("ARRAY"), objects(F.try_variant_get(parsed, "$", "array<variant>"))).when(F.size(lists(parsed)) > 0, lists(parsed)).when(own(parsed), F.array(F.to_json(parsed))).otherwise(none)
