@@ -578,11 +578,38 @@ def test_stirling_numbers_against_all_partitions(d):
         assert np.allclose(got, [want[t] for t in range(1, c + 1)])
 
 
-@pytest.mark.parametrize("d", [0.1, 0.3, 0.7, 0.95])
-def test_series_of_many_customers_agree_with_the_recursion(d):
-    t = np.array([1, 2, 7, 20, 60, 130, 300, 500, 700, 900, 1000])
-    got = pitman_yor.stirling_far(np.array([1024.0]), t[None].astype(float), d)[0]
-    assert np.abs(got - pitman_yor.stirling(d)[1024, t]).max() < 0.06
+def last_rows(d, wanted):
+    """Rows of the recursion, one kept at a time."""
+    row, t, out = np.full(max(wanted) + 1, -np.inf), np.arange(max(wanted) + 1), {}
+    row[0] = 0.0
+    for c in range(max(wanted)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where((t <= c) & (c - d * t > 0), np.log(np.maximum(c - d * t, 1e-300)) + row, -np.inf)
+            row = np.logaddexp(stay, np.concatenate([[-np.inf], row[:-1]]))
+        if c + 1 in wanted:
+            out[c + 1] = row[1 : c + 2].copy()
+    return out
+
+
+@pytest.mark.parametrize("d", [0.02, 0.1, 0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])
+def test_numbers_of_many_customers_agree_with_the_recursion_for_every_number_of_tables(d):
+    for c, row in last_rows(d, {1024, 3000, 10_000}).items():
+        t = np.arange(1.0, c)
+        wrong = np.abs(pitman_yor.stirling_far(np.full(len(t), float(c)), t, d) - row[:-1])
+        assert wrong.max() < 0.011, (c, int(wrong.argmax()) + 1)
+
+
+@pytest.mark.parametrize(("c", "d", "room", "p"), [(1024, 0.7, 1000.0, 0.3), (1025, 0.7, 1000.0, 0.3), (3000, 0.7, 200_000.0, 0.005), (3000, 0.8, 3000.0, 0.3), (2000, 0.75, 40.0, 0.001), (1500, 0.5, 5000.0, 0.9), (1100, 0.9, 10.0, 0.5), (4000, 0.75, 2e6, 0.02)])
+def test_draws_of_many_customers_have_the_moments_of_their_conditional(c, d, room, p):
+    w = last_rows(d, {c})[c] + np.cumsum(np.log(d * p * (room + np.arange(c))))
+    w = np.exp(w - w.max())
+    w /= w.sum()
+    t = np.arange(1, c + 1)
+    mean = (w * t).sum()
+    deviation = np.sqrt((w * (t - mean) ** 2).sum())
+    n = 4000
+    got = pitman_yor.seat(np.full(n, c), np.full(n, room), np.full(n, p), d, (np.arange(n) + 0.5) / n)
+    assert abs(got.mean() - mean) < 0.05 * deviation + 0.02 and abs(got.std() / deviation - 1) < 0.04, (got.mean(), mean, got.std(), deviation)
 
 
 def test_seats_follow_their_conditional():
