@@ -140,8 +140,8 @@ def stirling_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     almost as many tables as customers by the saddle point; for all between by the integral of g(x) / x^(c + 1) from the saddle point on outwards, along a ray past the branch point at 1.
     """
     out = np.empty(len(t))
-    for lo in range(0, len(t), 4096):
-        n, k = c[lo : lo + 4096], t[lo : lo + 4096]
+    for lo in range(0, len(t), 512):  # some MB of room
+        n, k = c[lo : lo + 512], t[lo : lo + 512]
         with np.errstate(all="ignore"):
             first, x = log_gamma_far(n - d), SERIES * d
             terms = -x * np.sin(np.pi * x) / np.pi * np.exp(log_gamma_far(n[:, None] - x) - first[:, None] + log_gamma(x))
@@ -158,7 +158,7 @@ def stirling_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
                 g = k[:, None] * np.log((1 - np.exp(d * np.log(np.exp(-y)[:, None] - z))) / -np.expm1(-d * y)[:, None]) - (n[:, None] + 1) * np.log1p(z / at[:, None])
                 area = (np.exp(g) * TURN * far).imag.sum(axis=1) * (RAY[1] - RAY[0]) / np.pi
                 found[rest] = np.where((n - k < 0.1 * n) | ~(area > 0), rough, head - (n + 1) * np.log(at) + np.log(np.maximum(area, 1e-300)))
-        out[lo : lo + 4096] = found
+        out[lo : lo + 512] = found
     return out
 
 
@@ -216,8 +216,8 @@ def seat(c: np.ndarray, room: np.ndarray, p: np.ndarray, d: float, u: np.ndarray
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
             tables[rows] = 1 + (w < u[rows, None] * w[:, -1:]).sum(axis=1).clip(0, n - 1)
     far = np.flatnonzero(c > EXACT)
-    for i in range(0, len(far), 512):
-        k = far[i : i + 512]
+    for i in range(0, len(far), 256):
+        k = far[i : i + 256]
         tables[k] = seat_far(c[k].astype(float), room[k], p[k], d, u[k])
     return tables
 
