@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ops, summaries
+from ..operators import ops, query_plans, summaries
 from . import inputs
 from . import listing_queries as q
 
@@ -114,3 +114,31 @@ _TOKENS = f"list_filter(list_distinct(string_split({q.canon_u("concat_ws(' ', ti
 def skill_overlap(spark, sf_dir):
     tokens = summaries.profile_tokens(F.col("title"), F.col("description"))
     return inputs.jobs(spark, sf_dir).select("job_id", summaries.skill_overlap(tokens, ("Intern tion ing", "the senior lead", "and der")).alias("o")).select("job_id", "o.*")
+
+
+REQUESTS = """SELECT job_id AS request_id, CASE job_id % 5 WHEN 0 THEN title WHEN 1 THEN ' ' WHEN 2 THEN 'remote  kiln lead' ELSE NULL END AS explicit, split(CASE job_id % 4 WHEN 0 THEN 'Software Engineer;' || title WHEN 1 THEN 'senior data engineer;Kiln Keeper;kiln  keeper' WHEN 2 THEN 'Remote Machine Learning Engineer;software engineer; ' ELSE title END, ';') AS titles,
+ split(CASE job_id % 3 WHEN 0 THEN 'Oslo;Remote;oslo' WHEN 1 THEN coalesce(location, 'Bergen') ELSE 'anywhere;Work from home' END, ';') AS locations, split(CASE job_id % 6 WHEN 0 THEN 'backend;API' WHEN 1 THEN 'Full-Stack;x;platform' ELSE '' END, ';') AS keywords, split(CASE job_id % 7 WHEN 0 THEN 'entry' WHEN 1 THEN 'mid;senior' WHEN 2 THEN 'lead;entry;entry' ELSE '' END, ';') AS levels,
+ job_id % 2 = 0 AS remote, CAST(job_id % 25 AS INT) AS most, CAST(1 + job_id % 6 AS INT) AS per_pair, job_id % 8 <> 0 AS expand FROM {jobs}"""
+_SQ = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+_CLEAN = lambda x: f"list_filter(list_transform({x}, lambda v: {_SQ('v')}), lambda v: v <> '')"
+_ONCE = lambda x: f"list_filter({x}, lambda v, i: list_position(list_transform({x}, lambda y: lower(y)), lower(v)) = i)"
+_FAR = lambda x: f"regexp_matches({x}, '{query_plans.REMOTE}')"
+_PUT = lambda what, where: f"CASE WHEN {_FAR(where)} AND {_FAR(what)} THEN {what} ELSE {what} || ' ' || {where} END"
+_LEVEL = "CASE lv " + " ".join(f"WHEN '{k}' THEN [" + ", ".join("'" + t.replace("{}", "' || seed || '") + "'" for t in names) + "]" for k, names in query_plans.LEVELS.items()) + " ELSE [] END"
+_SYNONYM = "flatten([" + ", ".join(f"CASE WHEN regexp_matches(seed, '{p}') THEN {list(names)} ELSE [] END" for p, names in query_plans.SYNONYMS) + "])"
+_ROLE = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in query_plans.ROLES.items()) + " END"
+
+
+@query("search_plans", rf"""WITH q0 AS ({REQUESTS.format(jobs='jobs')}), q1 AS (SELECT request_id, {_SQ("coalesce(explicit, '')")} AS explicit, {_CLEAN('titles')} AS tc, {_CLEAN('locations')} AS lc, keywords, levels, remote, greatest(1, least(most, 20)) AS most, per_pair, expand FROM q0),
+ q2 AS (SELECT * EXCLUDE (tc, lc), {_ONCE('tc')} AS titles, {_ONCE('lc')} AS ls FROM q1), q3 AS (SELECT *, CASE WHEN remote AND len(list_filter(ls, lambda x: {_FAR('x')})) = 0 THEN list_append(ls, 'Remote') ELSE ls END AS places FROM q2),
+ p AS (SELECT * EXCLUDE (ls, places), generate_subscripts(places, 1) AS lp, unnest(places) AS location FROM q3), pn AS (SELECT *, CASE WHEN {_FAR('location')} THEN {list(query_plans.REMOTE_NAMES)} ELSE [location] END AS names FROM p),
+ t AS (SELECT * EXCLUDE (titles), generate_subscripts(titles, 1) AS tp, unnest(titles) AS seed FROM pn), s AS (SELECT *, {q.canon('seed')} AS cs FROM t),
+ raw AS (SELECT *, {_CLEAN(f"list_filter(flatten(list_transform(levels, lambda lv: {_LEVEL})), lambda v: {q.canon('v')} <> cs)")} AS a0, {_SYNONYM} AS b0, list_transform(list_filter(list_transform(keywords, lambda k: {q.canon('k')}), lambda k: k <> '' AND NOT contains(cs, k) AND {_ROLE} IS NOT NULL), lambda k: {_ROLE} || ' ' || seed) AS c0 FROM s),
+ o AS (SELECT *, {_ONCE('a0')} AS a, {_ONCE('b0')} AS b, {_ONCE('c0')} AS c FROM raw),
+ ev AS (SELECT *, list_concat([struct_pack(title := seed, kind := 'base_title')], CASE WHEN expand THEN flatten(list_transform(range(1, greatest(len(a), len(b), len(c)) + 1), lambda i: list_filter([struct_pack(title := a[i], kind := 'seniority'), struct_pack(title := b[i], kind := 'title_synonym'), struct_pack(title := c[i], kind := 'role_specialization')], lambda x: x.title IS NOT NULL))) ELSE [] END) AS e FROM o),
+ v AS (SELECT * EXCLUDE (e), list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y.title)), lower(x.title)) = i)[1:per_pair] AS vs FROM ev), f AS (SELECT *, generate_subscripts(vs, 1) AS vp, unnest(vs) AS x FROM v), g AS (SELECT *, generate_subscripts(names, 1) AS np, unnest(names) AS name FROM v WHERE expand),
+ every AS (SELECT request_id, most, location, 0 AS stage, lp, 0 AS tp, 0 AS vp, {_PUT('explicit', 'names[1]')} AS query, explicit AS title_seed, 'explicit_query' AS expansion_type FROM pn WHERE explicit <> '' UNION ALL SELECT request_id, most, location, 1, lp, tp, vp, {_PUT('x.title', 'names[1]')}, seed, x.kind FROM f UNION ALL SELECT request_id, most, location, 2, lp, tp, np, {_PUT('vs[1].title', 'name')}, seed, vs[1].kind || '_location_synonym' FROM g WHERE np > 1),
+ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, lower(query) ORDER BY stage, lp, tp, vp) AS n FROM every) WHERE n = 1), numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY stage, lp, tp, vp) AS query_index FROM once)
+ SELECT request_id, query_index, query, location, title_seed, expansion_type FROM numbered WHERE query_index <= most""")
+def search_plans(spark, sf_dir):
+    return query_plans.plan_queries(spark.sql(REQUESTS, jobs=inputs.jobs(spark, sf_dir)))
