@@ -185,7 +185,7 @@ def waterfall(rows: DataFrame) -> DataFrame:
 
 
 def worst_status(attempts: DataFrame, priority: dict[str, int]) -> DataFrame:
-    """Per source: its worst status by priority, the last error, and whether it is under its target."""
+    """Per source: its worst status by priority, the last error, and how many attempts there were; summaries.source_status also holds the source against its target."""
     weight = reduce(lambda a, kv: a.when(F.col("status") == kv[0], kv[1]), priority.items(), F).otherwise(0)
     return attempts.groupBy("source").agg(F.max_by("status", F.struct(weight, F.col("status"))).alias("status"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("at", "id"))).alias("last_error"), F.count(F.lit(1)).alias("attempts"))
 
