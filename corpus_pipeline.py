@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", without_toxic), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("decontamination", without_benchmark), ("packing", packed)]
-#: SQL can express neither the toxicity grammar nor the tokenizer and the packing; tests/llm holds run() against brute force.
+#: SQL can express neither the toxicity grammar nor the tokenizer and the packing; tests/llm holds run() against its stages done plainly: copies, near copies, windows and token pieces by brute force, the toxicity stage by the scores of its own operator.
 ORACLE_SQL = None
 
 
