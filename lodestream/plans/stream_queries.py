@@ -88,13 +88,13 @@ def stream_heartbeats(spark, sf_dir):
     return drained(stateful.heartbeat_changes(b, 6 * 3600.0, 24 * 3600.0)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stream_deal_alerts", """WITH RECURSIVE d AS (SELECT user_id::VARCHAR AS deal_key, ts, event_id AS pos, round(value, 2) AS price, CASE WHEN event_type = 'error' THEN 'out_of_stock' ELSE 'in_stock' END AS status, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events_ WHERE value IS NOT NULL),
+@query("stream_deal_alerts", """WITH RECURSIVE d AS (SELECT user_id::VARCHAR AS deal_key, ts, event_id AS pos, round(value, 2) AS price, CASE WHEN event_type = 'error' THEN 'out_of_stock' ELSE 'in_stock' END AS status, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events_),
  s AS (SELECT deal_key, n, ts, pos, price, 'new_item' AS reason, price AS lp, status AS ls, sec AS la FROM d WHERE n = 1
  UNION ALL SELECT deal_key, n, ts, pos, price, reason, CASE WHEN reason = 'in_cooldown' THEN lp ELSE price END, CASE WHEN reason = 'in_cooldown' THEN ls ELSE status END, CASE WHEN reason = 'in_cooldown' THEN la ELSE sec END FROM (
   SELECT d.*, s.lp, s.ls, s.la, CASE WHEN abs(d.price - s.lp) >= 25 OR (s.lp > 0 AND abs(d.price - s.lp) / s.lp * 100 >= 3) THEN 'material_price_change' WHEN d.status <> s.ls THEN 'status_changed' WHEN d.sec >= s.la + 21600 THEN 'cooldown_expired' ELSE 'in_cooldown' END AS reason FROM s JOIN d ON d.deal_key = s.deal_key AND d.n = s.n + 1))
  SELECT deal_key, ts, pos, price, reason <> 'in_cooldown' AS should_alert, reason FROM s""")
 def stream_deal_alerts(spark, sf_dir):
-    d = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("deal_key"), "ts", F.col("event_id").alias("pos"), F.round(F.col("value"), 2).alias("price"), F.when(F.col("event_type") == "error", "out_of_stock").otherwise("in_stock").alias("status")).filter("price is not null")
+    d = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("deal_key"), "ts", F.col("event_id").alias("pos"), F.round(F.col("value"), 2).alias("price"), F.when(F.col("event_type") == "error", "out_of_stock").otherwise("in_stock").alias("status"))
     return drained(stateful.deal_alerts(d, AlertPolicy())).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

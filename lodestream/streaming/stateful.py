@@ -58,11 +58,13 @@ class DealAlerts(Timed):
             now = r.at_s
             reason = "new_item"
             if have:
+                # a price or status that isn't known is no change
                 delta = abs(r.price - have[0]) if pd.notna(r.price) and have[0] is not None else 0.0
                 moved = delta >= self.policy.change_abs or bool(have[0] and have[0] > 0 and delta / have[0] * 100 >= self.policy.change_pct)
-                reason = "material_price_change" if moved else "status_changed" if r.status != have[1] else "cooldown_expired" if now >= have[2] + self.policy.cooldown_seconds else ""
+                changed = r.status is not None and have[1] is not None and r.status != have[1]
+                reason = "material_price_change" if moved else "status_changed" if changed else "cooldown_expired" if now >= have[2] + self.policy.cooldown_seconds else ""
             if reason:
-                have = (float(r.price), r.status, now)
+                have = (float(r.price) if pd.notna(r.price) else None, r.status, now)
             out.append((key[0], r.ts, r.pos, r.price, bool(reason), reason or "in_cooldown"))
         self.state.update(have)
         self.wake(now + self.forget)

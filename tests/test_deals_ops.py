@@ -106,6 +106,15 @@ def test_deal_stream_equals_batch(spark, tmp_path):
     assert [r["should_alert"] for r in sorted(got, key=lambda r: r["pos"])] == [True, False, False, True, False]
 
 
+def test_deal_stream_takes_unknown_prices_and_states(spark, tmp_path):
+    given = [(None, "in_stock"), (1000.0, None), (None, "out_of_stock"), (1000.0, "out_of_stock"), (1000.0, "in_stock")]
+    rows = [("k", START + dt.timedelta(minutes=i), i, p, s) for i, (p, s) in enumerate(given)]
+    got = run_stream(spark, tmp_path, "unknown", rows, "deal_key string, ts timestamp, pos long, price double, status string", lambda s: stateful.deal_alerts(s, AlertPolicy()))
+    # a price that wasn't known before is no change, nor is a status that isn't known
+    want = [(None, "new_item"), (1000.0, "in_cooldown"), (None, "status_changed"), (1000.0, "in_cooldown"), (1000.0, "status_changed")]
+    assert [(r["price"], r["reason"]) for r in sorted(got, key=lambda r: r["pos"])] == want
+
+
 def test_silent_agents_are_told_by_a_timer(spark, tmp_path):
     at = lambda s: START + dt.timedelta(seconds=s)
     rows = [("a", 0, at(0)), ("a", 1, at(50)), ("a", 2, at(400)), ("b", 3, at(0)), ("clock", 4, at(1000)), ("clock", 5, at(1030))]
