@@ -161,18 +161,31 @@ def chained_summary(keys: DataFrame, tasks: DataFrame, runs: DataFrame, artifact
 def best_label(labels: DataFrame, dictionary: DataFrame, *, least: float = 0.65) -> DataFrame:
     """Form labels matched to the canonical key of a phrase dictionary(key, phrase): equal, then a prefix, then contained, then by token overlap of at least `least`.
 
-    Both sides meet on shared tokens only: a phrase that fits in any of these ways shares a token with its label. labels(id, label)
+    labels(id, label). Equal texts are one on both sides, a phrase with the least of its keys. Phrases that are in a label are found by equality, with the label's runs of as many words as some phrase has. Only labels without
+    one are compared by tokens: two sets that similar share one of their first n - ceil(least * n) + 1, in order of rarity, so the common words of both sides don't meet.
     """
-    clean = labels.select("id", text.canon_ascii(F.col("label")).alias("l"))
-    phrases = dictionary.select("key", text.canon_ascii(F.col("phrase")).alias("p")).distinct()
-    a, b = clean.select("id", "l", F.explode(F.array_distinct(text.words(F.col("l")))).alias("w")), phrases.select("key", "p", F.explode(F.array_distinct(text.words(F.col("p")))).alias("w"))
-    pairs = a.join(b, "w").select("id", "l", "key", "p").distinct()
-    lw, pw = F.array_distinct(text.words(F.col("l"))), F.array_distinct(text.words(F.col("p")))
-    overlap = F.size(F.array_intersect(lw, pw)) / F.greatest(F.size(lw), F.size(pw))
+    tokens = lambda c: F.array_distinct(text.words(F.col(c)))
+    clean = labels.select("id", text.canon_ascii(F.col("label")).alias("l")).filter("l <> ''")
+    phrases = dictionary.select("key", text.canon_ascii(F.col("phrase")).alias("p")).filter("p <> ''").groupBy("p").agg(F.min("key").alias("key"))
+    texts, w = clean.select("l").distinct(), text.words(F.col("l"))
+    sizes = phrases.agg(F.collect_set(F.size(text.words(F.col("p")))).alias("sizes"))
+    runs = F.transform(F.filter("sizes", lambda n: n <= F.size(w)), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    inside = texts.crossJoin(F.broadcast(sizes)).select("l", F.explode(F.array_distinct(F.flatten(runs))).alias("p")).join(phrases, "p")
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    rule = F.when(F.col("l") == F.col("p"), 1).when(spaced("l").startswith(spaced("p")), 2).when(spaced("l").contains(spaced("p")), 3).when(overlap >= least, 4)
-    scored = pairs.withColumn("rule", rule).filter("rule is not null")
-    return scored.groupBy("id").agg(F.min(F.struct("rule", (-F.length("p")).alias("len"), "key")).alias("m")).select("id", F.col("m.key").alias("key"), F.col("m.rule").alias("rule"))
+    best = lambda rows, rule: rows.groupBy("l").agg(F.min(F.struct(rule.alias("rule"), (-F.length("p")).alias("len"), "key")).alias("m"))
+    found = best(inside, F.when(F.col("l") == F.col("p"), 1).when(spaced("l").startswith(spaced("p")), 2).otherwise(3))
+    rest = texts.join(found, "l", "left_anti")
+    df = phrases.select(F.explode(tokens("p")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+    def first(rows: DataFrame, c: str) -> DataFrame:
+        order = Window.partitionBy(c).orderBy(F.coalesce("df", F.lit(0)), "w")
+        ranked = rows.select("*", F.size(tokens(c)).alias("n"), F.explode(tokens(c)).alias("w")).join(df, "w", "left").withColumn("i", F.row_number().over(order))
+        return ranked.filter(F.col("i") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).drop("n", "i", "df")
+
+    pairs = first(rest, "l").join(first(phrases, "p"), "w").select("l", "key", "p").distinct()
+    overlap = F.size(F.array_intersect(tokens("l"), tokens("p"))) / F.greatest(F.size(tokens("l")), F.size(tokens("p")))
+    matched = found.unionByName(best(pairs.filter(overlap >= least), F.lit(4)))
+    return clean.join(matched, "l").groupBy("id").agg(F.min("m").alias("m")).select("id", F.col("m.key").alias("key"), F.col("m.rule").alias("rule"))
 
 
 def best_option(rows: DataFrame) -> DataFrame:
