@@ -256,7 +256,7 @@ def digest(rows: DataFrame, *, by: str, most: int, title: Column, order: list[Co
 def watcher_summary(templates: DataFrame, tasks: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """templates(id, task_type) with their latest task, its latest run and artifact: the task whose payload names the template as planner_template_id, or else the latest of its type where the type has this one template.
 
-    tasks(task_id, task_type, payload, updated), runs(task_id, run_id, status, at), artifacts(task_id, artifact_id, is_result, at). Each side is cut to a row a key by a maximum before it is joined.
+    tasks(task_id, task_type, payload, updated), runs(task_id, run_id, status, at), artifacts(task_id, artifact_id, is_result, at). Of runs of equal time and id the one with the larger status counts. Each side is cut to a row a key by a maximum before it is joined.
     """
     from .ops import latest_per_key
 
@@ -266,7 +266,7 @@ def watcher_summary(templates: DataFrame, tasks: DataFrame, runs: DataFrame, art
     lone = templates.groupBy("task_type").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("task_type")
     by_type = latest_per_key(t.drop("id"), ["task_type"], "updated", "task_id").join(lone, "task_type", "left_semi").select("task_type", F.col("task_id").alias("by_type"))
     found = templates.join(named, ["id", "task_type"], "left").join(by_type, "task_type", "left").select("id", "task_type", F.coalesce("named", "by_type").alias("task_id"))
-    r = latest_per_key(runs, ["task_id"], "at", "run_id").select("task_id", "run_id", "status")
+    r = latest_per_key(runs, ["task_id"], "at", "run_id", "status").select("task_id", "run_id", "status")
     a = latest_per_key(artifacts, ["task_id"], "is_result", "at", "artifact_id").select("task_id", "artifact_id")
     return found.join(r, "task_id", "left").join(a, "task_id", "left").select("id", "task_type", "task_id", "run_id", "status", "artifact_id")
 

@@ -309,7 +309,7 @@ WATCHED = "CASE {0} % 3 WHEN 0 THEN 'solo' || {0} ELSE 'pair' || ({0} // 3) END"
 
 @query("watcher_summary", f"""WITH tp AS (SELECT 'w' || c_custkey AS id, {WATCHED.format('c_custkey')} AS task_type FROM customer), tk AS (SELECT o_orderkey AS task_id, {WATCHED.format('o_custkey')} AS task_type, CASE WHEN o_orderkey % 4 < 2 THEN 'w' || o_custkey END AS marker, o_orderdate AS u FROM orders),
  nm AS (SELECT marker AS id, task_type, arg_max(task_id, struct_pack(u, task_id)) AS named FROM tk WHERE marker IS NOT NULL GROUP BY 1, 2), ty AS (SELECT task_type, arg_max(task_id, struct_pack(u, task_id)) AS by_type FROM tk WHERE task_type IN (SELECT task_type FROM tp GROUP BY 1 HAVING count(*) = 1) GROUP BY 1),
- f AS (SELECT tp.id, tp.task_type, coalesce(named, by_type) AS task_id FROM tp LEFT JOIN nm USING (id, task_type) LEFT JOIN ty ON ty.task_type = tp.task_type), r AS (SELECT l_orderkey AS task_id, arg_max(l_orderkey * 10 + l_linenumber, struct_pack(l_shipdate, l_linenumber)) AS run_id, arg_max(l_linestatus, struct_pack(l_shipdate, l_linenumber)) AS status FROM lineitem GROUP BY 1),
+ f AS (SELECT tp.id, tp.task_type, coalesce(named, by_type) AS task_id FROM tp LEFT JOIN nm USING (id, task_type) LEFT JOIN ty ON ty.task_type = tp.task_type), r AS (SELECT l_orderkey AS task_id, arg_max(l_orderkey * 10 + l_linenumber, struct_pack(l_shipdate, l_linenumber)) AS run_id, arg_max(l_linestatus, struct_pack(l_shipdate, l_linenumber, l_linestatus)) AS status FROM lineitem GROUP BY 1),
  a AS (SELECT l_orderkey AS task_id, arg_max(l_partkey, struct_pack(r := l_linenumber % 2 = 0, d := l_shipdate, k := l_partkey)) AS artifact_id FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1)
  SELECT f.id, task_type, f.task_id, run_id, status, artifact_id FROM f LEFT JOIN r ON r.task_id = f.task_id LEFT JOIN a ON a.task_id = f.task_id""")
 def watcher_summary(spark, sf_dir):

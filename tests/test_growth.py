@@ -1,5 +1,6 @@
 """Work grows with the input: rows that a step shuffles, places where a text is cleaned, rows that are objects at a time."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -47,3 +48,13 @@ def test_best_label_common_words_do_not_meet(spark):
     rows, moved = shuffled(spark, reports.best_label(labels, phrases))
     assert len(rows) == 2000 and {x["rule"] for x in rows} == {2}
     assert moved < 100 * 2000
+
+
+def test_watcher_summary_runs_of_equal_time_and_id(spark):
+    t = datetime.datetime(2024, 1, 1)
+    templates = spark.createDataFrame([("w1", "a")], "id string, task_type string")
+    tasks = spark.createDataFrame([(7, "a", "{}", t)], "task_id long, task_type string, payload string, updated timestamp")
+    artifacts = spark.createDataFrame([], "task_id long, artifact_id long, is_result boolean, at timestamp")
+    for order in (("F", "O"), ("O", "F")):
+        runs = spark.createDataFrame([(7, 71, s, t) for s in order], "task_id long, run_id long, status string, at timestamp").coalesce(1)
+        assert [x["status"] for x in reports.watcher_summary(templates, tasks, runs, artifacts).collect()] == ["O"]
