@@ -58,3 +58,11 @@ def test_watcher_summary_runs_of_equal_time_and_id(spark):
     for order in (("F", "O"), ("O", "F")):
         runs = spark.createDataFrame([(7, 71, s, t) for s in order], "task_id long, run_id long, status string, at timestamp").coalesce(1)
         assert [x["status"] for x in reports.watcher_summary(templates, tasks, runs, artifacts).collect()] == ["O"]
+
+
+def test_texts_are_cleaned_once(spark, sf):
+    from lodestream.plans import registry
+
+    for name in ("exclude_terms",):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[A-Za-z0-9]+") == 1 and "[^A-Za-z0-9 ]" not in plan, name
