@@ -63,6 +63,6 @@ def test_watcher_summary_runs_of_equal_time_and_id(spark):
 def test_texts_are_cleaned_once(spark, sf):
     from lodestream.plans import registry
 
-    for name in ("exclude_terms",):
+    for name in ("exclude_terms", "entry_listings"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("[A-Za-z0-9]+") == 1 and "[^A-Za-z0-9 ]" not in plan, name
