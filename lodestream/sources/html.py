@@ -85,7 +85,12 @@ BEFORE_TITLE, AFTER_TITLE = 3500, 9000
 
 def price_pair(snippet: Column, shop: str) -> Column:
     """struct(price, old_price) of the text around an offer: the shop's patterns first, then all $ amounts; an old price that isn't above the price is none."""
-    rules, amounts = SHOPS[shop], text.price_values(snippet)
+    return text.let(text.price_values(snippet), lambda amounts: pair_of(snippet, amounts, shop))
+
+
+def pair_of(snippet: Column, amounts: Column, shop: str) -> Column:
+    """price_pair where the $ amounts are known."""
+    rules = SHOPS[shop]
     number = lambda p: F.regexp_replace(F.nullif(F.regexp_extract(snippet, p, 1), F.lit("")), ",", "").try_cast("double")
     otherwise = F.array_min(amounts) if rules["else"] == "least" else text.plausible_price(amounts, F.lit(None).cast("string"))
 
@@ -99,8 +104,8 @@ def price_pair(snippet: Column, shop: str) -> Column:
 def last_prices(skus: Column, prices: Column) -> Column:
     """Map of sku to price from two arrays; of a sku that occurs again the last price counts."""
     pairs = F.zip_with(skus, prices, lambda k, v: F.struct(k.alias("k"), v.cast("double").alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda x, i: ~F.exists(F.slice(ps, i + 2, F.size(ps) + 1), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(text.let(pairs, last))
 
 
 def sku_prices(html: Column) -> Column:
@@ -120,10 +125,9 @@ def title_prices(html: Column, title: Column) -> Column:
 
     def of(at: Column) -> Column:
         start = F.greatest(at - BEFORE_TITLE, F.lit(1))
-        near = F.substring(html, start, at + AFTER_TITLE - start)
-        values = {k: F.transform(F.regexp_extract_all(near, F.lit(p), F.lit(1)), lambda x: x.cast("double")) for k, p in NEAR_PRICE.items()}
-        price = F.array_min(values["customer"])
-        return F.when((at > 0) & (title != ""), F.struct(price.alias("price"), F.array_min(F.filter(values["regular"], lambda v: price.isNull() | (v >= price))).alias("old_price")))
+        values = lambda near: F.struct(*[F.transform(F.regexp_extract_all(near, F.lit(p), F.lit(1)), lambda x: x.cast("double")).alias(k) for k, p in NEAR_PRICE.items()])
+        least = lambda v: text.let(F.array_min(v["customer"]), lambda price: F.struct(price.alias("price"), F.array_min(F.filter(v["regular"], lambda r: price.isNull() | (r >= price))).alias("old_price")))
+        return F.when((at > 0) & (title != ""), text.let(text.let(F.substring(html, start, at + AFTER_TITLE - start), values), least))
 
     return text.let(F.coalesce(F.nullif(F.instr(html, title), F.lit(0)), F.instr(html, F.replace(title, F.lit('"'), F.lit('\\"')))), of)
 
@@ -133,13 +137,12 @@ def offer_prices(html: Column, snippet: Column, title: Column, sku: Column, shop
     pair = price_pair(snippet, shop)
 
     def mapped(p: Column) -> Column:
-        price = F.coalesce(F.try_element_at(offered_skus(html), sku), p["price"])
-        regular = F.try_element_at(offered_skus(html, "regular"), sku)
-        return F.struct(price.alias("price"), F.when(regular > price, regular).otherwise(p["old_price"]).alias("old_price"))
+        given = F.struct(F.coalesce(F.try_element_at(offered_skus(html), sku), p["price"]).alias("price"), F.try_element_at(offered_skus(html, "regular"), sku).alias("regular"))
+        return text.let(given, lambda g: F.struct(g["price"].alias("price"), F.when(g["regular"] > g["price"], g["regular"]).otherwise(p["old_price"]).alias("old_price")))
 
     def hinted(p: Column) -> Column:
-        near = title_prices(html, title)
-        return F.when(p["price"].isNotNull(), p).otherwise(F.struct(near["price"].alias("price"), F.when(near["old_price"] > near["price"], near["old_price"]).otherwise(p["old_price"]).alias("old_price")))
+        of = lambda near: F.struct(near["price"].alias("price"), F.when(near["old_price"] > near["price"], near["old_price"]).otherwise(p["old_price"]).alias("old_price"))
+        return F.when(p["price"].isNotNull(), p).otherwise(text.let(title_prices(html, title), of))
 
     return text.let(text.let(pair, mapped), hinted)
 

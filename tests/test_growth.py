@@ -66,3 +66,13 @@ def test_texts_are_cleaned_once(spark, sf):
     for name in ("exclude_terms", "entry_listings"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("[A-Za-z0-9]+") == 1 and "[^A-Za-z0-9 ]" not in plan, name
+
+
+def test_offer_prices_look_a_page_up_once(spark):
+    from lodestream.sources import html
+
+    c = F.col
+    df = spark.createDataFrame([("h", "s", "t", "k")], "h string, s string, t string, k string")
+    plan = df.select(html.offer_prices(c("h"), c("s"), c("t"), c("k"), "bestbuy").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(html.NEAR_PRICE["customer"]) == 1 and plan.count(html.NEAR_PRICE["regular"]) == 1
+    assert plan.count(html.SKU_PRICE["customer"]) == 2 and plan.count(html.SKU_PRICE["regular"]) == 2
