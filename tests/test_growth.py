@@ -3,9 +3,11 @@
 import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestream.operators import reports
+from lodestream.streaming import stateful
 
 
 def shuffled(spark, df) -> tuple[list, int]:
@@ -60,6 +62,35 @@ def test_watcher_summary_runs_of_equal_time_and_id(spark):
         assert [x["status"] for x in reports.watcher_summary(templates, tasks, runs, artifacts).collect()] == ["O"]
 
 
+class Handle:
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    getValueState = lambda self, *a: self
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    listTimers = lambda self: self.timers
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+    def update(self, v):
+        self.value = v
+
+
+def test_rate_limit_leaves_in_chunks_in_order():
+    n = 2 * stateful.CHUNK + 5
+    ids = list(range(n))
+    random.Random(1).shuffle(ids)
+    rows = pd.DataFrame({"identity": "a", "id": ids, "ts": pd.Timestamp("2024-01-01"), "at_s": [float(i) for i in ids]})
+    p = stateful.TokenBucket(3.0, 0.5)
+    p.init(Handle())
+    out = list(p.handleInputRows(("a",), iter([rows[:7], rows[7:]]), None))
+    assert max(map(len, out)) <= stateful.CHUNK
+    assert pd.concat(out)["id"].tolist() == list(range(n)) and p.state.value[1] == float(n - 1)
+    # a token each two seconds: after the first ones, every second row passes
+    assert pd.concat(out)["allowed"].iloc[10:].sum() == (n - 9) // 2
+
+
 def test_texts_are_cleaned_once(spark, sf):
     from lodestream.plans import registry
 
