@@ -107,3 +107,73 @@ def test_offer_prices_look_a_page_up_once(spark):
     plan = df.select(html.offer_prices(c("h"), c("s"), c("t"), c("k"), "bestbuy").alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(html.NEAR_PRICE["customer"]) == 1 and plan.count(html.NEAR_PRICE["regular"]) == 1
     assert plan.count(html.SKU_PRICE["customer"]) == 2 and plan.count(html.SKU_PRICE["regular"]) == 2
+
+
+def plain_similar(x: str, y: str, least: float) -> float | None:
+    a, b = set(x.split()), set(y.split())
+    s = len(a & b) / len(a | b) if a and b else 0.0
+    return s if round(s, 4) >= least else None
+
+
+def made_titles(seed: int, n: int) -> list[tuple]:
+    """Titles of 0 to 12 tokens in two buckets, many alike, in no order of id."""
+    r = random.Random(seed)
+    titles = {(f"k{r.randrange(2)}", " ".join(r.sample("abcdefghijklmnop", r.randrange(0, 13) if i % 4 == 0 else r.randrange(0, 6)))) for i in range(n)}
+    ids = r.sample(range(1000), len(titles))
+    return [(i, r.randrange(50), *t) for i, t in zip(ids, sorted(titles))]
+
+
+TITLES = "id long, ord long, bucket string, title_key string"
+
+
+def test_title_links_count_all_pairs(spark):
+    from lodestream.operators import listings
+
+    rows = made_titles(3, 160)
+    for low, high in ((0.4, 0.84), (0.5, 0.6)):
+        got = {x["id"]: (x["component"], x["links"], x["merges"], x["nearest"]) for x in listings.title_links(spark.createDataFrame(rows, TITLES), low=low, high=high).collect()}
+        near = {i: {j: s for j, _, c, u in rows if j != i and c == b and (s := plain_similar(t, u, low))} for i, _, b, t in rows}
+        label = {i: i for i in near}
+        while (after := {i: min([label[i], *[label[j] for j in near[i]]]) for i in near}) != label:
+            label = after
+        assert got == {i: (label[i], len(n), sum(s >= high for s in n.values()), round(max(n.values()), 4) if n else None) for i, n in near.items()}
+
+
+def test_title_links_grow_with_the_titles(spark):
+    from lodestream.operators import listings
+
+    def moved(n: int) -> int:
+        titles = spark.range(n).select("id", F.lit("b").alias("bucket"), F.concat(F.lit("senior x"), "id", F.lit(" api lead")).alias("title_key"))
+        rows, records = shuffled(spark, listings.title_links(titles, low=0.4))
+        assert {(x["component"], x["links"], x["nearest"]) for x in rows} == {(0, n - 1, 0.6)}
+        return records
+
+    assert moved(2000) < 100 * 2000
+
+
+def test_leaders_with_long_titles_are_first_come(spark):
+    from lodestream.operators import listings
+
+    rows = made_titles(4, 160)
+    for least in (0.4, 0.6):
+        want, leaders = {}, []
+        for i, _, b, t in sorted(rows, key=lambda r: (r[1], r[0])):
+            want[i] = next((j for j, c, u in leaders if c == b and plain_similar(t, u, least)), i)
+            if want[i] == i:
+                leaders.append((i, b, t))
+        assert {x["id"]: x["leader"] for x in listings.leader_clusters(spark.createDataFrame(rows, TITLES), threshold=least).collect()} == want
+
+
+def test_leader_rounds_grow_with_the_titles(spark):
+    from lodestream.operators import listings
+
+    titles = spark.range(2000).select("id", F.col("id").alias("ord"), F.lit("b").alias("bucket"), F.concat(F.lit("senior x"), "id", F.lit(" api lead")).alias("title_key"))
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def written() -> int:
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    assert {x["leader"] for x in listings.leader_clusters(titles, threshold=0.5).collect()} == {0}
+    assert written() - before < 100 * 2000
