@@ -177,3 +177,30 @@ def test_leader_rounds_grow_with_the_titles(spark):
     before = written()
     assert {x["leader"] for x in listings.leader_clusters(titles, threshold=0.5).collect()} == {0}
     assert written() - before < 100 * 2000
+
+
+def test_first_seen_deals_sort_no_rows(spark, sf):
+    from lodestream.plans import registry
+
+    assert "SortAggregate" not in registry.QUERIES["first_seen_deals"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deal_state_sorts_no_rows(spark, sf):
+    from lodestream.plans import deal_queries
+
+    state, _ = deal_queries.state_and_batch(spark, sf)
+    assert "SortAggregate" not in state._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deal_pipeline_moves_targets_only(spark):
+    from lodestream.operators import deals
+
+    c = F.col
+    title = F.when(c("id") % 100 == 0, F.concat(F.lit("GeForce  RTX 5090 graphics card "), "id")).otherwise(F.concat(F.lit("Teapot "), "id"))
+    rows = spark.range(2000).select(c("id").alias("pos"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("url"), title.alias("title"), F.lit(1500.0).alias("price"), F.lit(1600.0).alias("old_price"), F.lit(True).alias("in_stock"))
+    # a later, cheaper row of a key whose first one is too dear stays out, and so does its title in capitals
+    dear = rows.filter("pos = 300").select((c("pos") - 1000).alias("pos"), "source", "sku", "url", F.upper("title").alias("title"), F.lit(2500.0).alias("price"), "old_price", "in_stock")
+    state = spark.createDataFrame([], "deal_key string, last_price double, last_status string, last_alerted_at timestamp, cooldown_until timestamp, alert_count int")
+    got, moved = shuffled(spark, deals.pipeline(rows.unionByName(dear), state, now=F.lit(datetime.datetime(2024, 1, 1)), policy=deals.AlertPolicy()))
+    assert sorted(x["pos"] for x in got) == [i for i in range(0, 2000, 100) if i != 300]
+    assert moved < 500
