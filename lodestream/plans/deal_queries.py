@@ -69,17 +69,21 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_seen_deals", "SELECT order_key, line, s AS source, u AS url, t AS title FROM (SELECT *, row_number() OVER (PARTITION BY s, u, t ORDER BY order_key, line) AS n FROM (SELECT *, lower(trim(source)) AS s, coalesce(trim(url), '') AS u, lower(trim(title)) AS t FROM deals)) WHERE n = 1")
 def first_seen_deals(spark, sf_dir):
-    rows = ops.first_seen(numbered(spark, sf_dir), ops.natural_key(), [F.col("pos")])
-    return rows.select("order_key", "line", F.lower(F.trim("source")).alias("source"), F.coalesce(F.trim("url"), F.lit("")).alias("url"), F.lower(F.trim("title")).alias("title"))
+    c = F.col
+    keys = [F.lower(F.trim("source")).alias("source"), F.coalesce(F.trim("url"), F.lit("")).alias("url"), F.lower(F.trim("title")).alias("title")]
+    # a row's order and line as one number; lines are below 65,536
+    rows = ops.first_positions(inputs.deals(spark, sf_dir), keys, F.shiftleft(c("order_key").cast("long"), 16) + c("line"))
+    return rows.select(F.shiftright("at", 16).alias("order_key"), c("at").bitwiseAND(65535).cast("int").alias("line"), "source", "url", "title")
 
 
 def state_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = F.col
-    d = numbered(spark, sf_dir).select(urls.deal_key(c("source"), c("sku"), c("url"), c("title")).alias("deal_key"), "pos", F.round("price", 2).alias("price"), text.stock_key(c("in_stock")).alias("status"), "shipped")
-    old = d.filter("shipped < '1998-01-01'")
-    state = old.groupBy("deal_key").agg(F.max_by(F.struct("price", "status", "shipped"), "pos").alias("l"), F.count(F.lit(1)).cast("int").alias("alert_count"))
-    at = c("l.shipped").cast("timestamp")
-    return state.select("deal_key", c("l.price").alias("last_price"), c("l.status").alias("last_status"), at.alias("last_alerted_at"), (at + F.expr("interval 400 days")).alias("cooldown_until"), "alert_count"), d.filter("shipped >= '1998-01-01'").drop("shipped")
+    d = numbered(spark, sf_dir).select(urls.deal_key(c("source"), c("sku"), c("url"), c("title")).alias("deal_key"), "pos", F.round("price", 2).alias("price"), "in_stock", "shipped")
+    # numbers, flags and dates one by one stay in hash tables; a struct of them, or the status as text, would sort all rows
+    state = d.filter("shipped < '1998-01-01'").groupBy("deal_key").agg(*[F.max_by(v, "pos").alias(v) for v in ("price", "in_stock", "shipped")], F.count(F.lit(1)).cast("int").alias("alert_count"))
+    at, status = c("shipped").cast("timestamp"), text.stock_key(c("in_stock"))
+    batch = d.filter("shipped >= '1998-01-01'").select("deal_key", "pos", "price", status.alias("status"))
+    return state.select("deal_key", c("price").alias("last_price"), status.alias("last_status"), at.alias("last_alerted_at"), (at + F.expr("interval 400 days")).alias("cooldown_until"), "alert_count"), batch
 
 
 @query("alert_decisions", f"""WITH d AS (SELECT deal_key, order_key * 10 + line AS pos, round(price, 2) AS price, CASE WHEN in_stock THEN 'in_stock' WHEN NOT in_stock THEN 'out_of_stock' ELSE 'unknown' END AS status, shipped FROM {KEYED}),
