@@ -265,6 +265,52 @@ def test_repeats_against_all_windows(spark, n, stretch):
     assert got == sorted(brute_repeats(texts, n))
 
 
+def brute_shares(texts, n):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    owners = collections.defaultdict(set)
+    for i, w in enumerate(words):
+        for s in range(len(w) - n + 1):
+            owners[tuple(w[s : s + n])].add(i)
+    return [any(len(owners[tuple(w[s : s + n])]) > 1 for s in range(len(w) - n + 1)) for w in words]
+
+
+def passages():
+    """Texts that share passages of up to 51 words, all below 400 bytes: in one place, spread over several, with other white space, in themselves alone."""
+    rng = random.Random(29)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    p, q, r, few = fresh(51), fresh(50), fresh(60), fresh(12)
+    return [
+        f"{fresh(70)} {p} {fresh(30)}", f"{fresh(9)}\n{p.replace(' ', chr(10))} {fresh(80)}", f"{q} {fresh(40)}", f"{fresh(44)} {q}", f"{fresh(20)} {r} {fresh(7)} {r}", few, few, r + " end", fresh(200),
+        " ".join([fresh(55)] * 2), f"{few} {fresh(60)}", p[:-1] + "Z " + fresh(60), "\u00a0".join(fresh(60).split()), None, "", " ", f"{fresh(3)} {p} {fresh(1)}", f"{fresh(33)} {few} {fresh(2)} {few} {fresh(9)}",
+    ]
+
+
+def test_shared_passages_below_the_byte_threshold_are_told(spark):
+    texts = passages()
+    rows = spark.createDataFrame([(i, t, "s", True) for i, t in enumerate(texts)], DOC)
+    got = {r["doc_id"]: r for r in repeated_windows.remove_repeats(rows).collect()}
+    assert [got[i]["shares_passage"] for i in range(len(texts))] == brute_shares(texts, 51)
+    assert [i for i in got if got[i]["shares_passage"]] and not any(got[i]["n_removed"] for i in (0, 1, 16))
+    assert [got[i]["shares_passage"] for i in (0, 1, 2, 3, 9)] == [True, True, False, False, False]
+
+
+@pytest.mark.parametrize("n, gram", [(12, 4), (12, 12), (5, 2), (50, 16)])
+def test_shared_passages_against_all_windows(spark, n, gram):
+    texts = [t or "" for t in passages()]
+    texts += [texts[0], texts[0][100:] + " x", "x x x x x x x x x x x x x x", "x y " * 20, "y x " * 9]
+    texts = list(dict.fromkeys(texts))  # a name stands for a text
+    want = {i for i, w in enumerate(brute_shares(texts, n)) if w}
+    rows = spark.createDataFrame(list(enumerate(texts)), "name long, text string")
+    assert {r["name"] for r in repeated_windows.sharing_texts(rows.union(rows.limit(3)), passage=n, gram=gram).collect()} == want
+
+
+def test_words_are_hashed_by_their_bytes_alone():
+    h = lambda t: repeated_windows.word_hashes(np.frombuffer(t.encode(), np.uint8)).tolist()
+    assert h("aa b\tcé  aa\x0b\u00a0x") == h("aa") + h("b") + h("cé") + h("aa") + h("\u00a0x") and h("") == h(" \n") == []
+    long = "q" * repeated_windows.SLICE
+    assert h(f"{long}r {long}s")[0] == h(f"{long}r")[0] != h(f"r{long}")[0] and len(set(h(f"{long}r {long}s {long}"))) == 3
+
+
 def test_long_texts_are_sampled_in_slices(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 5000, np.uint8)
