@@ -122,7 +122,8 @@ def settle(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def run_bytes(contested: DataFrame, docs: DataFrame, *, threshold: int) -> DataFrame:
     """(doc, sample, first, last, bytes) of contested runs, cut from their texts. Copies of a text give the run more than once, as they should."""
-    runs = contested.groupBy("doc").agg(F.collect_list(F.struct("sample", "first", "last")).alias("runs"))
+    # a table of its own, so that Spark can deal the many copies of a text out to several tasks
+    runs, _ = written(contested.groupBy("doc").agg(F.collect_list(F.struct("sample", "first", "last")).alias("runs")), "contested")
     held = docs.join(runs, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +209,9 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     lengths = edges[1::2] - edges[::2]
     if not len(lengths):
         return np.zeros(0, np.uint64)
+    if len(data) <= SLICE:  # the same sums, quicker
+        s = sums(data)
+        return _mix((s[edges[1::2]] - s[edges[::2]]) * INVERSES[edges[::2]])
     at = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
     weights = POWERS[place % SLICE]

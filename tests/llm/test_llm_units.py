@@ -308,6 +308,7 @@ def test_words_are_hashed_by_their_bytes_alone():
     h = lambda t: repeated_windows.word_hashes(np.frombuffer(t.encode(), np.uint8)).tolist()
     assert h("aa b\tcé  aa\x0b\u00a0x") == h("aa") + h("b") + h("cé") + h("aa") + h("\u00a0x") and h("") == h(" \n") == []
     long = "q" * repeated_windows.SLICE
+    assert h("aa b cé")[1:] == h(f"{long} b cé")[1:] and h(long) == h(f"{long} b")[:1] and h(f"{long}r") == h(f"  {long}r")
     assert h(f"{long}r {long}s")[0] == h(f"{long}r")[0] != h(f"r{long}")[0] and len(set(h(f"{long}r {long}s {long}"))) == 3
 
 
