@@ -280,7 +280,8 @@ def sharing_texts(texts: DataFrame, *, passage: int = PASSAGE, gram: int | None
     several = contexts.groupBy("key").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.count(F.lit(1)).alias("n")).filter("n > 1 and a < z").select("key")
     contested, contested_path = written(contexts.join(several, "key", "left_semi").select("key", "a", "z"), "contested")
     drop_path(spark, contexts_path)
-    open_ = contested.filter("a = z").join(settled.select(F.col("name").alias("a")), "a", "left_anti").select("key").distinct()
+    # a table of its own: its size is known when the join is planned, so a sample of many contexts isn't dealt to one task first
+    open_, _ = written(contested.filter("a = z").join(settled.select(F.col("name").alias("a")), "a", "left_anti").select("key").distinct(), "open")
     wanted, wanted_path = written(contested.join(open_, "key", "left_semi").groupBy(F.col("a").alias("name")).agg(F.collect_set("key").alias("keys")), "wanted")
     drop_path(spark, contested_path)
     windows, windows_path = written(passage_windows(texts.join(wanted, "name").select("name", "text", "keys"), passage=passage, gram=gram), "passage-windows")
