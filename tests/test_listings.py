@@ -4,12 +4,16 @@ import datetime as dt
 import itertools
 import random
 
+import duckdb
 import pytest
+from oracle import of_spark
+from oracle import rows as of_rows
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, text, urls
 from lodestream.operators import listings
 from lodestream.operators.listings import Request, ShortlistPolicy
+from lodestream.plans import registry
 
 COLUMNS = "job_id long, source string, title string, company string, location string, salary_text string, posted_text string, work_mode_text string, experience_text string, url string, description string"
 NOW = "2026-03-20 10:30:00"
@@ -129,6 +133,48 @@ def test_filter_on_salary_and_place(spark):
     assert [x["job_id"] for x in jobs.withColumn("ok", listings.job_filter(r)).filter("ok").collect()] == [1]
 
 
+def plain_diversity(rows):
+    """(adjusted score, penalties) of one pipeline's rows, by a loop over all of them."""
+    out, seen = {}, {c: {} for c in ("company", "title", "source")}
+    for r in sorted(rows, key=lambda r: (-r["overall"], -r["resume_match"], -r["title_match"], r["job_id"])):
+        before = {c: seen[c].get(r[c], 0) for c in seen}
+        for c in seen:
+            seen[c][r[c]] = before[c] + 1
+        share = sum(x["source"] == r["source"] for x in rows) / len(rows)
+        off = (min(before["company"] * 6.0, 18.0), min(before["title"] * 3.0, 9.0), 2.5 if share > 0.5 and before["source"] else 0.0)
+        adjusted = max(0.0, min(100.0, r["overall"] - sum(off) - min(r["penalty"] * 0.6, 7.0) + (1.0 - share) * 2.0))
+        out[r["job_id"]] = adjusted, off
+    return out
+
+
+def test_diversity_of_pipelines_of_any_length(spark):
+    rng = random.Random(3)
+    rows = [
+        {"pipeline": p, "job_id": 10_000 * p + i, "source": "hot" if p == 1 or rng.random() < 0.3 else f"s{rng.randrange(4)}", "company": rng.choice(["hot", "hot", "hot", f"c{rng.randrange(60)}"]), "title": rng.choice(["lead", f"t {rng.randrange(200)}"]),
+         "overall": rng.randrange(0, 400) / 4, "resume_match": rng.randrange(0, 8) * 1.0, "title_match": rng.randrange(0, 3) * 1.0, "penalty": rng.randrange(0, 10) * 1.0}
+        for p, n in ((1, 700), (2, 430), (3, 1)) for i in range(n)
+    ]
+    want = {k: v for p in (1, 2, 3) for k, v in plain_diversity([r for r in rows if r["pipeline"] == p]).items()}
+    got = {r["job_id"]: r for r in listings.diversity(spark.createDataFrame(rows).repartition(7)).collect()}
+    assert set(got) == set(want)
+    assert {k: (r["company_penalty"], r["title_penalty"], r["source_penalty"]) for k, r in got.items()} == {k: off for k, (_, off) in want.items()}
+    assert all(abs(r["adjusted"] - want[k][0]) <= 0.00501 for k, r in got.items())
+    for p, n in ((1, 700), (2, 430), (3, 1)):
+        ordered = sorted((r for r in got.values() if r["pipeline"] == p), key=lambda r: (-r["adjusted"], -r["overall"], -r["resume_match"], r["job_id"]))
+        assert [r["rank"] for r in ordered] == list(range(1, n + 1))
+
+
+def test_rank_listings_ranks_every_row_of_a_pipeline(spark, tmp_path):
+    rows = [(20 * i, f"Word{i % 9} other{i % 13} lead text number {i}", "en", f"Src{i % 3}", 40 + i) for i in range(230)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    names, got = of_spark(registry.QUERIES["rank_listings"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.SQL["rank_listings"])
+    assert got == of_rows(want.columns, want.fetchall())
+    assert sorted(r[names.index("rank")] for r in got) == list(range(1, 231))
+
+
 def shortlist_row(i, **over):
     base = dict(pipeline=1, job_id=i, rank=i, source=f"s{i}", company=f"c{i}", title=f"title {i}", adjusted=90.0 - i, freshness=0.5, group_id=f"g{i}", in_cooldown=False, repeat_factor=0.0)
     return {**base, **over}
