@@ -133,6 +133,35 @@ def test_filter_on_salary_and_place(spark):
     assert [x["job_id"] for x in jobs.withColumn("ok", listings.job_filter(r)).filter("ok").collect()] == [1]
 
 
+@pytest.mark.parametrize("asked, want", [
+    ({}, {0, 1, 2, 3, 4, 5}), ({"clearance": True}, {1, 2, 3, 4}), ({"clearance": False}, {0, 5}), ({"clearances": ("Public_Trust",)}, {0, 3, 5}), ({"clearances": ("secret",)}, {0, 1, 2, 5}),
+    ({"clearances": ("secret",), "require": frozenset({"clearance"})}, {1, 2}), ({"clearances": ("top_secret", "public_trust"), "clearance": True}, {1, 3}), ({"clearances": ("secret",), "clearance": False}, {0, 5}),
+])
+def test_filter_on_clearances(spark, asked, want):
+    said = (None, "a Secret Clearance, Top SECRET at best", "holds a secret clearance and public trust", "public trust", "active security clearance", "no clearance; topsecret, secretly")
+    jobs = normal(spark, *[{"title": "Engineer", "location": "austin, tx", "description": d} for d in said])
+    assert {x["job_id"] for x in jobs.filter(listings.job_filter(Request(titles=("engineer",), keywords=("x",), **asked))).collect()} == want
+
+
+def test_job_filter_drops_clearances_that_the_applicant_lacks(spark, tmp_path):
+    said = ("", "top secret", "Secret Clearance", "public trust", "security clearance", "secret trust")
+    rows = [(72 * i + 51, f"Kiln oven {said[i % 6]} end", "en", "Src", 50) for i in range(24)]  # leads in Austin
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    names, got = of_spark(registry.QUERIES["job_filter"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.SQL["job_filter"])
+    assert got == of_rows(want.columns, want.fetchall())
+    assert {(r[names.index("job_id")] - 51) // 72 % 6 for r in got} == {0, 3, 5}
+
+
+def test_requests_name_clearances():
+    r = lambda **given: listings.resolve_request(given).request
+    assert [r(clearance_required=x).clearance for x in ("Required", True, "none", False, "maybe", None, 1)] == [True, True, False, False, None, None, None]
+    q = r(required_clearances=["Secret", " "], require_clearance_match=True)
+    assert q.clearances == ("Secret",) and q.require == {"clearance"} and r().require == frozenset() and r().clearances == ()
+
+
 def plain_diversity(rows):
     """(adjusted score, penalties) of one pipeline's rows, by a loop over all of them."""
     out, seen = {}, {c: {} for c in ("company", "title", "source")}
